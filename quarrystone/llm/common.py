@@ -54,14 +54,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size of df (file sizes, for a scan); only tunes the number of buckets, never a result."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(size.toString()), 1 << 50)
+    """Catalyst's size of df (file sizes, for a scan) or else its bytes of text; only tunes the number of buckets."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, blow_up: float = 4.0) -> int:
-    """Buckets whose packed blocks stay near bytes_each, at least four to a shuffle partition."""
-    return int(max(4 * shuffle_partitions(df.sparkSession), planned_bytes(df) * blow_up // bytes_each))
+    """Buckets whose packed blocks stay near bytes_each, at least two to a shuffle partition."""
+    return int(max(2 * shuffle_partitions(df.sparkSession), planned_bytes(df) * blow_up // bytes_each))
 
 
 def small_or_shuffled(df: DataFrame, row_bytes: int) -> DataFrame:
