@@ -36,6 +36,7 @@ ONE = _U(1) << np.arange(64, dtype=_U)
 TWO = np.array([ONE[a] | ONE[b] for half in (range(32), range(32, 64)) for a, b in combinations(half, 2)], dtype=_U)
 #: What each parity flips.
 MASKS = (np.concatenate((np.zeros(1, _U), ONE, TWO)), ONE)
+ALL_MASKS = np.concatenate(MASKS)
 #: Variants in a bucket, about.
 BUCKET = 1 << 20
 #: Per byte value, its bits as counters of 8 bits.
@@ -94,19 +95,20 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _blocks(fps: np.ndarray, n: int):
-    """(bucket, x, counts by mask) of the variants of fps."""
+    """(bucket, x, counts by mask) of the variants of fps: one row for each bucket."""
     odd = np.bitwise_count(fps) & 1
-    for parity in (0, 1):
+    xs, zs, flips = [], [], []
+    for parity, first in ((0, 0), (1, len(MASKS[0]))):
         x, masks = fps[odd == parity], MASKS[parity]
-        if not len(x):
-            continue
-        bucket = (mix((masks[:, None] ^ x[None, :]).ravel()) % _U(n)).astype(np.int64)
-        order, bound = by_bucket(bucket, n)
-        mask_of, x_of = order // len(x), x[order % len(x)]
-        for b in range(n):
-            if bound[b] < bound[b + 1]:
-                own = slice(bound[b], bound[b + 1])
-                yield b, x_of[own].tobytes(), np.bincount(mask_of[own], minlength=len(masks)).astype("<u4").tobytes()
+        zs.append((masks[:, None] ^ x[None, :]).ravel())
+        xs.append(np.tile(x, len(masks)))
+        flips.append(np.repeat(np.arange(first, first + len(masks), dtype=np.int32), len(x)))
+    x, flip = np.concatenate(xs), np.concatenate(flips)
+    order, bound = by_bucket((mix(np.concatenate(zs)) % _U(n)).astype(np.int64), n)
+    x, flip = x[order], flip[order]
+    for b in np.flatnonzero(np.diff(bound)):
+        own = slice(bound[b], bound[b + 1])
+        yield int(b), x[own].tobytes(), np.bincount(flip[own], minlength=len(ALL_MASKS)).astype("<u4").tobytes()
 
 
 def star_links(z: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect all that are at 3 bits or fewer."""
     spark = nodes.sparkSession
     count = nodes.count()
-    n = int(min(max(4 * shuffle_partitions(spark), count * 560 // BUCKET), 1 << 20))
+    n = int(min(max(2 * shuffle_partitions(spark), count * 560 // BUCKET), 1 << 20))
     blocks = pa.schema([("bucket", pa.int32()), ("x", pa.binary()), ("counts", pa.binary())])
 
     def emit(batches):
@@ -136,10 +138,8 @@ def links(nodes: DataFrame) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         zs, xs = [], []
         for x, counts in zip(group.column("x").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            c = np.frombuffer(counts, "<u4")
-            x = np.frombuffer(x, dtype=_U)
-            xs.append(x)
-            zs.append(x ^ np.repeat(MASKS[0] if len(c) == len(MASKS[0]) else MASKS[1], c))
+            xs.append(np.frombuffer(x, dtype=_U))
+            zs.append(xs[-1] ^ np.repeat(ALL_MASKS, np.frombuffer(counts, "<u4")))
         z, x = np.concatenate(zs), np.concatenate(xs)
         order = np.argsort(z)  # most variants are of one fingerprint alone: those go first
         s = z[order]
