@@ -167,6 +167,93 @@ def groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "_qs_th", "fp", "component_id")
 
 
+def word_set_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
+    """(th, fps): for each distinct text, `tables` independent fingerprints of its set of words."""
+    schema = pa.schema([("th", pa.int64()), ("fps", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                each = [np.unique(text_hashes(t, 1)) for t in as_bytes(part.column("text"))]
+                counts = np.array([len(h) for h in each], dtype=np.int64)
+                every = np.concatenate(each)
+                fps = np.stack([majority(mix(every ^ mix(np.full(1, t + 1, _U))), counts) for t in range(tables)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("_qs_th"), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], schema=schema)
+
+    return keyed(docs).mapInArrow(run, "th long, fps array<long>").dropDuplicates(["th"])
+
+
+def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between distinct texts, by hash, whose sets of shingles have at least this Jaccard similarity."""
+    schema = pa.schema([("th", pa.int64()), ("s", pa.binary())])
+
+    def sets(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield table(zip(part.column("_qs_th").to_pylist(), [np.unique(text_hashes(t, width)).tobytes() for t in as_bytes(part.column("text"))], strict=True), schema)
+
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        for batch in batches:
+            out = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "s", "s2")), strict=True):
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                if not either or both >= similarity * either:
+                    out.append((a, b))
+            yield table(out, pairs)
+
+    touched = cut(edges.select(F.col("a").alias("_qs_th")).union(edges.select("b")).distinct())
+    texts = keyed(docs).join(small_or_shuffled(touched, 16), "_qs_th", "left_semi").dropDuplicates(["_qs_th"])
+    shingled = cut(texts.mapInArrow(sets, "th long, s binary"))
+    sided = edges.join(shingled.select(F.col("th").alias("a"), "s"), "a").join(shingled.select(F.col("th").alias("b"), F.col("s").alias("s2")), "b")
+    return sided.mapInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+    """(doc_id, _qs_th, keeper): the keeper is the smallest (doc_id, text hash) of a row's group; one row for each distinct key.
+
+    Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. A few changed words move a
+    fingerprint of shingles by more than three bits, so candidates come from fingerprints of the set of words, in several
+    independent tables, each linked by ball hashing; a link counts once its similarity is verified on the whole texts.
+    """
+    prints = cut(word_set_fingerprints(docs, tables))
+    found = None
+    for t in range(tables):
+        own = prints.select("th", F.col("fps")[t].alias("fp"))
+        named = cut(own.groupBy("fp").agg(F.min("th").alias("low")))
+        near = links(named.select("fp"))
+        a, b = named.select(F.col("fp").alias("a"), F.col("low").alias("x")), named.select(F.col("fp").alias("b"), F.col("low").alias("y"))
+        across = near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        within = own.join(named, "fp").where("th <> low").select(F.col("low").alias("a"), F.col("th").alias("b"))
+        both = across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = cut((both if found is None else both.union(found)).distinct())
+    roots = components(verified(docs, found, width, similarity))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_qs_th")).distinct()
+    placed = cut(rows.join(roots, rows["_qs_th"] == roots["node"], "left").select("doc_id", "_qs_th", F.coalesce("root", "_qs_th").alias("root")))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qs_th")).alias("first"))
+    return placed.join(first, "root").select("doc_id", "_qs_th", F.struct("first.doc_id", "first._qs_th").alias("keeper"))
+
+
+def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest doc_id. All columns kept.
+
+    The keys to drop are broadcast only if few. Rows that repeat both doc_id and text are one document: one stays.
+    """
+    near = cut(near_duplicates(docs, width, similarity, tables))
+    drop = cut(near.where("not (doc_id <=> keeper.doc_id and _qs_th = keeper._qs_th)").select(F.col("doc_id").alias("_qs_id"), "_qs_th"))
+    left = docs.join(small_or_shuffled(drop, 32), F.col("_qs_id").eqNullSafe(docs["doc_id"]) & (F.col("_qs_th") == F.xxhash64(docs["text"])), "left_anti")
+    # only keys that occur twice have to meet
+    twice = cut(docs.groupBy(F.col("doc_id").alias("_qs_id"), F.xxhash64("text").alias("_qs_th")).count().where("count > 1").select("_qs_id", "_qs_th"))
+    if not twice.head(1):
+        return left
+    same = F.col("_qs_id").eqNullSafe(left["doc_id"]) & (F.col("_qs_th") == F.xxhash64(left["text"]))
+    repeated = left.join(small_or_shuffled(twice, 32), same, "left_semi")
+    return left.join(small_or_shuffled(twice, 32), same, "left_anti").unionByName(repeated.withColumn("_qs_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_qs_th"]).drop("_qs_th"))
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return groups(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

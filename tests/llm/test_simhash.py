@@ -70,3 +70,51 @@ def test_links_connect_all_within_three_bits(spark):
         for b in f[i + 1 :]:
             if (int(a) ^ int(b)).bit_count() <= 3:
                 assert root(int(a)) == root(int(b))
+
+
+def shingles(t, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    rows, n = [], 0
+    for _ in range(60):
+        w = [rng.choice(words) for _ in range(rng.randint(80, 250))]
+        rows.append((n := n + 1, " ".join(w)))
+        for edits in rng.sample([0, 1, 2, 3, 30], rng.randint(0, 3)):
+            v = list(w)
+            for i in rng.sample(range(len(v)), edits):
+                v[i] = rng.choice(words)
+            rows.append((n := n + 1, " ".join(v)))
+    rows += [(n + 1, None), (n + 2, ""), (n + 3, "a b c"), (n + 4, "A  b c"), (n + 5, "a b d"), rows[5], rows[5]]
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, fp string, keeper int").repartition(3).checkpoint()
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            either = len(sets[i] | sets[j])
+            if (rows[i][1] or "") == (rows[j][1] or "") or (either and both >= 0.8 * either):
+                group[root(i)] = root(j)
+    want = {min(d for k, (d, _) in enumerate(rows) if root(k) == r) for r in {root(i) for i in range(len(rows))}}
+    kept = simhash.dedup(df)
+    assert kept.columns == df.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(set(got) - want) <= 2  # a near copy whose fingerprints are apart in every table
+
+
+def test_dedup_of_awkward_rows(awkward, nothing):
+    kept = simhash.dedup(awkward)
+    texts = [r.text for r in kept.collect()]
+    assert kept.columns == awkward.columns and len(texts) == len({t or "" for t in texts})
+    assert simhash.dedup(nothing).collect() == []
