@@ -52,4 +52,5 @@ def histories(turns: DataFrame, keep: int = 50) -> DataFrame:
 def event_counts(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Events by type and tumbling window, with a watermark for late ones."""
     w = F.window("ts", window)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", delay).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
