@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, pieces, rolling, slices, table, unpack_gaps
+from .common import CHUNK_BYTES, as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, pieces, rolling, slices, table, unpack_gaps
 
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F | 4)
@@ -134,13 +134,13 @@ def _merge(width: int):
     return run
 
 
-def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 35, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, _qs_th, spans) of the texts that hold a repeated window: maximal (start, end) token intervals, packed."""
     n = buckets_for(docs)
 
     def emit(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=chunk_bytes):
                 yield table(_chunk_rows(part, width, n), PACKED)
 
     counted = keyed(docs).mapInArrow(emit, PACKED_DDL).groupBy("bucket").applyInArrow(_count, PACKED_DDL)
@@ -148,8 +148,8 @@ def repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     return cut(spans.dropDuplicates(["doc_id", "_qs_th"]))
 
 
-def _with_spans(docs: DataFrame, width: int) -> DataFrame:
-    found = repeats(docs, width).select(F.col("doc_id").alias("_qs_id"), F.col("_qs_th").alias("_qs_h"), "spans")
+def _with_spans(docs: DataFrame, width: int, **options) -> DataFrame:
+    found = repeats(docs, width, **options).select(F.col("doc_id").alias("_qs_id"), F.col("_qs_th").alias("_qs_h"), "spans")
     return docs.join(found, (F.xxhash64(docs["text"]) == F.col("_qs_h")) & docs["doc_id"].eqNullSafe(F.col("_qs_id")), "left")
 
 
@@ -164,7 +164,7 @@ def kept_words(text: bytes, spans: bytes | None) -> tuple[list[bytes], int, int]
     return [ws[i] for i in np.flatnonzero(keep)], len(ws), int(len(ws) - keep.sum())
 
 
-def report(docs: DataFrame, width: int = 35) -> DataFrame:
+def report(docs: DataFrame, width: int = 35, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -177,7 +177,7 @@ def report(docs: DataFrame, width: int = 35) -> DataFrame:
                     out.append((d, n, gone, hashlib.sha256(b" ".join(kept)).hexdigest()))
                 yield table(out, schema)
 
-    joined = _with_spans(docs.select("doc_id", "text"), width).select("doc_id", "text", "spans")
+    joined = _with_spans(docs.select("doc_id", "text"), width, **options).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

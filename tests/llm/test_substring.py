@@ -27,10 +27,9 @@ def test_report(awkward):
     assert sum(r[2] > 0 for r in got) > 20 and any(0 < r[2] < r[1] for r in got)
 
 
-def test_short_windows_in_tiny_chunks(awkward, monkeypatch):
-    monkeypatch.setattr(substring.slices, "__defaults__", ("text", 500))
+def test_short_windows_in_tiny_chunks(awkward):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
-    assert rows_of(substring.report(awkward, 3)) == brute(rows, 3)
+    assert rows_of(substring.report(awkward, 3, chunk_bytes=500)) == brute(rows, 3)
 
 
 def test_remove(awkward, nothing):
