@@ -318,6 +318,27 @@ def gmm_tree(spark, sf_dir):
     return tree.soft_clusters(e, CONFIG.components(1), CONFIG.max_clusters, CONFIG.cluster_threshold).groupBy("cluster_id").agg(F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("mean_p"))
 
 
+@query()
+def summary_tree(spark, sf_dir):
+    """The whole way: every document cut, enriched and embedded, then two levels of soft clusters and summaries."""
+    from .functions.checkpoints import cut
+    from .operators.providers import HashedEmbedder, LeadingWords, embed
+    from .plans.index import numbered, units
+
+    d = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("source"), "text", F.lit(T.NO_TITLE).alias("title"), F.col("doc_id").alias("seq"))
+    embedder = HashedEmbedder(CONFIG.embedding_dimensions)
+    leaves = cut(embed(units(d, CONFIG), embedder, batch=CONFIG.embedding_batch_size))
+    nodes = tree.build(numbered(leaves), LeadingWords(), embedder, CONFIG)
+    return nodes.groupBy("level").agg(F.count("*").alias("n"), F.count("parent_id").alias("n_with_parent"), F.sum(F.size(F.coalesce("children_ids", F.array().cast("array<string>")))).cast("long").alias("n_children"))
+
+
+@query("SELECT sha256(text) AS id, source, array_to_string(list_sort(list_distinct(list(doc_id::VARCHAR))), ',') AS children FROM documents GROUP BY 1, 2")
+def index_rows(spark, sf_dir):
+    """Rows for a plain document index: child ids joined with commas."""
+    d = _docs(spark, sf_dir).groupBy(T.unit_id("text", 256).alias("id"), "source").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("children_ids"))
+    return d.select("id", "source", F.array_join("children_ids", ",").alias("children"))
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 NORMALIZED = r"regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), ';[^/]*$', ''), '/+$', '')"
@@ -397,6 +418,35 @@ def page_lookup(spark, sf_dir):
     return crawl.lookup(p, p.select("project", "url_key").union(spark.createDataFrame([("none",)], "p string").select("p", F.md5(F.lit("x")))))
 
 
+@query("SELECT conv_id, turn, length(text)::INT AS char_count, length(text) > 50 AS success FROM conversations")
+def transcript_check(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").withColumnRenamed("text", "transcript").withColumn("title", F.lit(""))
+    return crawl.transcripts(rows).select("conv_id", "turn", "char_count", "success")
+
+
+@query("SELECT conv_id::VARCHAR AS url, string_agg(text, '' ORDER BY turn) AS tree FROM conversations GROUP BY conv_id")
+def tree_text(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("seq"), "text")
+    return crawl.tree_text(rows)
+
+
+@query("SELECT doc_id, string_agg(trim(array_to_string((string_split(trim(regexp_replace(piece, '\\s+', ' ', 'g')), ' '))[1:60], ' ')), chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, substr(text, i + 1, 12000) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 12000)) AS i FROM documents) q) p GROUP BY doc_id")
+def translate_pieces(spark, sf_dir):
+    """Translation piece by piece; the provider here keeps the first words of each."""
+    from .operators.providers import LeadingWords, translate
+
+    return translate(_docs(spark, sf_dir).select("doc_id", "text"), LeadingWords(60), "text", CONFIG.translation_chars)
+
+
+@query()
+def recursive_pieces(spark, sf_dir):
+    from .operators.chunking import register_recursive_split
+
+    register_recursive_split(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("_qs_docs")
+    return spark.sql("SELECT doc_id, piece_index, piece FROM _qs_docs, LATERAL recursive_split(text, 500, 50)")
+
+
 VIDEOS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1", "https://youtu.be/abcdefghijk", "https://www.youtube.com/embed/ABC_def-123", "https://x.org/v/12345678901", "abcdefghij_", "too-short", "https://youtu.be/short"]
 TITLES = ["Transcript of “A talk: part 1”", "Ünïcode & more / less", "  spaced out  ", "x" * 100, "!!!", "tab\there"]
 
