@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, licenses, lm, mixing, pii, quality, simhash, substring, suffix
+from . import decontaminate, fingerprint, licenses, lm, mixing, pii, quality, simhash, sql, substring, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring": sql.OP3_SUBSTRING, "op7_decontaminate": sql.OP7_DECONTAMINATE}
