@@ -212,7 +212,7 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
     return sided.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
     """(doc_id, _qs_th, keeper): the keeper is the smallest (doc_id, text hash) of a row's group; one row for each distinct key.
 
     Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. A few changed words move a
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     return placed.join(first, "root").select("doc_id", "_qs_th", F.struct("first.doc_id", "first._qs_th").alias("keeper"))
 
 
-def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id. All columns kept.
 
     The keys to drop are broadcast only if few. Rows that repeat both doc_id and text are one document: one stays.
