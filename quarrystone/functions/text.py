@@ -19,7 +19,7 @@ def _c(c: Column | str) -> Column:
 
 def is_blank(text: Column | str) -> Column:
     """Null, empty, or white space only (of any kind, not only spaces)."""
-    return F.coalesce(F.length(F.regexp_replace(_c(text), r"[\s\x0B]+", "")) == 0, F.lit(True))
+    return F.coalesce(~_c(text).rlike(r"[^\s\x0B]"), F.lit(True))
 
 
 def strip(text: Column | str) -> Column:
