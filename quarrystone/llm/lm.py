@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, mix, pieces, slices, table
-from .quality import SHAPES, shape
+from .quality import SHAPES, Cached, shape
 
 WINDOW, WIDTH, GROUPS = 2, 16, 64
 SIZE = GROUPS * GROUPS
@@ -45,18 +45,7 @@ class Tokens:
 
     def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers with WINDOW zeros around each text, the places of tokens in them, and the number of tokens of each text."""
-        get, other = self.numbers.get, {}
-
-        def number(w):
-            n = get(w)
-            if n is None:
-                n = other.get(w)
-                if n is None:
-                    if len(other) > 200_000:
-                        other.clear()
-                    n = other[w] = 1 + shape(w)
-            return n
-
+        number = Cached(self.numbers).__getitem__
         gap = np.zeros(WINDOW, np.int32)
         parts, counts = [gap], []
         for t in texts:
@@ -110,10 +99,24 @@ class Network:
         np.tanh(h, out=h)
         return np.concatenate((h, np.ones((len(at), 1), np.float32)), axis=1)
 
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    def _exp(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, their exponentials, and the sums of these; shifted by the largest logit where it could be too large."""
+        x = h @ w
+        if np.abs(w).sum(axis=0).max() > 60:  # else no logit is larger: hidden values are at most 1
+            x -= x.max(axis=1, keepdims=True)
+        e = np.exp(x)
+        return x, e, e @ np.ones(GROUPS, e.dtype)
+
+    def _log_of(self, h: np.ndarray, w: np.ndarray, which: np.ndarray) -> np.ndarray:
+        x, _, total = self._exp(h, w)
+        return x[np.arange(len(x)), which] - np.log(total)
+
+    def _off(self, h: np.ndarray, w: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Softmax minus the one that is right."""
+        _, e, total = self._exp(h, w)
+        e /= total[:, None]
+        e[np.arange(len(e)), which] -= 1
+        return e
 
     def log_p(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p of the numbers at `at`, each from both its sides."""
@@ -122,24 +125,23 @@ class Network:
             own = at[a : a + (1 << 15)]
             group, inner = np.divmod(numbers[own], GROUPS)
             h = self.hidden(numbers, own)
-            lp = self._log_softmax(h @ self.w[2])[np.arange(len(own)), group].astype(np.float64)
+            lp = self._log_of(h, self.w[2], group).astype(np.float64)
             order = np.argsort(group, kind="stable")
             bound = np.searchsorted(group[order], np.arange(GROUPS + 1))
             for g in range(GROUPS):
                 i = order[bound[g] : bound[g + 1]]
                 if len(i):
-                    lp[i] += self._log_softmax(h[i] @ self.w[3][g])[np.arange(len(i)), inner[i]]
+                    lp[i] += self._log_of(h[i], self.w[3][g], inner[i])
             out[a : a + len(own)] = lp
         return out
 
-    def gradients(self, numbers: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """Of the mean negative log p."""
+    def gradients(self, numbers: np.ndarray, at: np.ndarray) -> list:
+        """Of the mean negative log p; for the embeddings, of each place, the rows it touches and theirs."""
         n = len(at)
         group, inner = np.divmod(numbers[at], GROUPS)
         h = self.hidden(numbers, at)
         g_inner, d_h = np.zeros_like(self.w[3]), np.zeros_like(h)
-        d = np.exp(self._log_softmax(h @ self.w[2]))
-        d[np.arange(n), group] -= 1
+        d = self._off(h, self.w[2], group)
         g_group = h.T @ d / n
         d_h += d @ self.w[2].T
         order = np.argsort(group, kind="stable")
@@ -147,22 +149,25 @@ class Network:
         for g in range(GROUPS):
             i = order[bound[g] : bound[g + 1]]
             if len(i):
-                d = np.exp(self._log_softmax(h[i] @ self.w[3][g]))
-                d[np.arange(len(i)), inner[i]] -= 1
+                d = self._off(h[i], self.w[3][g], inner[i])
                 g_inner[g] = h[i].T @ d / n
                 d_h[i] += d @ self.w[3][g].T
         d_x = d_h[:, :-1] * (1 - h[:, :-1] ** 2) / n
-        g_embed = np.zeros_like(self.w[0])
-        for k, place in enumerate(PLACES):
+        g_embed = []
+        for place in PLACES:
             x = numbers[at + place]
             by = np.argsort(x, kind="stable")
             head = np.flatnonzero(np.concatenate(([True], np.diff(x[by]) > 0)))
-            g_embed[k][x[by][head]] = np.add.reduceat(d_x[by], head, axis=0)
+            g_embed.append((x[by][head], np.add.reduceat(d_x[by], head, axis=0)))
         return [g_embed, d_x.sum(axis=0), g_group, g_inner]
 
     def descend(self, numbers: np.ndarray, at: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         for a in range(0, len(at), BATCH):
-            for w, s, g in zip(self.w, squares, self.gradients(numbers, at[a : a + BATCH]), strict=True):
+            touched, *dense = self.gradients(numbers, at[a : a + BATCH])
+            for w, s, (rows, g) in zip(self.w[0], squares[0], touched, strict=True):
+                s[rows] += g * g
+                w[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-8)
+            for w, s, g in zip(self.w[1:], squares[1:], dense, strict=True):
                 s += g * g
                 w -= rate * g / (np.sqrt(s) + 1e-8)
 
@@ -183,7 +188,7 @@ def vocabulary(docs: DataFrame) -> tuple[Tokens, np.ndarray]:
 
     words = cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
     by_number = pa.schema([("k", pa.int64()), ("n", pa.int64())])
-    top = [(bytes(r["w"]), r["n"]) for r in words.orderBy(F.desc("n"), "w").limit(SIZE - SHAPES - 1).collect()]
+    top = [(bytes(r["w"]), r["n"]) for r in cut(words.orderBy(F.desc("n"), "w").limit(SIZE - SHAPES - 1)).orderBy(F.desc("n"), "w").collect()]
     tokens = Tokens([w for w, _ in top])
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
