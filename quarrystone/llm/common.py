@@ -40,13 +40,20 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more; Spark removes them when they are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of df. What it was made from can go, so its shuffle files are released."""
+    """A reliable checkpoint of df. What earlier steps were made from is released first.
+
+    df itself is referred to until this returns: call release() before a last step that needs much room.
+    """
     checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    release(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

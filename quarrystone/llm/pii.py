@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, slices, small_or_shuffled, table
+from .common import as_bytes, cut, keyed, release, slices, small_or_shuffled, table
 
 # Titles by gender, and given names by script and gender. Surrogates are drawn from the names.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин"], "f": ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа"], "": ["Dr", "Prof", "Professor"]}
@@ -264,6 +264,7 @@ def scrub(docs: DataFrame, key: bytes) -> DataFrame:
 
     size = each.agg(F.sum(F.octet_length(F.to_json("_qs_map"))).alias("s")).first()["s"] or 0
     side = small_or_shuffled(each, 64 + size // max(1, each.count()))
+    release(docs.sparkSession)
     joined = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_qs_id")) & (F.xxhash64(docs["text"]) == F.col("_qs_th")), "left")
     changed = joined.withColumn("_qs_new", replaced("text", "_qs_map"))
     return changed.select(*[F.col("_qs_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_qs_new.n").alias("_qs_entities"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, pieces, rolling, slices, table, unpack_gaps
+from .common import CHUNK_BYTES, as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, pieces, release, rolling, slices, table, unpack_gaps
 
 _U = np.uint64
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F | 4)
@@ -150,6 +150,7 @@ def repeats(docs: DataFrame, width: int = 35, chunk_bytes: int = CHUNK_BYTES) ->
 
 def _with_spans(docs: DataFrame, width: int, **options) -> DataFrame:
     found = repeats(docs, width, **options).select(F.col("doc_id").alias("_qs_id"), F.col("_qs_th").alias("_qs_h"), "spans")
+    release(docs.sparkSession)
     return docs.join(found, (F.xxhash64(docs["text"]) == F.col("_qs_h")) & docs["doc_id"].eqNullSafe(F.col("_qs_id")), "left")
 
 

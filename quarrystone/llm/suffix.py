@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, rolling, slices, small_or_shuffled, table, unpack_gaps
+from .common import CHUNK_BYTES, as_bytes, buckets_for, by_bucket, cut, keyed, mix, pack_gaps, release, rolling, slices, small_or_shuffled, table, unpack_gaps
 from .decontaminate import union
 
 _U = np.uint64
@@ -309,11 +309,14 @@ def removals(docs: DataFrame, width: int = 100, **options) -> DataFrame:
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     rows = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("_qs_id"), key.alias("k"))
     least = rows.groupBy("k").agg(F.min("_qs_id").alias("low"), F.max("_qs_id").alias("high")).where("high > low and k.n > 0").select("k.a", "low")
-    later = cut(rows.select("_qs_id", F.col("k.a").alias("_qs_th")).join(least, F.col("_qs_th") == F.col("a")).where("_qs_id > low").select("_qs_id", "_qs_th").distinct())
+    # nothing that needs a key's rows together stands above this join, so that a hot text's rows can be split
+    later = cut(rows.select("_qs_id", F.col("k.a").alias("_qs_th")).join(least, F.col("_qs_th") == F.col("a")).where("_qs_id > low").select("_qs_id", "_qs_th"))
+    later = cut(later.distinct())
     same = lambda d: (F.col("_qs_id") == F.coalesce(d["doc_id"], F.lit(_NULL))) & (F.col("_qs_th") == F.xxhash64(d["text"]))
     firsts = docs.join(small_or_shuffled(later, 32), same(docs), "left_anti")
     found = repeats(firsts, width, **options).withColumnRenamed("doc_id", "_qs_id")
     every = found.select("_qs_id", "_qs_th", "spans", F.lit(False).alias("w")).unionByName(later.select("_qs_id", "_qs_th", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("w")))
+    release(docs.sparkSession)
     joined = docs.join(every, same(docs), "left")
     whole = F.coalesce("w", F.lit(False)) & (F.octet_length("text") >= width)
     return joined.select(*[docs[c] for c in docs.columns], F.col("spans").alias("_qs_spans"), F.coalesce(whole, F.lit(False)).alias("_qs_whole"))
