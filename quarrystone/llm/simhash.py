@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bucket, components, cut, keyed, mix, pieces, shuffle_partitions, slices, small_or_shuffled, table
+from .common import as_bytes, by_bucket, components, cut, keyed, mix, pieces, release, shuffle_partitions, slices, small_or_shuffled, table
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
@@ -37,6 +37,8 @@ TWO = np.array([ONE[a] | ONE[b] for half in (range(32), range(32, 64)) for a, b
 #: What each parity flips.
 MASKS = (np.concatenate((np.zeros(1, _U), ONE, TWO)), ONE)
 ALL_MASKS = np.concatenate(MASKS)
+#: Fingerprints whose variants a task emits, about.
+NODES = 4096
 #: Variants in a bucket, about.
 BUCKET = 1 << 20
 #: Per byte value, its bits as counters of 8 bits.
@@ -132,8 +134,8 @@ def links(nodes: DataFrame) -> DataFrame:
     def emit(batches):
         for batch in batches:
             fps = np.asarray(batch.column("fp"), dtype=np.int64).view(_U)
-            for at in range(0, len(fps), 8192):
-                yield table(_blocks(fps[at : at + 8192], n), blocks)
+            for at in range(0, len(fps), 2 * NODES):
+                yield table(_blocks(fps[at : at + 2 * NODES], n), blocks)
 
     def meet(group: pa.Table) -> pa.Table:
         zs, xs = [], []
@@ -149,7 +151,8 @@ def links(nodes: DataFrame) -> DataFrame:
         found = np.unique(found.view(np.int64), axis=0) if len(found) else found.view(np.int64)
         return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    dealt = nodes.repartition(max(shuffle_partitions(spark), count // 100_000), "fp")
+    # blocks are tasks times buckets: a task has enough fingerprints for blocks worth their number
+    dealt = nodes.repartition(-(-count // NODES) or 1)
     return dealt.mapInArrow(emit, "bucket int, x binary, counts binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
@@ -244,6 +247,7 @@ def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int
     """
     near = cut(near_duplicates(docs, width, similarity, tables))
     drop = cut(near.where("not (doc_id <=> keeper.doc_id and _qs_th = keeper._qs_th)").select(F.col("doc_id").alias("_qs_id"), "_qs_th"))
+    release(docs.sparkSession)
     left = docs.join(small_or_shuffled(drop, 32), F.col("_qs_id").eqNullSafe(docs["doc_id"]) & (F.col("_qs_th") == F.xxhash64(docs["text"])), "left_anti")
     # only keys that occur twice have to meet
     twice = cut(docs.groupBy(F.col("doc_id").alias("_qs_id"), F.xxhash64("text").alias("_qs_th")).count().where("count > 1").select("_qs_id", "_qs_th"))
