@@ -13,6 +13,7 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -29,6 +30,7 @@ CHUNK_BYTES = 8 << 20
 #: A side of a join is broadcast up to this many bytes, after counting it; beyond, it is shuffled.
 BROADCAST_BYTES = 8 << 20
 
+_LIBC = ctypes.CDLL(None)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _U = np.uint64
 
@@ -81,6 +83,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_qs_th"))
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, and would keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of at most limit bytes in column (or one row)."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
@@ -91,6 +100,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield batch.slice(at, end - at)
         at = end
+        trim()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
