@@ -20,6 +20,7 @@ Equal fingerprints are one node, whatever their number. Variants are shuffled as
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_bucket, components, cut, keyed, mix, pieces, release, shuffle_partitions, slices, small_or_shuffled, table
+from .common import as_bytes, buckets_for, by_bucket, components, cut, keyed, mix, pieces, release, shuffle_partitions, slices, small_or_shuffled, table
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
@@ -41,6 +42,10 @@ ALL_MASKS = np.concatenate(MASKS)
 NODES = 4096
 #: Variants in a bucket, about.
 BUCKET = 1 << 20
+#: Cells in which shingles are counted, to tell common from rare ones.
+CELLS = 1 << 22
+#: Texts of a large group that are paired at once with as many others.
+JOB = 512
 #: Per byte value, its bits as counters of 8 bits.
 _SPREAD = np.array([sum(1 << 8 * i for i in range(8) if b >> i & 1) for b in range(256)], dtype=_U)
 
@@ -215,12 +220,116 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
     return sided.mapInArrow(compare, "a long, b long")
 
 
+def commonness(docs: DataFrame, width: int) -> np.ndarray:
+    """Per cell of shingle hashes, twice the log2 of how often its shingles occur. It orders shingles; no result depends on it."""
+    schema = pa.schema([("block", pa.int32()), ("n", pa.binary())])
+
+    def count(batches):
+        own = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for part in slices(batch):
+                for t in as_bytes(part.column("text")):
+                    np.add.at(own, (text_hashes(t, width) % _U(CELLS)).astype(np.int64), 1)
+        yield table([(b, x.tobytes()) for b, x in enumerate(np.array_split(np.minimum(own, 255).astype(np.uint8), 64)) if x.any()], schema)
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in group.column("n").to_pylist())
+        return pa.Table.from_batches([table([(group.column("block")[0].as_py(), (2 * np.log2(1 + total)).astype(np.uint8).tobytes())], schema)])
+
+    out = np.array_split(np.zeros(CELLS, np.uint8), 64)
+    for r in docs.select("text").mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect():
+        out[r["block"]] = np.frombuffer(r["n"], np.uint8)
+    return np.concatenate(out)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of the similarity share one of theirs; of an empty set, 0."""
+    if not len(shingles):
+        return np.zeros(1, _U)
+    most = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, common[(shingles % _U(CELLS)).astype(np.int64)]))[:most]]
+
+
+def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts, by hash, of different roots that share a shingle of their prefixes and may have the similarity.
+
+    Complete: a pair of the similarity holds at least that share of the larger set in common, so the prefixes, taken in one
+    order for all texts, meet. roots: (node, root) of what is linked already.
+    """
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(commonness(docs, width))
+    n = buckets_for(docs, 8 << 20, 2.0)
+    blocks = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("times", pa.binary()), ("rows", pa.binary())])
+    jobs = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+    def emit(batches):
+        for batch in batches:
+            for part in slices(batch):
+                each = [np.unique(text_hashes(t, width)) for t in as_bytes(part.column("text"))]
+                th, root = (np.asarray(part.column(c), dtype=np.int64) for c in ("_qs_th", "root"))
+                # roots are mostly the texts themselves: their differences compress to nothing
+                rows = np.stack((th, th ^ root, np.array([len(x) for x in each], np.int64)), axis=1)
+                first = [prefix(x, similarity, common.value) for x in each]
+                h, row = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
+                order, bound = by_bucket((mix(h) % _U(n)).astype(np.int64), n)
+                out = []
+                for b in np.flatnonzero(np.diff(bound)):
+                    own = order[bound[b] : bound[b + 1]]
+                    which, times = np.unique(row[own], return_counts=True)
+                    out.append((int(b), h[own].tobytes(), times.astype("<u4").tobytes(), rows[which].T.tobytes()))
+                yield table(out, blocks)
+
+    def meet(group: pa.Table) -> pa.Table:
+        hs, parts = [], []
+        for h, times, rows in zip(*(group.column(c).to_pylist() for c in ("h", "times", "rows")), strict=True):
+            hs.append(np.frombuffer(h, _U))
+            parts.append(np.repeat(np.frombuffer(rows, "<i8").reshape(3, -1), np.frombuffer(times, "<u4"), axis=1))
+        h, (th, off, size) = np.concatenate(hs), np.concatenate(parts, axis=1)
+        order = np.lexsort((th, h))
+        h, th, root, size = h[order], th[order], (th ^ off)[order], size[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (th[1:] != th[:-1])))
+        h, th, root, size = h[new], th[new], root[new], size[new]
+        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        several = np.flatnonzero(np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head))
+        ends, seen, out = np.concatenate((head[1:], [len(h)])), set(), []
+        for g in several:
+            own = slice(head[g], ends[g])
+            key = th[own].tobytes()
+            key = xxhash.xxh128_digest(key)
+            if key in seen:  # the same texts share another shingle
+                continue
+            seen.add(key)
+            by = np.argsort(size[own], kind="stable")
+            x = np.stack((th[own][by], root[own][by], size[own][by]))
+            cuts = range(0, x.shape[1], JOB)
+            for i in cuts:
+                for j in cuts:
+                    if j >= i and x[2, min(i + JOB, x.shape[1]) - 1] >= similarity * x[2, j] - 1e-9:
+                        out.append((np.ascontiguousarray(x[:, i : i + JOB]).tobytes(), np.ascontiguousarray(x[:, j : j + JOB]).tobytes()))
+        return pa.Table.from_batches([table(out, jobs)])
+
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pair(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                (a, ra, na), (b, rb, nb) = (np.frombuffer(z, "<i8").reshape(3, -1) for z in (x, y))
+                i, j = np.nonzero((ra[:, None] != rb) & (np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) - 1e-9))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], schema=pairs)
+
+    placed = keyed(docs).join(small_or_shuffled(roots, 16), F.col("_qs_th") == F.col("node"), "left").select("text", "_qs_th", F.coalesce("root", "_qs_th").alias("root"))
+    met = placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, "x binary, y binary")
+    return met.mapInArrow(pair, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
     """(doc_id, _qs_th, keeper): the keeper is the smallest (doc_id, text hash) of a row's group; one row for each distinct key.
 
-    Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. A few changed words move a
-    fingerprint of shingles by more than three bits, so candidates come from fingerprints of the set of words, in several
-    independent tables, each linked by ball hashing; a link counts once its similarity is verified on the whole texts.
+    Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. Candidates come first from
+    fingerprints of the set of words, in several independent tables, each linked by ball hashing: cheap for large groups of
+    copies with replaced words, but neither complete (a passage more or less moves a fingerprint too far) nor more than a
+    star. Then every pair that is not linked yet and shares a shingle of its prefixes is a candidate, which misses none. A
+    link counts once its similarity is verified on the whole texts.
     """
     prints = cut(word_set_fingerprints(docs, tables))
     found = None
@@ -233,7 +342,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
         within = own.join(named, "fp").where("th <> low").select(F.col("low").alias("a"), F.col("th").alias("b"))
         both = across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = cut((both if found is None else both.union(found)).distinct())
-    roots = components(verified(docs, found, width, similarity))
+    edges = cut(verified(docs, found, width, similarity))
+    rest = cut(prefix_pairs(docs, components(edges), width, similarity))
+    if rest.head(1):
+        edges = edges.union(verified(docs, rest, width, similarity))
+    roots = components(edges)
     rows = docs.select("doc_id", F.xxhash64("text").alias("_qs_th")).distinct()
     placed = cut(rows.join(roots, rows["_qs_th"] == roots["node"], "left").select("doc_id", "_qs_th", F.coalesce("root", "_qs_th").alias("root")))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qs_th")).alias("first"))

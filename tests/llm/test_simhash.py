@@ -118,3 +118,24 @@ def test_dedup_of_awkward_rows(awkward, nothing):
     texts = [r.text for r in kept.collect()]
     assert kept.columns == awkward.columns and len(texts) == len({t or "" for t in texts})
     assert simhash.dedup(nothing).collect() == []
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).checkpoint()
+    return {r.doc_id for r in simhash.dedup(df).collect()}
+
+
+def test_truncated_and_extended_copies(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(20_000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(60, 400))] for _ in range(40)]
+    passage = [rng.choice(words) for _ in range(12)]
+    copies = [w[: -(-len(w) * 83 // 100)] for w in base[:15]]
+    copies += [w + [rng.choice(words) for _ in range(len(w) // 6)] for w in base[15:25]]
+    copies += [w[: len(w) // 2] + passage + w[len(w) // 2 :] for w in base[25:32] if len(w) > 150]
+    apart = [w[: len(w) // 2] + passage for w in base[32:]]
+    texts = [" ".join(w) for w in base + copies + apart]
+    sets = [shingles(t) for t in texts]
+    near = [j for j in range(len(base), len(base) + len(copies)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(len(base)))]
+    assert len(near) >= len(copies) - 2
+    assert kept_of(spark, texts) == set(range(len(texts))) - set(near)
