@@ -139,3 +139,13 @@ def test_truncated_and_extended_copies(spark):
     near = [j for j in range(len(base), len(base) + len(copies)) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(len(base)))]
     assert len(near) >= len(copies) - 2
     assert kept_of(spark, texts) == set(range(len(texts))) - set(near)
+
+
+def test_copies_among_other_orders_of_the_same_words(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    orders = [rng.sample(words, 100) for _ in range(6)]
+    texts = [w[:70] + [w[71], w[70]] + w[72:] for w in orders]  # all texts hold the same words
+    texts = [" ".join(w) for w in orders + texts]
+    assert all(len(shingles(texts[i]) & shingles(texts[i + 6])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[i + 6])) for i in range(6))
+    assert kept_of(spark, texts) == set(range(6))
