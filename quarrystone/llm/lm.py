@@ -8,6 +8,10 @@ GROUPS numbers in all, so the network's size is a constant (about 1.3 MB), and s
 embedding table for each place of the window, summed and put through tanh; then a softmax over GROUPS groups of numbers
 and one over the GROUPS numbers of the group. It starts at the token frequencies.
 
+A token beyond the vocabulary is scored as its class and, within the class, by its share of the class's occurrences in all
+documents: log p(class | both sides) + log p(token | class), with exact counts of every token, so that the sum over all
+tokens there are is 1. The counts grow with the input and are sharded, never broadcast.
+
 Training, in numpy on the executors: in each round every partition masks a seeded share of the tokens of each of its
 documents (all documents take part, so what is gathered grows with the input), descends on them by AdaGrad from the shared
 weights, and hands its weights in; these are averaged, weighted by masked tokens, in two steps (by block and salt, then by
@@ -22,12 +26,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, mix, pieces, slices, table
-from .quality import SHAPES, Cached, shape
+from .common import as_bytes, buckets_for, by_bucket, cut, mix, pieces, slices, table
+from .quality import POINT, SHAPES, Cached, shape
 
 WINDOW, WIDTH, GROUPS = 2, 16, 64
 SIZE = GROUPS * GROUPS
@@ -172,8 +177,8 @@ class Network:
                 w -= rate * g / (np.sqrt(s) + 1e-8)
 
 
-def vocabulary(docs: DataFrame) -> tuple[Tokens, np.ndarray]:
-    """The tokens of all documents, and counts by number."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each token occurs in all documents."""
     schema = pa.schema([("w", pa.binary()), ("n", pa.int64())])
 
     def count(batches):
@@ -186,7 +191,12 @@ def vocabulary(docs: DataFrame) -> tuple[Tokens, np.ndarray]:
                             seen[w] = seen.get(w, 0) + 1
                 yield table(seen.items(), schema)
 
-    words = cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    return cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, words: DataFrame | None = None) -> tuple[Tokens, np.ndarray]:
+    """The tokens of all documents, and counts by number."""
+    words = counted(docs) if words is None else words
     by_number = pa.schema([("k", pa.int64()), ("n", pa.int64())])
     top = [(bytes(r["w"]), r["n"]) for r in cut(words.orderBy(F.desc("n"), "w").limit(SIZE - SHAPES - 1)).orderBy(F.desc("n"), "w").collect()]
     tokens = Tokens([w for w, _ in top])
@@ -268,8 +278,105 @@ def score(docs: DataFrame, tokens: Tokens, network: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
 
 
+class Rare(dict):
+    """Token -> -1 for the vocabulary's, else a number from 0 in the order of first occurrence."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__(dict.fromkeys(numbers, -1))
+        self.words: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self.words)
+        self.words.append(w)
+        return n
+
+
+_BLOCK = "shard int, chunk long, kind byte, keys binary, rows binary"
+_PA_BLOCK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("rows", pa.binary())])
+#: Kinds of blocks: the rare tokens of a chunk, the rows of a chunk, sums for rows of a chunk.
+RARE, ROWS, SUMS = range(3)
+
+
+def whole_score(docs: DataFrame, words: DataFrame, tokens: Tokens, counts: np.ndarray, network: Network) -> DataFrame:
+    """doc_id, n_tokens, score: as score(), and for every token beyond the vocabulary log p(token | its class) besides.
+
+    That is its share of its class in the counts of all documents, words. Counts and rare tokens of chunks of rows, both by
+    64-bit hash, are sharded and joined; sums in fixed point go back to the chunk, so that their order doesn't matter.
+    """
+    n = min(buckets_for(docs, 16 << 20, 2.0), 1 << 16)
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat(), counts[: 1 + SHAPES]))
+    shard_of = lambda h: (mix(h) % np.uint64(n)).astype(np.int64)
+    hashes = lambda ws: np.fromiter(map(xxhash.xxh64_intdigest, ws), dtype=np.uint64, count=len(ws))
+
+    def shares(batches):
+        tokens, _, classes = shared.value
+        for batch in batches:
+            own = [(w, k) for w, k in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in tokens.numbers]
+            h = hashes([w for w, _ in own])
+            value = np.log(np.array([k for _, k in own], float) / classes[[1 + shape(w) for w, _ in own]]) if own else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.rint(value * POINT).astype(np.int64))], names=["shard", "h", "v"])
+
+    def emit(batches):
+        tokens, flat, _ = shared.value
+        own, chunk = Network.of_flat(flat), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch):
+                texts = as_bytes(part.column("text"))
+                numbers, at, sizes = tokens.flat(texts)
+                total = np.concatenate(([0.0], np.cumsum(own.log_p(numbers, at))))
+                end = np.cumsum(sizes)
+                ids = part.column("doc_id").cast(pa.int64())
+                rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), sizes, (total[end] - total[end - sizes]).view(np.int64)))
+                out = [(chunk % n, chunk, ROWS, rows.tobytes(), b"")]
+                rare = Rare(tokens.numbers)
+                found = np.concatenate([np.fromiter(map(rare.__getitem__, ws), dtype=np.int64, count=len(ws)) for t in texts for p in pieces(t) for ws in (p.split(),)])
+                row = np.repeat(np.arange(len(texts)), sizes)
+                key, times = np.unique((found * len(texts) + row)[found >= 0], return_counts=True)
+                word, row = np.divmod(key, len(texts))
+                h = hashes(rare.words)
+                order, bound = by_bucket(shard_of(h)[word], n)
+                for b in np.flatnonzero(np.diff(bound)):
+                    pick = order[bound[b] : bound[b + 1]]
+                    which, each = np.unique(word[pick], return_counts=True)
+                    out.append((int(b), chunk, RARE, np.stack((h[which], each.astype(np.uint64))).tobytes(), np.stack((row[pick], times[pick])).astype("<u4").tobytes()))
+                yield table(out, _PA_BLOCK)
+                chunk += 1
+
+    def join(key, known: pa.Table, blocks: pa.Table) -> pa.Table:
+        h, v = np.asarray(known.column("h"), dtype=np.int64).view(np.uint64), np.asarray(known.column("v"), dtype=np.int64)
+        order = np.argsort(h)
+        h, v, out = h[order], v[order], []
+        for shard, chunk, kind, keys, rows in zip(*(blocks.column(c).to_pylist() for c in _PA_BLOCK.names), strict=True):
+            if kind == ROWS:
+                out.append((shard, chunk, ROWS, keys, b""))
+                continue
+            own, each = np.frombuffer(keys, "<u8").reshape(2, -1)
+            row, times = np.frombuffer(rows, "<u4").reshape(2, -1).astype(np.int64)
+            which, inverse = np.unique(row, return_inverse=True)
+            sums = np.zeros(len(which), np.int64)
+            np.add.at(sums, inverse, np.repeat(v[np.searchsorted(h, own)], each.astype(np.int64)) * times)
+            out.append((shard, chunk, SUMS, which.astype("<u4").tobytes(), sums.tobytes()))
+        return pa.Table.from_batches([table(out, _PA_BLOCK)])
+
+    final = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+
+    def gather(group: pa.Table) -> pa.Table:
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("kind", "keys", "rows")), strict=True))
+        ids, null, sizes, base = np.frombuffer(next(k for kind, k, _ in rows if kind == ROWS), "<i8").reshape(4, -1)
+        total = np.zeros(len(ids), np.int64)
+        for kind, k, r in rows:
+            if kind == SUMS:
+                total[np.frombuffer(k, "<u4")] += np.frombuffer(r, "<i8")
+        return pa.table([pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(base.view(np.float64) + total / POINT)], schema=final)
+
+    mine = words.mapInArrow(shares, "shard int, h long, v long")
+    sums = mine.groupBy("shard").cogroup(docs.select("doc_id", "text").mapInArrow(emit, _BLOCK).groupBy("shard")).applyInArrow(join, _BLOCK)
+    return sums.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, score double")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, score, mean_score."""
-    tokens, counts = vocabulary(docs)
-    scored = score(docs, tokens, train(docs, tokens, counts))
+    words = counted(docs)
+    tokens, counts = vocabulary(docs, words)
+    scored = whole_score(docs, words, tokens, counts, train(docs, tokens, counts))
     return scored.select("doc_id", "n_tokens", F.round("score", 3).alias("score"), F.when(F.col("n_tokens") > 0, F.round(F.col("score") / F.col("n_tokens"), 5)).alias("mean_score"))

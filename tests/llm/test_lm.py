@@ -86,3 +86,26 @@ def test_held_out(language):
 
 def test_empty(nothing):
     assert lm.report(nothing).collect() == []
+
+
+def test_rare_tokens_get_their_share_of_the_class(spark, monkeypatch):
+    rng = random.Random(6)
+    common, rare = [f"w{i}" for i in range(lm.SIZE)], ["often", "seldom"]
+    texts = [" ".join(common)] * 4 + ["w1 often w2 often w3"] + ["w1 often w2"] + ["w1 seldom w2"] + [None, "", "w1 Odd! w2"]
+    rng.shuffle(texts)
+    df = cut(spark.createDataFrame([*enumerate(texts), (None, "w1 seldom")], "doc_id long, text string").repartition(3))
+    words = lm.counted(df)
+    tokens, counts = lm.vocabulary(df, words)
+    assert not set(tokens.numbers) & {w.encode() for w in rare}
+    net = lm.Network.start(counts, 3)
+    every = [w for t in [*texts, "w1 seldom"] for w in (t or "").encode().split()]
+    plain = {(r.doc_id, r.n_tokens): r.score for r in lm.score(df, tokens, net).collect()}
+    got = lm.whole_score(df, words, tokens, counts, net).collect()
+    assert len(got) == len(texts) + 1
+    by_id = dict([*enumerate(texts), (None, "w1 seldom")])
+    for r in got:
+        more = sum(math.log(every.count(w) / counts[1 + lm.shape(w)]) for w in (by_id[r.doc_id] or "").encode().split() if w not in tokens.numbers)
+        assert r.score == pytest.approx(plain[r.doc_id, r.n_tokens] + more, rel=1e-5, abs=1e-4)
+    monkeypatch.setattr(lm, "train", lambda *_: net)
+    mean = {by_id[r.doc_id]: r.score for r in lm.report(df).collect()}
+    assert mean["w1 often w2"] > mean["w1 seldom w2"] + 0.4
