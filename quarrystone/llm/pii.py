@@ -2,7 +2,7 @@
 
 Detection works on whole texts: e-mail and IPv4 addresses, phone, card (Luhn), social security and bank account (mod 97)
 numbers, secrets (cloud keys, assigned passwords and tokens), and names (after a title, or a known given name with a
-following name). An occurrence is reduced to a type and a normal form (digits of a number, lower-cased e-mail, one name
+following name; then its parts wherever they stand in the text). A number next to other digits is found in whole groups. An occurrence is reduced to a type and a normal form (digits of a number, lower-cased e-mail, one name
 part), so that differently written mentions of one entity share a surrogate: coreference.
 
 Surrogates come from HMAC-SHA256 under the caller's key over type, normal form and attempt, and keep what the type asks
@@ -52,14 +52,20 @@ ENTITY = re.compile(
        |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?)(?P<value>[A-Za-z0-9+/_.~-]{{6,}}))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?!\.?\d))
-    |(?P<card>(?<![\d+])\d(?:[ -]?\d){{12,18}}(?![ -]?\d))
+    |(?P<card>(?<![\d+])\d(?:[ -]?\d){{12,18}}(?!\d))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}(?!\d)|(?<![\w-])(?:\(\d{{3}}\)\ ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\d-]))
     |(?P<name>\b(?:(?P<title>{_TITLE})(?:\.\ ?|\ )(?P<titled>{_CAP}(?:\ {_CAP})?)|(?P<first>{_NAME})\ (?P<last>{_CAP}))(?!\w))""",
     re.X,
 )
+KINDS = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
+_LINES = ENTITY.pattern.split("\n    |")
+#: Each number's pattern alone, to try where the first that matched isn't valid.
+ALONE = {k: re.compile(x, re.X) for k in KINDS[2:7] for x in _LINES if x.lstrip().startswith(f"(?P<{k}>")}
+_GAP = re.compile(r"[ .-]")
+_WORD = re.compile(_CAP + r"(?!\w)")
 #: A text without any of these has no entity; cheaper than the search itself.
-_HINT = re.compile(rf"[\d@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:{_TITLE})[. ]|\b(?:{_NAME})\ ")
+_HINT = re.compile(rf"[\d@]|A[KS]IA[A-Z]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:{_TITLE})[. ]|\b(?:{_NAME})\ ")
 _DIGIT = re.compile(r"\d")
 
 
@@ -75,34 +81,70 @@ def script(word: str) -> str:
     return unicodedata.name(word[0], "LATIN").split(" ")[0]
 
 
+def _valid(kind: str, s: str) -> bool:
+    digits = "".join(_DIGIT.findall(s))
+    if kind == "iban":
+        return _mod97(s.replace(" ", "")) == 1
+    if kind == "ip":
+        return all(int(x) < 256 for x in s.split("."))
+    if kind == "card":
+        return luhn(digits) and bool(digits.strip("0"))
+    return kind != "phone" or 9 <= len(digits) <= 15
+
+
+def _end(kind: str, text: str, start: int) -> int:
+    """Where a valid number of this kind that starts here ends, or 0: a group of digits is whole or not part of it.
+
+    It is the longest run of groups that is valid, but a run ends where another valid entity follows within the match.
+    """
+    found = ALONE[kind].match(text, start)
+    if not found:
+        return 0
+    if kind in ("ip", "ssn"):
+        return found.end() if _valid(kind, found.group()) else 0
+    ends = [start + g.start() for g in _GAP.finditer(found.group())]
+    good = [e for e in [*ends, found.end()] if _valid(kind, text[start:e]) and ALONE[kind].fullmatch(text, start, e)]
+    for e in good[:-1] if kind != "iban" else ():
+        if any((x := ALONE[k].match(text, e + 1)) and _valid(k, x.group()) for k in ("ip", "card", "ssn", "phone")):
+            return e
+    return good[-1] if good else 0
+
+
+def _matches(text: str) -> Iterator[tuple[str, re.Match, int]]:
+    """(kind, match, end) of each valid entity; where a number isn't valid the other kinds are tried, then the next character."""
+    at = 0
+    while m := ENTITY.search(text, at):
+        kind, end = next(k for k in KINDS if m.group(k) is not None), m.end()
+        if kind in ALONE:
+            kind, end = next(((k, e) for k in [kind, *(k for k in ALONE if k != kind)] if (e := _end(k, text, m.start()))), (kind, 0))
+        if end:
+            yield kind, m, end
+        at = end or m.start() + 1
+
+
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of each entity, left to right; a name gives one for each of its parts."""
     if not _HINT.search(text):
         return
-    for m in ENTITY.finditer(text):
-        kind, s = m.lastgroup, m.group()
-        kind = next(k for k in ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name") if m.group(k) is not None)
+    found = []
+    names: dict[str, str] = {}
+    for kind, m, end in _matches(text):
+        s = text[m.start() : end]
         digits = "".join(_DIGIT.findall(s))
         if kind == "email":
-            yield m.start(), m.end(), kind, s.lower()
+            found.append((m.start(), end, kind, s.lower()))
         elif kind == "secret":
             a, b = m.span("value") if m.group("value") else m.span()
-            yield a, b, kind, text[a:b]
+            found.append((a, b, kind, text[a:b]))
         elif kind == "iban":
-            if _mod97(s.replace(" ", "")) == 1:
-                yield m.start(), m.end(), kind, s.replace(" ", "")
+            found.append((m.start(), end, kind, s.replace(" ", "")))
         elif kind == "ip":
-            if all(int(x) < 256 for x in s.split(".")):
-                yield m.start(), m.end(), kind, ".".join(str(int(x)) for x in s.split("."))
-        elif kind == "card":
-            if luhn(digits) and digits.strip("0"):
-                yield m.start(), m.end(), kind, digits
-        elif kind == "ssn":
-            yield m.start(), m.end(), kind, digits
+            found.append((m.start(), end, kind, ".".join(str(int(x)) for x in s.split("."))))
+        elif kind in ("card", "ssn"):
+            found.append((m.start(), end, kind, digits))
         elif kind == "phone":
-            if 9 <= len(digits) <= 15:
-                # a national number and the same with country code 1 are one entity
-                yield m.start(), m.end(), kind, digits[1:] if s[0] == "+" and digits[0] == "1" and len(digits) == 11 else digits if s[0] != "+" else "+" + digits
+            # a national number and the same with country code 1 are one entity
+            found.append((m.start(), end, kind, digits[1:] if s[0] == "+" and digits[0] == "1" and len(digits) == 11 else digits if s[0] != "+" else "+" + digits))
         else:
             if m.group("title"):
                 at, parts, gender = m.start("titled"), m.group("titled").split(" "), _TITLE_GENDER[m.group("title")]
@@ -110,8 +152,20 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
                 at, parts, gender = m.start("first"), [m.group("first"), m.group("last")], _GENDER[m.group("first")]
             for i, part in enumerate(parts):
                 given = i == 0 and len(parts) == 2
-                yield at, at + len(part), f"given_{_GENDER.get(part, gender)}" if given else "family", part
+                found.append((at, at + len(part), f"given_{_GENDER.get(part, gender)}" if given else "family", part))
+                names.setdefault(part, found[-1][2])
                 at += len(part) + 1
+    if names:  # a part of a name that stands alone elsewhere in the text is the same person's
+        taken = iter([*found, (len(text), len(text), "", "")])
+        a, b, *_ = next(taken)
+        more = []
+        for w in _WORD.finditer(text):
+            while b <= w.start():
+                a, b, *_ = next(taken)
+            if w.end() <= a and w.group() in names:
+                more.append((w.start(), w.end(), names[w.group()], w.group()))
+        found = sorted(found + more)
+    yield from found
 
 
 class Stream:
