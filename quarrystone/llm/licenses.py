@@ -10,7 +10,8 @@ templates, whose number is fixed in this module, so they are broadcast. The runs
 word i and template word j votes for diagonal i - j; votes are summed by text, template and diagonal before any shuffle.
 Diagonals of one template that lie at most SLACK apart are merged, since an inserted or deleted word moves the rest to a
 neighbouring diagonal. A merged span is verified: it must cover at least COVER of the template's runs within at most
-STRETCH times the template's length. The label of a verified template is added; a general notice that lies within a
+STRETCH times the template's length. Copies of a short template in a row have diagonals as near as that too, so every run
+of diagonals that starts at one of them and is at most SLACK wide is verified as well as the merged span. The label of a verified template is added; a general notice that lies within a
 longer match of the same family is one more label, not a contradiction.
 
 Null texts are empty, without words; an empty table gives an empty result; repeated rows give equal rows. A text that
@@ -105,6 +106,10 @@ def matches(docs: DataFrame) -> DataFrame:
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"), F.lit(1))
     merged = votes.withColumn("apart", apart).withColumn("group", F.sum("apart").over(order))
     spans = merged.groupBy("doc_id", "_qs_th", "template", "label", "runs", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + K).alias("last"))
+    # copies of a short template in a row merge into one span that is too long: each diagonal with its next ones is a span too
+    near = [order.rangeBetween(0, w) for w in range(SLACK + 1)]
+    some = merged.withColumn("near", F.array(*[F.struct(F.sum("votes").over(o).alias("votes"), F.min("first").over(o).alias("first"), (F.max("last").over(o) + K).alias("last")) for o in near]))
+    spans = spans.unionByName(some.select(*spans.columns[:-3], F.inline("near")))
     spans = spans.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("runs")))
     return spans.where((F.col("cover") >= COVER) & (F.col("last") - F.col("first") <= STRETCH * (F.col("runs") + K - 1)))
 

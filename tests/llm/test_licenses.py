@@ -70,3 +70,14 @@ def test_scan(spark, awkward, nothing):
 def test_no_python(awkward):
     plan = lic.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Cartesian" not in plan
+
+
+def test_short_notices_in_a_row(spark):
+    short = [(label, x) for label, texts in lic.TEMPLATES.items() for x in texts if len(split(x)) <= 12]
+    rows = [(100 * k + i, " ".join([x] * k)) for i, (_, x) in enumerate(short) for k in (1, 2, 3, 40)]
+    rows += [(9000, "Licensed under CC BY 4.0. " * 2 + "word " * 20 + "Licensed under CC BY 4.0.")]
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string").checkpoint()).collect()}
+    for i, (label, _) in enumerate(short):
+        for k in (1, 2, 3, 40):
+            assert label in got[100 * k + i].labels.split(",") and got[100 * k + i].score == 1.0, (label, k)
+    assert got[9000].labels == "cc-by,cc-by-4.0"
