@@ -42,7 +42,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with how many of its words the mix takes, repeats counted."""
+    """Every row with how many of its words the mix takes, repeats counted: taken / size is its repeat factor, 0 leaves it out."""
     return mixing.mix(docs)
 
 
