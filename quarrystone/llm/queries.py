@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": sql.OP3_SUBSTRING, "op7_decontaminate": sql.OP7_DECONTAMINATE}
+    return {"op3_substring": sql.OP3_SUBSTRING, "op7_decontaminate": sql.OP7_DECONTAMINATE, "op8_licenses": sql.OP8_LICENSES}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the whole results of the operators that SQL can express."""
 
+from . import licenses
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -25,3 +27,27 @@ WITH w AS (SELECT doc_id, {_ALNUM} AS a FROM documents),
 SELECT w.doc_id, len(w.a)::BIGINT AS n_words, coalesce(n.n_hit, 0)::BIGINT AS n_hit, coalesce(m.n_items, 0)::BIGINT AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
  FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_TEMPLATES = ", ".join(f"({i}, {_QUOTED(label)}, {_QUOTED(text)})" for i, (label, text) in enumerate((k, t) for k, ts in licenses.TEMPLATES.items() for t in ts))
+_PHRASES = ", ".join(f"({_QUOTED(label)}, string_split({_QUOTED(p)}, ' '))" for p, label in licenses.PHRASES.items())
+
+#: Spans are the groups of diagonals with gaps of 6 at most, and for each diagonal those up to 0, 1, ... 6 beyond it.
+OP8_LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS w FROM documents),
+ p(label, ws) AS (VALUES {_PHRASES}),
+ b AS (SELECT rid, label, i FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM d) x JOIN p ON w[i + 1:i + len(ws)] = ws),
+ base AS (SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY rid),
+ t(template, label, text) AS (VALUES {_TEMPLATES}),
+ tw AS (SELECT template, label, {_ALNUM} AS w FROM t),
+ tr AS (SELECT template, label, len(w) - 3 AS runs, j, w[j + 1:j + 4] AS run FROM (SELECT template, label, w, unnest(range(0, len(w) - 3)) AS j FROM tw) x),
+ dr AS (SELECT rid, i, w[i + 1:i + 4] AS run FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - 3, 0))) AS i FROM d) x),
+ h AS (SELECT rid, template, label, runs, i - j AS g, i, j FROM dr JOIN tr ON dr.run = tr.run),
+ g AS (SELECT rid, template, g, sum(new) OVER (PARTITION BY rid, template ORDER BY g) AS part FROM (SELECT rid, template, g, CASE WHEN g - lag(g) OVER (PARTITION BY rid, template ORDER BY g) <= 6 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT rid, template, g FROM h) x) y),
+ s AS (SELECT rid, template, 'group ' || part AS span, g FROM g UNION ALL SELECT a.rid, a.template, 'near ' || a.g || ' ' || k AS span, c.g FROM g a, range(0, 7) n(k), g c WHERE c.rid = a.rid AND c.template = a.template AND c.g BETWEEN a.g AND a.g + k),
+ m AS (SELECT h.rid, label, count(DISTINCT j) / runs::DOUBLE AS cover FROM s JOIN h ON h.rid = s.rid AND h.template = s.template AND h.g = s.g GROUP BY h.rid, h.template, label, runs, span HAVING count(DISTINCT j) / runs::DOUBLE >= 0.6 AND max(i) + 4 - min(i) <= 1.5 * (runs + 3)),
+ more AS (SELECT rid, list(DISTINCT label) AS labels, max(cover) AS cover FROM m GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels, greatest(coalesce(cover, 0), CASE WHEN n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+ FROM d LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)
+"""

@@ -14,4 +14,4 @@ def test_query_agrees_with_sql(spark, name):
     columns = [d[0] for d in cur.description]
     df = queries.queries()[name](spark, DATA)
     assert sorted(df.columns) == sorted(columns)
-    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(map(tuple, cur.fetchall()))
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, cur.fetchall()))
