@@ -36,10 +36,13 @@ _U = np.uint64
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; make one only where none is set."""
+    """Use the folder that the cluster names in spark.checkpoint.dir. Only a local session may have one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def release(spark: SparkSession) -> None:
@@ -161,10 +164,13 @@ def unpack_gaps(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by bucket and the n + 1 bounds of the buckets in it."""
-    small = bucket.astype(np.uint16) if n <= 1 << 16 else bucket
-    return np.argsort(small, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
+def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket, of 0 to n - 1, that there is, and its places in ascending order. The cost doesn't grow with n."""
+    order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
+    s = bucket[order]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
+    for k, a, b in zip(s[head].tolist(), head.tolist(), [*head[1:].tolist(), len(s)], strict=True):
+        yield k, order[a:b]
 
 
 def table(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -15,7 +15,11 @@ Links: fingerprints at distance 1 to 3 meet at a variant between them, and only
   distance. A group holds at most 1 + 64 + 992 distinct fingerprints, so none is large, and no pairs within it are
   listed.
 
-Equal fingerprints are one node, whatever their number. Variants are shuffled as packed blocks, 8 bytes each.
+Equal fingerprints are one node, whatever their number. Variants are shuffled as packed blocks, of about 6 bytes each.
+
+Two passes: fingerprints that are close to many others list their links again at every variant they share. So the first pass
+emits one-step variants only, 65 at most, which link all at 1 or 2 bits; the second emits all, carries what the first has
+linked, and lists a link only where it joins two components, once a bucket.
 """
 
 from __future__ import annotations
@@ -37,15 +41,16 @@ ONE = _U(1) << np.arange(64, dtype=_U)
 TWO = np.array([ONE[a] | ONE[b] for half in (range(32), range(32, 64)) for a, b in combinations(half, 2)], dtype=_U)
 #: What each parity flips.
 MASKS = (np.concatenate((np.zeros(1, _U), ONE, TWO)), ONE)
-ALL_MASKS = np.concatenate(MASKS)
+#: The same for fingerprints at 1 or 2 bits.
+ONE_STEP = (np.concatenate((np.zeros(1, _U), ONE)), ONE)
 #: Fingerprints whose variants a task emits, about.
 NODES = 4096
 #: Variants in a bucket, about.
 BUCKET = 1 << 20
+#: Rows of groups of texts that a task compares at once, about.
+GROUPED = 1 << 16
 #: Cells in which shingles are counted, to tell common from rare ones.
 CELLS = 1 << 22
-#: Texts of a large group that are paired at once with as many others.
-JOB = 512
 #: Per byte value, its bits as counters of 8 bits.
 _SPREAD = np.array([sum(1 << 8 * i for i in range(8) if b >> i & 1) for b in range(256)], dtype=_U)
 
@@ -101,64 +106,106 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, _qs_th long, fp long")
 
 
-def _blocks(fps: np.ndarray, n: int):
-    """(bucket, x, counts by mask) of the variants of fps: one row for each bucket."""
-    odd = np.bitwise_count(fps) & 1
-    xs, zs, flips = [], [], []
-    for parity, first in ((0, 0), (1, len(MASKS[0]))):
-        x, masks = fps[odd == parity], MASKS[parity]
-        zs.append((masks[:, None] ^ x[None, :]).ravel())
-        xs.append(np.tile(x, len(masks)))
-        flips.append(np.repeat(np.arange(first, first + len(masks), dtype=np.int32), len(x)))
-    x, flip = np.concatenate(xs), np.concatenate(flips)
-    order, bound = by_bucket((mix(np.concatenate(zs)) % _U(n)).astype(np.int64), n)
-    x, flip = x[order], flip[order]
-    for b in np.flatnonzero(np.diff(bound)):
-        own = slice(bound[b], bound[b + 1])
-        yield int(b), x[own].tobytes(), np.bincount(flip[own], minlength=len(ALL_MASKS)).astype("<u4").tobytes()
+_BLOCK = "bucket long, x binary, id binary, comp binary, at binary, counts binary"
+_PA_BLOCK = pa.schema([("bucket", pa.int64()), ("x", pa.binary()), ("id", pa.binary()), ("comp", pa.binary()), ("at", pa.binary()), ("counts", pa.binary())])
+
+
+def _blocks(t: int, x: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: int, masks: tuple[np.ndarray, np.ndarray]):
+    """The variants of fingerprints x of table t, 65,536 of them at most: one row for each bucket.
+
+    A row has the fingerprints that it is about with their ids and components, then by mask the places of those whose
+    variants by this mask are in the bucket, and how many each mask has.
+    """
+    odd = np.bitwise_count(x) & 1
+    zs, ats, flips = [], [], []
+    for parity, first in ((0, 0), (1, len(masks[0]))):
+        at = np.flatnonzero(odd == parity)
+        zs.append((masks[parity][:, None] ^ x[at][None, :]).ravel())
+        ats.append(np.tile(at, len(masks[parity])))
+        flips.append(np.repeat(np.arange(first, first + len(masks[parity]), dtype=np.int32), len(at)))
+    at, flip = np.concatenate(ats), np.concatenate(flips)
+    every = sum(map(len, masks))
+    for b, own in by_bucket((mix(np.concatenate(zs)) % _U(n)).astype(np.int64), n):
+        used, place = np.unique(at[own], return_inverse=True)
+        other = b"" if ids is comps else comps[used].tobytes()
+        yield t * n + b, x[used].tobytes(), ids[used].tobytes(), other, place.astype("<u2").tobytes(), np.bincount(flip[own], minlength=every).astype("<u4").tobytes()
 
 
 def star_links(z: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """(centre, member) rows for each variant in z that several fingerprints x share."""
+    """Places (centre, member) for each variant in z that several fingerprints x share."""
     # the centre comes first in its group: an odd fingerprint next to an even variant, or the nearest
     order = np.lexsort((np.bitwise_count(x ^ z), 1 - (np.bitwise_count(x) & 1), z))
     z, x = z[order], x[order]
     head = np.concatenate(([True], z[1:] != z[:-1]))
-    centre = x[np.maximum.accumulate(np.where(head, np.arange(len(z)), 0))]
-    keep = ~head & (np.bitwise_count(centre ^ x) <= 3) & (centre != x)
-    return np.stack((centre[keep], x[keep]), axis=1)
+    centre = np.maximum.accumulate(np.where(head, np.arange(len(z)), 0))
+    keep = ~head & (np.bitwise_count(x[centre] ^ x) <= 3) & (x[centre] != x)
+    return np.stack((order[centre[keep]], order[keep]), axis=1)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough to connect all that are at 3 bits or fewer."""
+def meetings(nodes: DataFrame, masks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(a, b): ids of fingerprints of one table that meet at a variant and are at 3 bits or fewer, in different components.
+
+    nodes: (t, fp, id, comp), distinct (t, fp). One link for each pair of components and bucket.
+    """
     spark = nodes.sparkSession
     count = nodes.count()
-    n = int(min(max(2 * shuffle_partitions(spark), count * 560 // BUCKET), 1 << 20))
-    blocks = pa.schema([("bucket", pa.int32()), ("x", pa.binary()), ("counts", pa.binary())])
+    tables = (nodes.agg(F.max("t")).first()[0] or 0) + 1
+    each = sum(map(len, masks)) // 2
+    n = max(2 * shuffle_partitions(spark) // tables, 1, count // tables * each // BUCKET)
+    every = np.concatenate(masks)
 
     def emit(batches):
         for batch in batches:
-            fps = np.asarray(batch.column("fp"), dtype=np.int64).view(_U)
-            for at in range(0, len(fps), 2 * NODES):
-                yield table(_blocks(fps[at : at + 2 * NODES], n), blocks)
+            t, fp, ids, comps = (np.asarray(batch.column(c), dtype=np.int64) for c in ("t", "fp", "id", "comp"))
+            for k in np.unique(t).tolist():
+                own = np.flatnonzero(t == k)
+                for at in range(0, len(own), 2 * NODES):
+                    pick = own[at : at + 2 * NODES]
+                    label = ids[pick]
+                    yield table(_blocks(k, fp[pick].view(_U), label, label if (comps[pick] == label).all() else comps[pick], n, masks), _PA_BLOCK)
 
     def meet(group: pa.Table) -> pa.Table:
-        zs, xs = [], []
-        for x, counts in zip(group.column("x").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            xs.append(np.frombuffer(x, dtype=_U))
-            zs.append(xs[-1] ^ np.repeat(ALL_MASKS, np.frombuffer(counts, "<u4")))
-        z, x = np.concatenate(zs), np.concatenate(xs)
+        zs, xs, labels, comps = [], [], [], []
+        for x, i, c, at, counts in zip(*(group.column(k).to_pylist() for k in ("x", "id", "comp", "at", "counts")), strict=True):
+            at = np.frombuffer(at, "<u2")
+            x, i = np.frombuffer(x, _U), np.frombuffer(i, "<i8")
+            xs.append(x[at])
+            labels.append(i[at])
+            comps.append((np.frombuffer(c, "<i8") if c else i)[at])
+            zs.append(xs[-1] ^ np.repeat(every, np.frombuffer(counts, "<u4")))
+        z, x, label, comp = (np.concatenate(v) for v in (zs, xs, labels, comps))
         order = np.argsort(z)  # most variants are of one fingerprint alone: those go first
         s = z[order]
         same = s[1:] == s[:-1]
         shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-        found = star_links(z[shared], x[shared]) if len(shared) else np.empty((0, 2), _U)
-        found = np.unique(found.view(np.int64), axis=0) if len(found) else found.view(np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+        pair = shared[star_links(z[shared], x[shared])] if len(shared) else np.empty((0, 2), np.int64)
+        pair = pair[comp[pair[:, 0]] != comp[pair[:, 1]]]
+        ends = np.sort(comp[pair], axis=1)
+        _, first = np.unique(ends, axis=0, return_index=True) if len(ends) else (None, np.empty(0, np.int64))
+        found = label[pair[first]]
+        return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
+
+    # blocks are tasks times buckets: a task has enough fingerprints, of one table, for blocks worth their number
+    dealt = nodes.repartitionByRange(-(-count // NODES) or 1, "t", "fp").select("t", "fp", "id", "comp")
+    return dealt.mapInArrow(emit, _BLOCK).groupBy("bucket").applyInArrow(meet, "a long, b long")
 
-    # blocks are tasks times buckets: a task has enough fingerprints for blocks worth their number
-    dealt = nodes.repartition(-(-count // NODES) or 1)
-    return dealt.mapInArrow(emit, "bucket int, x binary, counts binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+def near(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of one-step variants, which join all fingerprints of a table at 1 or 2 bits. nodes: (t, fp, id)."""
+    return meetings(nodes.select("t", "fp", "id", F.col("id").alias("comp")), ONE_STEP)
+
+
+def far(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links that join what is at 3 bits or fewer and not in one component (node, root) yet."""
+    placed = nodes.join(roots, nodes["id"] == roots["node"], "left").select("t", "fp", "id", F.coalesce("root", "id").alias("comp"))
+    return meetings(cut(placed), MASKS)
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints fp, enough to connect all that are at 3 bits or fewer."""
+    named = cut(nodes.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("id")))
+    first = cut(near(named).distinct())
+    return first.union(far(named, components(first))).distinct()
 
 
 def groups(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -175,13 +222,20 @@ def groups(docs: DataFrame, width: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "_qs_th", "fp", "component_id")
 
 
+def distinct_texts(part: pa.RecordBatch) -> pa.RecordBatch:
+    """The first row of each text hash of a chunk: many copies cost what one does."""
+    th = np.asarray(part.column("_qs_th"), dtype=np.int64)
+    _, first = np.unique(th, return_index=True)
+    return part if len(first) == len(th) else part.take(pa.array(np.sort(first)))
+
+
 def word_set_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
     """(th, fps): for each distinct text, `tables` independent fingerprints of its set of words."""
     schema = pa.schema([("th", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in map(distinct_texts, slices(batch)):
                 each = [np.unique(text_hashes(t, 1)) for t in as_bytes(part.column("text"))]
                 counts = np.array([len(h) for h in each], dtype=np.int64)
                 every = np.concatenate(each)
@@ -228,8 +282,9 @@ def commonness(docs: DataFrame, width: int) -> np.ndarray:
         own = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                for t in as_bytes(part.column("text")):
-                    np.add.at(own, (text_hashes(t, width) % _U(CELLS)).astype(np.int64), 1)
+                every = np.concatenate([text_hashes(t, width) for t in as_bytes(part.column("text"))])
+                cell, n = np.unique((every % _U(CELLS)).astype(np.int64), return_counts=True)
+                own[cell] += n.astype(np.uint32)
         yield table([(b, x.tobytes()) for b, x in enumerate(np.array_split(np.minimum(own, 255).astype(np.uint8), 64)) if x.any()], schema)
 
     def add(group: pa.Table) -> pa.Table:
@@ -250,8 +305,23 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.nd
     return shingles[np.lexsort((shingles, common[(shingles % _U(CELLS)).astype(np.int64)]))[:most]]
 
 
-def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts, by hash, of different roots that share a shingle of their prefixes and may have the similarity.
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set four longs: for each of 256 cells, whether an odd number of its shingles fall there.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits.
+    """
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    cell = (mix(np.concatenate([np.empty(0, _U), *sets])) >> _U(56)).astype(np.int64)
+    odd = np.bincount(row * 256 + cell, minlength=256 * len(sets)) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view("<i8")
+
+
+_BITS = ["b0", "b1", "b2", "b3"]
+_MEMBERS = "g long, th long, size long, b0 long, b1 long, b2 long, b3 long"
+
+
+def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(g, th, size, bitmaps): the texts, by hash, of each group that shares a shingle of its prefixes and has several roots.
 
     Complete: a pair of the similarity holds at least that share of the larger set in common, so the prefixes, taken in one
     order for all texts, meet. roots: (node, root) of what is linked already.
@@ -260,100 +330,123 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, similarity: floa
     common = spark.sparkContext.broadcast(commonness(docs, width))
     n = buckets_for(docs, 8 << 20, 2.0)
     blocks = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("times", pa.binary()), ("rows", pa.binary())])
-    jobs = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
     def emit(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in map(distinct_texts, slices(batch)):
                 each = [np.unique(text_hashes(t, width)) for t in as_bytes(part.column("text"))]
                 th, root = (np.asarray(part.column(c), dtype=np.int64) for c in ("_qs_th", "root"))
                 # roots are mostly the texts themselves: their differences compress to nothing
-                rows = np.stack((th, th ^ root, np.array([len(x) for x in each], np.int64)), axis=1)
+                rows = np.column_stack((th, th ^ root, np.array([len(x) for x in each], np.int64), bitmaps(each)))
                 first = [prefix(x, similarity, common.value) for x in each]
                 h, row = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
-                order, bound = by_bucket((mix(h) % _U(n)).astype(np.int64), n)
                 out = []
-                for b in np.flatnonzero(np.diff(bound)):
-                    own = order[bound[b] : bound[b + 1]]
+                for b, own in by_bucket((mix(h) % _U(n)).astype(np.int64), n):
                     which, times = np.unique(row[own], return_counts=True)
-                    out.append((int(b), h[own].tobytes(), times.astype("<u4").tobytes(), rows[which].T.tobytes()))
+                    out.append((b, h[own].tobytes(), times.astype("<u4").tobytes(), rows[which].T.tobytes()))
                 yield table(out, blocks)
 
     def meet(group: pa.Table) -> pa.Table:
         hs, parts = [], []
         for h, times, rows in zip(*(group.column(c).to_pylist() for c in ("h", "times", "rows")), strict=True):
             hs.append(np.frombuffer(h, _U))
-            parts.append(np.repeat(np.frombuffer(rows, "<i8").reshape(3, -1), np.frombuffer(times, "<u4"), axis=1))
-        h, (th, off, size) = np.concatenate(hs), np.concatenate(parts, axis=1)
-        order = np.lexsort((th, h))
-        h, th, root, size = h[order], th[order], (th ^ off)[order], size[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (th[1:] != th[:-1])))
-        h, th, root, size = h[new], th[new], root[new], size[new]
+            parts.append(np.repeat(np.frombuffer(rows, "<i8").reshape(7, -1), np.frombuffer(times, "<u4"), axis=1))
+        h, rows = np.concatenate(hs), np.concatenate(parts, axis=1)
+        order = np.lexsort((rows[0], h))
+        h, rows = h[order], rows[:, order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[0, 1:] != rows[0, :-1])))
+        h, (th, off, size, *bits) = h[new], rows[:, new]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.flatnonzero(np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head))
-        ends, seen, out = np.concatenate((head[1:], [len(h)])), set(), []
+        several = np.flatnonzero(np.minimum.reduceat(th ^ off, head) != np.maximum.reduceat(th ^ off, head))
+        ends, seen, pick, numbers = np.concatenate((head[1:], [len(h)])), set(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for g in several:
-            own = slice(head[g], ends[g])
-            key = th[own].tobytes()
-            key = xxhash.xxh128_digest(key)
-            if key in seen:  # the same texts share another shingle
-                continue
-            seen.add(key)
-            by = np.argsort(size[own], kind="stable")
-            x = np.stack((th[own][by], root[own][by], size[own][by]))
-            cuts = range(0, x.shape[1], JOB)
-            for i in cuts:
-                for j in cuts:
-                    if j >= i and x[2, min(i + JOB, x.shape[1]) - 1] >= similarity * x[2, j] - 1e-9:
-                        out.append((np.ascontiguousarray(x[:, i : i + JOB]).tobytes(), np.ascontiguousarray(x[:, j : j + JOB]).tobytes()))
-        return pa.Table.from_batches([table(out, jobs)])
+            key = xxhash.xxh128_digest(th[head[g] : ends[g]].tobytes())
+            if key not in seen:  # else the same texts share another shingle
+                seen.add(key)
+                pick.append(np.arange(head[g], ends[g]))
+                numbers.append(np.full(len(pick[-1]), h[head[g]].view(np.int64)))
+        pick = np.concatenate(pick)
+        return pa.table([np.concatenate(numbers), th[pick], size[pick], *(b[pick] for b in bits)], names=["g", "th", "size", *_BITS])
 
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    placed = keyed(docs).join(small_or_shuffled(roots, 16), F.col("_qs_th") == F.col("node"), "left").select("text", "_qs_th", F.coalesce("root", "_qs_th").alias("root"))
+    return placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, _MEMBERS)
 
-    def pair(batches):
-        for batch in batches:
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                (a, ra, na), (b, rb, nb) = (np.frombuffer(z, "<i8").reshape(3, -1) for z in (x, y))
-                i, j = np.nonzero((ra[:, None] != rb) & (np.minimum(na[:, None], nb) >= similarity * np.maximum(na[:, None], nb) - 1e-9))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], schema=pairs)
 
-    placed = keyed(docs).join(small_or_shuffled(roots, 16), F.col("_qs_th") == F.col("node"), "left").select("text", "_qs_th", F.coalesce("root", "_qs_th").alias("root"))
-    met = placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, "x binary, y binary")
-    return met.mapInArrow(pair, "a long, b long").distinct()
+def prefix_pairs(groups: DataFrame, roots: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b): texts of a group, of different roots, whose sizes and bitmaps allow the similarity.
+
+    forest: of those only so many that they join all that the others join, at most one less than a group has texts. A large
+    group of copies is joined by them without a list of its pairs.
+    """
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        g, th, size, root, *bits = (np.asarray(group.column(c), dtype=np.int64) for c in ("g", "th", "size", "root", *_BITS))
+        order = np.lexsort((th, size, g))
+        g, th, size, root, bits = g[order], th[order], size[order], root[order], np.stack(bits, axis=1)[order].view(_U)
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        out = [np.empty((0, 2), np.int64)]
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(g)], strict=True):
+            out += _allowed(th[a:b], size[a:b], root[a:b], bits[a:b], similarity, forest)
+        return pa.Table.from_arrays(list(map(pa.array, np.concatenate(out).T)), schema=pairs)
+
+    placed = groups.join(roots, groups["th"] == roots["node"], "left").select("g", "th", "size", *_BITS, F.coalesce("root", "th").alias("root"))
+    several = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+    # most groups have a few texts: thousands are handled at once
+    n = max(2 * shuffle_partitions(groups.sparkSession), groups.count() // GROUPED)
+    dealt = placed.join(several, "g", "left_semi").withColumn("_qs_n", F.pmod(F.xxhash64("g"), F.lit(n)))
+    return dealt.groupBy("_qs_n").applyInArrow(run, "a long, b long").distinct()
+
+
+def _allowed(th: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float, forest: bool) -> list[np.ndarray]:
+    """prefix_pairs of one group, its texts by ascending size."""
+    # of sizes m <= n and the similarity s, at least s * n are common: m >= s * n, and (m + n) * (1 - s) / (1 + s) differ
+    low = np.searchsorted(size, similarity * size - 1e-9)
+    joined, out = root.copy(), []
+    for i in range(1, len(th)):
+        smaller = slice(low[i], i)
+        apart = np.bitwise_count(bits[smaller] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        j = np.flatnonzero((joined[smaller] != joined[i]) & (apart <= (size[smaller] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-9))
+        if forest and len(j):
+            j = j[np.argsort(apart[j], kind="stable")]
+            others, first = np.unique(joined[low[i] + j], return_index=True)  # the nearest of each
+            j = j[first]
+            joined[np.isin(joined, others)] = joined[i]
+        if len(j):
+            j += low[i]
+            out.append(np.stack((np.minimum(th[j], th[i]), np.maximum(th[j], th[i])), axis=1))
+    return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 2) -> DataFrame:
     """(doc_id, _qs_th, keeper): the keeper is the smallest (doc_id, text hash) of a row's group; one row for each distinct key.
 
     Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. Candidates come first from
-    fingerprints of the set of words, in several independent tables, each linked by ball hashing: cheap for large groups of
-    copies with replaced words, but neither complete (a passage more or less moves a fingerprint too far) nor more than a
-    star. Then every pair that is not linked yet and shares a shingle of its prefixes is a candidate, which misses none. A
-    link counts once its similarity is verified on the whole texts.
+    fingerprints of the set of words, in several independent tables that are linked by ball hashing in one shuffle: cheap for
+    large groups of copies with replaced words, but neither complete (a passage more or less moves a fingerprint too far) nor
+    more than a star. Then every pair that is not linked yet, shares a shingle of its prefixes and whose bitmaps allow it is a
+    candidate, which misses none. A link counts once its similarity is verified on the whole texts.
     """
     prints = cut(word_set_fingerprints(docs, tables))
-    found = None
-    for t in range(tables):
-        own = prints.select("th", F.col("fps")[t].alias("fp"))
-        named = cut(own.groupBy("fp").agg(F.min("th").alias("low")))
-        near = links(named.select("fp"))
-        a, b = named.select(F.col("fp").alias("a"), F.col("low").alias("x")), named.select(F.col("fp").alias("b"), F.col("low").alias("y"))
-        across = near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        within = own.join(named, "fp").where("th <> low").select(F.col("low").alias("a"), F.col("th").alias("b"))
-        both = across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = cut((both if found is None else both.union(found)).distinct())
-    edges = cut(verified(docs, found, width, similarity))
-    rest = cut(prefix_pairs(docs, components(edges), width, similarity))
-    if rest.head(1):
-        edges = edges.union(verified(docs, rest, width, similarity))
+    each = prints.select("th", F.posexplode("fps").alias("t", "fp"))
+    nodes = cut(each.groupBy("t", "fp").agg(F.min("th").alias("id")))
+    within = each.join(nodes, ["t", "fp"]).where("th <> id").select(F.col("id").alias("a"), F.col("th").alias("b"))
+    edges = cut(verified(docs, cut(near(nodes).union(within).distinct()), width, similarity))
+    edges = cut(edges.union(verified(docs, cut(far(nodes, components(edges)).distinct()), width, similarity)))
     roots = components(edges)
+    groups = cut(prefix_groups(docs, roots, width, similarity))
+    for forest in (True, False):  # first a few pairs of each group, then all that these have not joined
+        rest = cut(prefix_pairs(groups, roots, similarity, forest))
+        if rest.head(1):
+            edges = cut(edges.union(verified(docs, rest, width, similarity)))
+            roots = components(edges)
     rows = docs.select("doc_id", F.xxhash64("text").alias("_qs_th")).distinct()
     placed = cut(rows.join(roots, rows["_qs_th"] == roots["node"], "left").select("doc_id", "_qs_th", F.coalesce("root", "_qs_th").alias("root")))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qs_th")).alias("first"))
     return placed.join(first, "root").select("doc_id", "_qs_th", F.struct("first.doc_id", "first._qs_th").alias("keeper"))
 
 
-def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 2) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id. All columns kept.
 
     The keys to drop are broadcast only if few. Rows that repeat both doc_id and text are one document: one stays.

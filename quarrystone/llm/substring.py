@@ -74,10 +74,8 @@ def _chunk_rows(part: pa.RecordBatch, width: int, n_buckets: int):
         yield home, chunk, FOUND, pack_gaps(at[more]), b""
     once, several = np.flatnonzero(~more), order[head & ~alone]
     pick = np.concatenate((once, several))  # in a bucket, those seen once come first and have a place to send back
-    deal, bound = by_bucket(bucket[pick], n_buckets)
-    for k in np.flatnonzero(np.diff(bound)):
-        own = deal[bound[k] : bound[k + 1]]
-        yield int(k), chunk, DEALT, pack_gaps(at[pick[own[own < len(once)]]]), hashes[pick[own]].tobytes()
+    for k, own in by_bucket(bucket[pick], n_buckets):
+        yield k, chunk, DEALT, pack_gaps(at[pick[own[own < len(once)]]]), hashes[pick[own]].tobytes()
 
 
 def _count(group: pa.Table) -> pa.Table:

@@ -92,10 +92,8 @@ def _anchor_rows(part: pa.RecordBatch, width: int, n_buckets: int):
         yield home, chunk, TWICE, places.astype("<u4").tobytes(), h[order[more]].tobytes(), times[times > 1].astype("<u4").tobytes()
     pick = np.concatenate((once, order[more]))
     count = np.concatenate((np.ones(len(once), np.int64), times[times > 1]))
-    deal, bound = by_bucket((mix(h[pick]) % _U(n_buckets)).astype(np.int64), n_buckets)
-    for k in np.flatnonzero(np.diff(bound)):
-        own = deal[bound[k] : bound[k + 1]]
-        yield int(k), chunk, DEALT, pack_gaps(at[pick[own[own < len(once)]]]), h[pick[own]].tobytes(), count[own[own >= len(once)]].astype("<u4").tobytes()
+    for k, own in by_bucket((mix(h[pick]) % _U(n_buckets)).astype(np.int64), n_buckets):
+        yield k, chunk, DEALT, pack_gaps(at[pick[own[own < len(once)]]]), h[pick[own]].tobytes(), count[own[own >= len(once)]].astype("<u4").tobytes()
 
 
 def _count(hot: int):
