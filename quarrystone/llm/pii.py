@@ -1,22 +1,27 @@
 """PII: detected entities get keyed, type-consistent surrogates.
 
 Detection works on whole texts: e-mail and IPv4 addresses, phone, card (Luhn), social security and bank account (mod 97)
-numbers, secrets (cloud keys, assigned passwords and tokens), and names (after a title, or a known given name with a
-following name; then its parts wherever they stand in the text). A number next to other digits is found in whole groups. An occurrence is reduced to a type and a normal form (digits of a number, lower-cased e-mail, one name
-part), so that differently written mentions of one entity share a surrogate: coreference.
+numbers, secrets (cloud keys, assigned passwords and tokens), and names, capitalised or in capitals: after a title, after
+words that announce a name ("my name is"), or a known given name with a following name; then its parts wherever they stand in
+the text. A number next to other digits is found in whole groups. An occurrence is reduced to a type and a normal form
+(digits of a number, lower-cased e-mail, one lower-cased part of a name), so that differently written mentions of one entity
+share a surrogate: coreference. A part of a name is one entity, as a given name and as a family name; its gender is what
+most of its mentions in all documents say.
 
 Surrogates come from HMAC-SHA256 under the caller's key over type, normal form and attempt, and keep what the type asks
 for: digit counts, separators, country code and class of a number, a valid check digit, letter case and script; given
 names keep their gender, and every name its script. A surrogate is accepted only if no entity of the corpus has it as its
 own normal form and no other entity holds it; else the next attempt is made. That check is a join over all distinct
-entities, in rounds, so distinct entities stay distinct. Attempts past the sixteenth may be longer than the original.
+entities, in rounds, so distinct entities stay distinct. Later attempts draw from wider spaces, so that the rounds end however
+many entities share a format: from the 4th on a private address leaves its network, a number keeps less of its prefix;
+from the 16th on a surrogate may be longer than the original.
 
-Null texts stay null; texts without entities pass unchanged; repeated rows change alike; extra columns are kept.
+Null texts stay null; texts without entities pass unchanged; an empty table gives an empty result; repeated rows change alike;
+extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import ipaddress
 import re
@@ -28,34 +33,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, keyed, release, slices, small_or_shuffled, table
+from .common import BROADCAST_BYTES, as_bytes, cut, keyed, release, slices, small_or_shuffled, table
 
 # Titles by gender, and given names by script and gender. Surrogates are drawn from the names.
 TITLES = {"m": ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "господин"], "f": ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "госпожа"], "": ["Dr", "Prof", "Professor"]}
 GIVEN = {
-    ("LATIN", "m"): ["Adam", "Albert", "Alexander", "Andrew", "Anton", "Arthur", "Benjamin", "Carl", "Charles", "Christian", "Daniel", "David", "Edward", "Felix", "Frank", "George", "Hans", "Henry", "Jacob", "James", "John", "Joseph", "Julian", "Karl", "Leon", "Louis", "Lucas", "Mark", "Martin", "Michael", "Oliver", "Oscar", "Paul", "Peter", "Philip", "Robert", "Samuel", "Simon", "Stephen", "Thomas", "Victor", "Walter", "William"],
-    ("LATIN", "f"): ["Agnes", "Alice", "Amelia", "Anna", "Barbara", "Beatrice", "Carla", "Caroline", "Charlotte", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Eva", "Florence", "Grace", "Hannah", "Helen", "Ida", "Irene", "Isabel", "Jane", "Julia", "Karen", "Laura", "Lily", "Linda", "Louise", "Lucy", "Margaret", "Maria", "Martha", "Mary", "Nina", "Olivia", "Rose", "Ruth", "Sarah", "Sophia", "Susan", "Teresa", "Victoria"],
+    ("LATIN", "m"): [
+        "Adam", "Ahmed", "Albert", "Alexander", "Ali", "Andrew", "Anton", "Antonio", "Arthur", "Benjamin", "Carl", "Carlos", "Charles", "Christian", "Daniel", "David", "Diego", "Edward", "Felix", "Fernando", "Francisco", "François", "Frank", "George", "Giovanni", "Hans", "Hassan", "Henry",
+        "Hiroshi", "Ibrahim", "Ivan", "Jacob", "James", "Jean", "John", "Jorge", "Joseph", "José", "Juan", "Julian", "Jürgen", "Karl", "Kenji", "Klaus", "Leon", "Louis", "Luca", "Lucas", "Luis", "Marco", "Mark", "Martin", "Michael", "Miguel", "Mohammed", "Oliver", "Omar", "Oscar",
+        "Pablo", "Paul", "Pedro", "Peter", "Philip", "Pierre", "Rahul", "Robert", "Samuel", "Simon", "Stefan", "Stephen", "Thomas", "Victor", "Walter", "Wei", "William", "Wolfgang", "Yusuf",
+    ],
+    ("LATIN", "f"): [
+        "Agnes", "Aisha", "Alice", "Amelia", "Ana", "Anna", "Barbara", "Beatrice", "Carla", "Carmen", "Caroline", "Charlotte", "Chiara", "Claire", "Clara", "Diana", "Elena", "Elizabeth", "Emma", "Eva", "Fatima", "Florence", "Francesca", "Giulia", "Grace", "Greta", "Hannah", "Helen",
+        "Hélène", "Ida", "Ingrid", "Irene", "Isabel", "Jane", "Julia", "Karen", "Katharina", "Laura", "Layla", "Lily", "Linda", "Louise", "Lucy", "Lucía", "Margaret", "Maria", "María", "Martha", "Mary", "Mei", "Nadia", "Nina", "Olga", "Olivia", "Priya", "Rose", "Ruth", "Sarah",
+        "Sofía", "Sophia", "Susan", "Teresa", "Victoria", "Yuki", "Zoë",
+    ],
     ("CYRILLIC", "m"): ["Александр", "Алексей", "Андрей", "Борис", "Виктор", "Владимир", "Дмитрий", "Иван", "Игорь", "Михаил", "Николай", "Олег", "Павел", "Сергей"],
     ("CYRILLIC", "f"): ["Анна", "Вера", "Галина", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Надежда", "Наталья", "Ольга", "Светлана", "Татьяна"],
+    ("GREEK", "m"): ["Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"],
+    ("GREEK", "f"): ["Άννα", "Ελένη", "Κατερίνα", "Μαρία", "Σοφία"],
 }
+# Words that announce a name.
+CUES = ["my name is", "name:", "signed by", "signed,", "regards,", "sincerely,", "attn:", "author:", "patient:", "customer:", "employee:", "contact:"]
 #: Syllables from which family names are built, by script.
 SYLLABLES = {"LATIN": ["ba", "den", "fel", "gar", "hol", "ker", "lan", "mor", "nel", "par", "ros", "sel", "tan", "ver", "wil", "zor"], "CYRILLIC": ["ба", "ве", "го", "да", "за", "ки", "ле", "ма", "но", "ро", "са", "то"], "GREEK": ["αν", "βα", "γε", "δη", "κα", "λο", "μα", "νι", "πα", "ρο", "σε", "το"]}
-_GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
-_TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-
-_CAP = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zà-öø-ÿα-ωάέήίόύώςа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ][a-zà-öø-ÿα-ωа-яё]+)?"
-_TITLE = "|".join(sorted((re.escape(t) for t in _TITLE_GENDER), key=len, reverse=True))
-_NAME = "|".join(sorted(_GENDER, key=len, reverse=True))
+#: How built names end, by script and gender.
+ENDINGS = {("LATIN", "m"): "o", ("LATIN", "f"): "a", ("CYRILLIC", "m"): "н", ("CYRILLIC", "f"): "а", ("GREEK", "m"): "ος", ("GREEK", "f"): "α"}
+_GENDER = {n.lower(): g for (_, g), names in GIVEN.items() for n in names}
+_TITLE_GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts}
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern of alternatives, the longest first, by first letter, so that most places fail at once."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by.items())) + ")"
+
+
+_BIG, _SMALL = "A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ", "a-zà-öø-ÿα-ωάέήίόύώςа-яё"
+_CAP = rf"(?:[OD]['’]|Ma?c)?[{_BIG}][{_SMALL}]+(?:[-'’][{_BIG}][{_SMALL}]+)?"
+_UP = rf"[{_BIG}]{{2,}}(?:[-'’][{_BIG}]{{2,}})?"
+_PART = rf"(?:{_CAP}|{_UP})"
+_TITLE = _any_of([x for t in (t for ts in TITLES.values() for t in ts) for x in (t, t.upper())])
+_NAME = _any_of([n for names in GIVEN.values() for n in names])
+_UP_NAME = _any_of([n.upper() for names in GIVEN.values() for n in names])
+_CUE = _any_of([x for c in CUES for x in (c, c.capitalize(), c.title(), c.upper())])
 ENTITY = re.compile(
     rf"""(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{{0,63}}@(?:[A-Za-z0-9-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}})
     |(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])
        |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{{0,3}}[=:]\s{{0,3}}["']?)(?P<value>[A-Za-z0-9+/_.~-]{{6,}}))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?!\.?\d))
-    |(?P<card>(?<![\d+])\d(?:[ -]?\d){{12,18}}(?!\d))
+    |(?P<card>(?<![\d+])(?!\d{{1,2}}[ -])\d(?:[ -]?\d){{12,18}}(?!\d))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
     |(?P<phone>(?<![\w+])\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}(?!\d)|(?<![\w-])(?:\(\d{{3}}\)\ ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\d-]))
-    |(?P<name>\b(?:(?P<title>{_TITLE})(?:\.\ ?|\ )(?P<titled>{_CAP}(?:\ {_CAP})?)|(?P<first>{_NAME})\ (?P<last>{_CAP}))(?!\w))""",
+    |(?P<name>\b(?:(?P<title>{_TITLE})(?:\.\ ?|\ )(?P<titled>{_PART}(?:\ {_PART})?)|(?P<known>{_NAME}\ {_CAP}|{_UP_NAME}\ {_UP})|{_CUE}\ (?P<told>{_PART}(?:\ {_PART}){{1,2}}))(?!\w))""",
     re.X,
 )
 KINDS = ("email", "secret", "iban", "ip", "card", "ssn", "phone", "name")
@@ -63,9 +96,24 @@ _LINES = ENTITY.pattern.split("\n    |")
 #: Each number's pattern alone, to try where the first that matched isn't valid.
 ALONE = {k: re.compile(x, re.X) for k in KINDS[2:7] for x in _LINES if x.lstrip().startswith(f"(?P<{k}>")}
 _GAP = re.compile(r"[ .-]")
-_WORD = re.compile(_CAP + r"(?!\w)")
-#: A text without any of these has no entity; cheaper than the search itself.
-_HINT = re.compile(rf"[\d@]|A[KS]IA[A-Z]|(?i:password|passwd|pwd|token|secret|api[_-]?key)|\b(?:{_TITLE})[. ]|\b(?:{_NAME})\ ")
+_WORD = re.compile(rf"(?<!\w){_PART}(?!\w)")
+#: What a text without any entity lacks, told at a fraction of the search's cost: signs, runs of digits, or words.
+_RUN = re.compile(r"\d[\d .()-]{5}|[A-Z]{2}\d\d")
+_SIGNS = ("@", "AKIA", "ASIA")
+_KEYS = ("passw", "pwd", "token", "secret", "api")
+_WORDS = re.compile(r"\w+")
+_TELLING = {w for c in CUES for w in _WORDS.findall(c) if w not in ("my", "is", "by")}
+_TELLING |= {f(w) for w in _TELLING for f in (str.capitalize, str.upper)} | {f(w) for w in [*(t for ts in TITLES.values() for t in ts), *(n for names in GIVEN.values() for n in names)] for f in (str, str.upper)}
+
+
+def hinted(text: str) -> bool:
+    """Whether the text can have an entity."""
+    if any(x in text for x in _SIGNS) or _RUN.search(text):
+        return True
+    low = text.lower()
+    return any(x in low for x in _KEYS) or not _TELLING.isdisjoint(_WORDS.findall(text))
+
+
 _DIGIT = re.compile(r"\d")
 
 
@@ -122,12 +170,15 @@ def _matches(text: str) -> Iterator[tuple[str, re.Match, int]]:
         at = end or m.start() + 1
 
 
-def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, type, normal form) of each entity, left to right; a name gives one for each of its parts."""
-    if not _HINT.search(text):
+def find(text: str, genders: dict[str, str] | None = None) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, type, normal form) of each entity, left to right; a name gives one for each of its parts.
+
+    genders: gets what a name's title or its own entry says of its given part.
+    """
+    if not hinted(text):
         return
     found = []
-    names: dict[str, str] = {}
+    names = set()
     for kind, m, end in _matches(text):
         s = text[m.start() : end]
         digits = "".join(_DIGIT.findall(s))
@@ -146,14 +197,15 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
             # a national number and the same with country code 1 are one entity
             found.append((m.start(), end, kind, digits[1:] if s[0] == "+" and digits[0] == "1" and len(digits) == 11 else digits if s[0] != "+" else "+" + digits))
         else:
-            if m.group("title"):
-                at, parts, gender = m.start("titled"), m.group("titled").split(" "), _TITLE_GENDER[m.group("title")]
-            else:
-                at, parts, gender = m.start("first"), [m.group("first"), m.group("last")], _GENDER[m.group("first")]
+            of = next(g for g in ("titled", "known", "told") if m.group(g))
+            at, parts = m.start(of), m.group(of).split(" ")
             for i, part in enumerate(parts):
-                given = i == 0 and len(parts) == 2
-                found.append((at, at + len(part), f"given_{_GENDER.get(part, gender)}" if given else "family", part))
-                names.setdefault(part, found[-1][2])
+                normal = part.lower()
+                found.append((at, at + len(part), kind, normal))
+                names.add(normal)
+                if genders is not None and i == 0 and len(parts) > 1:
+                    gender = _GENDER.get(normal) or _TITLE_GENDER.get((m.group("title") or "").lower(), "")
+                    genders[normal] = genders.get(normal) or gender
                 at += len(part) + 1
     if names:  # a part of a name that stands alone elsewhere in the text is the same person's
         taken = iter([*found, (len(text), len(text), "", "")])
@@ -162,8 +214,8 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
         for w in _WORD.finditer(text):
             while b <= w.start():
                 a, b, *_ = next(taken)
-            if w.end() <= a and w.group() in names:
-                more.append((w.start(), w.end(), names[w.group()], w.group()))
+            if w.end() <= a and w.group().lower() in names:
+                more.append((w.start(), w.end(), "name", w.group().lower()))
         found = sorted(found + more)
     yield from found
 
@@ -198,51 +250,54 @@ class Stream:
         return "".join(map(self.like, s))
 
 
-def surrogate(key: bytes, kind: str, normal: str, attempt: int) -> str:
-    """A normal form of the same kind; the same for the same arguments."""
+def surrogate(key: bytes, kind: str, normal: str, attempt: int, gender: str = "") -> str:
+    """A normal form of the same kind; the same for the same arguments. Later attempts draw from wider spaces."""
     r = Stream(key, kind, normal, attempt)
-    longer = "".join(r.like("a") for _ in range(attempt // 16))
+    longer = max(0, attempt - 8) // 8
     if kind == "email":
         local, _, domain = normal.partition("@")
         host, _, end = domain.rpartition(".")
-        return "".join(map(r.like, local)) + longer + "@" + "".join(map(r.like, host)) + "." + end
+        return "".join(map(r.like, local + "a" * longer)) + "@" + "".join(map(r.like, host)) + "." + end
     if kind == "secret":
         keep = 4 if normal[:4] in ("AKIA", "ASIA") else 0
-        return normal[:keep] + r.hexlike(normal[keep:]) + longer
+        return normal[:keep] + r.hexlike(normal[keep:]) + "".join(map(r.like, "0" * longer))
     if kind == "iban":
-        body = "".join(map(r.like, normal[4:]))
+        body = "".join(map(r.like, normal[4:] + "0" * longer))
         check = 98 - _mod97(normal[:2] + "00" + body)
         return f"{normal[:2]}{check:02d}{body}"
     if kind == "ip":
         parts = [int(x) for x in normal.split(".")]
-        keep = 2 if ipaddress.ip_address(normal).is_private else 0  # a private address stays in its network
-        sizes = [(1, 10), (10, 100), (100, 256)] if attempt < 16 else [(1, 255)] * 3
-        return ".".join(str(p) if i < keep else str((lambda a, b: a + r.below(b - a))(*sizes[len(str(p)) - 1])) for i, p in enumerate(parts))
+        keep = max(0, 2 - attempt // 4) if ipaddress.ip_address(normal).is_private else 0  # a private address stays in its network
+        sizes = [(1, 10), (10, 100), (100, 256)] if attempt < 4 else [(0, 256)] * 3
+        octets = [p if i < keep else (lambda a, b: a + r.below(b - a))(*sizes[len(str(p)) - 1]) for i, p in enumerate(parts)]
+        return ".".join(map(str, octets + [r.below(256) for _ in range(attempt // 32)]))
     if kind == "card":
-        body = normal[0] + "".join(map(r.like, normal[1:-1]))
+        body = (normal[0] if attempt < 8 else r.like("0")) + "".join(map(r.like, normal[1:-1] + "0" * longer))
         return next(body + str(d) for d in range(10) if luhn(body + str(d)))
     if kind == "ssn":
-        return f"{1 + r.below(665):03d}{1 + r.below(99):02d}{1 + r.below(9999):04d}"
+        return f"{1 + r.below(665 if attempt < 4 else 999):03d}{1 + r.below(99):02d}{1 + r.below(9999):04d}" + "".join(map(r.like, "0" * longer))
     if kind == "phone":
-        keep = 3 if normal[0] == "+" else 0
-        rest = normal[keep:]
+        keep = (3 if attempt < 4 else 2) if normal[0] == "+" else 0
+        rest = normal[keep:] + "0" * longer
         if not keep and len(rest) == 10:  # area code and exchange don't begin with 0 or 1
             return f"{2 + r.below(8)}{r.below(100):02d}{2 + r.below(8)}{r.below(100):02d}{r.below(10000):04d}"
         return normal[:keep] + "".join(map(r.like, rest))
     letters = script(normal)
-    names = GIVEN.get((letters, kind[6:] or ("m", "f")[r.below(2)]), []) if kind.startswith("given") else []
+    names = GIVEN.get((letters, gender), []) if gender else []
     if names and attempt < 4:
-        return names[r.below(len(names))]
+        return names[r.below(len(names))].lower()
     syllables = SYLLABLES.get(letters, SYLLABLES["LATIN"])
-    return "".join(syllables[r.below(len(syllables))] for _ in range(2 + attempt // 2)).capitalize()
+    return "".join(syllables[r.below(len(syllables))] for _ in range(2 + (attempt + 1) // 2)) + ENDINGS.get((letters, gender), "")
 
 
 def render(found: str, kind: str, normal: str, new: str) -> str:
     """new, written the way this occurrence is."""
+    if kind == "name":
+        return new.upper() if found.isupper() and len(found) > 1 else new.capitalize()
     if kind in ("iban", "card", "ssn", "phone"):
         plain = new.lstrip("+")
         here = sum(c.isalnum() for c in found)
-        prefix = "".join(_DIGIT.findall(found))[: here - len(plain)] if here > len(plain) else ""
+        prefix = "".join(_DIGIT.findall(found))[: here - len(normal.lstrip("+"))] if here > len(normal.lstrip("+")) else ""
         chars = iter(prefix + plain)
         return "".join(next(chars, "") if c.isalnum() else c for c in found) + "".join(chars)
     if kind == "email":
@@ -252,41 +307,43 @@ def render(found: str, kind: str, normal: str, new: str) -> str:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, _qs_th, kind, normal): the distinct entities of each row that has any."""
-    schema = pa.schema([("doc_id", pa.int64()), ("_qs_th", pa.int64()), ("kind", pa.string()), ("normal", pa.string())])
+    """(doc_id, _qs_th, kind, normal, gender): the distinct entities of each row that has any."""
+    schema = pa.schema([("doc_id", pa.int64()), ("_qs_th", pa.int64()), ("kind", pa.string()), ("normal", pa.string()), ("gender", pa.string())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for d, h, t in zip(part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("_qs_th").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    out += [(d, h, k, n) for k, n in dict.fromkeys((k, n) for _, _, k, n in find(t.decode()))]
+                    genders: dict[str, str] = {}
+                    out += [(d, h, k, n, genders.get(n, "") if k == "name" else "") for k, n in dict.fromkeys((k, n) for _, _, k, n in list(find(t.decode(), genders)))]
                 yield table(out, schema)
 
-    return keyed(docs).mapInArrow(run, "doc_id long, _qs_th long, kind string, normal string")
+    return keyed(docs).mapInArrow(run, "doc_id long, _qs_th long, kind string, normal string, gender string")
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, normal, surrogate) for the distinct entities in found, no surrogate twice and none that is an entity."""
 
     @F.pandas_udf("string")
-    def propose(kind: pd.Series, normal: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, n, a) for k, n, a in zip(kind, normal, attempt, strict=True)], dtype=object)
-
-    # the parts of a name are one space, whatever their place in it
-    space = lambda c: F.when(F.col(c).startswith("given") | (F.col(c) == "family"), "name").otherwise(F.col(c))
-    todo = cut(found.select("kind", "normal").distinct().withColumn("space", space("kind")))
-    real = todo.select("space", F.col("normal").alias("surrogate")).distinct()
+    def propose(kind: pd.Series, normal: pd.Series, attempt: pd.Series, gender: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, n, a, g) for k, n, a, g in zip(kind, normal, attempt, gender, strict=True)], dtype=object)
+
+    votes = [F.count_if(F.col("gender") == g) for g in ("m", "f")]
+    gender = F.when(votes[0] > votes[1], "m").when(votes[1] > votes[0], "f").otherwise("")
+    todo = cut(found.groupBy("kind", "normal").agg(gender.alias("gender")))
+    # what is taken: the entities themselves, and what each round has given away
+    taken = todo.select("kind", F.col("normal").alias("surrogate"))
     done, attempt, left = None, 0, todo.count()
     while left:
-        tried = cut(todo.withColumn("surrogate", propose("kind", "normal", F.lit(attempt))))
-        free = tried.join(real, ["space", "surrogate"], "left_anti")
-        if done is not None:
-            free = free.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
-        # one entity of a name part can have several kinds: the first in order wins a contested surrogate
-        first = free.groupBy("space", "surrogate").agg(F.min(F.struct("normal", "kind")).alias("w"))
-        won = cut(first.select("space", "surrogate", F.col("w.normal").alias("normal"), F.col("w.kind").alias("kind")))
-        done = won if done is None else cut(done.unionByName(won))
+        tried = cut(todo.withColumn("surrogate", propose("kind", "normal", F.lit(attempt), "gender")))
+        wanted = tried.select("kind", "surrogate").distinct()
+        # the few that are left to try are sent to what is taken, not the other way round
+        clash = cut(taken.join(F.broadcast(wanted) if left * 200 <= BROADCAST_BYTES else wanted, ["kind", "surrogate"], "left_semi").distinct())
+        free = tried.join(small_or_shuffled(clash, 100), ["kind", "surrogate"], "left_anti")
+        won = cut(free.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal")))
+        taken = taken.union(won.select("kind", "surrogate"))
+        done = won if done is None else done.unionByName(won)
         todo = cut(todo.join(won.select("kind", "normal"), ["kind", "normal"], "left_anti"))
         left, attempt = todo.count(), attempt + 1
     return done.select("kind", "normal", "surrogate") if done is not None else found.select("kind", "normal", F.lit("").alias("surrogate")).limit(0)
@@ -328,8 +385,3 @@ def report(docs: DataFrame, key: bytes = b"quarrystone") -> DataFrame:
     """doc_id, text with surrogates, n_entities, text_sha256."""
     out = scrub(docs.select("doc_id", "text"), key)
     return out.select("doc_id", "text", F.col("_qs_entities").cast("long").alias("n_entities"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-
-
-def fingerprint_of_key(key: bytes) -> str:
-    """To record with the output which key was used, without telling it."""
-    return hashlib.sha256(b"key\x1f" + key).hexdigest()[:16]
