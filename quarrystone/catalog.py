@@ -16,15 +16,16 @@ from .config import EngineConfig
 from .functions import html as H
 from .functions import text as T
 from .functions import urls as U
-from .functions.tokens import tokens
+from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
 from .operators import crawl, graph, retrieval, tree
 from .operators.chunking import char_windows, chunk, enrich
 from .sources.collections import last_wins
-from .sources.files import csv_rows, missing_sources
+from .sources.files import csv_rows, missing_sources, normalise
+from .stem_sql import stems
 
 CONFIG = EngineConfig()
-QUERY = "the of and that with por que der und les"
+QUERY = "the rewh of hehely and orre que der und les"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -62,8 +63,8 @@ NOT_BLANK = r"length(regexp_replace(text, '\s', '', 'g')) > 0"
 
 @query(f"SELECT doc_id, 'Text not found at source' AS title, md5(text) AS text_md5, source, '' AS creation_date FROM documents WHERE {NOT_BLANK}")
 def load_documents(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(~T.is_blank("text"))
-    return d.select("doc_id", F.lit(T.NO_TITLE).alias("title"), F.md5("text").alias("text_md5"), "source", F.lit("").alias("creation_date"))
+    d = normalise(_docs(spark, sf_dir).select("text", "source", "doc_id"), seq="doc_id")
+    return d.select(F.col("seq").alias("doc_id"), "title", F.md5("text").alias("text_md5"), "source", "creation_date")
 
 
 @query("""SELECT source, md5(t) AS text_md5, n_parts, first_doc, sha256(concat(source, substr(t, 1, 500))) AS document_id FROM
@@ -150,15 +151,18 @@ def thread_history(spark, sf_dir):
 
 @query("SELECT source AS collection, count(*) AS points, 'green' AS status FROM documents GROUP BY source")
 def collection_status(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("points")).withColumn("status", F.lit("green"))
+    return A.status_rows(_docs(spark, sf_dir).withColumnRenamed("source", "collection"))
 
 
 # --- lexical, dense, fused ------------------------------------------------------------------------------------------
 
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 LEXICAL = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '')"
-TF = f"SELECT doc_id, token, count(*) AS tf, max(n) AS n FROM (SELECT doc_id, len(a) AS n, unnest(a) AS token FROM (SELECT doc_id, {LEXICAL} AS a FROM documents) x) y GROUP BY doc_id, token"
+KEPT = f"SELECT doc_id, token FROM (SELECT doc_id, unnest({LEXICAL}) AS token FROM documents) x WHERE token NOT IN ({STOPS}) AND length(token) <= {LONGEST}"
+TF = f"SELECT doc_id, stem AS token, count(*) AS tf, max(n) AS n FROM (SELECT doc_id, token, count(*) OVER (PARTITION BY doc_id) AS n FROM ({KEPT}) k) y JOIN ({stems(KEPT)}) s USING (token) GROUP BY doc_id, stem"
 WEIGHT = "tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / 256::DOUBLE))"
-QTERMS = f"SELECT token, {WEIGHT} AS qw FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS token, 1 AS tf, {len(QUERY.split())} AS n) q"
+ASKED = f"SELECT token FROM (SELECT unnest(string_split('{QUERY}', ' ')) AS token) x WHERE token NOT IN ({STOPS})"
+QTERMS = f"SELECT token, {WEIGHT} AS qw FROM (SELECT stem AS token, count(*) AS tf, (SELECT count(*) FROM ({ASKED}) c) AS n FROM ({ASKED}) q JOIN ({stems(ASKED)}) s USING (token) GROUP BY stem) t"
 
 
 @query(f"SELECT doc_id, token, tf, round({WEIGHT}, 6) AS weight FROM ({TF}) t")
@@ -171,7 +175,7 @@ LEX20 = f"SELECT doc_id, sum(w * qw) AS score FROM (SELECT doc_id, token, {WEIGH
 
 @query(f"SELECT doc_id, round(score, 4) AS score FROM ({LEX20}) l")
 def bm25_topk(spark, sf_dir):
-    return retrieval.lexical_topk(retrieval.postings(_docs(spark, sf_dir), "doc_id"), QUERY, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+    return retrieval.lexical_topk(_docs(spark, sf_dir), QUERY, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
 IDF = f"""SELECT doc_id, round(sum(w * qw * ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 4) AS score FROM (SELECT doc_id, token, {WEIGHT} AS w, count(*) OVER (PARTITION BY token) AS df FROM ({TF}) t) p
@@ -180,8 +184,7 @@ IDF = f"""SELECT doc_id, round(sum(w * qw * ln(1 + (nd - df + 0.5::DOUBLE) / (df
 
 @query(IDF)
 def bm25_idf_topk(spark, sf_dir):
-    index = retrieval.postings(_docs(spark, sf_dir), "doc_id")
-    return retrieval.lexical_topk(index, QUERY, 20, "doc_id", idf=True).select("doc_id", F.round("score", 4).alias("score"))
+    return retrieval.lexical_topk(_docs(spark, sf_dir), QUERY, 20, "doc_id", idf=True).select("doc_id", F.round("score", 4).alias("score"))
 
 
 def _query_vector(spark, sf_dir) -> list[float]:
@@ -212,7 +215,7 @@ FUSED = f"""SELECT doc_id, coalesce(1::DOUBLE / (60 + r1), 0) + coalesce(1::DOUB
 
 def _fused(spark, sf_dir) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return retrieval.hybrid_topk(e, retrieval.postings(_docs(spark, sf_dir), "doc_id"), _query_vector(spark, sf_dir), QUERY, CONFIG.top_k, CONFIG.rrf_k, "doc_id")
+    return retrieval.hybrid_topk(e, _docs(spark, sf_dir), _query_vector(spark, sf_dir), QUERY, CONFIG.top_k, CONFIG.rrf_k, "doc_id")
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM ({FUSED}) f")
@@ -225,6 +228,9 @@ PASSAGE = """'[Passage ' || rank || ' ' || chr(10) || ' Original Text: ' || text
  || repeat(' ', 16) || 'Entities: [' || chr(39) || lang || chr(39) || '] ' || chr(10) || ' RRF Retrieval Score: ' || score || ']' || chr(10) || chr(10) || repeat(' ', 4)"""
 
 
+PASSAGE_TOKENS = rf"len(string_split(trim(regexp_replace({PASSAGE}, '\s+', ' ', 'g')), ' '))"
+
+
 def _ranked(spark, sf_dir) -> DataFrame:
     found = _docs(spark, sf_dir).join(F.broadcast(_fused(spark, sf_dir)), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
@@ -233,7 +239,7 @@ def _ranked(spark, sf_dir) -> DataFrame:
 
 def _passages(spark, sf_dir) -> DataFrame:
     shown = T.passage("rank", "text", "raptor_tree_node_level", "lang", F.lit(None), F.array("lang"), "score")
-    return _ranked(spark, sf_dir).withColumn("passage", shown)
+    return retrieval.with_passages(_ranked(spark, sf_dir), shown)
 
 
 @query(f"SELECT doc_id, rank, md5({PASSAGE}) AS passage_md5 FROM ({RANKED}) r")
@@ -241,8 +247,8 @@ def passage_format(spark, sf_dir):
     return _passages(spark, sf_dir).select("doc_id", "rank", F.md5("passage").alias("passage_md5"))
 
 
-@query(f"""SELECT md5(string_agg({PASSAGE}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS passages_md5, sum(n_tokens)::BIGINT AS total_tokens, count(*) AS num_passages
- FROM (SELECT *, sum(n_tokens) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM ({RANKED}) r) q WHERE run <= 1650""")
+@query(f"""SELECT md5(string_agg({PASSAGE}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS passages_md5, sum(shown)::BIGINT AS total_tokens, count(*) AS num_passages
+ FROM (SELECT *, sum(shown) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, {PASSAGE_TOKENS} AS shown FROM ({RANKED}) r) p) q WHERE run <= 1650""")
 def context_pack(spark, sf_dir):
     out = retrieval.assemble(retrieval.pack(_passages(spark, sf_dir), CONFIG.context_tokens))
     return out.select(F.md5("passages_text").alias("passages_md5"), F.when(F.col("num_passages") > 0, F.col("total_tokens")).alias("total_tokens"), "num_passages")
@@ -265,7 +271,7 @@ def soft_threshold(spark, sf_dir):
     scored = e.join(F.broadcast(labels)).select("vec_id", F.transform("centres", lambda c: F.struct(c["label"].alias("cluster_id"), F.exp(100 * retrieval.dot("embedding", c["c"])).alias("v"))).alias("s"))
     total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"])
     out = scored.select("vec_id", total.alias("t"), F.explode("s").alias("s")).select("vec_id", "s.cluster_id", (F.col("s.v") / F.col("t")).alias("p"))
-    return out.where(F.col("p") >= CONFIG.cluster_threshold).select("vec_id", "cluster_id", F.round("p", 4).alias("p"))
+    return tree.over_threshold(out, CONFIG.cluster_threshold).select("vec_id", "cluster_id", F.round("p", 4).alias("p"))
 
 
 MEMBERS = "SELECT e.label AS cluster_id, d.doc_id, d.text, d.source, sha256(d.text) AS id FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
@@ -323,20 +329,20 @@ def summary_tree(spark, sf_dir):
     """The whole way: every document cut, enriched and embedded, then two levels of soft clusters and summaries."""
     from .functions.checkpoints import cut
     from .operators.providers import HashedEmbedder, LeadingWords, embed
-    from .plans.index import numbered, units
+    from .plans.index import ordered, units
 
     d = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("source"), "text", F.lit(T.NO_TITLE).alias("title"), F.col("doc_id").alias("seq"))
     embedder = HashedEmbedder(CONFIG.embedding_dimensions)
     leaves = cut(embed(units(d, CONFIG), embedder, batch=CONFIG.embedding_batch_size))
-    nodes = tree.build(numbered(leaves), LeadingWords(), embedder, CONFIG)
+    nodes = tree.build(ordered(leaves), LeadingWords(), embedder, CONFIG)
     return nodes.groupBy("level").agg(F.count("*").alias("n"), F.count("parent_id").alias("n_with_parent"), F.sum(F.size(F.coalesce("children_ids", F.array().cast("array<string>")))).cast("long").alias("n_children"))
 
 
 @query("SELECT sha256(text) AS id, source, array_to_string(list_sort(list_distinct(list(doc_id::VARCHAR))), ',') AS children FROM documents GROUP BY 1, 2")
 def index_rows(spark, sf_dir):
     """Rows for a plain document index: child ids joined with commas."""
-    d = _docs(spark, sf_dir).groupBy(T.unit_id("text", 256).alias("id"), "source").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("children_ids"))
-    return d.select("id", "source", F.array_join("children_ids", ",").alias("children"))
+    d = _docs(spark, sf_dir).select(T.unit_id("text", 256).alias("id"), "source", F.col("doc_id").cast("string").alias("child"))
+    return A.document_index(d)
 
 
 # --- pages ----------------------------------------------------------------------------------------------------------

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .stem import Stems
 from .text import _c, is_blank
 
 
@@ -53,10 +56,35 @@ def count_tokens(text: Column | str) -> Column:
     return F.size(tokens(text))
 
 
+# The lexical index's stop-words, and the characters of its longest token.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t "
+    "can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn"
+).split(" ")
+LONGEST = 40
+
+
 def lexical_tokens(text: Column | str) -> Column:
-    """Lower-cased tokens without punctuation, for the lexical index."""
+    """Lower-cased tokens without punctuation, stop-words and overlong tokens, for the lexical index; not stemmed yet."""
     plain = F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}_\s]", " ")
-    return F.filter(F.split(F.trim(plain), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(plain, r"\s+"), lambda x: (x != "") & ~x.isin(*STOP_WORDS) & (F.length(x) <= LONGEST))
+
+
+_STEMS = Stems()
+
+
+@F.pandas_udf(StructType([StructField("token", ArrayType(StringType())), StructField("tf", ArrayType(IntegerType()))]))
+def _counted(words: pd.Series) -> pd.DataFrame:
+    counts = [Counter(map(_STEMS.__getitem__, ws)) if ws is not None else {} for ws in words]
+    return pd.DataFrame({"token": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+
+
+def lexical_terms(text: Column | str) -> tuple[Column, Column]:
+    """(terms, n): an array of (token, tf) of the stems of a text, counted within the row, and how many there are."""
+    words = lexical_tokens(text)
+    counted = _counted(words)
+    return F.arrays_zip(counted["token"].alias("token"), counted["tf"].alias("tf")), F.size(words)
 
 
 def encoded(tokenizer: Tokenizer):

@@ -18,7 +18,7 @@ def concat_by_source(docs: DataFrame, seq: str = "seq", bits: int = 512) -> Data
     """One document for each source: texts joined in order, metadata of the first, and the document id."""
     first = lambda c: F.min_by(c, seq).alias(c)
     known = [c for c in ("title", "creation_date") if c in docs.columns]
-    out = docs.groupBy("source").agg(ordered_concat("text", seq, T.DOCUMENT_JOIN).alias("text"), F.count("*").alias("n_parts"), *map(first, known))
+    out = docs.groupBy("source").agg(ordered_concat("text", seq, T.DOCUMENT_JOIN).alias("text"), F.count("*").alias("n_parts"), F.min(seq).alias("first_seq"), *map(first, known))
     return out.withColumn("document_id", T.document_id("source", "text", bits))
 
 
@@ -60,13 +60,39 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
     return ranged.join(offsets, "_part").withColumn("batch", F.floor(number / size)).drop("_part", "_before")
 
 
-def cluster_inputs(members: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, *order: str, to: str = "seq") -> DataFrame:
+    """df with `to`: the row's number, from 0, in ascending order. A checkpoint, sorted by ranges; nothing is in one task."""
+    from ..functions.checkpoints import cut
+
+    at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = at.withColumn("_part", F.shiftright("_at", 33))
+    before, rows = 0, []
+    for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # one row for each partition
+        rows.append((r["_part"], before))
+        before += r["n"]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows or [(0, 0)], "_part long, _before long"))
+    return placed.join(offsets, "_part").withColumn(to, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+
+
+def cluster_inputs(members: DataFrame, most: int | None = None) -> DataFrame:
     """What a summary is made from. members: cluster_id, pos, id, original_text, source, document_id.
 
     Texts and child ids in member order with repeats, the first document, the source seen most (ties to the first).
+
+    most: texts that begin after so many characters of their cluster are left out of its text before it is joined, for a
+    reader that takes no more than that. Positions come from sums by slot of `pos`, so no cluster is one task's.
     """
-    ordered = members.groupBy("cluster_id").agg(
-        ordered_concat("original_text", "pos", T.PASSAGE_JOIN).alias("text"),
+    text = F.col("original_text")
+    if most is not None:
+        slot = members.withColumn("_slot", F.floor(F.col("pos") / 4096)).withColumn("_n", F.coalesce(F.length("original_text") + len(T.PASSAGE_JOIN), F.lit(0)))
+        sums = slot.groupBy("cluster_id", "_slot").agg(F.sum("_n").alias("_s"))
+        before = F.sum("_s").over(Window.partitionBy("cluster_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))
+        starts = sums.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") <= most + len(T.PASSAGE_JOIN)).select("cluster_id", "_slot", "_before")
+        within = F.sum("_n").over(Window.partitionBy("cluster_id", "_slot").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        members = slot.join(starts, ["cluster_id", "_slot"], "left").withColumn("_at", F.col("_before") + F.coalesce(within, F.lit(0)))
+        text = F.when(F.col("_at") <= most + len(T.PASSAGE_JOIN), text)
+    ordered = members.withColumn("_text", text).groupBy("cluster_id").agg(
+        ordered_concat("_text", "pos", T.PASSAGE_JOIN).alias("text"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("children_ids"),
         F.min_by("document_id", "pos").alias("document_id"),
         F.count("*").alias("n_members"),
@@ -74,6 +100,17 @@ def cluster_inputs(members: DataFrame) -> DataFrame:
     return ordered.join(mode_first(members, "cluster_id", "source", "pos"), "cluster_id")
 
 
+def document_index(children: DataFrame) -> DataFrame:
+    """(id, source, children): the distinct child ids of each node of each source, in order, joined with commas."""
+    each = children.groupBy("id", "source").agg(F.array_sort(F.collect_set("child")).alias("_c"))
+    return each.select("id", "source", F.array_join("_c", ",").alias("children"))
+
+
+def status_rows(points: DataFrame) -> DataFrame:
+    """(collection, points, status) of collections' points."""
+    return points.groupBy("collection").agg(F.count("*").alias("points")).withColumn("status", F.lit("green"))
+
+
 def multi_assigned(assignments: DataFrame) -> DataFrame:
     """Nodes in more than one cluster."""
     return assignments.groupBy("id").agg(F.count("*").alias("n_clusters")).where("n_clusters > 1")

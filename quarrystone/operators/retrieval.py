@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import lexical_tokens
+from ..functions.tokens import count_tokens, lexical_terms, lexical_tokens
 
 # Saturation, length weight and mean length of the lexical weights.
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256.0
@@ -78,11 +78,16 @@ def weight(tf: Column, length: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / MEAN_LENGTH))
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, token, tf, weight); a token is a string, so nothing collides."""
-    each = docs.select(key, lexical_tokens(text).alias("_t")).select(key, F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    counted = each.groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("_n").alias("_n"))
-    return counted.select(key, "token", "tf", weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
+def postings(docs: DataFrame, key: str = "id", text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
+    """(key, token, tf, weight); a token is a string, so nothing collides. Terms are counted within rows: nothing is shuffled.
+
+    only: other tokens are left out before rows are made of them.
+    """
+    terms, n = lexical_terms(text)
+    if only is not None:
+        terms = F.filter(terms, lambda x: x["token"].isin(*only))
+    each = docs.select(key, terms.alias("_t"), n.alias("_n")).select(key, "_n", F.inline("_t"))
+    return each.select(key, "token", F.col("tf").cast("long").alias("tf"), weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
 
 
 def query_terms(spark, query: str) -> DataFrame:
@@ -93,14 +98,18 @@ def query_terms(spark, query: str) -> DataFrame:
 def lexical_topk(index: DataFrame, query: str, k: int, key: str = "id", idf: bool = False, n_docs: int | None = None) -> DataFrame:
     """(key, score) of the k best by the dot product of weights over shared tokens, ties by key.
 
-    idf: weights each token by its rarity as well. The query's tokens are filtered in the scan, and joined as a broadcast.
+    index: stored postings, or texts (key, text), of which only the query's terms become rows. idf: weights each token by its
+    rarity among n_docs documents (rows of texts with any token) as well. The query's tokens are joined as a broadcast.
     """
-    terms = query_terms(index.sparkSession, query)
-    words = [r[0] for r in terms.select("token").collect()]
-    hits = index.where(F.col("token").isin(words)).join(F.broadcast(terms), "token")
+    terms = query_terms(index.sparkSession, query).collect()
+    words = [r["token"] for r in terms]
+    stored = "token" in index.columns
+    hits = index.where(F.col("token").isin(words)) if stored else postings(index, key, only=words)
+    weights = index.sparkSession.createDataFrame([tuple(r) for r in terms], "token string, query_weight double")  # one row a word
+    hits = hits.join(F.broadcast(weights), "token")
     part = F.col("weight") * F.col("query_weight")
     if idf:
-        n = n_docs if n_docs is not None else index.select(key).distinct().count()
+        n = n_docs if n_docs is not None else index.select(key).distinct().count() if stored else index.where(F.size(lexical_tokens("text")) > 0).count()
         df = hits.groupBy("token").agg(F.count_distinct(key).alias("_df"))
         hits = hits.join(F.broadcast(df), "token")
         part = part * F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
@@ -116,17 +125,22 @@ def rank_fusion(lists: Sequence[DataFrame], k: int = 60, key: str = "id") -> Dat
     return every.groupBy(key).agg(F.sum(1.0 / (F.col("r") + k)).alias("score"))
 
 
+def with_passages(hits: DataFrame, passage: Column) -> DataFrame:
+    """hits with `passage`, the block that is shown, and passage_tokens, counted on all of it: what a budget is spent on."""
+    return hits.withColumn("passage", passage).withColumn("passage_tokens", count_tokens("passage"))
+
+
 def hybrid_topk(nodes: DataFrame, index: DataFrame, vector: Sequence[float], query: str, top_k: int = 10, rrf_k: int = 60, key: str = "id", where: Column | None = None) -> DataFrame:
     """(key, score): both lists of 2 * top_k fused; top_k 0 means 10. where: a filter on nodes, pushed into the scan."""
     top_k = top_k or 10
     if where is not None:
         nodes = nodes.where(where)
-        index = index.join(nodes.select(key), key, "left_semi")
+        index = index.where(where) if "token" not in index.columns else index.join(nodes.select(key), key, "left_semi")
     fused = rank_fusion([dense_topk(nodes, vector, 2 * top_k, key), lexical_topk(index, query, 2 * top_k, key)], rrf_k, key)
     return fused.orderBy(F.desc("score"), key).limit(top_k)
 
 
-def pack(hits: DataFrame, budget: int = 1650, tokens: str = "n_tokens", rank: str = "rank") -> DataFrame:
+def pack(hits: DataFrame, budget: int = 1650, tokens: str = "passage_tokens", rank: str = "rank") -> DataFrame:
     """The longest prefix by rank whose tokens fit the budget; stops at the first that doesn't. hits: a top-k list."""
     run = F.sum(tokens).over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
     return hits.withColumn("_run", run).where(F.col("_run") <= budget).drop("_run")
@@ -137,6 +151,6 @@ def assemble(packed: DataFrame, passage: str = "passage", rank: str = "rank") ->
     from .aggregate import ordered_concat
 
     return packed.agg(
-        ordered_concat(passage, rank, T.PASSAGE_JOIN).alias("passages_text"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("total_tokens"),
+        ordered_concat(passage, rank, T.PASSAGE_JOIN).alias("passages_text"), F.coalesce(F.sum("passage_tokens"), F.lit(0)).cast("long").alias("total_tokens"),
         F.count("*").alias("num_passages"), F.array_sort(F.collect_set("raptor_tree_node_level")).alias("levels_used"),
     )

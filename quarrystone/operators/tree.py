@@ -1,19 +1,23 @@
 """The summary tree: reduce, choose clusters, assign softly, summarise, embed, level by level.
 
 A level's vectors are reduced by principal components, and mixtures with full covariances are fitted for every allowed
-number of clusters; the lowest BIC wins, ties to the fewest. Up to LOCAL_ROWS nodes every number of clusters is one group
-of reduced vectors (a few floats a node) on some executor, so that the fits run side by side; beyond, the library's
-distributed mixture is fitted for one number after the other. A node belongs to each cluster whose posterior reaches the
-threshold: usually one, sometimes none.
+number of clusters; the lowest BIC wins, ties to the fewest. One algorithm at every size: seeded starts and expectation-
+maximisation over blocks of rows, whose sums are added in the order of blocks. Up to LOCAL_ROWS nodes every number of
+clusters is fitted by one task (a few floats a node), side by side; beyond, every round is a pass over all blocks on the
+executors for all numbers of clusters at once. Both add the same numbers in the same order. A node belongs to each cluster
+whose posterior reaches the threshold: usually one, sometimes none.
+
+A summary's id is a hash of its level, its cluster and its text: summaries of different clusters may have one text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -27,6 +31,8 @@ from .providers import Embedder, TextProvider, complete, embed
 from .retrieval import normalised
 
 LOCAL_ROWS = 50_000
+#: Rows of a block, about.
+BLOCK = 8192
 SUMMARY = "Summarise the following passages."
 
 
@@ -34,33 +40,139 @@ def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
     return -2 * log_likelihood + (k * d * (d + 1) / 2 + k * d + k - 1) * math.log(n)
 
 
-def fit_mixture(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, tol: float = 1e-3, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Posteriors (n, k) and log-likelihood of a Gaussian mixture: seeded spread-out starts, then expectation-maximisation."""
-    r = np.random.default_rng(seed)
-    n, d = x.shape
-    centres = [x[r.integers(n)]]
-    for _ in range(k - 1):
-        far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-        centres.append(x[r.choice(n, p=far / far.sum())] if far.sum() > 0 else x[r.integers(n)])
-    post = np.zeros((n, k))
-    post[np.arange(n), np.argmin([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)] = 1
-    last = -np.inf
-    for _ in range(rounds):
-        weight = post.sum(axis=0) + 1e-10
-        mean = post.T @ x / weight[:, None]
+class Mixtures:
+    """Gaussian mixtures of several numbers of clusters, fitted to blocks of rows.
+
+    statistics() of a block are arrays; add() them up in the order of blocks and give them to step(). Starts: one sequence of
+    rows, each drawn with a chance that grows with its distance to those before, by seeded hashes, so that the draw is a
+    maximum over all rows; k clusters start at the first k.
+    """
+
+    def __init__(self, numbers: Sequence[int], seed: int, rounds: int = 100, tol: float = 1e-3, ridge: float = 1e-6):
+        self.seed, self.rounds, self.tol, self.ridge = seed, rounds, tol, ridge
+        self.starts: list[np.ndarray] = []
+        self.models: dict[int, tuple | None] = dict.fromkeys(numbers)
+        self.likelihood: dict[int, float] = dict.fromkeys(numbers, -math.inf)
+        self.open = set(numbers)
+        self.turn = 0
+
+    def draw(self, keys: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray] | None:
+        """The best row of a block for the next start, with its rank."""
+        if not len(x):
+            return None
+        u = (keys.astype(np.uint64) + np.uint64(self.seed * 1000 + len(self.starts))) * np.uint64(0x9E3779B97F4A7C15)
+        u = ((u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(12)).astype(float) / (1 << 52)
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in self.starts], axis=0) if self.starts else np.ones(len(x))
+        rank = far / np.maximum(-np.log(np.maximum(u, 1e-300)), 1e-300)
+        best = int(np.argmax(rank))
+        return float(rank[best]), x[best]
+
+    def start(self, drawn: Sequence[tuple[float, np.ndarray]]) -> None:
+        self.starts.append(max(drawn, key=lambda r: r[0])[1])
+
+    def posteriors(self, k: int, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Posteriors of a block's rows, and their log-likelihood."""
+        n, d = x.shape
+        if self.models[k] is None:
+            post = np.zeros((n, k))
+            post[np.arange(n), np.argmin([((x - c) ** 2).sum(axis=1) for c in self.starts[:k]], axis=0)] = 1
+            return post, -math.inf
+        share, mean, chol = self.models[k]
         log_p = np.empty((n, k))
         for j in range(k):
-            c = x - mean[j]
-            chol = np.linalg.cholesky((post[:, j, None] * c).T @ c / weight[j] + ridge * np.eye(d))
-            z = np.linalg.solve(chol, c.T)
-            log_p[:, j] = math.log(weight[j] / n) - 0.5 * (d * math.log(2 * math.pi) + (z**2).sum(axis=0)) - np.log(np.diag(chol)).sum()
+            z = np.linalg.solve(chol[j], (x - mean[j]).T)
+            log_p[:, j] = math.log(share[j]) - 0.5 * (d * math.log(2 * math.pi) + (z**2).sum(axis=0)) - np.log(np.diag(chol[j])).sum()
         top = log_p.max(axis=1, keepdims=True)
         total = top[:, 0] + np.log(np.exp(log_p - top).sum(axis=1))
-        post, now = np.exp(log_p - total[:, None]), float(total.sum())
-        if abs(now - last) < tol * n:
-            break
-        last = now
-    return post, now
+        return np.exp(log_p - total[:, None]), float(total.sum())
+
+    def statistics(self, x: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """Of each open number of clusters: rows, log-likelihood, weights, weighted sums and squares."""
+        out = {}
+        for k in sorted(self.open):
+            post, ll = self.posteriors(k, x)
+            out[k] = [np.array([len(x), ll]), post.sum(axis=0), post.T @ x, np.einsum("nk,ni,nj->kij", post, x, x, optimize=True)]
+        return out
+
+    @staticmethod
+    def add(a: dict | None, b: dict) -> dict:
+        return b if a is None else {k: [x + y for x, y in zip(a[k], b[k], strict=True)] for k in b}
+
+    def step(self, sums: dict[int, list[np.ndarray]]) -> None:
+        """New models from statistics of all rows; numbers of clusters that are done or can't be fitted close."""
+        self.turn += 1
+        for k, ((n, ll), weight, first, second) in sums.items():
+            if math.isfinite(self.likelihood[k]) and abs(ll - self.likelihood[k]) < self.tol * n or self.turn > self.rounds:
+                self.likelihood[k] = ll
+                self.open.discard(k)
+                continue
+            self.likelihood[k] = ll
+            weight = weight + 1e-10
+            mean = first / weight[:, None]
+            cov = second / weight[:, None, None] - np.einsum("ki,kj->kij", mean, mean) + self.ridge * np.eye(mean.shape[1])
+            try:
+                self.models[k] = weight / n, mean, np.linalg.cholesky(cov)
+            except np.linalg.LinAlgError:  # this number of clusters can't be fitted
+                self.likelihood[k] = -math.inf
+                self.open.discard(k)
+
+    def score(self, k: int, n: int, d: int) -> float:
+        return bic(self.likelihood[k], n, k, d) if math.isfinite(self.likelihood[k]) and self.models[k] else math.inf
+
+
+def _fit_local(mixtures: Mixtures, blocks: list[tuple[np.ndarray, np.ndarray]], most: int) -> Mixtures:
+    for _ in range(most):
+        mixtures.start([r for r in (mixtures.draw(k, x) for k, x in blocks) if r])
+    while mixtures.open:
+        sums = None
+        for _, x in blocks:
+            sums = mixtures.add(sums, mixtures.statistics(x))
+        mixtures.step(sums)
+    return mixtures
+
+
+def _fit_spread(mixtures: Mixtures, blocks: DataFrame, most: int) -> Mixtures:
+    """The same over a checkpoint of blocks (block, keys, x); what comes back a round is a row of sums for each block's turn."""
+    sc = blocks.sparkSession.sparkContext
+
+    def over(f):
+        shared = sc.broadcast(mixtures)
+
+        def run(batches):
+            for b in batches:
+                out = [(r["block"], pickle.dumps(f(shared.value, *_unpacked(r)))) for r in b.to_pylist()]
+                yield pa.RecordBatch.from_pylist([{"block": k, "v": v} for k, v in out], schema=pa.schema([("block", pa.int32()), ("v", pa.binary())]))
+
+        rows = blocks.mapInArrow(run, "block int, v binary").orderBy("block").toLocalIterator()
+        return (pickle.loads(r["v"]) for r in rows)
+
+    for _ in range(most):
+        mixtures.start([r for r in over(lambda m, k, x: m.draw(k, x)) if r])
+    while mixtures.open:
+        sums = None
+        for s in over(lambda m, k, x: m.statistics(x)):
+            sums = mixtures.add(sums, s)
+        mixtures.step(sums)
+    return mixtures
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(row["keys"], "<i8")
+    return keys, np.frombuffer(row["x"], "<f8").reshape(len(keys), -1)
+
+
+def _blocks(reduced: DataFrame, key: str, n: int) -> DataFrame:
+    """(block, keys, x): rows by blocks of about BLOCK, by a hash of the key, each in the order of keys."""
+    count = max(1, n // BLOCK)
+
+    def pack(group: pa.Table) -> pa.Table:
+        keys = np.asarray(group.column(key), dtype=np.int64)
+        order = np.argsort(keys, kind="stable")
+        x = np.array(group.column("f").to_pylist(), dtype="<f8")[order]
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "keys": [keys[order].astype("<i8").tobytes()], "x": [x.tobytes()]})
+
+    rows = reduced.select(F.col(key).cast("long").alias(key), vector_to_array("features").alias("f"), F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias("block"))
+    return cut(rows.groupBy("block").applyInArrow(pack, "block int, keys binary, x binary"))
 
 
 def reduce_dimensions(nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
@@ -80,48 +192,54 @@ def soft_clusters(nodes: DataFrame, components: int, max_clusters: int = 15, thr
     most = min(max_clusters, n - 1)
     if most < 2:
         return nodes.select(F.lit(0).alias("cluster_id"), key, F.lit(1.0).alias("p"))
-    if n > LOCAL_ROWS:
-        reduced = cut(reduced)
-        best = None
-        for k in range(2, most + 1):
-            try:
-                model = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(reduced)
-                score = bic(model.summary.logLikelihood, n, k, components)
-            except Exception:  # this number of clusters can't be fitted
-                continue
-            if best is None or score < best[0]:
-                best = score, model
-        if best is None:
-            return nodes.select(F.lit(0).alias("cluster_id"), key, F.lit(1.0).alias("p"))
-        post = best[1].transform(reduced).select(key, F.posexplode(vector_to_array("probability")).alias("cluster_id", "p"))
-        return post.where(F.col("p") >= threshold)
-    kind = nodes.schema[key].dataType.simpleString()
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        x, k = np.array(frame["f"].tolist(), dtype=float), int(frame["k"].iloc[0])
-        try:
-            post, ll = fit_mixture(x, k, seed)
-            score = bic(ll, len(x), k, x.shape[1])
-        except np.linalg.LinAlgError:
-            return pd.DataFrame({"k": [], "bic": [], key: [], "cluster_id": [], "p": []})
+    blocks = _blocks(reduced, key, n)
+    numbers, d = range(2, most + 1), len(reduced.first()["features"])
+    out = pa.schema([("k", pa.int32()), ("bic", pa.float64()), (key, pa.int64()), ("cluster_id", pa.int32()), ("p", pa.float64())])
+
+    def members(mixtures: Mixtures, k: int, keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        post, _ = mixtures.posteriors(k, x)
         at, cluster = np.nonzero(post >= threshold)
-        return pd.DataFrame({"k": k, "bic": score, key: frame[key].to_numpy()[at], "cluster_id": cluster, "p": post[at, cluster]})
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((np.full(len(at), k), np.full(len(at), mixtures.score(k, n, d)), keys[at], cluster, post[at, cluster]), out, strict=True)], schema=out)
+
+    ddl = f"k int, bic double, {key} long, cluster_id int, p double"
+    if n <= LOCAL_ROWS:
+
+        def fit(group: pa.Table) -> pa.Table:
+            rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+            parts, k = [_unpacked(r) for r in rows], rows[0]["k"]
+            fitted = _fit_local(Mixtures([k], seed), parts, k)
+            return pa.Table.from_batches([members(fitted, k, *p) for p in parts] if math.isfinite(fitted.score(k, n, d)) else [], schema=out)
 
-    tried = reduced.select(key, vector_to_array("features").alias("f")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(2, most + 1)])))
-    fits = tried.groupBy("k").applyInPandas(fit, f"k int, bic double, {key} {kind}, cluster_id int, p double").persist()
-    best = fits.groupBy("k").agg(F.min("bic").alias("bic")).agg(F.min_by("k", F.struct("bic", "k")).alias("k")).first()["k"]
-    if best is None:
+        fits = cut(blocks.withColumn("k", F.explode(F.array(*[F.lit(k) for k in numbers]))).groupBy("k").applyInArrow(fit, ddl))
+        best = fits.agg(F.min_by("k", F.struct("bic", "k")).alias("k")).first()["k"]
+        found = fits.where(F.col("k") == best) if best is not None else None
+    else:
+        fitted = _fit_spread(Mixtures(numbers, seed), blocks, most)
+        best = min((k for k in numbers if math.isfinite(fitted.score(k, n, d))), key=lambda k: (fitted.score(k, n, d), k), default=None)
+        shared = blocks.sparkSession.sparkContext.broadcast(fitted)
+
+        def assign(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    yield members(shared.value, best, *_unpacked(r))
+
+        found = blocks.mapInArrow(assign, ddl) if best is not None else None
+    if found is None:
         return nodes.select(F.lit(0).alias("cluster_id"), key, F.lit(1.0).alias("p"))
-    return fits.where(F.col("k") == best).select("cluster_id", key, "p")
+    return found.select("cluster_id", F.col(key).cast(nodes.schema[key].dataType).alias(key), "p")
+
+
+def over_threshold(posteriors: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The memberships (p) that reach the threshold."""
+    return posteriors.where(F.col("p") >= threshold)
 
 
 def summaries(members: DataFrame, level: int, summariser: TextProvider, embedder: Embedder, config: EngineConfig) -> DataFrame:
     """Nodes of the next level from members of clusters; clusters whose summary is empty give none."""
-    inputs = cluster_inputs(members).withColumn("text", T.truncate("text", config.summary_input_chars))
+    inputs = cluster_inputs(members, config.summary_input_chars).withColumn("text", T.truncate("text", config.summary_input_chars))
     made = complete(inputs, summariser, SUMMARY, "text", "summary").where("summary <> ''")
     out = made.select(
-        "cluster_id", T.unit_id("summary").alias("id"), F.col("summary").alias("text"), F.col("summary").alias("original_text"), "document_id", "source",
+        "cluster_id", T.unit_id(F.concat_ws("\x1f", F.lit(level), "cluster_id", "summary")).alias("id"), F.col("summary").alias("text"), F.col("summary").alias("original_text"), "document_id", "source",
         T.level_title(F.lit(level)).alias("title"), F.size(F.split(F.trim("summary"), r"\s+")).alias("n_tokens"), F.lit(level).alias("level"), "children_ids",
     )
     return embed(out, embedder, batch=config.embedding_batch_size)

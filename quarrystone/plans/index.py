@@ -12,16 +12,16 @@ from ..functions import text as T
 from ..functions.checkpoints import cut
 from ..functions.tokens import Tokenizer
 from ..operators import tree
-from ..operators.aggregate import concat_by_source, run_summary
+from ..operators.aggregate import concat_by_source, numbered, run_summary
 from ..operators.chunking import chunk, enrich
 from ..operators.providers import Embedder, HashedEmbedder, LeadingWords, Retrying, TextProvider, complete, embed
 from ..schema import NODE
-from ..sources.collections import Collections, points
+from ..sources.collections import Collections, last_wins, points
 from ..sources.files import read_sources
 
 
 def units(docs: DataFrame, config: EngineConfig, enricher: TextProvider | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Leaf nodes (NODE columns and chunk_index) from documents (source, text, title, seq): joined by source, cut, enriched."""
+    """Leaf nodes (NODE columns, first_seq and chunk_index) from documents (source, text, title, seq): joined by source, cut, enriched."""
     whole = concat_by_source(docs)
     chunks = chunk(whole, config.chunk_size, config.chunk_overlap, tokenizer)
     if config.prepend_metadata:
@@ -33,7 +33,7 @@ def units(docs: DataFrame, config: EngineConfig, enricher: TextProvider | None =
     for f in NODE.fields:
         if f.name not in made.columns:
             made = made.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields], "chunk_index")
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields], "first_seq", "chunk_index")
 
 
 def index(spark: SparkSession, sources: Sequence[str], collection: str, store: Collections, config: EngineConfig | None = None, embedder: Embedder | None = None, summariser: TextProvider | None = None, enricher: TextProvider | None = None, web: DataFrame | None = None) -> dict:
@@ -43,14 +43,12 @@ def index(spark: SparkSession, sources: Sequence[str], collection: str, store: C
         raise ValueError("a collection name is needed")
     embedder = Retrying(embedder or HashedEmbedder(config.embedding_dimensions), config.max_retries)
     docs = read_sources(spark, sources, web, strict=True)
-    leaves = cut(embed(units(docs.withColumn("seq", F.col("ord") * (1 << 40) + F.col("seq")), config, enricher), embedder, batch=config.embedding_batch_size))
-    ordered = numbered(leaves)
-    nodes = cut(tree.build(ordered, summariser or LeadingWords(), embedder, config))
-    store.upsert(collection, points(nodes))
+    leaves = cut(embed(units(docs.withColumn("seq", F.col("ord") * (1 << 48) + F.col("seq")), config, enricher), embedder, batch=config.embedding_batch_size))
+    nodes = cut(last_wins(tree.build(ordered(leaves), summariser or LeadingWords(), embedder, config), "id", "seq"))
+    store.upsert(collection, points(nodes.withColumn("seq", F.lit(0))))
     return run_summary(nodes, collection).first().asDict(recursive=True)
 
 
-def numbered(leaves: DataFrame) -> DataFrame:
-    """leaves with seq: an order of all leaves, by a hash of the document and then by chunk; computed row by row."""
-    base = F.pmod(F.xxhash64("document_id"), F.lit(1 << 40)) * (1 << 22)
-    return leaves.withColumn("seq", base + F.col("chunk_index")).drop("chunk_index")
+def ordered(leaves: DataFrame) -> DataFrame:
+    """leaves with seq: their order by source, as the sources were given, and chunk. No path decides it but within a folder."""
+    return numbered(leaves, "first_seq", "source", "chunk_index").drop("first_seq", "chunk_index")

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import text as T
 from ..operators.providers import Embedder, HashedEmbedder
-from ..operators.retrieval import assemble, hybrid_topk, pack, postings
+from ..operators.retrieval import assemble, hybrid_topk, pack, with_passages
 from ..sources.collections import Collections
 
 
 def hits(points: DataFrame, query: str, top_k: int = 10, config: EngineConfig | None = None, embedder: Embedder | None = None, where: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """Ranked passages: rank, context, document_section, chunk_role, entities, original_text, raptor_tree_node_level, n_tokens, score.
 
-    index: a stored postings table over point_id; made on the fly without it.
+    index: stored postings (pid, token, tf, weight), as index() keeps them; without it the texts are read.
     """
     config = config or EngineConfig()
     vector = (embedder or HashedEmbedder(config.embedding_dimensions)).embed([query])[0]
     nodes = points.withColumnRenamed("dense", "embedding").withColumnRenamed("point_id", "pid")
-    index = index if index is not None else postings(nodes, "pid")
+    index = index if index is not None else nodes
     best = hybrid_topk(nodes, index, vector, query, top_k or config.top_k, config.rrf_k, "pid", where)
     found = nodes.join(F.broadcast(best), "pid")  # top_k rows
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "pid")))
@@ -32,7 +32,7 @@ def hits(points: DataFrame, query: str, top_k: int = 10, config: EngineConfig |
 def context(found: DataFrame, budget: int = 1650) -> DataFrame:
     """One row: passages_text, total_tokens, num_passages, levels_used."""
     shown = T.passage("rank", "original_text", "raptor_tree_node_level", "document_section", "chunk_role", "entities", "score")
-    return assemble(pack(found, budget).withColumn("passage", shown))
+    return assemble(pack(with_passages(found, shown), budget))
 
 
 def retrieve(store: Collections, query: str, collection: str, top_k: int = 10, config: EngineConfig | None = None, embedder: Embedder | None = None, where: Column | None = None) -> str:
@@ -42,7 +42,8 @@ def retrieve(store: Collections, query: str, collection: str, top_k: int = 10, c
         return json.dumps({"error": "a collection name is needed"})
     if not store.exists(collection):
         return json.dumps({"error": f"no collection {collection}"})
-    row = context(hits(store.read(collection), query, top_k, config, embedder, where), config.context_tokens).first()
+    index = store.postings(collection).withColumnRenamed("point_id", "pid")
+    row = context(hits(store.read(collection), query, top_k, config, embedder, where, index), config.context_tokens).first()
     return json.dumps({"passages": row.asDict(recursive=True)}, ensure_ascii=False)
 
 

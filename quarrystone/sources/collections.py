@@ -1,11 +1,13 @@
 """Collections: a folder of versions, each a Parquet table of points partitioned by level; a pointer names the current.
 
-A write makes a new version and then moves the pointer, so that readers and a failed write never meet. Works on any file
-system that Spark can write to.
+A write makes a new version, with the lexical postings of its texts beside it, and then moves the pointer, so that readers and
+a failed write never meet. Old versions stay for those who read them until vacuum(); a writer that finds the pointer moved
+since it began fails. Works on any file system that Spark can write to.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import point_id
-from ..operators.retrieval import normalised
+from ..operators.aggregate import status_rows
+from ..operators.retrieval import normalised, postings
 from ..schema import NODE, PAYLOAD
 
 _TYPES = {f.name: f.dataType for f in NODE.fields} | {"text_unit_id": T.StringType()}
 POINT = T.StructType([T.StructField("point_id", T.DecimalType(20, 0)), *[T.StructField(c, _TYPES[c]) for c in PAYLOAD], T.StructField("dense", T.ArrayType(T.FloatType()))])
+POSTING = "point_id decimal(20,0), level int, token string, tf long, weight double"
 
 
 def points(nodes: DataFrame) -> DataFrame:
@@ -69,7 +73,10 @@ class Collections:
 
     def info(self, name: str) -> dict | None:
         """A pure read; None if there is no such collection."""
-        return {"name": name, "points": self.read(name).count(), "status": "green"} if self.exists(name) else None
+        if not self.exists(name):
+            return None
+        row = status_rows(self.read(name).select(F.lit(name).alias("collection"))).first()
+        return {"name": name, "points": row["points"] if row else 0, "status": "green"}
 
     def status(self, name: str | None = None) -> list[dict]:
         return [x for x in ([self.info(name)] if name else map(self.info, self.list())) if x]
@@ -83,14 +90,36 @@ class Collections:
             raise LookupError(name)
         return self.spark.read.schema(POINT).parquet(f"{self.root}/{name}/{version}")
 
+    def postings(self, name: str) -> DataFrame:
+        """(point_id, level, token, tf, weight) of the current version, stored in the order of tokens."""
+        version = self._version(name)
+        if version is None:
+            raise LookupError(name)
+        return self.spark.read.schema(POSTING).parquet(f"{self.root}/{name}/{version}_postings")
+
     def _replace(self, name: str, rows: DataFrame) -> None:
         version, old = f"v_{uuid.uuid4().hex}", self._version(name)
-        rows.write.partitionBy("level").parquet(f"{self.root}/{name}/{version}")
+        path = f"{self.root}/{name}/{version}"
+        rows.write.partitionBy("level").parquet(path)
+        stored = self.spark.read.schema(POINT).parquet(path).where("level is not null")
+        each = postings(stored.select(F.struct("point_id", "level").alias("p"), "text"), "p").select("p.*", "token", "tf", "weight")
+        # by ranges of tokens, so that a query's few tokens are in few files and row groups
+        each.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}_postings")
+        if self._version(name) != old:
+            raise RuntimeError(f"another writer has changed {name}; write again")
         out = self._fs.create(self._pointer(name), True)
         out.write(bytearray(version.encode()))
         out.close()
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+
+    def vacuum(self, name: str, seconds: float = 7 * 24 * 3600) -> int:
+        """Delete versions that are neither current nor younger: how many folders. Readers of an old version keep it till then."""
+        current, gone = self._version(name), 0
+        oldest = time.time() - seconds
+        for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if current else []:
+            folder = s.getPath().getName()
+            if folder.startswith("v_") and not folder.startswith(current) and s.getModificationTime() / 1000 < oldest:
+                gone += bool(self._fs.delete(s.getPath(), True))
+        return gone
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Points by id, the last by seq wins, new ones over stored ones. Running it twice changes nothing."""

@@ -120,7 +120,7 @@ def test_point_ids_are_unsigned(spark):
 def test_pack(spark):
     rng = random.Random(1)
     for sizes in ([2000], [1650], [1000, 700, 10], [], [rng.randint(1, 500) for _ in range(12)]):
-        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "rank int, n_tokens int")
+        df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "rank int, passage_tokens int")
         want, used = [], 0
         for i, n in enumerate(sizes):
             if used + n > 1650:
@@ -144,6 +144,50 @@ def test_batches_and_mode(spark):
     assert all(r.batch == r.k // 100 for r in batches(df, "k", 100).collect())
 
 
+def test_budget_counts_the_whole_passage(spark):
+    hits = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d e f")], "rank int, t string")
+    shown = retrieval.with_passages(hits, F.concat(F.lit("[Head line: "), "t", F.lit("]")))
+    assert [r.passage_tokens for r in shown.orderBy("rank").collect()] == [4, 3, 5]
+    assert [r[0] for r in retrieval.pack(shown, 7).collect()] == [1, 2] and retrieval.pack(shown, 3).collect() == []
+
+
+def test_stems_and_terms(spark):
+    from quarrystone.functions.stem import stem
+    from quarrystone.functions.tokens import lexical_terms
+
+    # published examples of the stemmer's vocabulary
+    for words, want in (("consistency consistently consists", "consist"), ("consolatory", "consolatori"), ("knackeries", "knackeri"), ("generously", "generous"), ("hopping", "hop"), ("hoping", "hope"), ("skies", "sky"), ("communication", "communic"), ("proceed", "proceed")):
+        assert {stem(w) for w in words.split()} == {want}
+    terms, n = lexical_terms("t")
+    rows = spark.createDataFrame([("The knights' knightly KNIGHT_s, and the consoled!",), ("x" * 41,), (None,), ("",)], "t string").select(terms.alias("w"), n.alias("n")).collect()
+    assert {(x.token, x.tf) for x in rows[0].w} == {("knight", 2), ("knight_", 1), ("consol", 1)} and rows[0].n == 4
+    assert [len(r.w or []) for r in rows[1:]] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("most", [0, 5, 24, 25, 26, 40, 10_000])
+def test_cluster_inputs_are_cut_before_they_are_joined(spark, most):
+    from quarrystone.operators.aggregate import cluster_inputs
+
+    rng = random.Random(most)
+    rows = [(c, pos, f"i{pos}", rng.choice(["", "ab", "text" * rng.randint(1, 5), None]), "s", "d") for c in (1, 2) for pos in rng.sample(range(20_000), 12)]
+    df = spark.createDataFrame(rows, "cluster_id int, pos long, id string, original_text string, source string, document_id string").checkpoint()
+    whole = {r.cluster_id: r for r in cluster_inputs(df).select("*", text.truncate("text", most).alias("shown")).collect()}
+    for r in cluster_inputs(df, most).select("*", text.truncate("text", most).alias("shown")).collect():
+        assert r.shown == whole[r.cluster_id].shown and r.children_ids == whole[r.cluster_id].children_ids and whole[r.cluster_id].text.startswith(r.text[:most])
+
+
+def test_mixture_is_one_algorithm_at_every_size(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [float(c == i % 4) + rng.gauss(0, 0.2) for c in range(5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3).checkpoint()
+    monkeypatch.setattr(tree, "BLOCK", 64)
+    got = []
+    for most in (50_000, 10):
+        monkeypatch.setattr(tree, "LOCAL_ROWS", most)
+        got.append(sorted(map(tuple, tree.soft_clusters(df, 3, 5).collect())))
+    assert got[0] == got[1] and len(got[0]) > 300
+
+
 def test_mixture_finds_clusters(spark):
     rng = random.Random(2)
     rows = [(i, [float(c == i % 3) + rng.gauss(0, 0.02) for c in range(6)]) for i in range(90)]
