@@ -169,8 +169,8 @@ def by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket.astype(np.uint16) if n <= 1 << 16 else bucket, kind="stable")
     s = bucket[order]
     head = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
-    for k, a, b in zip(s[head].tolist(), head.tolist(), [*head[1:].tolist(), len(s)], strict=True):
-        yield k, order[a:b]
+    for k, own in zip(s[head].tolist(), np.split(order, head[1:]), strict=False):  # without any, one empty part is left over
+        yield k, own
 
 
 def table(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:

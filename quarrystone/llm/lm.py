@@ -12,12 +12,16 @@ A token beyond the vocabulary is scored as its class and, within the class, by i
 documents: log p(class | both sides) + log p(token | class), with exact counts of every token, so that the sum over all
 tokens there are is 1. The counts grow with the input and are sharded, never broadcast.
 
-Training, in numpy on the executors: in each round every partition masks a seeded share of the tokens of each of its
-documents (all documents take part, so what is gathered grows with the input), descends on them by AdaGrad from the shared
-weights, and hands its weights in; these are averaged, weighted by masked tokens, in two steps (by block and salt, then by
-block), so that no task gathers the weights of all partitions.
+Texts become numbers once. They are dealt to buckets by a hash of (doc_id, text), as many as the count of all tokens asks
+for, so that neither the layout of files nor the number of partitions has a say in the model.
 
-Texts without tokens score 0 over 0 tokens; repeated rows score alike; an empty table gives an empty result.
+Training, in numpy on the executors: in each round every bucket masks a seeded share of the tokens of its documents (all
+documents take part, so what is gathered grows with the input), descends on them by AdaGrad from the shared weights, and
+hands its weights in; these are averaged, weighted by masked tokens, in two steps (by block and salt, then by block), in the
+order of buckets, so that no task gathers the weights of all.
+
+Texts without tokens (null, empty, blank) score 0 over 0 tokens; repeated rows score alike; words of equal counts are taken by
+their bytes; an empty table gives an empty result; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, buckets_for, by_bucket, cut, mix, pieces, slices, table
+from .common import as_bytes, buckets_for, by_bucket, cut, mix, pieces, slices, table, trim
 from .quality import POINT, SHAPES, Cached, shape
 
 WINDOW, WIDTH, GROUPS = 2, 16, 64
@@ -194,11 +198,22 @@ def counted(docs: DataFrame) -> DataFrame:
     return cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
 
 
+def most_frequent(words: DataFrame, k: int) -> list:
+    """The k rows (w, n) of largest n, ties by w. Counts of counts say which rows can be among them; no task sorts the rest."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, many = 0, 0
+    for r in sorted(words.groupBy(level.alias("b")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["b"]):  # some hundred rows
+        least, many = r["b"], many + r["m"]
+        if many >= k:
+            break
+    return cut(words.where(level >= least)).orderBy(F.desc("n"), "w").limit(k).collect()
+
+
 def vocabulary(docs: DataFrame, words: DataFrame | None = None) -> tuple[Tokens, np.ndarray]:
     """The tokens of all documents, and counts by number."""
     words = counted(docs) if words is None else words
     by_number = pa.schema([("k", pa.int64()), ("n", pa.int64())])
-    top = [(bytes(r["w"]), r["n"]) for r in cut(words.orderBy(F.desc("n"), "w").limit(SIZE - SHAPES - 1)).orderBy(F.desc("n"), "w").collect()]
+    top = [(bytes(r["w"]), r["n"]) for r in most_frequent(words, SIZE - SHAPES - 1)]
     tokens = Tokens([w for w, _ in top])
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
@@ -217,12 +232,64 @@ def vocabulary(docs: DataFrame, words: DataFrame | None = None) -> tuple[Tokens,
     return tokens, counts
 
 
-def train(docs: DataFrame, tokens: Tokens, counts: np.ndarray, rounds: int = ROUNDS, masked: float = MASKED, seed: int = 7) -> Network:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tokens)
+#: Tokens of a bucket, about.
+BUCKET = 4 << 20
+_NUMBERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("row", pa.int32()), ("key", pa.int64()), ("numbers", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()), ("numbers", pa.binary())])
+_PACKED_DDL = "bucket int, chunks binary, rows binary, sizes binary, numbers binary"
+
+
+def packed(numbered: DataFrame) -> DataFrame:
+    """One row for each bucket: its documents' places and numbers, in the order of keys. numbered: rows of _NUMBERS."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("key", "numbers", "chunk", "row")), strict=True))  # equal keys are equal documents
+        numbers = [r[1] for r in rows]
+        sizes = np.array([len(x) // 2 for x in numbers], "<i8")
+        return pa.Table.from_batches([table([(group.column("bucket")[0].as_py(), np.array([r[2] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i4").tobytes(), sizes.tobytes(), b"".join(numbers))], _PACKED)])
+
+    return cut(numbered.select(*_NUMBERS.names).groupBy("bucket").applyInArrow(pack, _PACKED_DDL))
+
+
+def spread(sizes: np.ndarray, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers with WINDOW zeros around each document, and the places of tokens in them."""
+    at = np.arange(sizes.sum()) + WINDOW * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    out = np.zeros(sizes.sum() + WINDOW * (1 + len(sizes)), np.int32)
+    out[at] = np.frombuffer(numbers, "<u2")
+    return out, at
+
+
+def numbers_of(docs: DataFrame, tokens: Tokens, counts: np.ndarray) -> DataFrame:
+    """packed() of docs alone."""
+    n, shared = max(1, int(counts.sum()) // BUCKET), docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pylist(_number_rows(part, shared.value, chunk, n), schema=_NUMBERS)
+                chunk += 1
+
+    return packed(_keyed(docs).mapInArrow(run, "bucket int, chunk long, row int, key long, numbers binary"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
+def _number_rows(part: pa.RecordBatch, tokens: Tokens, chunk: int, n: int) -> list[dict]:
+    numbers, at, sizes = tokens.flat(as_bytes(part.column("text")))
+    plain, end = numbers[at].astype("<u2"), np.cumsum(sizes)
+    keys = np.asarray(part.column("key"), dtype=np.int64)
+    buckets = (mix(keys.view(np.uint64)) % np.uint64(n)).tolist()
+    return [{"bucket": b, "chunk": chunk, "row": i, "key": k, "numbers": plain[e - m : e].tobytes()} for i, (b, k, m, e) in enumerate(zip(buckets, keys.tolist(), sizes.tolist(), end.tolist(), strict=True))]
+
+
+def train(buckets: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, masked: float = MASKED, seed: int = 7) -> Network:
+    """buckets: packed(). Every bucket starts from the shared weights in each round."""
+    spark = buckets.sparkSession
     network = Network.start(counts, seed)
-    source = docs.select("text")
-    salts = max(1, math.isqrt(source.rdd.getNumPartitions()))
+    salts = max(1, math.isqrt(int(counts.sum()) // BUCKET))
     schema = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
     ddl = "block int, salt int, part int, n long, sums binary"
 
@@ -237,22 +304,21 @@ def train(docs: DataFrame, tokens: Tokens, counts: np.ndarray, rounds: int = ROU
         weights = spark.sparkContext.broadcast(network.flat())
 
         def run(batches, weights=weights, turn=turn):
-            part = TaskContext.get().partitionId()
-            own, n = Network.of_flat(weights.value), 0
-            squares = [np.zeros_like(x) for x in own.w]
             for batch in batches:
-                for piece in slices(batch):
-                    numbers, at, _ = shared.value.flat(as_bytes(piece.column("text")))
+                for b, sizes, packed_numbers in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sizes", "numbers")), strict=True):
+                    own = Network.of_flat(weights.value)
+                    squares = [np.zeros_like(x) for x in own.w]
+                    numbers, at = spread(np.frombuffer(sizes, "<i8"), packed_numbers)
                     draw = mix(at.astype(np.uint64) + np.uint64((seed + turn) << 32)) >> np.uint64(11)
                     at = at[draw < np.uint64(int(masked * (1 << 53)))]
                     at = at[np.argsort(mix(at.astype(np.uint64) ^ np.uint64(seed)))]  # a fixed shuffle
                     own.descend(numbers, at, squares)
-                    n += len(at)
-            if n:
-                sums = own.flat().astype("<f8") * n
-                yield table([(b, part % salts, part, n, x.tobytes()) for b, x in enumerate(np.array_split(sums, BLOCKS))], schema)
+                    if len(at):
+                        sums = own.flat().astype("<f8") * len(at)
+                        yield table([(k, b % salts, b, len(at), x.tobytes()) for k, x in enumerate(np.array_split(sums, BLOCKS))], schema)
+                    trim()
 
-        handed = source.mapInArrow(run, ddl)
+        handed = buckets.select("bucket", "sizes", "numbers").mapInArrow(run, ddl)
         averaged = handed.groupBy("block", "salt").applyInArrow(add, ddl).groupBy("block").applyInArrow(add, ddl)
         blocks = sorted(averaged.collect(), key=lambda r: r["block"])
         if blocks:
@@ -291,92 +357,121 @@ class Rare(dict):
         return n
 
 
-_BLOCK = "shard int, chunk long, kind byte, keys binary, rows binary"
-_PA_BLOCK = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("rows", pa.binary())])
-#: Kinds of blocks: the rare tokens of a chunk, the rows of a chunk, sums for rows of a chunk.
-RARE, ROWS, SUMS = range(3)
+_BLOCK = "kind byte, shard int, chunk long, row int, key long, a binary, b binary"
+_PA_BLOCK = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), ("chunk", pa.int64()), ("row", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+#: Kinds of blocks: a document's numbers (shard: its bucket), the rows of a chunk, the rare tokens of a chunk, and sums for
+#: rows of a chunk, from the network and from rare tokens.
+NUMBERS, ROWS, RARE, BASE, SUMS = range(5)
 
 
-def whole_score(docs: DataFrame, words: DataFrame, tokens: Tokens, counts: np.ndarray, network: Network) -> DataFrame:
-    """doc_id, n_tokens, score: as score(), and for every token beyond the vocabulary log p(token | its class) besides.
+def encoded(docs: DataFrame, tokens: Tokens, counts: np.ndarray, n: int) -> DataFrame:
+    """NUMBERS, ROWS and RARE blocks of all documents: the one pass in which texts become numbers. n: shards of rare tokens."""
+    shared, buckets = docs.sparkSession.sparkContext.broadcast(tokens), max(1, int(counts.sum()) // BUCKET)
 
-    That is its share of its class in the counts of all documents, words. Counts and rare tokens of chunks of rows, both by
-    64-bit hash, are sharded and joined; sums in fixed point go back to the chunk, so that their order doesn't matter.
-    """
-    n = min(buckets_for(docs, 16 << 20, 2.0), 1 << 16)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, network.flat(), counts[: 1 + SHAPES]))
-    shard_of = lambda h: (mix(h) % np.uint64(n)).astype(np.int64)
-    hashes = lambda ws: np.fromiter(map(xxhash.xxh64_intdigest, ws), dtype=np.uint64, count=len(ws))
-
-    def shares(batches):
-        tokens, _, classes = shared.value
-        for batch in batches:
-            own = [(w, k) for w, k in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in tokens.numbers]
-            h = hashes([w for w, _ in own])
-            value = np.log(np.array([k for _, k in own], float) / classes[[1 + shape(w) for w, _ in own]]) if own else np.empty(0)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(h).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.rint(value * POINT).astype(np.int64))], names=["shard", "h", "v"])
-
-    def emit(batches):
-        tokens, flat, _ = shared.value
-        own, chunk = Network.of_flat(flat), TaskContext.get().partitionId() << 32
+    def run(batches):
+        tokens, chunk = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
                 texts = as_bytes(part.column("text"))
-                numbers, at, sizes = tokens.flat(texts)
-                total = np.concatenate(([0.0], np.cumsum(own.log_p(numbers, at))))
-                end = np.cumsum(sizes)
                 ids = part.column("doc_id").cast(pa.int64())
-                rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), sizes, (total[end] - total[end - sizes]).view(np.int64)))
-                out = [(chunk % n, chunk, ROWS, rows.tobytes(), b"")]
+                out = [(NUMBERS, r["bucket"], chunk, r["row"], r["key"], r["numbers"], b"") for r in _number_rows(part, tokens, chunk, buckets)]
+                rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), np.array([len(r[5]) // 2 for r in out], np.int64)))
                 rare = Rare(tokens.numbers)
-                found = np.concatenate([np.fromiter(map(rare.__getitem__, ws), dtype=np.int64, count=len(ws)) for t in texts for p in pieces(t) for ws in (p.split(),)])
-                row = np.repeat(np.arange(len(texts)), sizes)
+                found, sizes = [np.empty(0, np.int64)], rows[2]
+                for t in texts:
+                    for p in pieces(t):
+                        ws = p.split()
+                        found.append(np.fromiter(map(rare.__getitem__, ws), dtype=np.int64, count=len(ws)))
+                found, row = np.concatenate(found), np.repeat(np.arange(len(texts)), sizes)
                 key, times = np.unique((found * len(texts) + row)[found >= 0], return_counts=True)
                 word, row = np.divmod(key, len(texts))
-                h = hashes(rare.words)
-                order, bound = by_bucket(shard_of(h)[word], n)
-                for b in np.flatnonzero(np.diff(bound)):
-                    pick = order[bound[b] : bound[b + 1]]
+                h = _hashes(rare.words)
+                out.append((ROWS, chunk % n, chunk, 0, 0, rows.tobytes(), b""))
+                for b, pick in by_bucket((mix(h) % np.uint64(n)).astype(np.int64)[word], n):
                     which, each = np.unique(word[pick], return_counts=True)
-                    out.append((int(b), chunk, RARE, np.stack((h[which], each.astype(np.uint64))).tobytes(), np.stack((row[pick], times[pick])).astype("<u4").tobytes()))
+                    out.append((RARE, b, chunk, 0, 0, np.stack((h[which], each.astype(np.uint64))).tobytes(), np.stack((row[pick], times[pick])).astype("<u4").tobytes()))
                 yield table(out, _PA_BLOCK)
                 chunk += 1
 
+    return cut(_keyed(docs).mapInArrow(run, _BLOCK))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def whole_score(blocks: DataFrame, buckets: DataFrame, words: DataFrame, tokens: Tokens, counts: np.ndarray, network: Network, n: int) -> DataFrame:
+    """doc_id, n_tokens, score: of the numbers, and for every token beyond the vocabulary log p(token | its class) besides.
+
+    That is its share of its class in the counts of all documents, words. Counts and rare tokens of chunks of rows, both by
+    64-bit hash, are sharded and joined; sums in fixed point go back to the chunk, so that their order doesn't matter.
+    blocks: encoded(); buckets: packed() of its numbers.
+    """
+    sc = blocks.sparkSession.sparkContext
+    shared, flat = sc.broadcast((tokens, counts[: 1 + SHAPES])), sc.broadcast(network.flat())
+
+    def shares(batches):
+        tokens, classes = shared.value
+        for batch in batches:
+            own = [(w, k) for w, k in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in tokens.numbers]
+            h = _hashes([w for w, _ in own])
+            value = np.log(np.array([k for _, k in own], float) / classes[[1 + shape(w) for w, _ in own]]) if own else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array((mix(h) % np.uint64(n)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.rint(value * POINT).astype(np.int64))], names=["shard", "h", "v"])
+
+    def base(batches):
+        own = Network.of_flat(flat.value)
+        for batch in batches:
+            for r in batch.to_pylist():
+                sizes, chunks, rows = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["chunks"], "<i8"), np.frombuffer(r["rows"], "<i4")
+                numbers, at = spread(sizes, r["numbers"])
+                total, end = np.concatenate(([0.0], np.cumsum(own.log_p(numbers, at)))), np.cumsum(sizes)
+                sums = np.rint((total[end] - total[end - sizes]) * POINT).astype("<i8")
+                order = np.argsort(chunks, kind="stable")
+                cuts = np.flatnonzero(np.diff(chunks[order])) + 1
+                yield table([(BASE, 0, int(chunks[i[0]]), 0, 0, rows[i].astype("<u4").tobytes(), sums[i].tobytes()) for i in np.split(order, cuts) if len(i)], _PA_BLOCK)
+                trim()
+
     def join(key, known: pa.Table, blocks: pa.Table) -> pa.Table:
         h, v = np.asarray(known.column("h"), dtype=np.int64).view(np.uint64), np.asarray(known.column("v"), dtype=np.int64)
         order = np.argsort(h)
         h, v, out = h[order], v[order], []
-        for shard, chunk, kind, keys, rows in zip(*(blocks.column(c).to_pylist() for c in _PA_BLOCK.names), strict=True):
-            if kind == ROWS:
-                out.append((shard, chunk, ROWS, keys, b""))
-                continue
+        for chunk, keys, rows in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "a", "b")), strict=True):
             own, each = np.frombuffer(keys, "<u8").reshape(2, -1)
             row, times = np.frombuffer(rows, "<u4").reshape(2, -1).astype(np.int64)
             which, inverse = np.unique(row, return_inverse=True)
             sums = np.zeros(len(which), np.int64)
             np.add.at(sums, inverse, np.repeat(v[np.searchsorted(h, own)], each.astype(np.int64)) * times)
-            out.append((shard, chunk, SUMS, which.astype("<u4").tobytes(), sums.tobytes()))
+            out.append((SUMS, 0, chunk, 0, 0, which.astype("<u4").tobytes(), sums.tobytes()))
         return pa.Table.from_batches([table(out, _PA_BLOCK)])
 
     final = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
 
     def gather(group: pa.Table) -> pa.Table:
-        rows = list(zip(*(group.column(c).to_pylist() for c in ("kind", "keys", "rows")), strict=True))
-        ids, null, sizes, base = np.frombuffer(next(k for kind, k, _ in rows if kind == ROWS), "<i8").reshape(4, -1)
+        rows = list(zip(*(group.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True))
+        ids, null, sizes = np.frombuffer(next(a for kind, a, _ in rows if kind == ROWS), "<i8").reshape(3, -1)
         total = np.zeros(len(ids), np.int64)
-        for kind, k, r in rows:
-            if kind == SUMS:
-                total[np.frombuffer(k, "<u4")] += np.frombuffer(r, "<i8")
-        return pa.table([pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(base.view(np.float64) + total / POINT)], schema=final)
+        for kind, a, b in rows:
+            if kind != ROWS:
+                total[np.frombuffer(a, "<u4")] += np.frombuffer(b, "<i8")
+        return pa.table([pa.array(ids, mask=null.astype(bool)), pa.array(sizes), pa.array(total / POINT)], schema=final)
 
     mine = words.mapInArrow(shares, "shard int, h long, v long")
-    sums = mine.groupBy("shard").cogroup(docs.select("doc_id", "text").mapInArrow(emit, _BLOCK).groupBy("shard")).applyInArrow(join, _BLOCK)
-    return sums.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, score double")
+    rare = mine.groupBy("shard").cogroup(blocks.where(F.col("kind") == RARE).groupBy("shard")).applyInArrow(join, _BLOCK)
+    every = blocks.where(F.col("kind") == ROWS).unionByName(buckets.mapInArrow(base, _BLOCK)).unionByName(rare)
+    return every.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, score double")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, score, mean_score."""
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score."""
     words = counted(docs)
     tokens, counts = vocabulary(docs, words)
-    scored = whole_score(docs, words, tokens, counts, train(docs, tokens, counts))
-    return scored.select("doc_id", "n_tokens", F.round("score", 3).alias("score"), F.when(F.col("n_tokens") > 0, F.round(F.col("score") / F.col("n_tokens"), 5)).alias("mean_score"))
+    n = buckets_for(docs, 16 << 20, 2.0)
+    blocks = encoded(docs, tokens, counts, n)
+    numbers = F.col("kind") == NUMBERS
+    buckets = packed(blocks.where(numbers).select(F.col("shard").alias("bucket"), "chunk", "row", "key", F.col("a").alias("numbers")))
+    return whole_score(blocks, buckets, words, tokens, counts, train(buckets, counts), n)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, score, mean_score."""
+    return scored(docs).select("doc_id", "n_tokens", F.round("score", 3).alias("score"), F.when(F.col("n_tokens") > 0, F.round(F.col("score") / F.col("n_tokens"), 5)).alias("mean_score"))

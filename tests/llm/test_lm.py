@@ -76,11 +76,12 @@ def test_held_out(language):
     docs, held = language
     tokens, counts = lm.vocabulary(docs)
     start = lm.Network.start(counts, 7)
-    trained = lm.train(docs, tokens, counts, masked=0.9)
+    buckets = lm.numbers_of(docs, tokens, counts)
+    trained = lm.train(buckets, counts, masked=0.9)
     mean = lambda net, part: np.mean([r.score / r.n_tokens for r in lm.score(held.where(part), tokens, net).collect()])
     fresh, jumbled = mean(trained, "doc_id >= 2000"), mean(trained, "doc_id < 2000")
     assert fresh > mean(start, "doc_id >= 2000") + 0.5 and fresh > jumbled + 0.5
-    again = lm.train(docs, tokens, counts, masked=0.9)
+    again = lm.train(lm.numbers_of(docs.repartition(7), tokens, counts), counts, masked=0.9)  # another layout, the same model
     assert all(np.array_equal(a, b) for a, b in zip(trained.w, again.w, strict=True))
 
 
@@ -100,7 +101,12 @@ def test_rare_tokens_get_their_share_of_the_class(spark, monkeypatch):
     net = lm.Network.start(counts, 3)
     every = [w for t in [*texts, "w1 seldom"] for w in (t or "").encode().split()]
     plain = {(r.doc_id, r.n_tokens): r.score for r in lm.score(df, tokens, net).collect()}
-    got = lm.whole_score(df, words, tokens, counts, net).collect()
+    blocks = lm.encoded(df, tokens, counts, 5)
+    buckets = lm.numbers_of(df, tokens, counts)
+    rows = buckets.collect()
+    assert sum(len(r.numbers) // 2 for r in rows) == counts.sum()
+    buckets = lm.packed(blocks.where(lm.F.col("kind") == lm.NUMBERS).select(lm.F.col("shard").alias("bucket"), "chunk", "row", "key", lm.F.col("a").alias("numbers")))
+    got = lm.whole_score(blocks, buckets, words, tokens, counts, net, 5).collect()
     assert len(got) == len(texts) + 1
     by_id = dict([*enumerate(texts), (None, "w1 seldom")])
     for r in got:
@@ -109,3 +115,18 @@ def test_rare_tokens_get_their_share_of_the_class(spark, monkeypatch):
     monkeypatch.setattr(lm, "train", lambda *_: net)
     mean = {by_id[r.doc_id]: r.score for r in lm.report(df).collect()}
     assert mean["w1 often w2"] > mean["w1 seldom w2"] + 0.4
+
+
+def test_most_frequent(spark):
+    rng = random.Random(5)
+    rows = [(f"w{i}".encode(), rng.choice([1, 2, 3, 5, 8, 400, 401])) for i in range(500)]
+    df = cut(spark.createDataFrame(rows, "w binary, n long").repartition(5))
+    for k in (1, 30, 499, 500, 900):
+        assert [(bytes(r.w), r.n) for r in lm.most_frequent(df, k)] == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+    assert lm.most_frequent(df.where("n < 0"), 3) == []
+
+
+def test_scores_do_not_depend_on_the_layout(spark, awkward, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET", 4000)
+    got = [sorted(map(str, lm.report(df).collect())) for df in (awkward, cut(awkward.repartition(9)))]
+    assert got[0] == got[1] and len(got[0]) == awkward.count()
