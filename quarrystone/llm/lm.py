@@ -239,6 +239,48 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rows", p
 _PACKED_DDL = "bucket int, chunks binary, rows binary, sizes binary, numbers binary"
 
 
+class Coded(dict):
+    """Token -> its number in the vocabulary, else SIZE and more, in the order of first occurrence."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        super().__init__(numbers)
+        self.words: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = SIZE + len(self.words)
+        self.words.append(w)
+        return n
+
+
+class Shapes(dict):
+    """Tokens and their shapes, kept as long as there is room."""
+
+    def __missing__(self, w: bytes) -> int:
+        s = shape(w)
+        if len(self) < 300_000:
+            self[w] = s
+        return s
+
+
+_KEPT = Shapes()
+
+
+def coded(texts: list[bytes], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Codes of all tokens, their numbers, the number of tokens of each text, and the tokens beyond the vocabulary by code."""
+    codes = Coded(tokens.numbers)
+    parts, sizes = [np.empty(0, np.int32)], []
+    for t in texts:
+        n = 0
+        for p in pieces(t):
+            ws = p.split()
+            parts.append(np.fromiter(map(codes.__getitem__, ws), dtype=np.int32, count=len(ws)))
+            n += len(ws)
+        sizes.append(n)
+    out = np.concatenate(parts)
+    shapes = np.fromiter(map(_KEPT.__getitem__, codes.words), dtype=np.int32, count=len(codes.words))
+    return out, np.concatenate((np.arange(SIZE, dtype=np.int32), 1 + shapes))[out].astype("<u2"), np.array(sizes, dtype=np.int64), codes.words
+
+
 def packed(numbered: DataFrame) -> DataFrame:
     """One row for each bucket: its documents' places and numbers, in the order of keys. numbered: rows of _NUMBERS."""
 
@@ -267,7 +309,8 @@ def numbers_of(docs: DataFrame, tokens: Tokens, counts: np.ndarray) -> DataFrame
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_pylist(_number_rows(part, shared.value, chunk, n), schema=_NUMBERS)
+                _, numbers, sizes, _ = coded(as_bytes(part.column("text")), shared.value)
+                yield table(_number_rows(part, numbers, sizes, chunk, n), _NUMBERS)
                 chunk += 1
 
     return packed(_keyed(docs).mapInArrow(run, "bucket int, chunk long, row int, key long, numbers binary"))
@@ -277,12 +320,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
 
 
-def _number_rows(part: pa.RecordBatch, tokens: Tokens, chunk: int, n: int) -> list[dict]:
-    numbers, at, sizes = tokens.flat(as_bytes(part.column("text")))
-    plain, end = numbers[at].astype("<u2"), np.cumsum(sizes)
-    keys = np.asarray(part.column("key"), dtype=np.int64)
+def _number_rows(part: pa.RecordBatch, numbers: np.ndarray, sizes: np.ndarray, chunk: int, n: int) -> list[tuple]:
+    """Of each row: bucket, chunk, row, key, numbers."""
+    keys, end = np.asarray(part.column("key"), dtype=np.int64), np.cumsum(sizes).tolist()
     buckets = (mix(keys.view(np.uint64)) % np.uint64(n)).tolist()
-    return [{"bucket": b, "chunk": chunk, "row": i, "key": k, "numbers": plain[e - m : e].tobytes()} for i, (b, k, m, e) in enumerate(zip(buckets, keys.tolist(), sizes.tolist(), end.tolist(), strict=True))]
+    return [(b, chunk, i, k, numbers[e - m : e].tobytes()) for i, (b, k, m, e) in enumerate(zip(buckets, keys.tolist(), sizes.tolist(), end, strict=True))]
 
 
 def train(buckets: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, masked: float = MASKED, seed: int = 7) -> Network:
@@ -344,19 +386,6 @@ def score(docs: DataFrame, tokens: Tokens, network: Network) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
 
 
-class Rare(dict):
-    """Token -> -1 for the vocabulary's, else a number from 0 in the order of first occurrence."""
-
-    def __init__(self, numbers: dict[bytes, int]):
-        super().__init__(dict.fromkeys(numbers, -1))
-        self.words: list[bytes] = []
-
-    def __missing__(self, w: bytes) -> int:
-        n = self[w] = len(self.words)
-        self.words.append(w)
-        return n
-
-
 _BLOCK = "kind byte, shard int, chunk long, row int, key long, a binary, b binary"
 _PA_BLOCK = pa.schema([("kind", pa.int8()), ("shard", pa.int32()), ("chunk", pa.int64()), ("row", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 #: Kinds of blocks: a document's numbers (shard: its bucket), the rows of a chunk, the rare tokens of a chunk, and sums for
@@ -372,20 +401,14 @@ def encoded(docs: DataFrame, tokens: Tokens, counts: np.ndarray, n: int) -> Data
         tokens, chunk = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                texts = as_bytes(part.column("text"))
+                codes, numbers, sizes, words = coded(as_bytes(part.column("text")), tokens)
                 ids = part.column("doc_id").cast(pa.int64())
-                out = [(NUMBERS, r["bucket"], chunk, r["row"], r["key"], r["numbers"], b"") for r in _number_rows(part, tokens, chunk, buckets)]
-                rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), np.array([len(r[5]) // 2 for r in out], np.int64)))
-                rare = Rare(tokens.numbers)
-                found, sizes = [np.empty(0, np.int64)], rows[2]
-                for t in texts:
-                    for p in pieces(t):
-                        ws = p.split()
-                        found.append(np.fromiter(map(rare.__getitem__, ws), dtype=np.int64, count=len(ws)))
-                found, row = np.concatenate(found), np.repeat(np.arange(len(texts)), sizes)
-                key, times = np.unique((found * len(texts) + row)[found >= 0], return_counts=True)
-                word, row = np.divmod(key, len(texts))
-                h = _hashes(rare.words)
+                out = [(NUMBERS, b, c, i, k, x, b"") for b, c, i, k, x in _number_rows(part, numbers, sizes, chunk, buckets)]
+                rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), sizes))
+                beyond = np.flatnonzero(codes >= SIZE)
+                key, times = np.unique((codes[beyond].astype(np.int64) - SIZE) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)[beyond], return_counts=True)
+                word, row = np.divmod(key, len(sizes))
+                h = _hashes(words)
                 out.append((ROWS, chunk % n, chunk, 0, 0, rows.tobytes(), b""))
                 for b, pick in by_bucket((mix(h) % np.uint64(n)).astype(np.int64)[word], n):
                     which, each = np.unique(word[pick], return_counts=True)
