@@ -27,6 +27,7 @@ their bytes; an empty table gives an empty result; other columns are not read, s
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .quality import POINT, SHAPES, Cached, shape
 
 WINDOW, WIDTH, GROUPS = 2, 16, 64
 SIZE = GROUPS * GROUPS
-MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 2048, 0.1
+MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 4096, 0.1
 #: Weights are averaged in so many blocks.
 BLOCKS = 64
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
@@ -188,11 +189,10 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             for part in slices(batch):
-                seen: dict[bytes, int] = {}
+                seen: Counter = Counter()
                 for t in as_bytes(part.column("text")):
                     for p in pieces(t):
-                        for w in p.split():
-                            seen[w] = seen.get(w, 0) + 1
+                        seen.update(p.split())
                 yield table(seen.items(), schema)
 
     return cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
