@@ -20,6 +20,7 @@ from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
 from .operators import crawl, graph, retrieval, tree
 from .operators.chunking import char_windows, chunk, enrich
+from .operators.chunking import recursive_pieces as split_pieces
 from .sources.collections import last_wins
 from .sources.files import csv_rows, missing_sources, normalise
 from .stem_sql import stems
@@ -446,11 +447,7 @@ def translate_pieces(spark, sf_dir):
 
 @query()
 def recursive_pieces(spark, sf_dir):
-    from .operators.chunking import register_recursive_split
-
-    register_recursive_split(spark)
-    _docs(spark, sf_dir).createOrReplaceTempView("_qs_docs")
-    return spark.sql("SELECT doc_id, piece_index, piece FROM _qs_docs, LATERAL recursive_split(text, 500, 50)")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(split_pieces("text", 500, 50)).alias("piece_index", "piece"))
 
 
 VIDEOS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1", "https://youtu.be/abcdefghijk", "https://www.youtube.com/embed/ABC_def-123", "https://x.org/v/12345678901", "abcdefghij_", "too-short", "https://youtu.be/short"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from ..functions.tokens import Tokenizer, count_tokens, decoded, encoded, tokens
@@ -70,6 +72,16 @@ def recursive_split(text: str, size: int = 500, overlap: int = 50, separators: t
     return out
 
 
+def recursive_pieces(text: Column | str, size: int = 500, overlap: int = 50) -> Column:
+    """recursive_split as an array, in Arrow batches; null and blank texts give none."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([recursive_split(t or "", size, overlap) for t in texts], dtype=object)
+
+    return run(T._c(text))
+
+
 def register_recursive_split(spark, name: str = "recursive_split") -> None:
     """A table function: SELECT * FROM name(text, size, overlap)."""
 

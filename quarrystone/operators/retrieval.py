@@ -39,11 +39,24 @@ def dense_topk(nodes: DataFrame, query: Sequence[float], k: int, key: str = "id"
     return nodes.select(key, score.alias("score")).where("score is not null and not isnan(score)").orderBy(F.desc("score"), key).limit(k)
 
 
-def dense_topk_many(nodes: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): for a stated set of queries (query_id, vector). The queries go round in blocks.
+def dense_topk_many(nodes: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
+    """(query_id, key, score, rank): for a stated set of queries (query_id, vector). They are broadcast in blocks of this size.
 
-    Partial top-k lists of every task meet by query, so a query's list never holds more than k rows a task.
+    Each block is a pass over the nodes. Partial top-k lists of every batch meet by query, which keeps k rows.
     """
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    blocks = max(1, -(-n * width * 8 // block_bytes))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    partial = None
+    for b in range(blocks):
+        one = _partial_topk(nodes, queries.where(block == b) if blocks > 1 else queries, k, key, vector)
+        partial = one if partial is None else partial.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _partial_topk(nodes: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    """(query_id, key, score): the k best nodes of each batch for each query of a block."""
     import numpy as np
     import pandas as pd
 
@@ -68,9 +81,7 @@ def dense_topk_many(nodes: DataFrame, queries: DataFrame, k: int, key: str = "id
                 for i, t in enumerate(top):
                     yield pd.DataFrame({"query_id": ids[at + i], key: f[key].to_numpy()[t], "score": s[i, t]})
 
-    partial = nodes.select(key, vector).mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return nodes.select(key, vector).mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double")
 
 
 def weight(tf: Column, length: Column) -> Column:

@@ -33,8 +33,11 @@ def recent_visits(requests: DataFrame, time: str, delay: str) -> DataFrame:
     return requests.withColumn("url", normalize_url("url")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["project", "url"])
 
 
-def histories(turns: DataFrame, keep: int = 50) -> DataFrame:
-    """(conv_id, n_turns, history) after each micro-batch, from turns (conv_id, turn, role, text); keyed state, last turns kept."""
+def histories(turns: DataFrame, keep: int | None = None) -> DataFrame:
+    """(conv_id, n_turns, history) after each micro-batch, from turns (conv_id, turn, role, text); keyed state.
+
+    keep: only so many last turns stay, for conversations without an end; all by default.
+    """
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, held = state.get if state.exists else (0, [])
@@ -42,7 +45,7 @@ def histories(turns: DataFrame, keep: int = 50) -> DataFrame:
         for f in frames:
             n += len(f)
             rows += [[int(t), f"{r}: {x}"] for t, r, x in zip(f["turn"], f["role"], f["text"], strict=True)]
-        rows = sorted(rows)[-keep:]
+        rows = sorted(rows)[-keep:] if keep else sorted(rows)
         state.update((n, [tuple(r) for r in rows]))
         yield pd.DataFrame({"conv_id": [key[0]], "n_turns": [n], "history": ["\n".join(r[1] for r in rows)]})
 

@@ -217,6 +217,7 @@ def test_dense_many_agrees_with_one(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "id")
     q = e.where("id in (7, 8)").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     many = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_topk_many(e, q, 5).collect()}
+    assert many == {(r.query_id, r["rank"]): r.id for r in retrieval.dense_topk_many(e, q, 5, block_bytes=600).collect()} and len(many) == 10
     for i in (7, 8):
         v = e.where(F.col("id") == i).first().embedding
         assert [many[i, k + 1] for k in range(5)] == [r.id for r in retrieval.dense_topk(e, v, 5).collect()]
