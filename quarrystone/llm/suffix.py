@@ -306,9 +306,9 @@ def removals(docs: DataFrame, width: int = 100, **options) -> DataFrame:
     """docs with _qs_spans (packed byte spans to remove) and _qs_whole (the text equals an earlier one)."""
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     rows = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("_qs_id"), key.alias("k"))
-    least = rows.groupBy("k").agg(F.min("_qs_id").alias("low"), F.max("_qs_id").alias("high")).where("high > low and k.n > 0").select("k.a", "low")
+    least = rows.groupBy("k").agg(F.min("_qs_id").alias("low"), F.max("_qs_id").alias("high")).where("high > low and k.n > 0").select(F.col("k").alias("l"), "low")
     # nothing that needs a key's rows together stands above this join, so that a hot text's rows can be split
-    later = cut(rows.select("_qs_id", F.col("k.a").alias("_qs_th")).join(least, F.col("_qs_th") == F.col("a")).where("_qs_id > low").select("_qs_id", "_qs_th"))
+    later = cut(rows.join(least, F.col("k") == F.col("l")).where("_qs_id > low").select("_qs_id", F.col("k.a").alias("_qs_th")))
     later = cut(later.distinct())
     same = lambda d: (F.col("_qs_id") == F.coalesce(d["doc_id"], F.lit(_NULL))) & (F.col("_qs_th") == F.xxhash64(d["text"]))
     firsts = docs.join(small_or_shuffled(later, 32), same(docs), "left_anti")
