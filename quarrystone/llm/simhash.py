@@ -15,7 +15,7 @@ Links: fingerprints at distance 1 to 3 meet at a variant between them, and only
   distance. A group holds at most 1 + 64 + 992 distinct fingerprints, so none is large, and no pairs within it are
   listed.
 
-Equal fingerprints are one node, whatever their number. Variants are shuffled as packed blocks, of about 6 bytes each.
+Equal fingerprints are one node, whatever their number. Variants are shuffled as packed blocks, 8 bytes each.
 
 Two passes: fingerprints that are close to many others list their links again at every variant they share. So the first pass
 emits one-step variants only, 65 at most, which link all at 1 or 2 bits; the second emits all, carries what the first has
@@ -106,15 +106,15 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, _qs_th long, fp long")
 
 
-_BLOCK = "bucket long, x binary, id binary, comp binary, at binary, counts binary"
-_PA_BLOCK = pa.schema([("bucket", pa.int64()), ("x", pa.binary()), ("id", pa.binary()), ("comp", pa.binary()), ("at", pa.binary()), ("counts", pa.binary())])
+_BLOCK = "bucket long, x binary, comp binary, counts binary"
+_PA_BLOCK = pa.schema([("bucket", pa.int64()), ("x", pa.binary()), ("comp", pa.binary()), ("counts", pa.binary())])
 
 
-def _blocks(t: int, x: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: int, masks: tuple[np.ndarray, np.ndarray]):
-    """The variants of fingerprints x of table t, 65,536 of them at most: one row for each bucket.
+def _blocks(t: int, x: np.ndarray, comps: np.ndarray, n: int, masks: tuple[np.ndarray, np.ndarray]):
+    """The variants of fingerprints x of table t: one row for each bucket.
 
-    A row has the fingerprints that it is about with their ids and components, then by mask the places of those whose
-    variants by this mask are in the bucket, and how many each mask has.
+    A row has, by mask, the fingerprints whose variants by this mask are in the bucket, how many each mask has, and their
+    components, less the fingerprints themselves: nothing but zeros, which compress, where most are alone.
     """
     odd = np.bitwise_count(x) & 1
     zs, ats, flips = [], [], []
@@ -123,12 +123,12 @@ def _blocks(t: int, x: np.ndarray, ids: np.ndarray, comps: np.ndarray, n: int, m
         zs.append((masks[parity][:, None] ^ x[at][None, :]).ravel())
         ats.append(np.tile(at, len(masks[parity])))
         flips.append(np.repeat(np.arange(first, first + len(masks[parity]), dtype=np.int32), len(at)))
-    at, flip = np.concatenate(ats), np.concatenate(flips)
-    every = sum(map(len, masks))
+    at, flip, every = np.concatenate(ats), np.concatenate(flips), sum(map(len, masks))
+    linked = comps ^ x
     for b, own in by_bucket((mix(np.concatenate(zs)) % _U(n)).astype(np.int64), n):
-        used, place = np.unique(at[own], return_inverse=True)
-        other = b"" if ids is comps else comps[used].tobytes()
-        yield t * n + b, x[used].tobytes(), ids[used].tobytes(), other, place.astype("<u2").tobytes(), np.bincount(flip[own], minlength=every).astype("<u4").tobytes()
+        which = at[own]
+        other = linked[which]
+        yield t * n + b, x[which].tobytes(), other.tobytes() if other.any() else b"", np.bincount(flip[own], minlength=every).astype("<u4").tobytes()
 
 
 def star_links(z: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -143,9 +143,9 @@ def star_links(z: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def meetings(nodes: DataFrame, masks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(a, b): ids of fingerprints of one table that meet at a variant and are at 3 bits or fewer, in different components.
+    """(t, a, b): fingerprints of table t that meet at a variant and are at 3 bits or fewer, in different components.
 
-    nodes: (t, fp, id, comp), distinct (t, fp). One link for each pair of components and bucket.
+    nodes: (t, fp, comp), distinct (t, fp); comp is fp where it is alone. One link for each pair of components and bucket.
     """
     spark = nodes.sparkSession
     count = nodes.count()
@@ -156,56 +156,52 @@ def meetings(nodes: DataFrame, masks: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def emit(batches):
         for batch in batches:
-            t, fp, ids, comps = (np.asarray(batch.column(c), dtype=np.int64) for c in ("t", "fp", "id", "comp"))
+            t, fp, comps = (np.asarray(batch.column(c), dtype=np.int64) for c in ("t", "fp", "comp"))
             for k in np.unique(t).tolist():
                 own = np.flatnonzero(t == k)
                 for at in range(0, len(own), 2 * NODES):
                     pick = own[at : at + 2 * NODES]
-                    label = ids[pick]
-                    yield table(_blocks(k, fp[pick].view(_U), label, label if (comps[pick] == label).all() else comps[pick], n, masks), _PA_BLOCK)
+                    yield table(_blocks(k, fp[pick].view(_U), comps[pick].view(_U), n, masks), _PA_BLOCK)
 
     def meet(group: pa.Table) -> pa.Table:
-        zs, xs, labels, comps = [], [], [], []
-        for x, i, c, at, counts in zip(*(group.column(k).to_pylist() for k in ("x", "id", "comp", "at", "counts")), strict=True):
-            at = np.frombuffer(at, "<u2")
-            x, i = np.frombuffer(x, _U), np.frombuffer(i, "<i8")
-            xs.append(x[at])
-            labels.append(i[at])
-            comps.append((np.frombuffer(c, "<i8") if c else i)[at])
+        zs, xs, comps = [], [], []
+        for x, c, counts in zip(*(group.column(k).to_pylist() for k in ("x", "comp", "counts")), strict=True):
+            xs.append(np.frombuffer(x, dtype=_U))
+            comps.append(xs[-1] ^ np.frombuffer(c, dtype=_U) if c else xs[-1])
             zs.append(xs[-1] ^ np.repeat(every, np.frombuffer(counts, "<u4")))
-        z, x, label, comp = (np.concatenate(v) for v in (zs, xs, labels, comps))
+        z, x, comp = (np.concatenate(v) for v in (zs, xs, comps))
         order = np.argsort(z)  # most variants are of one fingerprint alone: those go first
         s = z[order]
         same = s[1:] == s[:-1]
         shared = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         pair = shared[star_links(z[shared], x[shared])] if len(shared) else np.empty((0, 2), np.int64)
         pair = pair[comp[pair[:, 0]] != comp[pair[:, 1]]]
-        ends = np.sort(comp[pair], axis=1)
-        _, first = np.unique(ends, axis=0, return_index=True) if len(ends) else (None, np.empty(0, np.int64))
-        found = label[pair[first]]
-        return pa.table({"a": pa.array(found.min(axis=1) if len(found) else found[:, 0]), "b": pa.array(found.max(axis=1) if len(found) else found[:, 0])})
+        if len(pair):
+            pair = pair[np.unique(np.sort(comp[pair], axis=1), axis=0, return_index=True)[1]]
+        found = np.sort(x[pair].view(np.int64), axis=1)
+        return pa.table({"t": pa.array(np.full(len(found), group.column("bucket")[0].as_py() // n, np.int32)), "a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     # blocks are tasks times buckets: a task has enough fingerprints, of one table, for blocks worth their number
-    dealt = nodes.repartitionByRange(-(-count // NODES) or 1, "t", "fp").select("t", "fp", "id", "comp")
-    return dealt.mapInArrow(emit, _BLOCK).groupBy("bucket").applyInArrow(meet, "a long, b long")
+    dealt = nodes.repartitionByRange(-(-count // NODES) or 1, "t", "fp").select("t", "fp", "comp")
+    return dealt.mapInArrow(emit, _BLOCK).groupBy("bucket").applyInArrow(meet, "t int, a long, b long")
 
 
 def near(nodes: DataFrame) -> DataFrame:
-    """(a, b): links of one-step variants, which join all fingerprints of a table at 1 or 2 bits. nodes: (t, fp, id)."""
-    return meetings(nodes.select("t", "fp", "id", F.col("id").alias("comp")), ONE_STEP)
+    """(t, a, b): links of one-step variants, which join all fingerprints of a table at 1 or 2 bits. nodes: (t, fp)."""
+    return meetings(nodes.select("t", "fp", F.col("fp").alias("comp")), ONE_STEP)
 
 
-def far(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): links that join what is at 3 bits or fewer and not in one component (node, root) yet."""
-    placed = nodes.join(roots, nodes["id"] == roots["node"], "left").select("t", "fp", "id", F.coalesce("root", "id").alias("comp"))
+def far(nodes: DataFrame, roots: DataFrame, by: str = "fp") -> DataFrame:
+    """(t, a, b): links that join what is at 3 bits or fewer and not in one component (node, root) yet. by: the node's column."""
+    placed = nodes.join(roots, nodes[by] == roots["node"], "left").select("t", "fp", F.coalesce("root", "fp").alias("comp"))
     return meetings(cut(placed), MASKS)
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints fp, enough to connect all that are at 3 bits or fewer."""
-    named = cut(nodes.select(F.lit(0).alias("t"), "fp", F.col("fp").alias("id")))
-    first = cut(near(named).distinct())
-    return first.union(far(named, components(first))).distinct()
+    named = cut(nodes.select(F.lit(0).alias("t"), "fp"))
+    first = cut(near(named).select("a", "b").distinct())
+    return first.union(far(named, components(first)).select("a", "b")).distinct()
 
 
 def groups(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -418,7 +414,7 @@ def _allowed(th: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarra
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 1) -> DataFrame:
     """(doc_id, _qs_th, keeper): the keeper is the smallest (doc_id, text hash) of a row's group; one row for each distinct key.
 
     Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. Candidates come first from
@@ -431,8 +427,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     each = prints.select("th", F.posexplode("fps").alias("t", "fp"))
     nodes = cut(each.groupBy("t", "fp").agg(F.min("th").alias("id")))
     within = each.join(nodes, ["t", "fp"]).where("th <> id").select(F.col("id").alias("a"), F.col("th").alias("b"))
-    edges = cut(verified(docs, cut(near(nodes).union(within).distinct()), width, similarity))
-    edges = cut(edges.union(verified(docs, cut(far(nodes, components(edges)).distinct()), width, similarity)))
+    a, b = nodes.select("t", F.col("fp").alias("a"), F.col("id").alias("x")), nodes.select("t", F.col("fp").alias("b"), F.col("id").alias("y"))
+    texts = lambda found: found.join(a, ["t", "a"]).join(b, ["t", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b")
+    edges = cut(verified(docs, cut(texts(near(nodes)).union(within).distinct()), width, similarity))
+    edges = cut(edges.union(verified(docs, cut(texts(far(nodes, components(edges), "id")).distinct()), width, similarity)))
     roots = components(edges)
     groups = cut(prefix_groups(docs, roots, width, similarity))
     for forest in (True, False):  # first a few pairs of each group, then all that these have not joined
@@ -446,7 +444,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     return placed.join(first, "root").select("doc_id", "_qs_th", F.struct("first.doc_id", "first._qs_th").alias("keeper"))
 
 
-def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 1) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id. All columns kept.
 
     The keys to drop are broadcast only if few. Rows that repeat both doc_id and text are one document: one stays.
