@@ -51,6 +51,8 @@ BUCKET = 1 << 20
 GROUPED = 1 << 16
 #: Cells in which shingles are counted, to tell common from rare ones.
 CELLS = 1 << 22
+#: Bits of a text's bitmap at most: 1 KB. Texts of up to some 18,000 shingles are told apart by them.
+WIDEST = 1 << 13
 #: Per byte value, its bits as counters of 8 bits.
 _SPREAD = np.array([sum(1 << 8 * i for i in range(8) if b >> i & 1) for b in range(256)], dtype=_U)
 
@@ -270,27 +272,33 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
     return sided.mapInArrow(compare, "a long, b long")
 
 
-def commonness(docs: DataFrame, width: int) -> np.ndarray:
-    """Per cell of shingle hashes, twice the log2 of how often its shingles occur. It orders shingles; no result depends on it."""
-    schema = pa.schema([("block", pa.int32()), ("n", pa.binary())])
+def commonness(docs: DataFrame, width: int) -> tuple[np.ndarray, DataFrame]:
+    """Per cell of shingle hashes, twice the log2 of how often its shingles occur, and (th, bits): every text's bitmap.
+
+    The cells order shingles; no result depends on them. Both come from one pass over the texts.
+    """
+    schema = pa.schema([("block", pa.int32()), ("th", pa.int64()), ("x", pa.binary())])
 
     def count(batches):
         own = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                every = np.concatenate([text_hashes(t, width) for t in as_bytes(part.column("text"))])
-                cell, n = np.unique((every % _U(CELLS)).astype(np.int64), return_counts=True)
+                each = [text_hashes(t, width) for t in as_bytes(part.column("text"))]
+                cell, n = np.unique((np.concatenate(each) % _U(CELLS)).astype(np.int64), return_counts=True)
                 own[cell] += n.astype(np.uint32)
-        yield table([(b, x.tobytes()) for b, x in enumerate(np.array_split(np.minimum(own, 255).astype(np.uint8), 64)) if x.any()], schema)
+                texts, first = np.unique(np.asarray(part.column("_qs_th"), dtype=np.int64), return_index=True)
+                yield table([(None, th, bitmap(np.unique(each[i]))) for th, i in zip(texts.tolist(), first.tolist(), strict=True)], schema)
+        yield table([(b, None, x.tobytes()) for b, x in enumerate(np.array_split(np.minimum(own, 255).astype(np.uint8), 64)) if x.any()], schema)
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in group.column("n").to_pylist())
-        return pa.Table.from_batches([table([(group.column("block")[0].as_py(), (2 * np.log2(1 + total)).astype(np.uint8).tobytes())], schema)])
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int64) for x in group.column("x").to_pylist())
+        return pa.Table.from_batches([table([(group.column("block")[0].as_py(), None, (2 * np.log2(1 + total)).astype(np.uint8).tobytes())], schema)])
 
+    found = cut(keyed(docs).mapInArrow(count, "block int, th long, x binary"))
     out = np.array_split(np.zeros(CELLS, np.uint8), 64)
-    for r in docs.select("text").mapInArrow(count, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect():
-        out[r["block"]] = np.frombuffer(r["n"], np.uint8)
-    return np.concatenate(out)
+    for r in found.where("block is not null").groupBy("block").applyInArrow(add, "block int, th long, x binary").collect():
+        out[r["block"]] = np.frombuffer(r["x"], np.uint8)
+    return np.concatenate(out), found.where("th is not null").select("th", F.col("x").alias("bits")).dropDuplicates(["th"])
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
@@ -301,29 +309,39 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.nd
     return shingles[np.lexsort((shingles, common[(shingles % _U(CELLS)).astype(np.int64)]))[:most]]
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Per set four longs: for each of 256 cells, whether an odd number of its shingles fall there.
+def bitmap(shingles: np.ndarray) -> bytes:
+    """For each cell, whether an odd number of the shingles fall there. Cells: the next power of two, 256 to WIDEST.
 
-    Two sets differ in at least as many shingles as their bitmaps do in bits.
+    Two sets differ in at least as many shingles as their bitmaps do in bits. A bitmap whose halves are xored is the
+    narrower one of the same set.
     """
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    cell = (mix(np.concatenate([np.empty(0, _U), *sets])) >> _U(56)).astype(np.int64)
-    odd = np.bincount(row * 256 + cell, minlength=256 * len(sets)) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view("<i8")
-
-
-_BITS = ["b0", "b1", "b2", "b3"]
-_MEMBERS = "g long, th long, size long, b0 long, b1 long, b2 long, b3 long"
+    cells = min(max(256, 1 << (len(shingles) - 1).bit_length()), WIDEST)
+    odd = np.bincount((mix(shingles) & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: list[bytes]) -> dict[int, tuple[int, np.ndarray]]:
+    """By width: the first bitmap that has it, and all from there on at this width. bits: by ascending width."""
+    width, out, wider = np.array([len(x) for x in bits]), {}, None
+    for w in np.unique(width)[::-1].tolist():
+        own = np.flatnonzero(width == w)
+        rows = np.frombuffer(b"".join(bits[own[0] : own[-1] + 1]), _U).reshape(len(own), -1)
+        if wider is not None:
+            while wider.shape[1] > rows.shape[1]:
+                wider = wider[:, : wider.shape[1] // 2] ^ wider[:, wider.shape[1] // 2 :]
+            rows = np.concatenate((rows, wider))
+        out[w], wider = (int(own[0]), rows), rows
+    return out
 
 
-def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(g, th, size, bitmaps): the texts, by hash, of each group that shares a shingle of its prefixes and has several roots.
+def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: float, commonest: np.ndarray) -> DataFrame:
+    """(g, th, size): the texts, by hash, of each group that shares a shingle of its prefixes and has several roots.
 
     Complete: a pair of the similarity holds at least that share of the larger set in common, so the prefixes, taken in one
-    order for all texts, meet. roots: (node, root) of what is linked already.
+    order for all texts, meet. roots: (node, root) of what is linked already; commonest: of cells, see commonness().
     """
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(commonness(docs, width))
+    common = spark.sparkContext.broadcast(commonest)
     n = buckets_for(docs, 8 << 20, 2.0)
     blocks = pa.schema([("bucket", pa.int32()), ("h", pa.binary()), ("times", pa.binary()), ("rows", pa.binary())])
 
@@ -333,7 +351,7 @@ def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: flo
                 each = [np.unique(text_hashes(t, width)) for t in as_bytes(part.column("text"))]
                 th, root = (np.asarray(part.column(c), dtype=np.int64) for c in ("_qs_th", "root"))
                 # roots are mostly the texts themselves: their differences compress to nothing
-                rows = np.column_stack((th, th ^ root, np.array([len(x) for x in each], np.int64), bitmaps(each)))
+                rows = np.column_stack((th, th ^ root, np.array([len(x) for x in each], np.int64)))
                 first = [prefix(x, similarity, common.value) for x in each]
                 h, row = np.concatenate(first), np.repeat(np.arange(len(first)), [len(x) for x in first])
                 out = []
@@ -346,12 +364,12 @@ def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: flo
         hs, parts = [], []
         for h, times, rows in zip(*(group.column(c).to_pylist() for c in ("h", "times", "rows")), strict=True):
             hs.append(np.frombuffer(h, _U))
-            parts.append(np.repeat(np.frombuffer(rows, "<i8").reshape(7, -1), np.frombuffer(times, "<u4"), axis=1))
+            parts.append(np.repeat(np.frombuffer(rows, "<i8").reshape(3, -1), np.frombuffer(times, "<u4"), axis=1))
         h, rows = np.concatenate(hs), np.concatenate(parts, axis=1)
         order = np.lexsort((rows[0], h))
         h, rows = h[order], rows[:, order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (rows[0, 1:] != rows[0, :-1])))
-        h, (th, off, size, *bits) = h[new], rows[:, new]
+        h, (th, off, size) = h[new], rows[:, new]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         several = np.flatnonzero(np.minimum.reduceat(th ^ off, head) != np.maximum.reduceat(th ^ off, head))
         ends, seen, pick, numbers = np.concatenate((head[1:], [len(h)])), set(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -362,14 +380,14 @@ def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: flo
                 pick.append(np.arange(head[g], ends[g]))
                 numbers.append(np.full(len(pick[-1]), h[head[g]].view(np.int64)))
         pick = np.concatenate(pick)
-        return pa.table([np.concatenate(numbers), th[pick], size[pick], *(b[pick] for b in bits)], names=["g", "th", "size", *_BITS])
+        return pa.table([np.concatenate(numbers), th[pick], size[pick]], names=["g", "th", "size"])
 
     placed = keyed(docs).join(small_or_shuffled(roots, 16), F.col("_qs_th") == F.col("node"), "left").select("text", "_qs_th", F.coalesce("root", "_qs_th").alias("root"))
-    return placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, _MEMBERS)
+    return placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, "g long, th long, size long")
 
 
-def prefix_pairs(groups: DataFrame, roots: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(a, b): texts of a group, of different roots, whose sizes and bitmaps allow the similarity.
+def prefix_pairs(groups: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b): texts of a group, of different roots, whose sizes and bitmaps (th, bits) allow the similarity.
 
     forest: of those only so many that they join all that the others join, at most one less than a group has texts. A large
     group of copies is joined by them without a list of its pairs.
@@ -377,36 +395,37 @@ def prefix_pairs(groups: DataFrame, roots: DataFrame, similarity: float, forest:
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        g, th, size, root, *bits = (np.asarray(group.column(c), dtype=np.int64) for c in ("g", "th", "size", "root", *_BITS))
+        g, th, size, root = (np.asarray(group.column(c), dtype=np.int64) for c in ("g", "th", "size", "root"))
         order = np.lexsort((th, size, g))
-        g, th, size, root, bits = g[order], th[order], size[order], root[order], np.stack(bits, axis=1)[order].view(_U)
+        g, th, size, root, bits = g[order], th[order], size[order], root[order], group.column("bits").take(pa.array(order)).to_pylist()
         head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         out = [np.empty((0, 2), np.int64)]
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(g)], strict=True):
             out += _allowed(th[a:b], size[a:b], root[a:b], bits[a:b], similarity, forest)
         return pa.Table.from_arrays(list(map(pa.array, np.concatenate(out).T)), schema=pairs)
 
-    placed = groups.join(roots, groups["th"] == roots["node"], "left").select("g", "th", "size", *_BITS, F.coalesce("root", "th").alias("root"))
+    placed = groups.join(roots, groups["th"] == roots["node"], "left").select("g", "th", "size", F.coalesce("root", "th").alias("root"))
     several = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
     # most groups have a few texts: thousands are handled at once
     n = max(2 * shuffle_partitions(groups.sparkSession), groups.count() // GROUPED)
-    dealt = placed.join(several, "g", "left_semi").withColumn("_qs_n", F.pmod(F.xxhash64("g"), F.lit(n)))
+    dealt = placed.join(several, "g", "left_semi").join(bits, "th").withColumn("_qs_n", F.pmod(F.xxhash64("g"), F.lit(n)))
     return dealt.groupBy("_qs_n").applyInArrow(run, "a long, b long").distinct()
 
 
-def _allowed(th: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, similarity: float, forest: bool) -> list[np.ndarray]:
+def _allowed(th: np.ndarray, size: np.ndarray, root: np.ndarray, bits: list[bytes], similarity: float, forest: bool) -> list[np.ndarray]:
     """prefix_pairs of one group, its texts by ascending size."""
     # of sizes m <= n and the similarity s, at least s * n are common: m >= s * n, and (m + n) * (1 - s) / (1 + s) differ
     low = np.searchsorted(size, similarity * size - 1e-9)
-    joined, out = root.copy(), []
+    joined, out, at = root.copy(), [], folded(bits)
     for i in range(1, len(th)):
         smaller = slice(low[i], i)
-        apart = np.bitwise_count(bits[smaller] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        first, rows = at[len(bits[low[i]])]  # the narrowest of them
+        apart = np.bitwise_count(rows[low[i] - first : i - first] ^ rows[i - first]).sum(axis=1, dtype=np.int64)
         j = np.flatnonzero((joined[smaller] != joined[i]) & (apart <= (size[smaller] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-9))
         if forest and len(j):
             j = j[np.argsort(apart[j], kind="stable")]
-            others, first = np.unique(joined[low[i] + j], return_index=True)  # the nearest of each
-            j = j[first]
+            others, nearest = np.unique(joined[low[i] + j], return_index=True)
+            j = j[nearest]
             joined[np.isin(joined, others)] = joined[i]
         if len(j):
             j += low[i]
@@ -432,9 +451,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     edges = cut(verified(docs, cut(texts(near(nodes)).union(within).distinct()), width, similarity))
     edges = cut(edges.union(verified(docs, cut(texts(far(nodes, components(edges), "id")).distinct()), width, similarity)))
     roots = components(edges)
-    groups = cut(prefix_groups(docs, roots, width, similarity))
+    commonest, bits = commonness(docs, width)
+    groups, bits = cut(prefix_groups(docs, roots, width, similarity, commonest)), cut(bits)
     for forest in (True, False):  # first a few pairs of each group, then all that these have not joined
-        rest = cut(prefix_pairs(groups, roots, similarity, forest))
+        rest = cut(prefix_pairs(groups, roots, bits, similarity, forest))
         if rest.head(1):
             edges = cut(edges.union(verified(docs, rest, width, similarity)))
             roots = components(edges)

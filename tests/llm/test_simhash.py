@@ -169,10 +169,25 @@ def test_links_of_dense_groups_are_few(spark):
 
 
 def test_bitmaps_bound_what_differs():
-    rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 40, 300)]
-    sets += [np.concatenate((s[: len(s) * 3 // 4], rng.integers(0, 1 << 63, 9, dtype=np.uint64))) for s in sets]
-    bits = simhash.bitmaps(sets).view(np.uint64)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            assert np.bitwise_count(bits[i] ^ bits[j]).sum() <= len(np.setxor1d(a, b))
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    sets = sorted((np.unique(rng.choice(pool, n, replace=False)) for n in (0, 1, 9, 200, 256, 257, 500, 900, 3000, 9000, 12_000)), key=len)
+    sets += [np.unique(np.concatenate((sets[-1][:-200], pool[:150])))]
+    sets.sort(key=len)
+    at = simhash.folded([simhash.bitmap(x) for x in sets])
+    assert set(at) == {32, 64, 128, 512, 1024}
+    for first, rows in at.values():
+        for i in range(first, len(sets)):
+            for j in range(first, i):
+                apart = int(np.bitwise_count(rows[i - first] ^ rows[j - first]).sum())
+                assert apart <= len(np.setxor1d(sets[i], sets[j]))
+    # of one width, a folded bitmap is the narrower one of the same set
+    for x in sets[5:]:
+        cells = (simhash.mix(x) & np.uint64(255)).astype(np.int64)
+        narrow = np.packbits((np.bincount(cells, minlength=256) & 1).astype(np.uint8))
+        rows = simhash.folded([simhash.bitmap(sets[0]), simhash.bitmap(x)])[32][1]
+        assert rows[1].tobytes() == narrow.tobytes()
+    # long texts that share half of their shingles are told apart
+    x, y = np.unique(pool[:1500]), np.unique(pool[500:2000])
+    first, rows = simhash.folded([simhash.bitmap(x), simhash.bitmap(y)])[256]
+    assert int(np.bitwise_count(rows[0] ^ rows[1]).sum()) > (len(x) + len(y)) / 9
