@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, licenses, lm, mixing, pii, quality, simhash, sql, substring, suffix
+from . import decontaminate, fingerprint, langid, licenses, lm, mixing, negatives, pii, quality, simhash, sql, substring, suffix, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(_read(spark, sf_dir, "conversations"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": sql.OP3_SUBSTRING, "op7_decontaminate": sql.OP7_DECONTAMINATE, "op8_licenses": sql.OP8_LICENSES}
+    return {"op3_substring": sql.OP3_SUBSTRING, "op7_decontaminate": sql.OP7_DECONTAMINATE, "op8_licenses": sql.OP8_LICENSES, "op11_trie": sql.OP11_TRIE, "op12_negatives": sql.OP12_NEGATIVES}

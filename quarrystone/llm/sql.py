@@ -51,3 +51,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels, greatest(coalesce(cover, 0), CASE WHEN n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
  FROM d LEFT JOIN base USING (rid) LEFT JOIN more USING (rid)
 """
+
+#: crc32 bit by bit; k is a node's whole sequence of turns.
+OP11_TRIE = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS own FROM t GROUP BY conv_id),
+ bits AS (SELECT conv_id, own, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+   lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384::UBIGINT))) AS crc FROM o),
+ h AS (SELECT conv_id, own, (xor(crc, 4294967295::UBIGINT) % 6)::BIGINT AS h FROM bits),
+ r AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS s FROM h c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 100),
+ m AS (SELECT conv_id, len(s) AS n, d, s[1:d] AS k, s[d] AS last FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r) x),
+ g AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256, bool_and(n = d) AS leaf,
+   (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE length(any_value(last.text)) END AS saved FROM m GROUP BY k, d),
+ up AS (SELECT k[1:e] AS k, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens, count(*) FILTER (d = e + 1) AS n_children FROM (SELECT k, d, leaf, saved, unnest(range(0, d + 1)) AS e FROM g) y GROUP BY 1)
+SELECT g.conv_id::BIGINT AS conv_id, g.d::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, g.n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+ FROM g JOIN up ON g.k = up.k LEFT JOIN g p ON p.d = g.d - 1 AND p.k = g.k[1:g.d - 1]
+"""
+
+OP12_NEGATIVES = """
+WITH e AS (SELECT vec_id::BIGINT AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+ p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
