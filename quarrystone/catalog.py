@@ -18,7 +18,7 @@ from .functions import text as T
 from .functions import urls as U
 from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
-from .operators import crawl, graph, retrieval, tree
+from .operators import crawl, graph, retrieval, tree, vector_index
 from .operators.chunking import char_windows, chunk, enrich
 from .operators.chunking import recursive_pieces as split_pieces
 from .sources.collections import last_wins
@@ -210,6 +210,28 @@ def dense_topk_many(spark, sf_dir):
     return retrieval.dense_topk_many(e, q, 10, "doc_id").select("query_id", "doc_id", "rank")
 
 
+def _indexed(spark, sf_dir):
+    """An index of all vectors, stored for this query, and the stated queries."""
+    from .functions.checkpoints import new_path
+
+    e = _t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    model = vector_index.fit(e, "doc_id")
+    index = vector_index.write(vector_index.place(e, model, "doc_id"), new_path(spark, "vectors"), "doc_id")
+    return index, model, e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def vector_index_topk(spark, sf_dir):
+    """The queries of dense_topk_many by the index: some cells, quantised scores, exact scores of candidates (recall is tested)."""
+    return vector_index.search(*_indexed(spark, sf_dir), 10, "doc_id").select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+@query(SQL["dense_topk_many"])
+def vector_index_exact(spark, sf_dir):
+    """The same, with bounds: the rows of a full search."""
+    return vector_index.search(*_indexed(spark, sf_dir), 10, "doc_id", exact=True).select("query_id", "doc_id", "rank")
+
+
 FUSED = f"""SELECT doc_id, coalesce(1::DOUBLE / (60 + r1), 0) + coalesce(1::DOUBLE / (60 + r2), 0) AS score FROM (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r1 FROM ({DENSE20}) d) a
  FULL OUTER JOIN (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r2 FROM ({LEX20}) l) b USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10"""
 
@@ -450,18 +472,20 @@ def recursive_pieces(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(split_pieces("text", 500, 50)).alias("piece_index", "piece"))
 
 
-VIDEOS = ["https://www.youtube.com/watch?v=dQw4w9WgXcQ&t=1", "https://youtu.be/abcdefghijk", "https://www.youtube.com/embed/ABC_def-123", "https://x.org/v/12345678901", "abcdefghij_", "too-short", "https://youtu.be/short"]
-TITLES = ["Transcript of “A talk: part 1”", "Ünïcode & more / less", "  spaced out  ", "x" * 100, "!!!", "tab\there"]
+#: Forms of a video's address, with and without an id of 11 characters.
+VIDEO_URL = "concat(element_at(array('https://www.youtube.com/watch?v=', 'https://youtu.be/', 'https://x.org/embed/', '', 'https://x.org/watch/'), cast(page_id % 5 + 1 as int)), substring(md5(url), 1, cast(7 + page_id % 7 as int)), if(page_id % 3 = 0, '', '&t=1'))"
 
 
-@query(rf"SELECT url, coalesce(nullif(regexp_extract(url, '(?:v=|/v/|youtu\.be/|/embed/)([a-zA-Z0-9_-]{{11}})', 1), ''), nullif(regexp_extract(url, '^([a-zA-Z0-9_-]{{11}})$', 1), '')) AS video_id FROM (VALUES {', '.join(f'({v!r})' for v in VIDEOS)}) t(url)")
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(u, '(?:v=|/v/|youtu\.be/|/embed/)([a-zA-Z0-9_-]{11})', 1), ''), nullif(regexp_extract(u, '^([a-zA-Z0-9_-]{11})$', 1), '')) AS video_id FROM
+ (SELECT page_id, (['https://www.youtube.com/watch?v=', 'https://youtu.be/', 'https://x.org/embed/', '', 'https://x.org/watch/'])[page_id % 5 + 1] || substr(md5(url), 1, (7 + page_id % 7)::INT) || CASE WHEN page_id % 3 = 0 THEN '' ELSE '&t=1' END AS u FROM pages) t""")
 def video_id(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v in VIDEOS], "url string").select("url", T.video_id("url").alias("video_id"))
+    return _t(spark, sf_dir, "pages").withColumn("u", F.expr(VIDEO_URL)).select("page_id", T.video_id("u").alias("video_id"))
 
 
-@query(rf"SELECT title, replace(regexp_replace(regexp_replace(substr(regexp_replace(title, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), 1, 80), '^\s+', ''), '\s+$', ''), ' ', '_') AS name FROM (VALUES {', '.join('(' + chr(39) + t + chr(39) + ')' for t in TITLES)}) t(title)")
+@query(r"SELECT doc_id, replace(regexp_replace(regexp_replace(substr(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), 1, 80), '^\s+', ''), '\s+$', ''), ' ', '_') AS name FROM documents")
 def safe_filename(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in TITLES], "title string").select("title", T.safe_name("title").alias("name"))
+    """Every text as the title that a file is named after."""
+    return _docs(spark, sf_dir).select("doc_id", T.safe_name("text").alias("name"))
 
 
 # --- entities and relations (design) --------------------------------------------------------------------------------

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .stem import Stems
+from .stem import OWN, Stems
 from .text import _c, is_blank
 
 
@@ -71,20 +74,41 @@ def lexical_tokens(text: Column | str) -> Column:
     return F.filter(F.split(plain, r"\s+"), lambda x: (x != "") & ~x.isin(*STOP_WORDS) & (F.length(x) <= LONGEST))
 
 
-_STEMS = Stems()
+def like(stems: Sequence[str]) -> Callable[[Column], Column]:
+    """Whether a token may have one of these stems: stems keep their words' first two letters, but for those of a single letter
+    and the listed exceptions. Spares most tokens of a text the way to the stemmer; equality is tested after it."""
+    two, one = sorted({s[:2] for s in stems if len(s) > 1}), sorted({s for s in stems if len(s) == 1})
+    odd = sorted(w for w, s in OWN.items() if s in stems)
+    return lambda x: F.substring(x, 1, 2).isin(two) | F.substring(x, 1, 1).isin(one) | x.isin(odd)
 
 
-@F.pandas_udf(StructType([StructField("token", ArrayType(StringType())), StructField("tf", ArrayType(IntegerType()))]))
-def _counted(words: pd.Series) -> pd.DataFrame:
-    counts = [Counter(map(_STEMS.__getitem__, ws)) if ws is not None else {} for ws in words]
-    return pd.DataFrame({"token": [list(c) for c in counts], "tf": [list(c.values()) for c in counts]})
+_STEMS = Stems()
 
 
-def lexical_terms(text: Column | str) -> tuple[Column, Column]:
-    """(terms, n): an array of (token, tf) of the stems of a text, counted within the row, and how many there are."""
-    words = lexical_tokens(text)
-    counted = _counted(words)
-    return F.arrays_zip(counted["token"].alias("token"), counted["tf"].alias("tf")), F.size(words)
+def stem_counts(rows: DataFrame, key: str, words: str, length: str, only: Sequence[str] | None = None) -> DataFrame:
+    """(key, token, tf, length): a row for each different stem of a row's words. Nothing is shuffled.
+
+    Each batch goes to Python once; its different words are stemmed, everything else is arithmetic on their numbers.
+    """
+    wanted = None if only is None else frozenset(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            each = lists.flatten().dictionary_encode()
+            stems = [_STEMS[w] for w in each.dictionary.to_pylist()]
+            names = sorted({s for s in stems if wanted is None or s in wanted})
+            if not names:
+                continue
+            place = {s: i for i, s in enumerate(names)}
+            number = np.array([place.get(s, -1) for s in stems])[each.indices.to_numpy()]
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            pair, tf = np.unique((row * len(names) + number)[number >= 0], return_counts=True)
+            at = pa.array(pair // len(names))
+            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), at), pc.take(pa.array(names), pa.array(pair % len(names))), pa.array(tf), pc.take(b.column(2), at)], names=[key, "token", "tf", length])
+
+    schema = StructType([rows.schema[key], StructField("token", StringType()), StructField("tf", LongType()), StructField(length, IntegerType())])
+    return rows.select(key, words, length).mapInArrow(run, schema)
 
 
 def encoded(tokenizer: Tokenizer):

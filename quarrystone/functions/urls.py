@@ -54,6 +54,21 @@ def resolve_simple(current: Column | str, href: Column | str) -> Column:
     return F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(root, h))
 
 
+def resolve_path(current: Column | str, href: Column | str) -> Column:
+    """RFC 3986 for references without scheme and host: the current URL's root and a path without dot segments.
+
+    Query and fragment are dropped, as normalize_url does. An empty path is the current one.
+    """
+    root = F.regexp_extract(_c(current), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own = F.regexp_replace(F.regexp_replace(_c(href), r"[?#].*$", ""), r";[^/]*$", "")
+    folder = F.regexp_replace(path(current), r"[^/]*$", "")
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    steps = F.filter(F.split(whole, "/"), lambda x: (x != "") & (x != "."))
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    plain = F.aggregate(steps, F.array().cast("array<string>"), up)
+    return F.when(root != "", F.when(own == "", F.concat(root, path(current))).otherwise(F.concat(root, F.lit("/"), F.array_join(plain, "/"))))
+
+
 @F.pandas_udf(StringType())
 def resolve(current: pd.Series, href: pd.Series) -> pd.Series:
     """RFC 3986 in full; null where a URL can't be read."""
@@ -68,12 +83,10 @@ def resolve(current: pd.Series, href: pd.Series) -> pd.Series:
 
 
 def extract_links(html: Column | str, current: Column | str) -> Column:
-    """Sorted distinct documentation links of a page's anchors on its own host, resolved and normalised.
-
-    Stays in the JVM: references that are neither absolute nor root-relative are left to extract_hrefs and resolve.
-    """
+    """Sorted distinct documentation links of a page's anchors on its own host, in any form of reference, resolved and normalised."""
     hrefs = extract_hrefs(html)
-    links = F.transform(hrefs, lambda h: normalize_url(resolve_simple(current, h)))
+    whole = lambda h: h.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)")
+    links = F.transform(hrefs, lambda h: normalize_url(F.when(whole(h), resolve_simple(current, h)).otherwise(resolve_path(current, h))))
     return F.array_sort(F.array_distinct(F.filter(links, lambda x: x.isNotNull() & is_doc_link(x, netloc(current)))))
 
 

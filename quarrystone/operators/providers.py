@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
+
 log = logging.getLogger(__name__)
 
 
@@ -112,13 +114,16 @@ def complete(df: DataFrame, provider: TextProvider, instruction: str, text: str,
 
 
 def translate(df: DataFrame, provider: TextProvider, text: str = "text", size: int = 12_000) -> DataFrame:
-    """df with text translated piece by piece and joined by newlines; all other columns kept."""
+    """df with text translated piece by piece and joined by newlines; all other columns and all repeated rows kept.
+
+    Rows get numbers from a checkpoint; only number and piece go to the provider, and only they are shuffled with the answers.
+    """
     from .chunking import char_windows
 
-    key = "_row"
-    rows = df.withColumn(key, F.struct(*df.columns))
-    cut = rows.select(key, F.posexplode(char_windows(text, size)).alias("_i", "_piece"))
-    done = complete(cut, provider, "Translate the following to English.", "_piece", "_piece")
-    joined = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_piece"))), lambda x: x["_piece"]), "\n").alias("_new"))
-    empty = rows.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, F.col(text).alias("_new"))
-    return joined.unionByName(empty).select(*[F.col("_new").alias(c) if c == text else F.col(f"{key}.{c}").alias(c) for c in df.columns])
+    key = "_qs_row"
+    rows = cut(df).withColumn(key, F.monotonically_increasing_id())
+    pieces = rows.select(key, F.posexplode(char_windows(text, size)).alias("_i", "_piece"))
+    done = complete(pieces, provider, "Translate the following to English.", "_piece", "_piece")
+    joined = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_piece"))), lambda x: x["_piece"]), "\n").alias("_qs_new"))
+    new = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.col(text)).otherwise(F.col("_qs_new"))
+    return rows.join(joined, key, "left").select(*[new.alias(c) if c == text else F.col(c) for c in df.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import count_tokens, lexical_terms, lexical_tokens
+from ..functions.tokens import count_tokens, lexical_tokens, like, stem_counts
 
 # Saturation, length weight and mean length of the lexical weights.
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256.0
@@ -26,12 +26,14 @@ def normalised(v: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """Null where either vector is null or zero."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def dense_topk(nodes: DataFrame, query: Sequence[float], k: int, key: str = "id", vector: str = "embedding", unit: bool = False) -> DataFrame:
-    """(key, score) of the k nodes of highest cosine, ties by key. unit: both sides have length 1 already.
+    """(key, score) of the k nodes of highest cosine, ties by key; a zero vector has no cosine, so a zero query finds nothing.
 
+    unit: both sides have length 1 already.
     The query is a literal, so this is one scan of two columns and a top-k in every task; nothing is shuffled but k rows.
     """
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -40,48 +42,69 @@ def dense_topk(nodes: DataFrame, query: Sequence[float], k: int, key: str = "id"
 
 
 def dense_topk_many(nodes: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
-    """(query_id, key, score, rank): for a stated set of queries (query_id, vector). They are broadcast in blocks of this size.
+    """(query_id, key, score, rank): for a stated set of queries (query_id, vector), the rows of dense_topk for each.
 
-    Each block is a pass over the nodes. Partial top-k lists of every batch meet by query, which keeps k rows.
+    Queries are broadcast in blocks of this size, each a pass over the nodes. Partial top-k lists of every batch meet by query,
+    which keeps k rows. A matrix product picks the nodes of a batch that may be among the k; their scores are then summed in
+    the order of dense_topk, so both agree to the last bit and ties go by key. Null and zero vectors find nothing.
     """
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     blocks = max(1, -(-n * width * 8 // block_bytes))
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    partial = None
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {nodes.schema[key].dataType.simpleString()}, score double"
+    partial = nodes.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
-        one = _partial_topk(nodes, queries.where(block == b) if blocks > 1 else queries, k, key, vector)
-        partial = one if partial is None else partial.unionByName(one)
+        rows = queries.where(block == b).select("query_id", "vector").collect()
+        if rows:
+            partial = partial.unionByName(_partial_topk(nodes, rows, k, key, vector, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _partial_topk(nodes: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+def exact_cosine(a, b):
+    """Cosines of the rows of two arrays, summed from the left like cosine(); NaN for zero vectors."""
+    import numpy as np
+
+    total = lambda x, y: np.cumsum(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return total(a, b) / np.sqrt(total(a, a) * total(b, b))
+
+
+def unit_rows(a):
+    """Rows over their lengths; zero rows stay zero."""
+    import numpy as np
+
+    n = np.linalg.norm(a, axis=1, keepdims=True)
+    return a / np.where(n > 0, n, 1)
+
+
+def _partial_topk(nodes: DataFrame, rows: list, k: int, key: str, vector: str, schema: str) -> DataFrame:
     """(query_id, key, score): the k best nodes of each batch for each query of a block."""
     import numpy as np
     import pandas as pd
 
-    rows = queries.select("query_id", "vector").collect()
-    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
+    rows = [r for r in rows if r[1] is not None and None not in r[1] and np.any(r[1])]
+    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
     shared = nodes.sparkSession.sparkContext.broadcast((ids, matrix))
-    kind = nodes.schema[key].dataType.simpleString()
 
     def run(frames):
         ids, matrix = shared.value
         for f in frames:
-            f = f[f[vector].notna()]
             if not len(f) or not len(ids):
                 continue
             v = np.array(f[vector].tolist(), dtype=np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+            unit = unit_rows(v)
             for at in range(0, len(ids), 256):
-                s = matrix[at : at + 256] @ v.T
+                s = unit_rows(matrix[at : at + 256]) @ unit.T
                 m = min(k, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                for i, t in enumerate(top):
-                    yield pd.DataFrame({"query_id": ids[at + i], key: f[key].to_numpy()[t], "score": s[i, t]})
+                least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+                q, t = np.nonzero(s >= least[:, None] - 1e-9)
+                found = pd.DataFrame({"query_id": q + at, key: f[key].to_numpy()[t], "score": exact_cosine(matrix[q + at], v[t])}).dropna(subset="score")
+                found = found.sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id").head(k)
+                yield found.assign(query_id=[ids[i] for i in found["query_id"]])
 
-    return nodes.select(key, vector).mapInPandas(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double")
+    fine = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    return nodes.where(fine).select(key, vector).mapInPandas(run, schema)
 
 
 def weight(tf: Column, length: Column) -> Column:
@@ -92,13 +115,12 @@ def weight(tf: Column, length: Column) -> Column:
 def postings(docs: DataFrame, key: str = "id", text: str = "text", only: Sequence[str] | None = None) -> DataFrame:
     """(key, token, tf, weight); a token is a string, so nothing collides. Terms are counted within rows: nothing is shuffled.
 
-    only: other tokens are left out before rows are made of them.
+    only: other tokens are left out before rows are made of them, most before they leave the JVM.
     """
-    terms, n = lexical_terms(text)
-    if only is not None:
-        terms = F.filter(terms, lambda x: x["token"].isin(*only))
-    each = docs.select(key, terms.alias("_t"), n.alias("_n")).select(key, "_n", F.inline("_t"))
-    return each.select(key, "token", F.col("tf").cast("long").alias("tf"), weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
+    words = docs.select(key, lexical_tokens(text).alias("_w"))
+    kept = F.col("_w") if only is None else F.filter("_w", like(only))
+    each = stem_counts(words.select(key, kept.alias("_w"), F.size("_w").alias("_n")), key, "_w", "_n", only)
+    return each.select(key, "token", "tf", weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
 
 
 def query_terms(spark, query: str) -> DataFrame:

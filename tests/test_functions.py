@@ -2,13 +2,14 @@
 
 import json
 import random
-from urllib.parse import urlparse
+from urllib.parse import urljoin, urlparse
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarrystone.functions import html, text, urls
 from quarrystone.functions.tokens import ByteBPE
-from quarrystone.operators import chunking, graph, retrieval, tree
+from quarrystone.operators import chunking, graph, retrieval, tree, vector_index
 from quarrystone.operators.aggregate import batches
 from quarrystone.schema import ENRICHMENT
 
@@ -86,7 +87,7 @@ def test_urls(spark):
         assert r.h == p.netloc and r.ok == twin_ok(r.u, "x.org"), r.u
     page = '<a href="/b">x</a><a class="k" href=\'../up\'>y</a><a href="#top">z</a><a href="//x.org/c?d">w</a><A HREF="https://x.org/b/">v</A><a href="/n.pdf">p</a>'
     got = spark.createDataFrame([(page,)], "h string").select(urls.extract_links("h", F.lit("https://x.org/a/"))).first()[0]
-    assert got == ["https://x.org/b", "https://x.org/c"]
+    assert got == ["https://x.org/b", "https://x.org/c", "https://x.org/up"]
     assert spark.range(1).select(urls.resolve(F.lit("https://x.org/a/b/"), F.lit("../up"))).first()[0] == "https://x.org/a/up"
 
 
@@ -152,16 +153,30 @@ def test_budget_counts_the_whole_passage(spark):
 
 
 def test_stems_and_terms(spark):
-    from quarrystone.functions.stem import stem
-    from quarrystone.functions.tokens import lexical_terms
+    from quarrystone.functions.stem import OWN, stem
 
     # published examples of the stemmer's vocabulary
     for words, want in (("consistency consistently consists", "consist"), ("consolatory", "consolatori"), ("knackeries", "knackeri"), ("generously", "generous"), ("hopping", "hop"), ("hoping", "hope"), ("skies", "sky"), ("communication", "communic"), ("proceed", "proceed")):
         assert {stem(w) for w in words.split()} == {want}
-    terms, n = lexical_terms("t")
-    rows = spark.createDataFrame([("The knights' knightly KNIGHT_s, and the consoled!",), ("x" * 41,), (None,), ("",)], "t string").select(terms.alias("w"), n.alias("n")).collect()
-    assert {(x.token, x.tf) for x in rows[0].w} == {("knight", 2), ("knight_", 1), ("consol", 1)} and rows[0].n == 4
-    assert [len(r.w or []) for r in rows[1:]] == [0, 0, 0]
+    rows = [(1, "The knights' knightly KNIGHT_s, and the consoled!"), (1, "The knights' knightly KNIGHT_s, and the consoled!"), (2, "x" * 41), (3, None), (4, ""), (5, "dying skies, aing a1 ties")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = sorted((r.id, r.token, r.tf) for r in retrieval.postings(df).collect())
+    assert got == sorted(2 * [(1, "knight", 2), (1, "knight_", 1), (1, "consol", 1)] + [(5, stem(w), 1) for w in ("dying", "skies", "aing", "a1", "ties")])
+    for only in (["knight", "die"], ["sky"], [stem("aing")], ["tie", "nothing"], []):
+        assert sorted((r.id, r.token, r.tf) for r in retrieval.postings(df, only=only).collect()) == [x for x in got if x[1] in only]
+    rng = random.Random(8)
+    ends = ["", "s", "ies", "ied", "ing", "ed", "eed", "ly", "sses", "y", "ization", "e"]
+    for _ in range(20_000):  # what spares tokens the way to the stemmer
+        w = "".join(rng.choice("aeioybtsld") for _ in range(rng.randint(1, 6))) + rng.choice(ends)
+        assert w in OWN or stem(w)[:2] == w[:2] or (len(stem(w)) == 1 and stem(w) == w[:1])
+
+
+def test_each_text_goes_to_python_once(spark):
+    df = spark.createDataFrame([(1, "a text of words")], "id int, text string")
+    for frame in (retrieval.postings(df), retrieval.lexical_topk(df, "words", 3)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[-1]
+        assert final.count("MapInArrow") == 1 and "EvalPython" not in plan
 
 
 @pytest.mark.parametrize("most", [0, 5, 24, 25, 26, 40, 10_000])
@@ -214,13 +229,90 @@ def test_graph(spark):
 
 
 def test_dense_many_agrees_with_one(spark):
-    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").withColumnRenamed("vec_id", "id")
-    q = e.where("id in (7, 8)").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
-    many = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_topk_many(e, q, 5).collect()}
-    assert many == {(r.query_id, r["rank"]): r.id for r in retrieval.dense_topk_many(e, q, 5, block_bytes=600).collect()} and len(many) == 10
-    for i in (7, 8):
-        v = e.where(F.col("id") == i).first().embedding
-        assert [many[i, k + 1] for k in range(5)] == [r.id for r in retrieval.dense_topk(e, v, 5).collect()]
+    """Blocks with and without queries, zero and null vectors and queries, ties, repeated vectors: both functions, bit for bit."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    same = e.where("id = 3").first().embedding
+    odd = spark.createDataFrame([(i, same) for i in range(1040, 1000, -1)] + [(2000, [0.0] * 64), (2001, None), (2002, [float("nan")] * 64)], "id long, embedding array<float>")
+    e = e.unionByName(odd).repartition(5)
+    asked = {7: e.where("id = 7").first().embedding, 8: e.where("id = 8").first().embedding, 9: same, 10: [0.0] * 64, 11: [-x for x in same]}
+    q = spark.createDataFrame([*asked.items(), (12, None)], "query_id int, vector array<float>")
+    many = {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.dense_topk_many(e, q, 5).collect()}
+    for block_bytes in (600, 100):
+        assert many == {(r.query_id, r["rank"]): (r.id, r.score) for r in retrieval.dense_topk_many(e, q, 5, block_bytes=block_bytes).collect()}
+    assert len(many) == 20 and [many[9, k][0] for k in range(1, 6)] == [3, 1001, 1002, 1003, 1004]
+    for i, v in asked.items():
+        assert [many[i, k + 1] for k in range(5 if i != 10 else 0)] == [tuple(r) for r in retrieval.dense_topk(e, v, 5).collect()]
+    assert retrieval.dense_topk_many(e, q.where("query_id < 0"), 5).collect() == retrieval.dense_topk_many(e.where("id < 0"), q, 5).collect() == []
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 30))
+    rows = [(i, (centres[rng.integers(40)] + 0.5 * rng.normal(size=30)).astype(np.float32).tolist()) for i in range(3000)]
+    rows += [(3000 + i, rows[50][1]) for i in range(700)] + [(4000, [0.0] * 30), (4001, None), (4002, [float("nan")] * 30)]
+    return spark.createDataFrame(rows, "id long, embedding array<float>").repartition(4).checkpoint()
+
+
+def test_vector_index(spark, vectors, tmp_path):
+    model = vector_index.fit(vectors, width=5)
+    index = vector_index.write(vector_index.place(vectors, model), str(tmp_path / "index"))
+    assert index.count() == 3700 and len(model.centres) == 61 and model.probes < 40
+    assert len(index.where(F.col("cell") == index.where("id = 50").first().cell).inputFiles()) >= 1
+    q = vectors.where("id % 50 = 0 or id > 3999").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    rows = lambda df: {(r.query_id, r["rank"]): (r.id, r.score) for r in df.collect()}
+    want = rows(retrieval.dense_topk_many(vectors, q, 10))
+    got = rows(vector_index.search(index, model, q, 10))
+    near = lambda x, i: {v[0] for k, v in x.items() if k[0] == i}
+    asked = {i for i, _ in want if want[i, 10][1] < 0.9999}  # the others have more equal neighbours than ten
+    recall = sum(len(near(want, i) & near(got, i)) for i in asked) / (10 * len(asked))
+    assert len(asked) > 50 and recall >= 0.9
+    assert all(dict(want.values()).get(v[0], v[1]) <= 1.0000001 for v in got.values())
+    assert rows(vector_index.search(index, model, q, 10, exact=True)) == want
+    assert rows(vector_index.search(index, model, q, 10, exact=True, block_bytes=20_000)) == want
+    one = vector_index.search(index, model, q.where("query_id = 100"), 10, probes=3)
+    assert {v[0] for v in rows(one).values()} <= {r.id for r in index.collect()} and one.count() == 10
+
+
+def test_vector_index_bounds(spark, vectors):
+    model = vector_index.fit(vectors, cells=7, width=8)
+    placed = vector_index.place(vectors, model).collect()
+    unit = retrieval.unit_rows(np.array([r.embedding for r in placed]))
+    cells = np.array([r.cell for r in placed])
+    codes = np.array([list(r.code) for r in placed])
+    rests = np.concatenate([model.books[g][codes[:, g]] for g in range(codes.shape[1])], axis=1)[:, :30]
+    about = unit[:200] @ (model.centres[cells] + rests).T
+    assert (np.abs(unit[:200] @ unit.T - about) <= np.array([r.miss for r in placed])[None]).all()
+    assert (cells == ((unit[:, None] - model.centres[None]) ** 2).sum(axis=2).argmin(axis=1)).mean() > 0.999
+
+
+def test_vector_index_of_nothing(spark, vectors):
+    none = vectors.where("id > 3999")
+    model = vector_index.fit(none)
+    q = vectors.where("id < 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    assert vector_index.search(vector_index.place(none, model), model, q, 3).collect() == []
+    few = vectors.where("id < 3")
+    model = vector_index.fit(few)
+    index = vector_index.place(few, model)
+    assert vector_index.search(index, model, q, 5, probes=99).count() == vector_index.search(index, model, q, 5, exact=True).count() == 9
+
+
+def test_resolved_links(spark):
+    rows = [(c, h) for c in ("https://x.org", "https://x.org/", "https://x.org/a/b", "https://x.org/a/b/?q=1#f", "http://x.org:80/a//b/c.html;p") for h in ("b.html", "../c", "./d/", "../../../e", "?q=2", "/r/../s", "/", "f/./g/../h", "..", ".", "i;j", "k?x=/../y", "//x.org/z", "https://x.org/abs", "a/..")]
+    pages = spark.createDataFrame([(c, f'<a class="x" href="{h}">t</a>') for c, h in rows], "c string, html string")
+    got = [r.l for r in pages.select(urls.extract_links("html", "c").alias("l")).collect()]
+    plain = lambda u: urlparse(u)._replace(params="", query="", fragment="").geturl().rstrip("/")
+    want = [plain(urljoin(c, h)) for c, h in rows]
+    assert got == [[w] if urlparse(w).netloc == urlparse(c).netloc else [] for (c, _), w in zip(rows, want, strict=True)]
+
+
+def test_translation_keeps_repeated_rows_and_long_texts(spark):
+    from quarrystone.operators.providers import LeadingWords, translate
+
+    rows = [(1, "one two", "a"), (1, "one two", "a"), (2, None, "b"), (3, "", "c"), (3, "", "c"), (4, "w " * 50_000, "d")]
+    out = translate(spark.createDataFrame(rows, "id int, text string, _i string"), LeadingWords(2), size=1000)
+    assert out.columns == ["id", "text", "_i"]
+    assert sorted((r.id, r.text, r._i) for r in out.collect() if r.id != 2) == [(1, "one two", "a"), (1, "one two", "a"), (3, "", "c"), (3, "", "c"), (4, "\n".join(["w w"] * 100), "d")]
 
 
 def test_json(spark):
