@@ -16,6 +16,7 @@ from .config import EngineConfig
 from .functions import html as H
 from .functions import text as T
 from .functions import urls as U
+from .functions.bpe import RankedBPE
 from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
 from .operators import crawl, graph, retrieval, tree, vector_index
@@ -467,6 +468,17 @@ def translate_pieces(spark, sf_dir):
     return translate(_docs(spark, sf_dir).select("doc_id", "text"), LeadingWords(60), "text", CONFIG.translation_chars)
 
 
+#: A public vocabulary of the machine; a deployment names its own, on its file system.
+VOCABULARY = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def bpe_chunks(spark, sf_dir):
+    """Windows of byte-pair tokens over every text."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return chunk(docs, CONFIG.chunk_size, CONFIG.chunk_overlap, RankedBPE.load(spark, VOCABULARY))
+
+
 @query()
 def recursive_pieces(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(split_pieces("text", 500, 50)).alias("piece_index", "piece"))

@@ -22,33 +22,6 @@ class Tokenizer(Protocol):
     def decode(self, tokens: list[int]) -> str: ...
 
 
-class ByteBPE:
-    """A byte-level BPE from a ranks file; special-token literals in a text are ordinary text."""
-
-    def __init__(self, path: str, pattern: str):
-        self.path, self.pattern, self._encoding = path, pattern, None
-
-    def __getstate__(self):
-        return {"path": self.path, "pattern": self.pattern, "_encoding": None}
-
-    def _load(self):
-        if self._encoding is None:
-            import base64
-
-            import tiktoken
-
-            with open(self.path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self._encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        return self._encoding
-
-    def encode(self, text: str) -> list[int]:
-        return self._load().encode_ordinary(text)
-
-    def decode(self, tokens: list[int]) -> str:
-        return self._load().decode(tokens)
-
-
 def tokens(text: Column | str) -> Column:
     """White-space tokens; a blank text has none."""
     plain = F.trim(F.regexp_replace(_c(text), r"\s+", " "))
@@ -112,7 +85,9 @@ def stem_counts(rows: DataFrame, key: str, words: str, length: str, only: Sequen
 
 
 def encoded(tokenizer: Tokenizer):
-    """text -> array of token numbers."""
+    """text -> array of token numbers. A tokenizer that works on columns (tokens, texts) does so."""
+    if hasattr(tokenizer, "tokens"):
+        return tokenizer.tokens
 
     @F.pandas_udf("array<int>")
     def run(text: pd.Series) -> pd.Series:
@@ -122,6 +97,8 @@ def encoded(tokenizer: Tokenizer):
 
 
 def decoded(tokenizer: Tokenizer):
+    if hasattr(tokenizer, "texts"):
+        return tokenizer.texts
     @F.pandas_udf("string")
     def run(numbers: pd.Series) -> pd.Series:
         return pd.Series([None if n is None else tokenizer.decode(list(n)) for n in numbers], dtype=object)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quarrystone.functions import html, text, urls
-from quarrystone.functions.tokens import ByteBPE
+from quarrystone.functions.bpe import RankedBPE, merged
 from quarrystone.operators import chunking, graph, retrieval, tree, vector_index
 from quarrystone.operators.aggregate import batches
 from quarrystone.schema import ENRICHMENT
@@ -40,13 +40,53 @@ def test_windows(spark, size, overlap):
             chunking.chunk(df, *bad)
 
 
-def test_bpe_windows(spark):
-    P = pytest.importorskip("public_tokenizers")
-    t = ByteBPE(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    s = "Some words <|endoftext|> and more words, again and again. " * 30
+def naive_merge(piece, ranks):
+    """Joins the pair of least rank, leftmost first, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
+        if not pairs:
+            return [ranks[p] for p in parts]
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges_against_a_naive_merger():
+    rng = random.Random(6)
+    for _ in range(60):
+        known = [bytes([i]) for i in range(256)]
+        for _ in range(rng.randint(0, 60)):  # tokens made of tokens over a small alphabet, so that merges compete
+            joined = rng.choice(known[97:100] + known[256:]) + rng.choice(known[97:100] + known[256:])
+            if joined not in known and len(joined) < 12:
+                known.append(joined)
+        ranks = {b: i for i, b in enumerate(known)}
+        for _ in range(20):
+            piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 40)))
+            want = [ranks[piece]] if piece in ranks else naive_merge(piece, ranks)
+            assert merged(piece, ranks) == want and b"".join(known[i] for i in want) == piece
+    with pytest.raises(ValueError, match="every single byte"):
+        RankedBPE({b"a": 0})
+
+
+def test_bpe(spark):
+    """Against a library that reads the same vocabulary: every document and awkward texts; windows and exact round trips."""
+    P, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    t = RankedBPE.load(spark, f"file://{P.path('byte_bpe_50k.tiktoken')}")
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=t.ranks, special_tokens={})
+    odd = ["", " ", "a  b \n\n c\t", "I'll we've 'S it's", "ünï ß 中文字 नमस्ते 😀\u200d😀", "x\x85y\u2028z\u3000w \u00a0", "12 345٣٤ ½", "<|endoftext|> and", "a" * 30_000, "\n" * 50, " end ", "\x00\x1f", "e\u0301 \ufeff"]
+    rows = [(-1 - i, x) for i, x in enumerate(odd)] + [(-99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    got = df.select("doc_id", "text", t.tokens("text").alias("n")).select("*", t.texts("n").alias("back")).collect()
+    for r in got:
+        if r.text is None:
+            assert r.n is None and r.back is None
+        else:
+            assert r.back == r.text and r.n == other.encode_ordinary(r.text), r.text[:50]
+    assert len(got) > 200
+    s = "Some words <|endoftext|> and more words, again and again. 😀" * 30
     out = sorted(chunking.chunk(spark.createDataFrame([(1, s), (2, " "), (3, None)], "id int, text string"), 50, 10, t).collect(), key=lambda r: r.chunk_index)
-    ids = t.encode(s)
-    assert [(r.n_tokens, r.original_text) for r in out] == [(b - a, t.decode(ids[a:b])) for a, b in loop(len(ids), 50, 10)]
+    ids = other.encode_ordinary(s)
+    assert [(r.n_tokens, r.original_text) for r in out] == [(b - a, other.decode(ids[a:b])) for a, b in loop(len(ids), 50, 10)]
 
 
 def test_blank_and_chars(spark):
