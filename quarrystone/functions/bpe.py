@@ -15,7 +15,6 @@ import base64
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
@@ -69,6 +68,7 @@ class RankedBPE:
         self.ranks, self.pattern = ranks, pattern
         self._words = {n: b for b, n in ranks.items()}
         self._kept: dict[str, list[int]] = {}
+        self._table: pa.Array | None = None
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, pattern: str = PATTERN, most: int = 1_000_000) -> RankedBPE:
@@ -117,11 +117,21 @@ class RankedBPE:
     def decode(self, numbers) -> str:
         return b"".join(self._words[n] for n in numbers).decode("utf-8", "replace")
 
+    def of_numbers(self, lists: pa.Array) -> pa.Array:
+        """The text of each list of token numbers."""
+        if self._table is None:
+            self._table = pa.array([self._words.get(i, b"") for i in range(max(self._words) + 1)], pa.binary())
+        taken = self._table.take(lists.flatten())
+        ends = np.frombuffer(taken.buffers()[1], np.int32)
+        rows = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
+        data, at = memoryview(taken.buffers()[2] or b""), ends[rows].tolist()
+        return pa.array([None if none else str(data[x:y], "utf-8", "replace") for x, y, none in zip(at, at[1:], lists.is_null().to_pylist(), strict=False)], pa.string())
+
     def texts(self, numbers: Column | str) -> Column:
         own = RankedBPE(self.ranks, self.pattern)
 
-        @F.pandas_udf("string")
-        def run(lists: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else own.decode(x) for x in lists], dtype=object)
+        @F.arrow_udf("string")
+        def run(lists: pa.Array) -> pa.Array:
+            return own.of_numbers(lists)
 
         return run(_c(numbers))

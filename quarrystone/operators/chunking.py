@@ -29,8 +29,9 @@ def chunk(docs: DataFrame, size: int = 450, overlap: int = 90, tokenizer: Tokeni
     if not 0 <= overlap < size:
         raise ValueError("overlap has to be at least 0 and below size")
     items = encoded(tokenizer)(text) if tokenizer else tokens(text)
-    some = docs.where(~T.is_blank(text)).withColumn("_items", items).where(F.size("_items") > 0)
+    some = docs.where(~T.is_blank(text)).withColumn("_items", items)
     cut = some.select(*[c for c in docs.columns if c != text], F.posexplode(windows(F.col("_items"), size, overlap)).alias("chunk_index", "_window"))
+    cut = cut.where(F.size("_window") > 0)  # not before: a filter on the items would have a plug-in encode each text twice
     joined = decoded(tokenizer)("_window") if tokenizer else F.array_join("_window", " ")
     return cut.withColumn("original_text", joined).withColumn("n_tokens", F.size("_window")).drop("_window")
 

@@ -7,7 +7,7 @@ from quarrystone.functions.checkpoints import cut
 from quarrystone.operators.providers import HashedEmbedder, LeadingWords
 from quarrystone.plans.index import index
 from quarrystone.plans.retrieve import context, hits, retrieve, status
-from quarrystone.sources.collections import Collections
+from quarrystone.sources.collections import POINT, Collections, Conflict
 from quarrystone.streaming import ingest
 
 
@@ -100,6 +100,81 @@ def test_lifecycle(store, indexed):
     assert store.drop("second") and store.list() == ["first"] and not store.drop("second")
 
 
+def point_rows(spark, rows):
+    """Points of (id, text, level, seq)."""
+    df = spark.createDataFrame(rows, "point_id long, text string, level int, seq int").withColumn("point_id", F.col("point_id").cast("decimal(20,0)"))
+    for f in POINT.fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return df.select(*POINT.names, "seq")
+
+
+def test_upserts_against_a_dictionary(spark, tmp_path):
+    """Parts that are merged when read give what the last writes give, with postings, across compactions and repeated runs."""
+    import random
+
+    rng, want = random.Random(3), {}
+    small = Collections(spark, str(tmp_path / "c"), compact_after=3)
+    for batch in range(6):
+        rows = [(rng.randint(0, 20), f"w{batch} word{rng.randint(0, 5)}", rng.choice([0, 1, None]), i) for i in range(rng.randint(1, 12))]
+        for _ in range(1 + (batch == 2)):
+            small.upsert("x", point_rows(spark, rows))
+        want |= {int(i): (t, level) for i, t, level, _ in rows}
+        assert {int(r.point_id): (r.text, r.level) for r in small.read("x").collect()} == want and small.info("x")["points"] == len(want)
+        got = sorted((int(r.point_id), r.token) for r in small.postings("x").collect())
+        assert got == sorted((i, w) for i, (t, _) in want.items() for w in t.split())
+    assert len(small._parts("x")) <= 3
+    assert small.read("x").where("level = 0").count() == sum(level == 0 for _, level in want.values())
+
+
+def test_an_upsert_writes_what_it_gets(spark, tmp_path):
+    c = Collections(spark, str(tmp_path / "c"))
+    c.upsert("x", point_rows(spark, [(i, f"t{i}", 0, 0) for i in range(500)]))
+    first = set(c._parts("x"))
+    c.upsert("x", point_rows(spark, [(7, "seven", 0, 0), (900, "new", 0, 0)]))
+    (new,) = set(c._parts("x")) - first
+    assert spark.read.parquet(f"{c.root}/x/{new}").count() == 2 and first < set(c._parts("x"))
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two that would replace what they have read one fails and changes nothing; an upsert goes on top; no reader sees half."""
+    c = Collections(spark, str(tmp_path / "c"))
+    c.upsert("x", point_rows(spark, [(1, "a", 0, 0), (2, "b", 0, 0)]))
+    held = c.read("x")
+    write = c._write
+
+    def slow(name, rows):  # another writer commits while this one writes
+        part = write(name, rows)
+        c._write = write
+        c.upsert("x", point_rows(spark, [(3, "c", 0, 0)]))
+        return part
+
+    for work in (lambda: c.compact("x"), lambda: c.rebuild("x", point_rows(spark, [(9, "z", 0, 0)]))):
+        c._write = slow
+        with pytest.raises(Conflict):
+            work()
+        assert sorted(int(r.point_id) for r in c.read("x").collect()) == [1, 2, 3]
+    c._write = slow
+    c.upsert("x", point_rows(spark, [(2, "bb", 0, 0)]))
+    assert {int(r.point_id): r.text for r in c.read("x").collect()} == {1: "a", 2: "bb", 3: "c"}
+    assert {int(r.point_id): r.text for r in held.collect()} == {1: "a", 2: "b"}
+    with pytest.raises(Conflict):
+        c._commit("x", c._version("x"), [])
+    (tmp_path / "c" / "x" / "_log" / ".half").write_text("{")
+    write("x", point_rows(spark, [(5, "never committed", 0, 0)]))
+    assert c.info("x")["points"] == 3
+    c.compact("x")
+    assert c.vacuum("x") == 0 and c.vacuum("x", -60) > 4 and {int(r.point_id): r.text for r in c.read("x").collect()} == {1: "a", 2: "bb", 3: "c"}
+    assert c.ensure("y") is None and c.read("y").count() == 0 and c.postings("y").count() == 0
+
+
+def test_questions_without_an_answer(store, indexed):
+    """An empty question has a zero vector and no terms."""
+    for asked in ("", "the of and", "zzzzzz"):
+        assert "error" not in json.loads(retrieve(store, asked, "first"))
+    assert json.loads(retrieve(store, "", "first"))["passages"]["num_passages"] == 0
+
+
 def test_stream_upserts_are_idempotent(spark, store, indexed, tmp_path):
     points = store.read("first").limit(6)
     source = str(tmp_path / "in")
