@@ -19,7 +19,7 @@ from .functions import urls as U
 from .functions.bpe import RankedBPE
 from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
-from .operators import crawl, graph, retrieval, tree, vector_index
+from .operators import crawl, graph, lexical_index, retrieval, tree, vector_index
 from .operators.chunking import char_windows, chunk, enrich
 from .operators.chunking import recursive_pieces as split_pieces
 from .sources.collections import last_wins
@@ -180,6 +180,15 @@ def bm25_topk(spark, sf_dir):
     return retrieval.lexical_topk(_docs(spark, sf_dir), QUERY, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_blocks_topk(spark, sf_dir):
+    """The same by an index in blocks, of which most are ruled out by their greatest weights."""
+    from .functions.checkpoints import cut
+
+    index = cut(lexical_index.blocks(_docs(spark, sf_dir), "doc_id"))
+    return lexical_index.topk(index, QUERY, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+
+
 IDF = f"""SELECT doc_id, round(sum(w * qw * ln(1 + (nd - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 4) AS score FROM (SELECT doc_id, token, {WEIGHT} AS w, count(*) OVER (PARTITION BY token) AS df FROM ({TF}) t) p
  JOIN ({QTERMS}) q USING (token) CROSS JOIN (SELECT count(DISTINCT doc_id) AS nd FROM ({TF}) z) c GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
 

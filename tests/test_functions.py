@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from quarrystone.functions import html, text, urls
 from quarrystone.functions.bpe import RankedBPE, merged
-from quarrystone.operators import chunking, graph, retrieval, tree, vector_index
+from quarrystone.operators import chunking, graph, lexical_index, retrieval, tree, vector_index
 from quarrystone.operators.aggregate import batches
 from quarrystone.schema import ENRICHMENT
 
@@ -85,6 +85,7 @@ def test_bpe(spark):
     assert len(got) > 200
     s = "Some words <|endoftext|> and more words, again and again. 😀" * 30
     out = sorted(chunking.chunk(spark.createDataFrame([(1, s), (2, " "), (3, None)], "id int, text string"), 50, 10, t).collect(), key=lambda r: r.chunk_index)
+    assert spark.createDataFrame([("",), (None,)], "t string").coalesce(1).select(t.texts(t.tokens("t")).alias("b")).collect() == [("",), (None,)]
     ids = other.encode_ordinary(s)
     assert [(r.n_tokens, r.original_text) for r in out] == [(b - a, other.decode(ids[a:b])) for a, b in loop(len(ids), 50, 10)]
 
@@ -337,6 +338,25 @@ def test_vector_index_of_nothing(spark, vectors):
     assert vector_index.search(index, model, q, 5, probes=99).count() == vector_index.search(index, model, q, 5, exact=True).count() == 9
 
 
+def test_lexical_blocks(spark):
+    """The rows of a full scan, of fewer blocks; common and rare terms, ties, texts without terms, fewer hits than k."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "the of"), *((-10 - i, "zebra crossing") for i in range(9))], "doc_id long, text string")
+    docs = docs.unionByName(odd).checkpoint()
+    index = lexical_index.blocks(docs, "doc_id", size=8).checkpoint()
+    words = [r.token for r in retrieval.postings(docs, "doc_id").groupBy("token").count().orderBy(F.desc("count"), "token").limit(300).collect()]
+    assert index.select(F.sum(F.size("keys"))).first()[0] == retrieval.postings(docs, "doc_id").count()
+    near = lambda df: [(r.doc_id, round(r.score, 9)) for r in df.collect()]
+    for asked, k in ((" ".join(words[:3]), 10), (" ".join(words[250:256]), 10), (f"zebra {words[5]}", 5), ("zebra", 20), ("nowhere", 3), ("", 3), (f"{words[0]} {words[0]} {words[200]}", 40)):
+        report = {}
+        got = near(lexical_index.topk(index, asked, k, "doc_id", report=report))
+        assert got == near(retrieval.lexical_topk(docs, asked, k, "doc_id")), asked
+        assert report["read"] <= report["blocks"]
+        if asked == " ".join(words[250:256]):
+            assert report["read"] < 0.7 * report["blocks"], report
+    assert lexical_index.topk(lexical_index.blocks(docs.where("doc_id > 1e9"), "doc_id").checkpoint(), "zebra", 3, "doc_id").collect() == []
+
+
 def test_resolved_links(spark):
     rows = [(c, h) for c in ("https://x.org", "https://x.org/", "https://x.org/a/b", "https://x.org/a/b/?q=1#f", "http://x.org:80/a//b/c.html;p") for h in ("b.html", "../c", "./d/", "../../../e", "?q=2", "/r/../s", "/", "f/./g/../h", "..", ".", "i;j", "k?x=/../y", "//x.org/z", "https://x.org/abs", "a/..")]
     pages = spark.createDataFrame([(c, f'<a class="x" href="{h}">t</a>') for c, h in rows], "c string, html string")
