@@ -19,7 +19,7 @@ from .functions import urls as U
 from .functions.bpe import RankedBPE
 from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
-from .operators import crawl, graph, lexical_index, retrieval, tree, vector_index
+from .operators import crawl, extract, graph, lexical_index, retrieval, tree, vector_index
 from .operators.chunking import char_windows, chunk, enrich
 from .operators.chunking import recursive_pieces as split_pieces
 from .sources.collections import last_wins
@@ -558,3 +558,42 @@ def one_hop(spark, sf_dir):
 @query()
 def graph_context(spark, sf_dir):
     return graph.format_context(_hop(spark, sf_dir))
+
+
+# --- entities and relations that a provider finds ---------------------------------------------------------------------
+
+OPENINGS = r"SELECT doc_id, source, unnest(regexp_extract_all(text, '([A-Z][a-z]{3,})([^.\n]*)', 1)) AS name, unnest(regexp_extract_all(text, '([A-Z][a-z]{3,})([^.\n]*)', 2)) AS said, generate_subscripts(regexp_extract_all(text, '([A-Z][a-z]{3,})([^.\n]*)', 1), 1) - 1 AS pos FROM documents"
+MENTIONS = f"SELECT name, count(*) AS n FROM ({OPENINGS}) o GROUP BY name"
+GRAMS = f"SELECT name, n, list_distinct(list_transform(range(1, length(name) + 2), lambda i: substr(chr(2) || chr(2) || lower(name) || chr(3), i, 3))) AS g FROM ({MENTIONS}) m"
+ALIKE = f"""SELECT a, b FROM (SELECT x.name AS a, y.name AS b, count(*) AS hits, any_value(len(x.g)) AS na, any_value(len(y.g)) AS nb FROM (SELECT name, g, unnest(g) AS gram FROM ({GRAMS}) t) x
+ JOIN (SELECT name, g, unnest(g) AS gram FROM ({GRAMS}) t) y ON x.gram = y.gram AND x.name < y.name GROUP BY 1, 2) p WHERE 100 * hits >= 80 * (na + nb - hits)"""
+CANONICAL = f"SELECT a AS name, arg_min(b, (-n, b)) AS canonical FROM (SELECT a, b FROM ({ALIKE}) p UNION ALL SELECT b, a FROM ({ALIKE}) p UNION ALL SELECT name, name FROM ({MENTIONS}) m) e JOIN ({MENTIONS}) c ON c.name = b GROUP BY a"
+
+
+def _extracted(spark, sf_dir):
+    """Every document as a leaf, and the provider by rule."""
+    nodes = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "source", F.col("text").alias("original_text"), F.lit(0).alias("level"))
+    return extract.extract(nodes, extract.SentenceOpenings())
+
+
+@query(f"SELECT doc_id AS chunk_id, pos::INT AS pos, name, 'word' AS type, md5(trim(said)) AS description_md5, source FROM ({OPENINGS}) o")
+def extracted_entities(spark, sf_dir):
+    e = _extracted(spark, sf_dir).entities
+    return e.select("chunk_id", "seq.pos", "name", "type", F.md5("description").alias("description_md5"), "source")
+
+
+@query(f"SELECT a.doc_id AS chunk_id, a.pos::INT AS pos, a.name AS source, b.name AS target, 'then' AS description FROM ({OPENINGS}) a JOIN ({OPENINGS}) b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1")
+def extracted_relations(spark, sf_dir):
+    return _extracted(spark, sf_dir).relations.select("chunk_id", "seq.pos", "source", "target", "description")
+
+
+@query(CANONICAL)
+def canonical_names(spark, sf_dir):
+    return extract.canonical(_extracted(spark, sf_dir).entities)
+
+
+@query(f"SELECT canonical AS name, md5(string_agg(trim(said), ' | ' ORDER BY doc_id, pos)) AS description_md5, arg_max(source, (doc_id, pos)) AS source, max(doc_id) AS chunk_id FROM ({OPENINGS}) o JOIN ({CANONICAL}) c USING (name) GROUP BY 1")
+def extracted_entity_merge(spark, sf_dir):
+    """Entities of canonical names, with their whole descriptions."""
+    e = graph.merge_entities(extract.resolved(_extracted(spark, sf_dir)).entities)
+    return e.select("name", F.md5("description").alias("description_md5"), "source", "chunk_id")

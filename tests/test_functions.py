@@ -269,6 +269,51 @@ def test_graph(spark):
     assert graph.format_context(near).first()[0] == "Knowledge graph context:\n**A** (t2): d1 | d2\n  -> knows -> **B** (strength: 9/10)\n  -> y -> **B** (strength: 5/10)"
 
 
+def test_extraction(spark):
+    """Leaves alone; failures and unreadable answers are errors of their chunk; nested answers become rows."""
+    from quarrystone.operators import extract
+
+    class Scripted:
+        def complete(self, prompt):
+            said = prompt.partition("\n")[2]
+            if said == "fail":
+                raise RuntimeError("busy")
+            return {
+                "good": '{"entities": [{"name": " Ann ", "type": "p", "description": "d"}, {"name": "", "type": "x"}, {"type": "y"}, {"name": "Bo"}], "relations": [{"source": "Ann", "target": "Bo", "description": "knows", "strength": 7}, {"source": "Ann"}]}',
+                "part": '{"entities": null}', "other": '{"entities": "text"}', "broken": "{not json", "silent": " ", "list": "[]",
+            }[said]
+
+    rows = [(t, i, 0, "s", t) for i, t in enumerate(("good", "part", "other", "broken", "silent", "list", "fail"))] + [("up", 9, 1, "s", "good")]
+    found = extract.extract(spark.createDataFrame(rows, "id string, seq int, level int, source string, original_text string"), Scripted())
+    assert sorted((r.name, r.type, r.description, r.source, r.chunk_id, tuple(r.seq)) for r in found.entities.collect()) == [("Ann", "p", "d", "s", "good", (0, 0)), ("Bo", None, None, "s", "good", (0, 3))]
+    assert [(r.source, r.target, r.description, r.strength, r.chunk_id) for r in found.relations.collect()] == [("Ann", "Bo", "knows", 7, "good")]
+    assert {r.chunk_id: r.error for r in found.errors.collect()}.items() >= {"broken": "unreadable answer", "silent": "no answer", "fail": "no answer", "other": "unreadable answer"}.items()
+    assert not {r.chunk_id for r in found.errors.collect()} & {"good", "part"}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_names_alike(spark, percent):
+    from quarrystone.operators import extract
+
+    rng = random.Random(percent)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    names = base + [b[:i] + rng.choice("xyz") + b[i:] for b in base for i in (0, len(b) // 2)] + [b.upper() for b in base[:20]] + [None, "", " "]
+    mentions = names + names[70:90] * 2
+
+    def cut3(x):
+        x = "\x02\x02" + " ".join(x.split()).lower() + "\x03"
+        return {x[i : i + 3] for i in range(len(x) - 2)}
+
+    known = sorted({n for n in names if n is not None})
+    sets = {n: cut3(n) for n in known}
+    want = {(a, b) for a in known for b in known if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(n,) for n in mentions], "name string")
+    assert {tuple(r) for r in extract.alike(df, percent).collect()} == want and want
+    often = {n: sum(m == n for m in mentions) for n in known}
+    near = {n: [n] + [b for a, b in want if a == n] + [a for a, b in want if b == n] for n in known}
+    assert {r.name: r.canonical for r in extract.canonical(df, percent).collect()} == {n: min(near[n], key=lambda x: (-often[x], x)) for n in known}
+
+
 def test_dense_many_agrees_with_one(spark):
     """Blocks with and without queries, zero and null vectors and queries, ties, repeated vectors: both functions, bit for bit."""
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
