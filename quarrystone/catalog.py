@@ -348,6 +348,29 @@ def tree_expand(spark, sf_dir):
     return graph.expand(nodes, spark.createDataFrame([(0,), (1,)], "id int"))
 
 
+#: Parents in a tree over the documents: an eighth of the number, so that levels differ in size.
+TREE = "SELECT doc_id AS id, CASE WHEN doc_id > 0 THEN doc_id // 8 END AS parent_id FROM documents"
+
+
+def _tree(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.expr("case when doc_id > 0 then doc_id div 8 end").alias("parent_id"))
+
+
+@query(f"""WITH RECURSIVE t AS ({TREE}), r(seed, id, distance) AS (SELECT id, id, 0 FROM t WHERE id % 50 = 0 UNION ALL SELECT r.seed, t.id, r.distance + 1 FROM r JOIN t ON t.parent_id = r.id)
+SELECT DISTINCT seed, id, distance::INT AS distance FROM r""")
+def tree_descendants(spark, sf_dir):
+    """All levels below the stated nodes, those whose id is divisible by 50."""
+    links = _tree(spark, sf_dir)
+    return graph.reach(links, links.where("id % 50 = 0"))
+
+
+@query(f"""WITH RECURSIVE t AS ({TREE}), r(seed, id, distance) AS (SELECT id, id, 0 FROM t WHERE id % 50 = 0 UNION ALL SELECT r.seed, t.parent_id, r.distance + 1 FROM r JOIN t ON t.id = r.id WHERE t.parent_id IS NOT NULL)
+SELECT DISTINCT seed, id, distance::INT AS distance FROM r""")
+def tree_ancestors(spark, sf_dir):
+    links = _tree(spark, sf_dir)
+    return graph.reach(links, links.where("id % 50 = 0"), up=True)
+
+
 @query()
 def gmm_tree(spark, sf_dir):
     """One level of soft clusters over all vectors: sizes and mean posterior."""

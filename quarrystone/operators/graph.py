@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
 from .aggregate import ordered_concat
 
 
@@ -57,3 +58,21 @@ def format_context(edges: DataFrame) -> DataFrame:
 def expand(nodes: DataFrame, hits: DataFrame) -> DataFrame:
     """(parent_id, id): the children of hits in a tree."""
     return nodes.join(hits.select("id"), "id", "left_semi").select(F.col("id").alias("parent_id"), F.explode("children_ids").alias("id"))
+
+
+def reach(links: DataFrame, seeds: DataFrame, up: bool = False, most: int | None = None) -> DataFrame:
+    """(seed, id, distance): what can be reached from seeds (id) over links (parent_id, id), downwards or up, seeds themselves at 0.
+
+    Any number of levels, at most `most`. A round joins what the last one found with the links and drops what its seed has seen,
+    so cycles end and every pair comes once, with its least distance. Nulls are no ends of links. (A recursive SQL expression
+    would stop at a number of rows and carry each row's path to tell cycles.)
+    """
+    step = links.where("parent_id is not null and id is not null").select(*[F.col(c).alias(a) for c, a in zip(("id", "parent_id") if up else ("parent_id", "id"), ("_from", "_to"), strict=True)]).distinct()
+    new = cut(seeds.where("id is not null").select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance")).distinct())
+    seen, distance = new, 0
+    while (most is None or distance < most) and not new.isEmpty():
+        distance += 1
+        found = new.join(step, F.col("id") == F.col("_from")).select("seed", F.col("_to").alias("id")).distinct()
+        new = cut(found.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(distance)))
+        seen = seen.unionByName(new)
+    return seen

@@ -269,6 +269,24 @@ def test_graph(spark):
     assert graph.format_context(near).first()[0] == "Knowledge graph context:\n**A** (t2): d1 | d2\n  -> knows -> **B** (strength: 9/10)\n  -> y -> **B** (strength: 5/10)"
 
 
+def test_reach(spark):
+    """Against a search node by node: cycles, loops, several parents, repeated links, nulls, bounded levels."""
+    rng = random.Random(4)
+    links = [(rng.randint(0, 30), rng.randint(0, 30)) for _ in range(40)] + [(1, 1), (2, 3), (3, 2), (2, 3), (None, 5), (5, None)]
+    seeds = [0, 2, 5, 5, 99, None]
+    for up, most in ((False, None), (True, None), (False, 2), (True, 1), (False, 0)):
+        want = set()
+        for s in {x for x in seeds if x is not None}:
+            seen, now, d = {s: 0}, [s], 0
+            while now and (most is None or d < most):
+                d += 1
+                now = [y for y in {(a if up else b) for a, b in links if a is not None and b is not None and (b if up else a) in now} if y not in seen]
+                seen |= dict.fromkeys(now, d)
+            want |= {(s, x, k) for x, k in seen.items()}
+        got = graph.reach(spark.createDataFrame(links, "parent_id int, id int"), spark.createDataFrame([(x,) for x in seeds], "id int"), up, most).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_extraction(spark):
     """Leaves alone; failures and unreadable answers are errors of their chunk; nested answers become rows."""
     from quarrystone.operators import extract
