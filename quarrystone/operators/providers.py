@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
@@ -80,8 +80,40 @@ class Retrying:
         raise AssertionError
 
 
-def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 100, to: str = "embedding") -> DataFrame:
+class Kept:
+    """A provider whose answers are stored by a hash of its name, the instruction and the text, in a folder of the cluster.
+
+    embed() and complete() then ask for each different text once a run, and only for those that no run has asked for; answers
+    are stored before they are used, so a run that fails later finds them. Empty answers (failures) aren't stored. The name
+    has to change with whatever changes the answers, such as a model or a temperature.
+    """
+
+    def __init__(self, spark: SparkSession, inner: Embedder | TextProvider, name: str, path: str):
+        self.spark, self.inner, self.name, self.path = spark, inner, name, path.rstrip("/")
+
+    def _stored(self, folder: str, schema: str) -> DataFrame:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    def through(self, df: DataFrame, text: str, to: str, kind: str, instruction: str, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """df with column `to`: stored answers, and those of ask(rows without one), which get stored."""
+        folder, schema = f"{self.path}/{'vectors' if kind != 'string' else 'answers'}", f"_qs_asked string, _qs_answer {kind}"
+        asked = F.sha2(F.concat_ws("\x00", F.lit(self.name), F.lit(instruction), F.coalesce(F.col(text), F.lit(""))), 256)
+        rows = cut(df.withColumn("_qs_asked", asked))
+        once = rows.groupBy("_qs_asked").agg(F.first(text).alias(text))
+        made = ask(once.join(self._stored(folder, schema), "_qs_asked", "left_anti")).select("_qs_asked", F.col(to).alias("_qs_answer"))
+        made.where(F.col("_qs_answer") != "" if kind == "string" else F.col("_qs_answer").isNotNull()).write.mode("append").parquet(folder)
+        answers = self._stored(folder, schema).groupBy("_qs_asked").agg(F.first("_qs_answer").alias("_qs_answer"))  # two runs may have asked at once
+        answer = F.coalesce("_qs_answer", F.lit("")) if kind == "string" else F.col("_qs_answer")
+        return rows.drop(to).join(answers, "_qs_asked", "left").withColumn(to, answer).drop("_qs_asked", "_qs_answer")
+
+
+def embed(df: DataFrame, embedder: Embedder | Kept, text: str = "text", batch: int = 100, to: str = "embedding") -> DataFrame:
     """df with a vector for each row's text; rows keep their identity, so order doesn't matter."""
+    if isinstance(embedder, Kept):
+        return embedder.through(df, text, to, "array<float>", "", lambda rows: embed(rows, embedder.inner, text, batch, to))
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -92,11 +124,13 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = 10
                 out += embedder.embed(texts[i : i + batch])
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn(to, run(text))
+    return df.withColumn(to, run.asNondeterministic()(text))  # or a filter on the answer would have it asked for twice
 
 
-def complete(df: DataFrame, provider: TextProvider, instruction: str, text: str, to: str) -> DataFrame:
+def complete(df: DataFrame, provider: TextProvider | Kept, instruction: str, text: str, to: str) -> DataFrame:
     """df with the provider's answer to instruction + text; a failure is logged and gives an empty answer."""
+    if isinstance(provider, Kept):
+        return provider.through(df, text, to, "string", instruction, lambda rows: complete(rows, provider.inner, instruction, text, to))
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,7 +144,7 @@ def complete(df: DataFrame, provider: TextProvider, instruction: str, text: str,
                     out.append("")
             yield pd.Series(out, dtype=object)
 
-    return df.withColumn(to, run(text))
+    return df.withColumn(to, run.asNondeterministic()(text))  # or a filter on the answer would have it asked for twice
 
 
 def translate(df: DataFrame, provider: TextProvider, text: str = "text", size: int = 12_000) -> DataFrame:

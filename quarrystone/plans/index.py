@@ -14,7 +14,7 @@ from ..functions.tokens import Tokenizer
 from ..operators import tree
 from ..operators.aggregate import concat_by_source, numbered, run_summary
 from ..operators.chunking import chunk, enrich
-from ..operators.providers import Embedder, HashedEmbedder, LeadingWords, Retrying, TextProvider, complete, embed
+from ..operators.providers import Embedder, HashedEmbedder, Kept, LeadingWords, Retrying, TextProvider, complete, embed
 from ..schema import NODE
 from ..sources.collections import Collections, last_wins, points
 from ..sources.files import read_sources
@@ -36,12 +36,13 @@ def units(docs: DataFrame, config: EngineConfig, enricher: TextProvider | None =
     return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in NODE.fields], "first_seq", "chunk_index")
 
 
-def index(spark: SparkSession, sources: Sequence[str], collection: str, store: Collections, config: EngineConfig | None = None, embedder: Embedder | None = None, summariser: TextProvider | None = None, enricher: TextProvider | None = None, web: DataFrame | None = None) -> dict:
+def index(spark: SparkSession, sources: Sequence[str], collection: str, store: Collections, config: EngineConfig | None = None, embedder: Embedder | Kept | None = None, summariser: TextProvider | Kept | None = None, enricher: TextProvider | Kept | None = None, web: DataFrame | None = None) -> dict:
     """Index sources into a collection and return a summary. Missing sources are an error for the whole call."""
     config = config or EngineConfig()
     if not collection:
         raise ValueError("a collection name is needed")
-    embedder = Retrying(embedder or HashedEmbedder(config.embedding_dimensions), config.max_retries)
+    if not isinstance(embedder, Kept):
+        embedder = Retrying(embedder or HashedEmbedder(config.embedding_dimensions), config.max_retries)
     docs = read_sources(spark, sources, web, strict=True)
     leaves = cut(embed(units(docs.withColumn("seq", F.col("ord") * (1 << 48) + F.col("seq")), config, enricher), embedder, batch=config.embedding_batch_size))
     nodes = cut(last_wins(tree.build(ordered(leaves), summariser or LeadingWords(), embedder, config), "id", "seq"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from quarrystone.config import EngineConfig
 from quarrystone.functions.checkpoints import cut
-from quarrystone.operators.providers import HashedEmbedder, LeadingWords
+from quarrystone.operators.providers import HashedEmbedder, Kept, LeadingWords, complete, embed
 from quarrystone.plans.index import index
 from quarrystone.plans.retrieve import context, hits, retrieve, status
 from quarrystone.sources.collections import POINT, Collections, Conflict
@@ -168,6 +168,53 @@ def test_two_writers(spark, tmp_path):
     assert c.ensure("y") is None and c.read("y").count() == 0 and c.postings("y").count() == 0
 
 
+def counted(path):
+    """Providers that note each call in a file."""
+
+    class Counted:
+        def _note(self, texts):
+            with open(path, "a") as f:
+                f.writelines(f"{hash(t)}\n" for t in texts)
+
+        def embed(self, texts):
+            self._note(texts)
+            return HashedEmbedder(8).embed(texts)
+
+        def complete(self, prompt):
+            self._note([prompt])
+            if "fail" in prompt:
+                raise RuntimeError("busy")
+            return LeadingWords(3).complete(prompt)
+
+    return Counted()
+
+
+def test_answers_are_kept(spark, tmp_path):
+    calls = tmp_path / "calls"
+    asked = lambda: len(calls.read_text().splitlines()) if calls.exists() else 0
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "a b c d"), (3, None), (4, ""), (5, "fail"), (6, "x y")]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    kept = Kept(spark, counted(str(calls)), "one", str(tmp_path / "kept"))
+    want = sorted((i, t, "a b c" if t == "a b c d" else t if t == "x y" else "") for i, t in rows if t is not None)
+    for n in (4, 6, 8):  # four different texts; empty answers are asked for again
+        got = [tuple(r) for r in complete(df, kept, "Do.", "t", "to").collect()]
+        assert sorted(r for r in got if r[1] is not None) == want and (3, None, "") in got and len(got) == 7 and asked() == n
+    assert [r.to for r in complete(df.where("id = 6"), Kept(spark, counted(str(calls)), "two", str(tmp_path / "kept")), "Do.", "t", "to").collect()] == ["x y"] and asked() == 9
+    for n in (13, 13):
+        got = {r.id: r.v for r in embed(df, kept, "t", to="v").collect()}
+        assert asked() == n and got[1] == got[2] == HashedEmbedder(8).embed(["a b c d"])[0] and got[3] == [0.0] * 8
+
+
+def test_a_second_run_makes_no_call(spark, folder, store, indexed, tmp_path):
+    calls, names = tmp_path / "calls", ("b.md", "c.csv", "d.html")
+    provider = lambda name: Kept(spark, counted(str(calls)), name, str(tmp_path / "kept"))
+    runs = []
+    for _ in range(2):
+        made = index(spark, [str(folder / n) for n in names], "kept", store, EngineConfig(embedding_dimensions=8), provider("vectors"), provider("summaries"))
+        runs.append((made["total_nodes"], len(calls.read_text().splitlines())))
+    assert runs[0] == runs[1] and runs[0][1] >= runs[0][0] and store.drop("kept")
+
+
 def test_questions_without_an_answer(store, indexed):
     """An empty question has a zero vector and no terms."""
     for asked in ("", "the of and", "zzzzzz"):
