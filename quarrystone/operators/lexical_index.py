@@ -26,7 +26,7 @@ from ..functions.tokens import lexical_tokens, stem_counts
 from .retrieval import query_terms, weight
 
 
-def blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int = 64) -> DataFrame:
+def blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int = 8) -> DataFrame:
     """(token, block, top, keys, weights) of docs, ordered by token. Cut or write it: a query reads it three times.
 
     One shuffle deals the terms of documents to ranges of length; a block is built within a task, from `size` documents.
@@ -34,6 +34,7 @@ def blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int = 64)
     words = docs.select(key, lexical_tokens(text).alias("_w"))
     each = stem_counts(words.select(key, "_w", F.size("_w").alias("_n")), key, "_w", "_n")
     each = each.select(key, "token", "_n", weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
+    each = cut(each)  # ranges are found by a pass over the rows, which shall not stem all texts again
     each = cut(each.repartitionByRange("_n", key).sortWithinPartitions("_n", key))
     kind = to_arrow_type(each.schema[key].dataType)
 
