@@ -19,7 +19,7 @@ from .functions import urls as U
 from .functions.bpe import RankedBPE
 from .functions.tokens import LONGEST, STOP_WORDS, tokens
 from .operators import aggregate as A
-from .operators import crawl, extract, graph, lexical_index, retrieval, tree, vector_index
+from .operators import crawl, extract, graph, lexical_index, retrieval, ropes, tree, vector_index
 from .operators.chunking import char_windows, chunk, enrich
 from .operators.chunking import recursive_pieces as split_pieces
 from .sources.collections import last_wins
@@ -86,6 +86,25 @@ def _chunks(spark, sf_dir) -> DataFrame:
     return chunk(_docs(spark, sf_dir), CONFIG.chunk_size, CONFIG.chunk_overlap)
 
 
+@query("""SELECT source, doc_id, (coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset",
+ (sum(length(text) + 2) OVER (PARTITION BY source) - 2)::BIGINT AS n_chars, md5(text) AS piece_md5 FROM documents WHERE text IS NOT NULL""")
+def source_rope(spark, sf_dir):
+    """concat_by_source without a row of a whole source."""
+    out = ropes.rope(_docs(spark, sf_dir), "source", "doc_id")
+    return out.select("source", "doc_id", "offset", "n_chars", F.md5("piece").alias("piece_md5"))
+
+
+SOURCE_CHUNKS = f"""SELECT source, ((s // 360))::INT AS chunk_index, array_to_string(a[s + 1:s + 450], ' ') AS t, len(a[s + 1:s + 450])::INT AS n_tokens FROM
+ (SELECT source, a, unnest(range(0, greatest(len(a) - 90, 1), 360)) AS s FROM (SELECT source, {TOKENS} AS a FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source) j WHERE {NOT_BLANK}) x) y"""
+
+
+@query(f"SELECT source, chunk_index, n_tokens, md5(t) AS text_md5 FROM ({SOURCE_CHUNKS}) c")
+def source_chunks(spark, sf_dir):
+    """Chunks of each source's joined text, made of its rows."""
+    out = ropes.rope_chunks(_docs(spark, sf_dir), "source", "doc_id", CONFIG.chunk_size, CONFIG.chunk_overlap)
+    return out.select("source", "chunk_index", "n_tokens", F.md5("original_text").alias("text_md5"))
+
+
 @query(f"SELECT doc_id, chunk_index, n_tokens, md5(t) AS text_md5 FROM ({CHUNKS}) c")
 def chunk_windows(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "n_tokens", F.md5("original_text").alias("text_md5"))
