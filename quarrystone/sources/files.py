@@ -1,4 +1,4 @@
-"""Documents from files: plain text, CSV, Markdown, HTML, and PDF through a plug-in.
+"""Documents from files: plain text, CSV, Markdown, HTML, and PDF.
 
 Every reader gives DOCUMENT rows: title, text, source, creation_date, raw_data, seq, error. Blank documents drop out; a
 source that can't be read gives one row with its error instead, so that others go on.
@@ -15,6 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as T
 from ..functions.html import clean_text, page_title
+from ..functions.pdf import page_texts
 from ..schema import DOCUMENT
 
 
@@ -60,21 +61,30 @@ def csv_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("text", F.array_join(F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]), "\n"))
 
 
-def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """One document for each page. pages: bytes -> texts, from whatever PDF library the deployment has."""
-    if pages is None:
-        raise NotImplementedError("reading PDF needs a function from a PDF library")
+def read_pdf(spark: SparkSession, path: str, pages: Callable[[bytes], list] = page_texts) -> DataFrame:
+    """One document for each page; a file or page that can't be read is a row with its error. Files of up to 2 GB.
 
-    def run(frames):
-        for f in frames:
-            for source, content in zip(f["path"], f["content"], strict=True):
-                texts = pages(bytes(content))
-                import pandas as pd
-
-                yield pd.DataFrame({"source": source, "seq": range(len(texts)), "text": texts})
+    pages: bytes -> the pages' texts, or an error in a page's place; another PDF library's, if the deployment has one.
+    """
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source string, seq long, text string")
-    return normalise(rows, seq="seq")
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for source, content in zip(b.column(0), b.column(1), strict=True):  # a file at a time
+                try:
+                    got = pages(content.as_py())
+                except Exception as e:  # noqa: BLE001 - whatever a library raises for a broken file
+                    got = [e]
+                texts = [None if isinstance(t, Exception) else t for t in got]
+                errors = [f"{type(t).__name__}: {t}" if isinstance(t, Exception) else None for t in got]
+                yield pa.RecordBatch.from_arrays([pa.array([source.as_py()] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["source", "seq", "text", "error"])
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "source string, seq long, text string, error string")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    title = F.when(F.col("error").isNull(), F.lit(T.NO_TITLE))
+    some = rows.where(F.col("error").isNotNull() | ~T.is_blank("text"))  # one pass over the files, with the errors
+    return some.select(title.alias("title"), "text", "source", F.lit("").alias("creation_date"), empty.alias("raw_data"), "seq", "error")
 
 
 READERS = {".csv": read_csv, ".md": read_markdown, ".markdown": read_markdown, ".html": read_html, ".htm": read_html, ".pdf": read_pdf}
