@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 NO_TITLE = "Text not found at source"
 PASSAGE_JOIN = "\n\n---\n\n"
 DOCUMENT_JOIN = "\n\n"
+DOCUMENT_ID_HEAD = 500  # characters of a text that its document's id is made of
 TRUNCATED = "\n\n[... truncated for length ...]"
 FALLBACK_CONTEXT, FALLBACK_SECTION = "json parsing failed, returning empty context", "parsing failed"
 
@@ -32,7 +33,7 @@ def keyed_hash(*columns: Column | str, bits: int = 512) -> Column:
 
 
 def document_id(source: Column | str, text: Column | str, bits: int = 512) -> Column:
-    return keyed_hash(source, F.substring(_c(text), 1, 500), bits=bits)
+    return keyed_hash(source, F.substring(_c(text), 1, DOCUMENT_ID_HEAD), bits=bits)
 
 
 def unit_id(text: Column | str, bits: int = 512) -> Column:

@@ -45,9 +45,10 @@ def rope(rows: DataFrame, key: str, seq: str, value: str = "text", by: str = T.D
     return out.select(key, seq, "offset", "piece", (F.col("total") - len(by)).alias("n_chars"))
 
 
-def head(pieces: DataFrame, key: str, size: int, by: str = T.DOCUMENT_JOIN) -> DataFrame:
-    """(key, head): the first `size` characters of each rope's text; only the pieces that begin before are read together."""
-    first = pieces.where(F.col("offset") < size).select(key, "offset", F.substring("piece", 1, size).alias("piece"))
+def heads(rows: DataFrame, key: str, seq: str, size: int, value: str = "text", by: str = T.DOCUMENT_JOIN) -> DataFrame:
+    """(key, head): the first `size` characters of each key's joined text. No more of a row is moved than that."""
+    short = rows.where(F.col(value).isNotNull()).select(key, seq, F.substring(value, 1, size).alias("piece"), (F.length(value) + len(by)).alias("_n"))
+    first = running(short, key, [seq], "_n", "offset").where(F.col("offset") < size)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"]), by)
     return first.groupBy(key).agg(F.substring(joined, 1, size).alias("head"))
 
@@ -72,3 +73,13 @@ def rope_chunks(rows: DataFrame, key: str, seq: str, size: int = 450, overlap: i
     parts = F.array_sort(F.collect_list(F.struct(F.col("_start").alias("o"), some.alias("t"))))
     out = reached.groupBy(key, "chunk_index").agg(F.flatten(F.transform(parts, lambda x: x["t"])).alias("_window"))
     return out.select(key, F.col("chunk_index").cast("int"), F.array_join("_window", " ").alias("original_text"), F.size("_window").alias("n_tokens"))
+
+
+def source_chunks(docs: DataFrame, size: int = 450, overlap: int = 90, seq: str = "seq", bits: int = 512) -> DataFrame:
+    """`chunk` of `concat_by_source` (source, chunk_index, original_text, n_tokens, document_id, first_seq, metadata), made of rows."""
+    first = [F.min_by(c, seq).alias(c) for c in ("title", "creation_date") if c in docs.columns]
+    about = docs.groupBy("source").agg(F.min(seq).alias("first_seq"), *first)
+    begun = heads(docs, "source", seq, T.DOCUMENT_ID_HEAD).withColumnRenamed("source", "_s")
+    about = about.join(begun, F.col("source").eqNullSafe(F.col("_s"))).withColumn("document_id", T.document_id("source", "head", bits)).drop("_s", "head")
+    chunks = rope_chunks(docs, "source", seq, size, overlap).withColumnRenamed("source", "_s")
+    return chunks.join(about, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

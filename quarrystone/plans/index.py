@@ -15,15 +15,23 @@ from ..operators import tree
 from ..operators.aggregate import concat_by_source, numbered, run_summary
 from ..operators.chunking import chunk, enrich
 from ..operators.providers import Embedder, HashedEmbedder, Kept, LeadingWords, Retrying, TextProvider, complete, embed
+from ..operators.ropes import source_chunks
 from ..schema import NODE
 from ..sources.collections import Collections, last_wins, points
 from ..sources.files import read_sources
 
 
 def units(docs: DataFrame, config: EngineConfig, enricher: TextProvider | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Leaf nodes (NODE columns, first_seq and chunk_index) from documents (source, text, title, seq): joined by source, cut, enriched."""
-    whole = concat_by_source(docs)
-    chunks = chunk(whole, config.chunk_size, config.chunk_overlap, tokenizer)
+    """Leaf nodes (NODE columns, first_seq and chunk_index) from documents (source, text, title, seq): joined by source, cut, enriched.
+
+    Rows with an error, of files or pages that can't be read, are left out. With a plug-in tokenizer, whose tokens may reach over the
+    edges of rows, each source is one string; otherwise none is.
+    """
+    docs = docs.where("error is null") if "error" in docs.columns else docs
+    if tokenizer:
+        chunks = chunk(concat_by_source(docs), config.chunk_size, config.chunk_overlap, tokenizer)
+    else:
+        chunks = source_chunks(docs, config.chunk_size, config.chunk_overlap)
     if config.prepend_metadata:
         chunks = chunks.withColumn("original_text", F.concat(F.col("title"), F.lit("\n"), F.col("original_text")))
     if enricher:

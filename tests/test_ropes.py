@@ -25,7 +25,7 @@ def test_rope_is_the_joined_text(spark, rows):
     for k, pieces in got.items():
         assert all(want[k][p["offset"] :].startswith(p["piece"]) and p["n_chars"] == len(want[k]) for p in pieces)
         assert "\n\n".join(p["piece"] for p in sorted(pieces, key=lambda p: p["seq"])) == want[k]
-    heads = {r["source"]: r["head"] for r in ropes.head(ropes.rope(rows, "source", "seq"), "source", 100).collect()}
+    heads = {r["source"]: r["head"] for r in ropes.heads(rows, "source", "seq", 100).collect()}
     assert heads == {k: v[:100] for k, v in want.items()}
 
 
@@ -38,6 +38,13 @@ def test_chunks_of_ropes(rows, size, overlap):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, whole.collect()), key=key)
 
 
+def test_chunks_of_sources_with_their_metadata(rows):
+    docs = rows.withColumn("title", F.concat(F.lit("title "), "seq")).withColumn("creation_date", F.lit(""))
+    columns = ["source", "chunk_index", "original_text", "n_tokens", "document_id", "first_seq", "title", "creation_date"]
+    whole = chunk(aggregate.concat_by_source(docs), 50, 10).select(*columns)
+    assert sorted(map(str, ropes.source_chunks(docs, 50, 10).select(*columns).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_running_over_a_hot_key_and_nothing(spark):
     df = spark.range(5000).select(F.lit("k").alias("key"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("n"))
     got, run = ropes.running(df, "key", ["id"], "n").orderBy("id").collect(), 0
