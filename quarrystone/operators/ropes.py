@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,20 +35,35 @@ def running(df: DataFrame, key: str, order: Sequence[str], amount: str, out: str
     return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_at", "_key", "_base", "_in")
 
 
+def placed(rows: DataFrame, key: str, seq: str, value: str, amount: Column, out: str) -> DataFrame:
+    """(key, seq, value, amount, `out`, total): each row that isn't null at its place in `running` order of (seq, a hash of its value).
+
+    Sums are made of the amounts alone; the values move once, to meet their places. Copies equal in key, seq and value are one row
+    on the way and follow one another.
+    """
+    same = F.struct(F.col(key), F.col(seq), F.xxhash64(value)).alias("_same")  # a struct: null fields of it are equal in a join
+    some = rows.where(F.col(value).isNotNull())
+    slim = some.select(same, amount.cast("long").alias("amount")).groupBy("_same").agg(F.first("amount").alias("amount"), F.count("*").alias("_copies"))
+    flat = slim.select(F.col(f"_same.{key}").alias("_rope"), F.col(f"_same.{seq}").alias("_seq"), "_same", "amount", "_copies", (F.col("amount") * F.col("_copies")).alias("_all"))
+    at = running(flat, "_rope", ["_seq", "_same"], "_all", "_first").select("_same", "amount", "_copies", "_first", "total")
+    values = some.select(same, value).groupBy("_same").agg(F.first(value).alias(value))
+    each = values.join(at, "_same").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    return each.select(F.col(f"_same.{key}").alias(key), F.col(f"_same.{seq}").alias(seq), value, "amount", (F.col("_first") + F.col("_copy") * F.col("amount")).alias(out), "total")
+
+
 def rope(rows: DataFrame, key: str, seq: str, value: str = "text", by: str = T.DOCUMENT_JOIN) -> DataFrame:
     """(key, seq, offset, piece, n_chars): the values in order of `seq`, each with its place in their joined text of n_chars.
 
     Null values aren't part of the text. The separator isn't stored: it stands after each piece but the last.
     """
-    some = rows.where(F.col(value).isNotNull()).select(key, seq, F.col(value).alias("piece"), (F.length(value) + len(by)).alias("_n"))
-    out = running(some, key, [seq], "_n", "offset")
-    return out.select(key, seq, "offset", "piece", (F.col("total") - len(by)).alias("n_chars"))
+    out = placed(rows, key, seq, value, F.length(value) + len(by), "offset")
+    return out.select(key, seq, "offset", F.col(value).alias("piece"), (F.col("total") - len(by)).alias("n_chars"))
 
 
 def heads(rows: DataFrame, key: str, seq: str, size: int, value: str = "text", by: str = T.DOCUMENT_JOIN) -> DataFrame:
     """(key, head): the first `size` characters of each key's joined text. No more of a row is moved than that."""
-    short = rows.where(F.col(value).isNotNull()).select(key, seq, F.substring(value, 1, size).alias("piece"), (F.length(value) + len(by)).alias("_n"))
-    first = running(short, key, [seq], "_n", "offset").where(F.col("offset") < size)
+    short = rows.where(F.col(value).isNotNull()).select(key, seq, F.substring(value, 1, size).alias("piece"), (F.length(value) + len(by)).alias("_n"), F.xxhash64(value).alias("_h"))
+    first = running(short, key, [seq, "_h"], "_n", "offset").where(F.col("offset") < size)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"]), by)
     return first.groupBy(key).agg(F.substring(joined, 1, size).alias("head"))
 
@@ -62,12 +77,12 @@ def rope_chunks(rows: DataFrame, key: str, seq: str, size: int = 450, overlap: i
     if not 0 <= overlap < size:
         raise ValueError("overlap has to be at least 0 and below size")
     step = size - overlap
-    cut_up = rows.select(key, seq, tokens(value).alias("_tokens")).withColumn("_n", F.size("_tokens")).where("_n > 0")
-    placed = running(cut_up, key, [seq], "_n", "_start")
+    at = placed(rows.select(key, seq, value), key, seq, value, F.size(tokens(value)), "_start").where("amount > 0")
+    at = at.select(key, F.col("amount").alias("_n"), "_start", "total", tokens(value).alias("_tokens"))
     last = F.floor((F.greatest(F.col("total") - overlap, F.lit(1)) - 1) / step)
     low = F.greatest(F.floor((F.col("_start") - size) / step) + 1, F.lit(0))
     high = F.least(F.floor((F.col("_start") + F.col("_n") - 1) / step), last)
-    reached = placed.where(low <= high).withColumn("chunk_index", F.explode(F.sequence(low, high)))
+    reached = at.where(low <= high).withColumn("chunk_index", F.explode(F.sequence(low, high)))
     begin = F.col("chunk_index") * step - F.col("_start")  # of the window, counted from the row's first token
     some = F.slice("_tokens", (F.greatest(begin, F.lit(0)) + 1).cast("int"), (F.least(begin + size, F.col("_n")) - F.greatest(begin, F.lit(0))).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct(F.col("_start").alias("o"), some.alias("t"))))

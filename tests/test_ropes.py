@@ -12,7 +12,7 @@ ROWS = "source string, seq long, text string, offset string"
 def rows(spark):
     words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
     data = [("a", i, words(f"w{i}x", i * 7 % 40), "other") for i in range(60)]
-    data += [("b", 1, words("long", 3000), None), ("b", 0, " \n ", None), ("b", 2, None, None), ("c", 5, "", None), (None, 1, "x  y", None), (None, 2, "z\té", None), ("d", 1, "one", None)]
+    data += [("b", 1, words("long", 3000), None), ("b", 0, " \n ", None), ("b", 2, None, None), ("c", 5, "", None), (None, 1, "x  y", None), (None, 2, "z\té", None), ("d", 1, "one", None), ("d", 2, "twice here", None), ("d", 2, "twice here", None), ("d", None, "null first", None)]
     return spark.createDataFrame(data, ROWS).repartition(5)
 
 
@@ -24,7 +24,7 @@ def test_rope_is_the_joined_text(spark, rows):
     assert set(got) == set(want)
     for k, pieces in got.items():
         assert all(want[k][p["offset"] :].startswith(p["piece"]) and p["n_chars"] == len(want[k]) for p in pieces)
-        assert "\n\n".join(p["piece"] for p in sorted(pieces, key=lambda p: p["seq"])) == want[k]
+        assert "\n\n".join(p["piece"] for p in sorted(pieces, key=lambda p: p["offset"])) == want[k]
     heads = {r["source"]: r["head"] for r in ropes.heads(rows, "source", "seq", 100).collect()}
     assert heads == {k: v[:100] for k, v in want.items()}
 
