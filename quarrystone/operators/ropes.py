@@ -85,9 +85,10 @@ def rope_chunks(rows: DataFrame, key: str, seq: str, size: int = 450, overlap: i
     reached = at.where(low <= high).withColumn("chunk_index", F.explode(F.sequence(low, high)))
     begin = F.col("chunk_index") * step - F.col("_start")  # of the window, counted from the row's first token
     some = F.slice("_tokens", (F.greatest(begin, F.lit(0)) + 1).cast("int"), (F.least(begin + size, F.col("_n")) - F.greatest(begin, F.lit(0))).cast("int"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("_start").alias("o"), some.alias("t"))))
-    out = reached.groupBy(key, "chunk_index").agg(F.flatten(F.transform(parts, lambda x: x["t"])).alias("_window"))
-    return out.select(key, F.col("chunk_index").cast("int"), F.array_join("_window", " ").alias("original_text"), F.size("_window").alias("n_tokens"))
+    shown = reached.select(key, "chunk_index", "_start", some.alias("_some")).select(key, "chunk_index", F.struct(F.col("_start").alias("o"), F.array_join("_some", " ").alias("t")).alias("_part"), F.size("_some").alias("_n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda x: x["t"]), " ")  # strings: an array of tokens is thrice as long
+    out = shown.groupBy(key, "chunk_index").agg(joined.alias("original_text"), F.sum("_n").cast("int").alias("n_tokens"))
+    return out.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def source_chunks(docs: DataFrame, size: int = 450, overlap: int = 90, seq: str = "seq", bits: int = 512) -> DataFrame:
