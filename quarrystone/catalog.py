@@ -202,9 +202,9 @@ def bm25_topk(spark, sf_dir):
 @query(SQL["bm25_topk"])
 def bm25_blocks_topk(spark, sf_dir):
     """The same by an index in blocks, of which most are ruled out by their greatest weights."""
-    from .functions.checkpoints import cut
+    from .functions.checkpoints import stored
 
-    index = cut(lexical_index.blocks(_docs(spark, sf_dir), "doc_id"))
+    index = stored(lexical_index.blocks(_docs(spark, sf_dir), "doc_id"))
     return lexical_index.topk(index, QUERY, 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 

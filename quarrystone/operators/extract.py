@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, stored
 from ..functions.text import _c
 from .providers import TextProvider, complete
 
@@ -51,7 +51,7 @@ def extract(nodes: DataFrame, provider: TextProvider, text: str = "original_text
     answers = complete(leaves, provider, INSTRUCTION, "_text", "_answer").drop("_text")
     parsed = F.from_json("_answer", ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     silent = F.coalesce(F.trim("_answer") == "", F.lit(True))
-    answers = cut(answers.select("chunk_id", "_seq", "source", parsed.alias("_a"), silent.alias("_silent")))
+    answers = stored(answers.select("chunk_id", "_seq", "source", parsed.alias("_a"), silent.alias("_silent")))
     error = F.when(F.col("_silent"), "no answer").when(F.col("_a").isNull() | F.col("_a._broken").isNotNull(), "unreadable answer")
     answers = answers.withColumn("error", error)
     fine = answers.where("error is null")
@@ -78,7 +78,7 @@ def alike(names: DataFrame, percent: int = 80, q: int = 3) -> DataFrame:
     Two sets that are so alike share one of their rarest grams (as many of each as may differ, and one), so only names that meet
     there are compared; sizes rule out most of those before the sets are.
     """
-    sets = cut(names.select("name").where("name is not null").distinct().withColumn("_g", grams("name", q)).withColumn("_m", F.size("_g")))
+    sets = stored(names.select("name").where("name is not null").distinct().withColumn("_g", grams("name", q)).withColumn("_m", F.size("_g")))
     rows = sets.select("name", "_m", F.explode("_g").alias("gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("_n"))
     ordered = rows.join(often, "gram").groupBy("name", "_m").agg(F.array_sort(F.collect_list(F.struct("_n", "gram"))).alias("_o"))  # as many as a name has letters

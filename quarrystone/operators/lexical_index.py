@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, stored
 from ..functions.tokens import lexical_tokens, stem_counts
 from .retrieval import query_terms, weight
 
@@ -34,7 +34,7 @@ def blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int = 8)
     words = docs.select(key, lexical_tokens(text).alias("_w"))
     each = stem_counts(words.select(key, "_w", F.size("_w").alias("_n")), key, "_w", "_n")
     each = each.select(key, "token", "_n", weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
-    each = cut(each)  # ranges are found by a pass over the rows, which shall not stem all texts again
+    each = stored(each)  # ranges are found by a pass over the rows, which shall not stem all texts again
     each = cut(each.repartitionByRange("_n", key).sortWithinPartitions("_n", key))
     kind = to_arrow_type(each.schema[key].dataType)
 
