@@ -20,6 +20,10 @@ INSTRUCTION = 'List entities and relations of this text as JSON: {"entities": [{
 ANSWER = "entities array<struct<name:string,type:string,description:string>>, relations array<struct<source:string,target:string,description:string,strength:int>>, _broken string"
 
 
+#: Rows of different grams that are broadcast; beyond, they are shuffled.
+FEW = 200_000
+
+
 class Extracted(NamedTuple):
     """entities (name, type, description, source, chunk_id, seq), relations (source, target, description, strength, chunk_id, seq)
     and errors (chunk_id, error); seq orders the items of all chunks, as merge_entities and merge_relations want it."""
@@ -72,21 +76,41 @@ def grams(name: Column | str, q: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(plain) - (q - 1)), lambda i: F.substring(plain, i, F.lit(q))))
 
 
-def alike(names: DataFrame, percent: int = 80, q: int = 3) -> DataFrame:
-    """(a, b), a < b: names (name) whose grams have a Jaccard similarity of percent or more; every such pair.
+def candidates(names: DataFrame, percent: int = 80, q: int = 3, short: int = 32) -> DataFrame:
+    """(a, b), a < b: distinct names (name) whose grams may have a Jaccard similarity of percent or more; no such pair is missed.
 
-    Two sets that are so alike share one of their rarest grams (as many of each as may differ, and one), so only names that meet
-    there are compared; sizes rule out most of those before the sets are.
+    Sets that are so alike share at least `least` grams of either, and so one of the rarest m - least + 1 and two of the rarest
+    m - least + 2 of its m. Names of up to `short` grams, and those that may be like one, meet at two such grams, which few others
+    have; longer ones, of which there would be many twos, at one. Of those that meet, sizes and bitmaps rule out most: two sets
+    differ in at least as many grams as bitmaps do in bits. All that is shuffled to meet is one row a name and meeting place.
     """
-    sets = stored(names.select("name").where("name is not null").distinct().withColumn("_g", grams("name", q)).withColumn("_m", F.size("_g")))
-    rows = sets.select("name", "_m", F.explode("_g").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count("*").alias("_n"))
-    ordered = rows.join(often, "gram").groupBy("name", "_m").agg(F.array_sort(F.collect_list(F.struct("_n", "gram"))).alias("_o"))  # as many as a name has letters
-    differ = F.col("_m") - F.expr(f"({percent} * _m + 99) div 100").cast("int")
-    first = ordered.select("name", "_m", F.explode(F.slice("_o", F.lit(1), differ + 1)).alias("_p")).select("name", "_m", F.col("_p.gram").alias("gram"))
-    a, b = (first.select("gram", F.col("name").alias(x), F.col("_m").alias(f"_{x}")) for x in "ab")
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b"))).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("name").alias("a"), F.col("_g").alias("_ga")), "a").join(sets.select(F.col("name").alias("b"), F.col("_g").alias("_gb")), "b")
+    sets = names.withColumn("_g", grams("name", q))
+    bits = F.aggregate("_g", F.lit(0).cast("long"), lambda s, g: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))))
+    rows = sets.select("name", F.explode("_g").alias("gram"))
+    often = cut(rows.groupBy("gram").agg(F.count("*").alias("_n")))
+    often = F.broadcast(often) if often.count() <= FEW else often
+    ordered = rows.join(often, "gram").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "gram"))), lambda x: x["gram"]).alias("_g"))  # as many as a name has letters
+    m = F.size("_g")
+    ordered = ordered.select("name", m.alias("_m"), bits.alias("_bits"), "_g", (m - F.floor((percent * m + 99) / 100).cast("int")).alias("_differ"))
+    two = F.slice("_g", F.lit(1), F.col("_differ") + 2)
+    twos = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.size(two)), lambda y: F.xxhash64(x, y))))
+    one = F.transform(F.slice("_g", F.lit(1), F.col("_differ") + 1), lambda x: F.xxhash64(x))
+    least = F.col("_m") - F.col("_differ")
+    some = F.array().cast("array<bigint>")
+    # the lesser of two is short: both meet at twos, unless one gram may be all they share; else at ones
+    places = F.concat(F.when((least <= short) & (F.col("_m") > 1), twos).otherwise(some), F.when((F.col("_m") > short) | (least <= 1), one).otherwise(some))
+    met = ordered.select("name", "_m", "_bits", F.explode(places).alias("_key")).repartition("_key")
+    a, b = (met.select("_key", *[F.col(c).alias(c + x) for c in ("name", "_m", "_bits")]) for x in "ab")
+    both = F.col("_ma") + F.col("_mb")
+    apart = both - 2 * F.floor((percent * both + 99 + percent) / (100 + percent))
+    fits = (100 * F.least("_ma", "_mb") >= percent * F.greatest("_ma", "_mb")) & (F.bit_count(F.col("_bitsa").bitwiseXOR(F.col("_bitsb"))) <= apart)
+    return a.join(b, "_key").where((F.col("namea") < F.col("nameb")) & fits).select(F.col("namea").alias("a"), F.col("nameb").alias("b")).distinct()
+
+
+def alike(names: DataFrame, percent: int = 80, q: int = 3) -> DataFrame:
+    """(a, b), a < b: names (name) whose grams have a Jaccard similarity of percent or more; every such pair."""
+    pairs = cut(candidates(stored(names.select("name").where("name is not null").distinct()), percent, q))
+    full = pairs.select("a", "b", grams("a", q).alias("_ga"), grams("b", q).alias("_gb"))
     shared = F.size(F.array_intersect("_ga", "_gb"))
     return full.where(100 * shared >= percent * (F.size("_ga") + F.size("_gb") - shared)).select("a", "b")
 

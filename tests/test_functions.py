@@ -429,6 +429,23 @@ def test_resolved_links(spark):
     assert got == [[w] if urlparse(w).netloc == urlparse(c).netloc else [] for (c, _), w in zip(rows, want, strict=True)]
 
 
+@pytest.mark.parametrize("short", [0, 4, 32])
+def test_candidates_of_names_are_few(spark, short):
+    """None is missed, whether sets count as short or long; short names that share a common gram or two don't meet."""
+    from quarrystone.operators import extract
+
+    rng = random.Random(2)
+    base = ["".join(rng.choice(("ka", "lo", "mi", "ren", "tu", "sa")) for _ in range(rng.randint(2, 5))) for _ in range(900)]
+    names = sorted(set(base) | {b + "s" for b in base[:60]} | {b.upper() for b in base[:60]} | {b * 4 for b in base[:20]} | {b * 4 + "x" for b in base[:20]})
+    df = spark.createDataFrame([(n,) for n in names], "name string").checkpoint()
+    got = {tuple(r) for r in extract.candidates(df, 80, short=short).collect()}
+    of = {r.name: set(r.g) for r in df.select("name", extract.grams("name").alias("g")).collect()}
+    want = {(a, b) for a in names for b in names if a < b and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b])}
+    assert want and want <= got
+    if short == 32:
+        assert len(got) < 4 * len(want), (len(got), len(want))
+
+
 def test_translation_keeps_repeated_rows_and_long_texts(spark):
     from quarrystone.operators.providers import LeadingWords, translate
 
