@@ -402,14 +402,14 @@ def gmm_tree(spark, sf_dir):
 @query()
 def summary_tree(spark, sf_dir):
     """The whole way: every document cut, enriched and embedded, then two levels of soft clusters and summaries."""
-    from .functions.checkpoints import cut
+    from .functions.checkpoints import stored
     from .operators.providers import HashedEmbedder, LeadingWords, embed
     from .plans.index import ordered, units
 
     d = _docs(spark, sf_dir).select(F.concat_ws("/", "source", "doc_id").alias("source"), "text", F.lit(T.NO_TITLE).alias("title"), F.col("doc_id").alias("seq"))
     embedder = HashedEmbedder(CONFIG.embedding_dimensions)
-    leaves = cut(embed(units(d, CONFIG), embedder, batch=CONFIG.embedding_batch_size))
-    nodes = tree.build(ordered(leaves), LeadingWords(), embedder, CONFIG)
+    leaves = stored(embed(units(d, CONFIG), embedder, batch=CONFIG.embedding_batch_size))
+    nodes = tree.build(ordered(leaves), LeadingWords(), embedder, CONFIG, kept=True)
     return nodes.groupBy("level").agg(F.count("*").alias("n"), F.count("parent_id").alias("n_with_parent"), F.sum(F.size(F.coalesce("children_ids", F.array().cast("array<string>")))).cast("long").alias("n_children"))
 
 

@@ -33,5 +33,5 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     """df as a Parquet table in that folder: lineage is cut as by `cut`, in less space; partitions aren't those of df any more."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

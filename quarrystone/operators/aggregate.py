@@ -61,10 +61,10 @@ def batches(df: DataFrame, order: str, size: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: str, to: str = "seq") -> DataFrame:
-    """df with `to`: the row's number, from 0, in ascending order. A checkpoint, sorted by ranges; nothing is in one task."""
-    from ..functions.checkpoints import cut
+    """df with `to`: the row's number, from 0, in ascending order. Sorted by ranges and stored; nothing is in one task."""
+    from ..functions.checkpoints import stored
 
-    at = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    at = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     placed = at.withColumn("_part", F.shiftright("_at", 33))
     before, rows = 0, []
     for r in sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):  # one row for each partition

@@ -10,6 +10,7 @@ import hashlib
 import logging
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +35,11 @@ class TransientError(Exception):
     """What a provider raises for rate limits and time-outs; anything else is not tried again."""
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_hash(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+
+
 class HashedEmbedder:
     """Unit vectors from hashed words: texts that share words are close."""
 
@@ -43,10 +49,10 @@ class HashedEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            v = np.zeros(self.dimensions, np.float32)
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+            ws = t.lower().split()
+            h = np.fromiter(map(_word_hash, ws), dtype=np.uint64, count=len(ws))
+            at = (h % np.uint64(self.dimensions)).astype(np.int64)
+            v = np.bincount(at, weights=np.where(h >> np.uint64(63), 1.0, -1.0), minlength=self.dimensions).astype(np.float32)
             n = float(np.linalg.norm(v))
             out.append((v / n if n else v).tolist())
         return out

@@ -21,8 +21,9 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 def normalised(v: Column | str) -> Column:
     """A vector over its length; a null or zero vector stays as it is. Done once, when a node is written."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(T._c(v), lambda x: (x / n).cast("float"))).otherwise(T._c(v))
+    # the length is a lambda's variable: within the inner lambda it would be summed again for each number
+    over = lambda n: F.when(n > 0, F.transform(T._c(v), lambda x: (x / n).cast("float"))).otherwise(T._c(v))
+    return F.transform(F.array(F.sqrt(dot(v, v))), over)[0]
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, stored
 from .aggregate import cluster_inputs
 from .providers import Embedder, TextProvider, complete, embed
 from .retrieval import normalised
@@ -40,6 +40,12 @@ def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
     return -2 * log_likelihood + (k * d * (d + 1) / 2 + k * d + k - 1) * math.log(n)
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    """Of each row the products of any two of its numbers, the numbers, and 1."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate((x[:, i] * x[:, j], x, np.ones((len(x), 1))), axis=1)
+
+
 class Mixtures:
     """Gaussian mixtures of several numbers of clusters, fitted to blocks of rows.
 
@@ -72,26 +78,44 @@ class Mixtures:
 
     def posteriors(self, k: int, x: np.ndarray) -> tuple[np.ndarray, float]:
         """Posteriors of a block's rows, and their log-likelihood."""
-        n, d = x.shape
-        if self.models[k] is None:
-            post = np.zeros((n, k))
-            post[np.arange(n), np.argmin([((x - c) ** 2).sum(axis=1) for c in self.starts[:k]], axis=0)] = 1
+        return self._posteriors(k, x, None if self.models[k] is None else squares(x) @ self.forms(k))
+
+    def forms(self, k: int) -> np.ndarray:
+        """The log-densities of k clusters, times their shares, as weights of squares(): a column a cluster."""
+        out = []
+        for share, mean, chol in zip(*self.models[k], strict=True):
+            d = len(mean)
+            root = np.linalg.inv(chol)
+            exact = root.T @ root  # the inverse of the covariance
+            i, j = np.triu_indices(d)
+            out.append(np.concatenate((-0.5 * exact[i, j] * np.where(i == j, 1, 2), exact @ mean, [math.log(share) - 0.5 * (d * math.log(2 * math.pi) + ((root @ mean) ** 2).sum()) - np.log(np.diag(chol)).sum()])))
+        return np.stack(out, axis=1)
+
+    def _posteriors(self, k: int, x: np.ndarray, log_p: np.ndarray | None) -> tuple[np.ndarray, float]:
+        if log_p is None:
+            post = np.zeros((len(x), k))
+            post[np.arange(len(x)), np.argmin([((x - c) ** 2).sum(axis=1) for c in self.starts[:k]], axis=0)] = 1
             return post, -math.inf
-        share, mean, chol = self.models[k]
-        log_p = np.empty((n, k))
-        for j in range(k):
-            z = np.linalg.solve(chol[j], (x - mean[j]).T)
-            log_p[:, j] = math.log(share[j]) - 0.5 * (d * math.log(2 * math.pi) + (z**2).sum(axis=0)) - np.log(np.diag(chol[j])).sum()
         top = log_p.max(axis=1, keepdims=True)
-        total = top[:, 0] + np.log(np.exp(log_p - top).sum(axis=1))
-        return np.exp(log_p - total[:, None]), float(total.sum())
+        post = np.exp(log_p - top)
+        total = post.sum(axis=1, keepdims=True)
+        return post / total, float((top + np.log(total)).sum())
 
     def statistics(self, x: np.ndarray) -> dict[int, list[np.ndarray]]:
-        """Of each open number of clusters: rows, log-likelihood, weights, weighted sums and squares."""
+        """Of each open number of clusters: rows, log-likelihood, weights, weighted sums and squares.
+
+        All clusters of all numbers are two matrix products with the rows' squares().
+        """
+        numbers, z, d = sorted(self.open), squares(x), x.shape[1]
+        fitted = [k for k in numbers if self.models[k] is not None]
+        log_p = dict(zip(fitted, np.split(z @ np.concatenate([self.forms(k) for k in fitted], axis=1), np.cumsum(fitted)[:-1], axis=1), strict=True)) if fitted else {}
+        found = [self._posteriors(k, x, log_p.get(k)) for k in numbers]
+        i, j = np.triu_indices(d)
         out = {}
-        for k in sorted(self.open):
-            post, ll = self.posteriors(k, x)
-            out[k] = [np.array([len(x), ll]), post.sum(axis=0), post.T @ x, np.einsum("nk,ni,nj->kij", post, x, x, optimize=True)]
+        for k, (_, ll), sums in zip(numbers, found, np.split(np.concatenate([post for post, _ in found], axis=1).T @ z, np.cumsum(numbers)[:-1]), strict=True):
+            second = np.empty((k, d, d))
+            second[:, i, j] = second[:, j, i] = sums[:, : len(i)]
+            out[k] = [np.array([len(x), ll]), sums[:, -1], sums[:, len(i) : -1], second]
         return out
 
     @staticmethod
@@ -143,7 +167,8 @@ def _fit_spread(mixtures: Mixtures, blocks: DataFrame, most: int) -> Mixtures:
                 out = [(r["block"], pickle.dumps(f(shared.value, *_unpacked(r)))) for r in b.to_pylist()]
                 yield pa.RecordBatch.from_pylist([{"block": k, "v": v} for k, v in out], schema=pa.schema([("block", pa.int32()), ("v", pa.binary())]))
 
-        rows = blocks.mapInArrow(run, "block int, v binary").orderBy("block").toLocalIterator()
+        # put in order here: a sort by ranges would make every row twice, once for its sample
+        rows = sorted(blocks.mapInArrow(run, "block int, v binary").collect(), key=lambda r: r["block"])
         return (pickle.loads(r["v"]) for r in rows)
 
     for _ in range(most):
@@ -177,7 +202,7 @@ def _blocks(reduced: DataFrame, key: str, n: int) -> DataFrame:
 
 def reduce_dimensions(nodes: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(key, features): principal components of the unit vectors, k of them, or fewer for short vectors."""
-    unit = nodes.select(key, array_to_vector(normalised(vector).cast("array<double>")).alias("v"))
+    unit = cut(nodes.select(key, array_to_vector(normalised(vector).cast("array<double>")).alias("v")))  # read three times
     width = len(nodes.select(vector).first()[0])
     model = PCA(k=min(k, width), inputCol="v", outputCol="features").fit(unit)
     return model.transform(unit).select(key, "features")
@@ -245,13 +270,15 @@ def summaries(members: DataFrame, level: int, summariser: TextProvider, embedder
     return embed(out, embedder, batch=config.embedding_batch_size)
 
 
-def build(leaves: DataFrame, summariser: TextProvider, embedder: Embedder, config: EngineConfig | None = None) -> DataFrame:
+def build(leaves: DataFrame, summariser: TextProvider, embedder: Embedder, config: EngineConfig | None = None, kept: bool = False) -> DataFrame:
     """All nodes: leaves and up to max_tree_levels levels of summaries, with parent links.
 
-    leaves: NODE columns with level 0 and embeddings, plus seq, the order of nodes. Equal texts stay separate leaves.
+    leaves: NODE columns with level 0 and embeddings, plus seq, the order of nodes. Equal texts stay separate leaves. kept: leaves
+    are read from a stored table, and no copy is made of them.
     """
     config = config or EngineConfig()
-    done, current = [], cut(leaves.withColumn("seq", F.col("seq").cast("long")))
+    leaves = leaves.withColumn("seq", F.col("seq").cast("long"))
+    done, current = [], leaves if kept else stored(leaves)
     for level in range(1, config.max_tree_levels + 1):
         if current.count() < config.min_cluster_size:
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
-from ..functions.checkpoints import cut
+from ..functions.checkpoints import cut, stored
 from ..functions.tokens import Tokenizer
 from ..operators import tree
 from ..operators.aggregate import concat_by_source, numbered, run_summary
@@ -52,8 +52,8 @@ def index(spark: SparkSession, sources: Sequence[str], collection: str, store: C
     if not isinstance(embedder, Kept):
         embedder = Retrying(embedder or HashedEmbedder(config.embedding_dimensions), config.max_retries)
     docs = read_sources(spark, sources, web, strict=True)
-    leaves = cut(embed(units(docs.withColumn("seq", F.col("ord") * (1 << 48) + F.col("seq")), config, enricher), embedder, batch=config.embedding_batch_size))
-    nodes = cut(last_wins(tree.build(ordered(leaves), summariser or LeadingWords(), embedder, config), "id", "seq"))
+    leaves = stored(embed(units(docs.withColumn("seq", F.col("ord") * (1 << 48) + F.col("seq")), config, enricher), embedder, batch=config.embedding_batch_size))
+    nodes = cut(last_wins(tree.build(ordered(leaves), summariser or LeadingWords(), embedder, config, kept=True), "id", "seq"))
     store.upsert(collection, points(nodes.withColumn("seq", F.lit(0))))
     return run_summary(nodes, collection).first().asDict(recursive=True)
 

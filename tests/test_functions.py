@@ -446,6 +446,34 @@ def test_candidates_of_names_are_few(spark, short):
         assert len(got) < 4 * len(want), (len(got), len(want))
 
 
+def test_mixtures_take_each_block_once_a_round(spark):
+    """A spread fit reads every block once for each start and each round, not again to sort what comes back."""
+    import numpy as np
+    from quarrystone.operators import tree
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, size=(120, 3)) for c in (-2, 0, 2)])
+    rows = [(b, np.arange(b, 360, 3).astype("<i8").tobytes(), x[b::3].tobytes()) for b in range(3)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame(rows, "block int, keys binary, x binary").repartition(3).checkpoint()
+    spread = tree._fit_spread(tree.Mixtures([2, 3], 1), frame.mapInArrow(counted, frame.schema), 3)
+    local = tree._fit_local(tree.Mixtures([2, 3], 1), [(np.arange(b, 360, 3), x[b::3]) for b in range(3)], 3)
+    assert spread.likelihood == local.likelihood and spread.turn == local.turn
+    assert seen.value == 3 * (3 + spread.turn)
+    # the quadratic forms give the densities
+    k = 3
+    share, mean, chol = spread.models[k]
+    z = np.stack([np.linalg.solve(c, (x - m).T) for m, c in zip(mean, chol, strict=True)])
+    plain = np.log(share)[:, None] - 0.5 * (3 * np.log(2 * np.pi) + (z**2).sum(axis=1)) - np.stack([np.log(np.diag(c)).sum() for c in chol])[:, None]
+    assert np.allclose(tree.squares(x) @ spread.forms(k), plain.T)
+
+
 def test_translation_keeps_repeated_rows_and_long_texts(spark):
     from quarrystone.operators.providers import LeadingWords, translate
 
