@@ -49,6 +49,8 @@ NODES = 4096
 BUCKET = 1 << 20
 #: Rows of groups of texts that a task compares at once, about.
 GROUPED = 1 << 16
+#: Bytes of sets of shingles of groups of texts that a task compares at once, about.
+SET_BYTES = 16 << 20
 #: Cells in which shingles are counted, to tell common from rare ones.
 CELLS = 1 << 22
 #: Bits of a text's bitmap at most: 1 KB. Texts of up to some 18,000 shingles are told apart by them.
@@ -243,8 +245,8 @@ def word_set_fingerprints(docs: DataFrame, tables: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "th long, fps array<long>").dropDuplicates(["th"])
 
 
-def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The edges (a, b) between distinct texts, by hash, whose sets of shingles have at least this Jaccard similarity."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(th, s): the sets of shingles, sorted, of the texts whose hash th is wanted."""
     schema = pa.schema([("th", pa.int64()), ("s", pa.binary())])
 
     def sets(batches):
@@ -252,6 +254,13 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
             for part in slices(batch):
                 yield table(zip(part.column("_qs_th").to_pylist(), [np.unique(text_hashes(t, width)).tobytes() for t in as_bytes(part.column("text"))], strict=True), schema)
 
+    touched = cut(wanted.toDF("_qs_th"))
+    texts = keyed(docs).join(small_or_shuffled(touched, 16), "_qs_th", "left_semi").dropDuplicates(["_qs_th"])
+    return texts.mapInArrow(sets, "th long, s binary")
+
+
+def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The edges (a, b) between distinct texts, by hash, whose sets of shingles have at least this Jaccard similarity."""
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
@@ -265,9 +274,7 @@ def verified(docs: DataFrame, edges: DataFrame, width: int, similarity: float) -
                     out.append((a, b))
             yield table(out, pairs)
 
-    touched = cut(edges.select(F.col("a").alias("_qs_th")).union(edges.select("b")).distinct())
-    texts = keyed(docs).join(small_or_shuffled(touched, 16), "_qs_th", "left_semi").dropDuplicates(["_qs_th"])
-    shingled = cut(texts.mapInArrow(sets, "th long, s binary"))
+    shingled = cut(shingle_sets(docs, edges.select("a").union(edges.select("b")).distinct(), width))
     sided = edges.join(shingled.select(F.col("th").alias("a"), "s"), "a").join(shingled.select(F.col("th").alias("b"), F.col("s").alias("s2")), "b")
     return sided.mapInArrow(compare, "a long, b long")
 
@@ -386,51 +393,105 @@ def prefix_groups(docs: DataFrame, roots: DataFrame, width: int, similarity: flo
     return placed.mapInArrow(emit, "bucket int, h binary, times binary, rows binary").groupBy("bucket").applyInArrow(meet, "g long, th long, size long")
 
 
-def prefix_pairs(groups: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(a, b): texts of a group, of different roots, whose sizes and bitmaps (th, bits) allow the similarity.
+def _dealt(groups: DataFrame, roots: DataFrame, more: DataFrame, rows: int) -> DataFrame:
+    """The texts of groups (g, th, ...) that have several roots, with `more` of each text; about `rows` of them have a number _qs_n."""
+    placed = groups.join(roots, groups["th"] == roots["node"], "left").select(*groups.columns, F.coalesce("root", "th").alias("root"))
+    several = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
+    # most groups have a few texts: thousands are handled at once
+    n = max(2 * shuffle_partitions(groups.sparkSession), groups.count() // rows)
+    return placed.join(several, "g", "left_semi").join(more, "th").withColumn("_qs_n", F.pmod(F.xxhash64("g"), F.lit(n)))
+
+
+def _each_group(group: pa.Table):
+    """(g, th, size, root, bits) of each g, its texts by ascending size."""
+    g, th, size, root = (np.asarray(group.column(c), dtype=np.int64) for c in ("g", "th", "size", "root"))
+    order = np.lexsort((th, size, g))
+    g, th, size, root, bits = g[order], th[order], size[order], root[order], group.column("bits").take(pa.array(order)).to_pylist()
+    head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(g)], strict=True):
+        yield g[a], th[a:b], size[a:b], root[a:b], bits[a:b]
+
+
+def _pairs(th: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.sort(th[places], axis=1)
 
-    forest: of those only so many that they join all that the others join, at most one less than a group has texts. A large
-    group of copies is joined by them without a list of its pairs.
+
+def prefix_pairs(groups: DataFrame, roots: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): texts of a group, of different roots, whose sizes and bitmaps (th, bits) allow the similarity: of those so many
+    that they join all that the others join, at most one less than a group has texts.
     """
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        g, th, size, root = (np.asarray(group.column(c), dtype=np.int64) for c in ("g", "th", "size", "root"))
-        order = np.lexsort((th, size, g))
-        g, th, size, root, bits = g[order], th[order], size[order], root[order], group.column("bits").take(pa.array(order)).to_pylist()
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        out = [np.empty((0, 2), np.int64)]
-        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(g)], strict=True):
-            out += _allowed(th[a:b], size[a:b], root[a:b], bits[a:b], similarity, forest)
-        return pa.Table.from_arrays(list(map(pa.array, np.concatenate(out).T)), schema=pairs)
+        out = [_pairs(th, _allowed(size, root, bits, similarity, lambda i, j: j)) for _, th, size, root, bits in _each_group(group)]
+        return pa.table(list(map(pa.array, np.concatenate(out).T)), names=["a", "b"])
+
+    return _dealt(groups, roots, bits, GROUPED).groupBy("_qs_n").applyInArrow(run, "a long, b long").distinct()
 
-    placed = groups.join(roots, groups["th"] == roots["node"], "left").select("g", "th", "size", F.coalesce("root", "th").alias("root"))
-    several = placed.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("g")
-    # most groups have a few texts: thousands are handled at once
-    n = max(2 * shuffle_partitions(groups.sparkSession), groups.count() // GROUPED)
-    dealt = placed.join(several, "g", "left_semi").join(bits, "th").withColumn("_qs_n", F.pmod(F.xxhash64("g"), F.lit(n)))
-    return dealt.groupBy("_qs_n").applyInArrow(run, "a long, b long").distinct()
 
+def prefix_links(docs: DataFrame, groups: DataFrame, roots: DataFrame, bits: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): texts of a group, of different roots, that have the similarity: so many that they join all that have it.
 
-def _allowed(th: np.ndarray, size: np.ndarray, root: np.ndarray, bits: list[bytes], similarity: float, forest: bool) -> list[np.ndarray]:
-    """prefix_pairs of one group, its texts by ascending size."""
+    Pairs are never listed. First the bitmaps tell which texts of a group have any partner left, a row each at most; those bring
+    their sets of shingles to the group, where pairs are compared, and at most one link less than it has texts leaves it.
+    """
+    kind = groups.select("g", "th", "size").schema
+
+    def some(group: pa.Table) -> pa.Table:
+        out = [np.empty((3, 0), np.int64)]
+        for g, th, size, root, bits in _each_group(group):
+            own = np.unique(_allowed(size, root, bits, similarity))
+            out.append(np.stack((np.full(len(own), g), th[own], size[own])))
+        return pa.table(list(map(pa.array, np.concatenate(out, axis=1))), names=["g", "th", "size"])
+
+    def run(group: pa.Table) -> pa.Table:
+        out = [np.empty((0, 2), np.int64)]
+        for _, th, size, root, packed in _each_group(group):
+            sets = [np.frombuffer(x, _U) for x in packed]
+            out.append(_pairs(th, _allowed(size, root, list(map(bitmap, sets)), similarity, lambda i, j, sets=sets: j[_similar(sets, i, j, similarity)])))
+        return pa.table(list(map(pa.array, np.concatenate(out).T)), names=["a", "b"])
+
+    left = cut(_dealt(groups, roots, bits, GROUPED).groupBy("_qs_n").applyInArrow(some, kind))
+    sets = shingle_sets(docs, left.select("th").distinct(), width).withColumnRenamed("s", "bits")
+    mean = left.agg(F.avg("size")).first()[0] or 0
+    return _dealt(left, roots, sets, max(1, int(SET_BYTES // (8 * mean + 64)))).groupBy("_qs_n").applyInArrow(run, "a long, b long").distinct()
+
+
+def _similar(sets: list[np.ndarray], i: int, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether set i and each of the sets j have the similarity; two empty ones have."""
+    out = []
+    for part in np.array_split(j, -(-len(j) // 256) or 1):
+        n = np.array([len(sets[k]) for k in part], np.int64)
+        flat = np.concatenate([sets[k] for k in part])
+        common = np.zeros(len(flat) + 1, np.int64)
+        if len(sets[i]):
+            common[1:] = np.cumsum(sets[i][np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)] == flat)
+        ends = np.cumsum(n)
+        both = common[ends] - common[ends - n]
+        either = len(sets[i]) + n - both
+        out.append((either == 0) | (both >= similarity * either))
+    return np.concatenate(out)
+
+
+def _allowed(size: np.ndarray, root: np.ndarray, bits: list[bytes], similarity: float, pick=None) -> np.ndarray:
+    """Places (j, i) of one group's texts, by ascending size, that have different roots and whose sizes and bitmaps allow the similarity.
+
+    pick(i, j): which of the places j, nearest first, are taken with i. Then one of each component is, and joins it: a forest.
+    """
     # of sizes m <= n and the similarity s, at least s * n are common: m >= s * n, and (m + n) * (1 - s) / (1 + s) differ
     low = np.searchsorted(size, similarity * size - 1e-9)
-    joined, out, at = root.copy(), [], folded(bits)
-    for i in range(1, len(th)):
+    joined, out, at = root.copy(), [np.empty((0, 2), np.int64)], folded(bits)
+    for i in range(1, len(size)):
         smaller = slice(low[i], i)
         first, rows = at[len(bits[low[i]])]  # the narrowest of them
         apart = np.bitwise_count(rows[low[i] - first : i - first] ^ rows[i - first]).sum(axis=1, dtype=np.int64)
         j = np.flatnonzero((joined[smaller] != joined[i]) & (apart <= (size[smaller] + size[i]) * (1 - similarity) / (1 + similarity) + 1e-9))
-        if forest and len(j):
-            j = j[np.argsort(apart[j], kind="stable")]
-            others, nearest = np.unique(joined[low[i] + j], return_index=True)
-            j = j[nearest]
+        if pick and len(j):
+            j = pick(i, low[i] + j[np.argsort(apart[j], kind="stable")])
+            others, nearest = np.unique(joined[j], return_index=True)
+            j = j[nearest] - low[i]
             joined[np.isin(joined, others)] = joined[i]
-        if len(j):
-            j += low[i]
-            out.append(np.stack((np.minimum(th[j], th[i]), np.maximum(th[j], th[i])), axis=1))
-    return out
+        out.append(np.stack((low[i] + j, np.full(len(j), i)), axis=1))
+    return np.concatenate(out)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 1) -> DataFrame:
@@ -439,8 +500,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     Groups: equal texts, and texts whose sets of `width`-word shingles have the similarity. Candidates come first from
     fingerprints of the set of words, in several independent tables that are linked by ball hashing in one shuffle: cheap for
     large groups of copies with replaced words, but neither complete (a passage more or less moves a fingerprint too far) nor
-    more than a star. Then every pair that is not linked yet, shares a shingle of its prefixes and whose bitmaps allow it is a
-    candidate, which misses none. A link counts once its similarity is verified on the whole texts.
+    more than a star. Then every pair that is not linked yet, shares a shingle of its prefixes and whose bitmaps allow it is
+    compared, which misses none: where they meet, so that only links are listed, fewer than a group has texts. A link counts once
+    its similarity is verified on the whole texts.
     """
     prints = cut(word_set_fingerprints(docs, tables))
     each = prints.select("th", F.posexplode("fps").alias("t", "fp"))
@@ -453,11 +515,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, ta
     roots = components(edges)
     commonest, bits = commonness(docs, width)
     groups, bits = cut(prefix_groups(docs, roots, width, similarity, commonest)), cut(bits)
-    for forest in (True, False):  # first a few pairs of each group, then all that these have not joined
-        rest = cut(prefix_pairs(groups, roots, bits, similarity, forest))
-        if rest.head(1):
-            edges = cut(edges.union(verified(docs, rest, width, similarity)))
-            roots = components(edges)
+    rest = cut(prefix_pairs(groups, roots, bits, similarity))  # a few pairs of each group
+    if rest.head(1):
+        edges = cut(edges.union(verified(docs, rest, width, similarity)))
+        roots = components(edges)
+    rest = cut(prefix_links(docs, groups, roots, bits, width, similarity))  # what these have not joined
+    if rest.head(1):
+        roots = components(edges.union(rest))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_qs_th")).distinct()
     placed = cut(rows.join(roots, rows["_qs_th"] == roots["node"], "left").select("doc_id", "_qs_th", F.coalesce("root", "_qs_th").alias("root")))
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_qs_th")).alias("first"))

@@ -191,3 +191,30 @@ def test_bitmaps_bound_what_differs():
     x, y = np.unique(pool[:1500]), np.unique(pool[500:2000])
     first, rows = simhash.folded([simhash.bitmap(x), simhash.bitmap(y)])[256]
     assert int(np.bitwise_count(rows[0] ^ rows[1]).sum()) > (len(x) + len(y)) / 9
+
+
+def test_near_misses_of_a_group_are_not_listed(spark):
+    """Texts that bitmaps allow and whose similarity is just too low: rows out of every grouped step stay below its texts."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for n in range(90):
+        w = base.copy()
+        for i in rng.sample(range(20, 380), 9):  # two such texts share some 0.64 of their shingles
+            w[i] = f"x{n}x{i}"
+        texts.append(" ".join(w))
+    texts += [t + " end" for t in texts[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).checkpoint()
+    sets = [shingles(t) for t in texts]
+    assert sum(0.55 < len(a & b) / len(a | b) < 0.8 for i, a in enumerate(sets) for b in sets[:i]) > 3000
+    th = simhash.keyed(df).select(F.col("_qs_th").alias("th")).distinct()
+    groups = th.select(F.lit(1).cast("long").alias("g"), "th", F.lit(396).cast("long").alias("size")).checkpoint()
+    wide = spark.createDataFrame([(r.th, bytes(32)) for r in th.collect()], "th long, bits binary").checkpoint()  # bitmaps that rule out nothing
+    none = spark.createDataFrame([], "node long, root long")
+    own = simhash.keyed(df).toPandas().set_index("doc_id")["_qs_th"]
+    got = {tuple(r) for r in simhash.prefix_links(df, groups, none, wide, 5, 0.8).collect()}
+    up = simhash.components(spark.createDataFrame(sorted(got), "a long, b long")).collect()
+    assert len(got) < len(texts) and {(r.node, r.root) for r in up} == {(max(own[i], own[i + 90]), min(own[i], own[i + 90])) for i in range(5)}
+    assert kept_of(spark, texts) == set(range(90))
