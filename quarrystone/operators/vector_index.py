@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .retrieval import cosine, unit_rows
+from .retrieval import cosine, exact_cosine, unit_rows
 
 #: Cells are folders of a table, so there are not too many of them.
 MOST_CELLS = 4096
@@ -174,22 +174,30 @@ def search(index: DataFrame, model: Model, queries: DataFrame, k: int, key: str
     """
     wanted = queries.where(_fine("vector")).select("query_id", "vector")
     n, probes = wanted.count(), min(probes or model.probes, len(model.centres))
-    blocks = max(1, -(-n * (model.books.shape[0] * model.books.shape[1] + model.centres.size // max(1, len(model.centres))) * 4 // block_bytes))
+    width = model.centres.size // max(1, len(model.centres))
+    each = 16 * width if exact else 4 * (model.books.shape[0] * model.books.shape[1] + width)
+    blocks = max(1, -(-n * each // block_bytes))
     found = None
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
         if not rows or not len(model.centres):
             continue
-        own = unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64)).astype(np.float32)
-        near = np.argsort(_apart(own, model.centres), axis=1)[:, : len(model.centres) if exact else probes]
-        some = index if exact else index.where(F.col("cell").isin(sorted(set(near.ravel().tolist()))))
-        ids = [r["query_id"] for r in rows]
-        one = _bounded(some, model, ids, own, k, key, queries) if exact else _scored(some, model, ids, own, near, refine or 10 * k, key, queries)
+        ids, vectors = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=np.float64)
+        if exact:
+            one = _bounded(index, model, ids, vectors, k, key, vector, queries)
+        else:
+            own = unit_rows(vectors).astype(np.float32)
+            near = np.argsort(_apart(own, model.centres), axis=1)[:, :probes]
+            some = index.where(F.col("cell").isin(sorted(set(near.ravel().tolist()))))
+            one = _scored(some, model, ids, own, near, refine or 10 * k, key, queries)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = index.sparkSession.createDataFrame([], _kind(queries, index, key))
-    full = found.select("query_id", "cell", key).join(index.select("cell", key, vector), ["cell", key]).join(wanted.withColumnRenamed("vector", "_q"), "query_id")
-    scored = full.select("query_id", key, cosine(vector, "_q").alias("score"))
+    if exact:
+        scored = found.select("query_id", key, F.col("score").cast("double"))
+    else:
+        full = found.select("query_id", "cell", key).join(index.select("cell", key, vector), ["cell", key]).join(wanted.withColumnRenamed("vector", "_q"), "query_id")
+        scored = full.select("query_id", key, cosine(vector, "_q").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -198,27 +206,24 @@ def _kind(queries: DataFrame, index: DataFrame, key: str) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, cell int, {key} {index.schema[key].dataType.simpleString()}, score float, miss float"
 
 
-def _scores(index: DataFrame, model: Model, own: np.ndarray, near: np.ndarray | None, keep, ids: list, key: str, queries: DataFrame) -> DataFrame:
-    """Candidates of a block of queries: keep(scores, misses, best so far) picks pairs (query, row) of a cell's part of a batch."""
+def _scores(index: DataFrame, model: Model, own: np.ndarray, near: np.ndarray, keep, ids: list, key: str, queries: DataFrame) -> DataFrame:
+    """Candidates of a block of queries: keep(scores) picks pairs (query, row) of a cell's part of a batch."""
     shared = index.sparkSession.sparkContext.broadcast((model, ids, own, near))
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids, own, near = shared.value
-        looks: dict[int, np.ndarray] = {}  # cell -> queries that look into it
-        if near is not None:
-            cells = near.ravel()
-            order = np.argsort(cells, kind="stable")
-            cuts = np.flatnonzero(np.diff(cells[order])) + 1
-            looks = {int(cells[o[0]]): o // near.shape[1] for o in np.split(order, cuts)}
+        cells = near.ravel()
+        order = np.argsort(cells, kind="stable")
+        cuts = np.flatnonzero(np.diff(cells[order])) + 1
+        looks = {int(cells[o[0]]): o // near.shape[1] for o in np.split(order, cuts)}  # cell -> queries that look into it
         groups = model.groups(own)
         tables = np.einsum("gqw,gew->gqe", groups, model.books)  # inner products of queries and entries
         centred = own @ model.centres.T
-        best = np.full(len(own), -np.inf)
         for b in batches:
             cells = b.column(0).to_numpy()
             for cell in np.unique(cells).tolist():
-                asked = looks.get(cell, ()) if near is not None else np.arange(len(own))
+                asked = looks.get(cell, ())
                 at = np.flatnonzero(cells == cell)
                 for rows in (at[i : i + TILE] for i in range(0, len(at) if len(asked) else 0, TILE)):
                     part = b.take(pa.array(rows))
@@ -228,7 +233,7 @@ def _scores(index: DataFrame, model: Model, own: np.ndarray, near: np.ndarray |
                         score = np.repeat(centred[q, cell][:, None], len(rows), axis=1)
                         for g in range(codes.shape[1]):
                             score += tables[g][q][:, codes[:, g]]
-                        i, j = keep(score, miss, best, q)
+                        i, j = keep(score)
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([ids[x] for x in q[i].tolist()], id_type), pa.array(np.full(len(i), cell, np.int32)), pc.take(part.column(1), pa.array(j)), pa.array(score[i, j].astype(np.float32)), pa.array(miss[j])],
                             names=["query_id", "cell", key, "score", "miss"],
@@ -240,7 +245,7 @@ def _scores(index: DataFrame, model: Model, own: np.ndarray, near: np.ndarray |
 def _scored(index: DataFrame, model: Model, ids: list, own: np.ndarray, near: np.ndarray, refine: int, key: str, queries: DataFrame) -> DataFrame:
     """The `refine` rows of best score for each query."""
 
-    def keep(score, miss, best, q):
+    def keep(score):
         m = min(refine, score.shape[1])
         i, j = np.nonzero(score >= np.partition(score, score.shape[1] - m, axis=1)[:, score.shape[1] - m][:, None])
         return i, j
@@ -250,20 +255,59 @@ def _scored(index: DataFrame, model: Model, ids: list, own: np.ndarray, near: np
     return found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= refine).drop("_rank")
 
 
-def _bounded(index: DataFrame, model: Model, ids: list, own: np.ndarray, k: int, key: str, queries: DataFrame) -> DataFrame:
-    """Rows that may be among the k best: their upper bound reaches the k-th best lower bound of their query.
+def _bounded(index: DataFrame, model: Model, ids: list, vectors: np.ndarray, k: int, key: str, vector: str, queries: DataFrame) -> DataFrame:
+    """(query_id, key, score): the k best rows of each task for each query of a block, ties by key.
 
-    A task drops rows that its own k best lower bounds rule out; the bound over all tasks is then a small grouped join.
+    Codes bound the scores of a tile; only what may reach the k-th best so far is scored by its vector. Which rows come first
+    changes what is scored, not what is found.
     """
+    shared = index.sparkSession.sparkContext.broadcast((model, ids, vectors))
+    key_type, id_type = to_arrow_type(index.schema[key].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+    schema = pa.schema([("q", pa.int64()), ("score", pa.float64()), ("key", key_type)])
 
-    def keep(score, miss, best, q):
-        if score.shape[1] >= k:
-            low = score - miss[None]
-            best[q] = np.maximum(best[q], np.partition(low, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
-        return np.nonzero(score + miss[None] >= best[q][:, None])
-
-    found = _scores(index, model, own, None, keep, ids, key, queries)
-    low = F.col("score") - F.col("miss")
-    kth = found.select("query_id", low.alias("low")).withColumn("_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low"))))
-    kth = kth.where(F.col("_rank") == k).select("query_id", "low")
-    return found.join(kth, "query_id", "left").where(F.col("low").isNull() | (F.col("score") + F.col("miss") >= F.col("low"))).drop("low")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, ids, vectors = shared.value
+        own = unit_rows(vectors)
+        near = own.astype(np.float32)
+        best = np.full(len(own), -np.inf)  # no more than the k-th best of each query
+        held, waiting = [schema.empty_table()], 0
+
+        def pruned() -> pa.Table:
+            rows = pa.concat_tables(held).sort_by([("q", "ascending"), ("score", "descending"), ("key", "ascending")])
+            q, s = rows.column("q").to_numpy(), rows.column("score").to_numpy()
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(q)), bool), q[1:] != q[:-1])))
+            n = np.diff(np.concatenate((first, [len(q)])))
+            full = first[n >= k]
+            best[q[full]] = s[full + k - 1]
+            return rows.take(pa.array(np.flatnonzero(np.arange(len(q)) - np.repeat(first, n) < k))).combine_chunks()
+
+        for b in batches:
+            for part in (b.slice(x, TILE) for x in range(0, b.num_rows, TILE)):
+                cell, miss = part.column(0).to_numpy(), part.column(3).to_numpy()
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                about = model.centres[cell] + np.concatenate([x[codes[:, g]] for g, x in enumerate(model.books)], axis=1)[:, : model.centres.shape[1]]
+                v = part.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                unit = unit_rows(v)
+                for at in range(0, len(own), TILE):
+                    # sums in single precision are off by less than 1e-4
+                    may = near[at : at + TILE] @ about.T + (miss[None] + np.float32(1e-4)) >= best[at : at + TILE, None]
+                    asked, rows = at + np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+                    if not len(asked):
+                        continue
+                    score = own[asked] @ unit[rows].T
+                    if len(rows) >= k:
+                        best[asked] = np.maximum(best[asked], np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k])
+                    i, j = np.nonzero(score >= best[asked, None] - 1e-9)
+                    for x in range(0, len(i), 1 << 14):
+                        q, r = asked[i[x : x + (1 << 14)]], rows[j[x : x + (1 << 14)]]
+                        s = exact_cosine(vectors[q], v[r])
+                        fine = ~np.isnan(s)
+                        held.append(pa.table([pa.array(q[fine]), pa.array(s[fine]), part.column(1).take(pa.array(r[fine]))], schema=schema))
+                        waiting += len(s)
+                        if waiting > max(1 << 18, 2 * k * len(own)):
+                            held, waiting = [pruned()], 0
+        for x in pruned().to_batches(max_chunksize=1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in x.column(0).to_pylist()], id_type), x.column(2), x.column(1)], names=["query_id", key, "score"])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
+    return index.select("cell", key, "code", "miss", vector).mapInArrow(run, kinds)

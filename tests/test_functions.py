@@ -390,6 +390,21 @@ def test_vector_index_bounds(spark, vectors):
     assert (cells == ((unit[:, None] - model.centres[None]) ** 2).sum(axis=2).argmin(axis=1)).mean() > 0.999
 
 
+def test_exact_search_lists_k_rows_a_task(spark):
+    """Vectors without structure and many copies of one: the bounds rule out nothing, and still no task lists more than k."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=24).astype(np.float32).tolist()) for i in range(4000)]
+    rows = spark.createDataFrame(rows + [(4000 + i, rows[50][1]) for i in range(3000)], "id long, embedding array<float>").repartition(3).checkpoint()
+    model = vector_index.fit(rows, cells=3, width=24, max_train=300)
+    placed = vector_index.place(rows, model).checkpoint()
+    q = rows.where("id % 100 = 0 or id = 50").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = [tuple(r) for r in q.collect()]
+    found = vector_index._bounded(placed, model, [i for i, _ in asked], np.array([v for _, v in asked]), 7, "id", "embedding", q)
+    assert found.count() <= 3 * 7 * len(asked)
+    near = lambda df: {(r.query_id, r["rank"]): (r.id, r.score) for r in df.collect()}
+    assert near(vector_index.search(placed, model, q, 7, exact=True)) == near(retrieval.dense_topk_many(rows, q, 7))
+
+
 def test_vector_index_of_nothing(spark, vectors):
     none = vectors.where("id > 3999")
     model = vector_index.fit(none)
