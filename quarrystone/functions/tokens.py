@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from .batches import parts
 from .stem import OWN, Stems
 from .text import _c, is_blank
 
@@ -61,12 +62,13 @@ _STEMS = Stems()
 def stem_counts(rows: DataFrame, key: str, words: str, length: str, only: Sequence[str] | None = None) -> DataFrame:
     """(key, token, tf, length): a row for each different stem of a row's words. Nothing is shuffled.
 
-    Each batch goes to Python once; its different words are stemmed, everything else is arithmetic on their numbers.
+    Each batch goes to Python once, where parts of a bounded number of words are handled at a time; a part's different words are
+    stemmed, everything else is arithmetic on their numbers.
     """
     wanted = None if only is None else frozenset(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in parts(whole.column(1))):
             lists = b.column(1)
             each = lists.flatten().dictionary_encode()
             stems = [_STEMS[w] for w in each.dictionary.to_pylist()]

@@ -500,3 +500,39 @@ def test_translation_keeps_repeated_rows_and_long_texts(spark):
 
 def test_json(spark):
     assert json.loads(spark.range(1).select(text.to_json_pretty(F.struct(F.lit(1).alias("a")))).first()[0]) == {"a": 1}
+
+
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    """A batch of many long rows is handled in parts, whose rows are those of the whole."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from quarrystone.functions import batches, tokens
+
+    lists = pa.array([["a"] * 5, None, [], ["b"] * 20, ["c"], ["d"] * 3], pa.list_(pa.string()))
+    assert list(batches.parts(lists, 8)) == [(0, 3), (3, 4), (4, 6)] and list(batches.parts(lists.slice(3), 30)) == [(0, 3)]
+    seen = []
+    monkeypatch.setattr(tokens.pc, "list_value_length", lambda x, plain=pc.list_value_length: seen.append(plain(x)) or seen[-1])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([[f"w{i % 7}", "words", "word"] * 4000 for i in range(60)]), pa.array([12_000] * 60, pa.int32())], names=["id", "w", "n"])
+    kept = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: kept.setdefault("run", run))
+    tokens.stem_counts(spark.createDataFrame([], "id long, w array<string>, n int"), "id", "w", "n")
+    out = pa.Table.from_batches(kept["run"]([rows])).to_pylist()
+    assert sorted((r["id"], r["token"], r["tf"]) for r in out) == sorted([(i, f"w{i % 7}", 4000) for i in range(60)] + [(i, "word", 8000) for i in range(60)])
+    assert max(pc.sum(x).as_py() for x in seen[1:]) <= batches.ELEMENTS and len(seen) > 2
+
+
+def test_pieces_are_encoded_in_parts(monkeypatch):
+    """A batch's numbers and texts are those of its parts, rows without any included; what is kept stays bounded."""
+    import pyarrow as pa
+    from quarrystone.functions import bpe
+
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257}
+    own, texts = RankedBPE(ranks), ["abcab", None, "", "xabc", "ab" * 9, "c"]
+    lists = pa.array([None if t is None else [t[i : i + 4] for i in range(0, len(t), 4)] for t in texts], pa.list_(pa.string()))
+    asked = []
+    monkeypatch.setattr(bpe, "parts", lambda x, plain=bpe.parts: asked.append(list(plain(x, 2))) or asked[-1])
+    numbers = own.of_lists(lists)
+    assert numbers.type == pa.list_(pa.int32()) and len(asked[0]) > 2
+    assert numbers.to_pylist() == [None if t is None else [n for i in range(0, len(t), 4) for n in merged(t[i : i + 4].encode(), ranks)] for t in texts]
+    assert own.of_numbers(numbers).to_pylist() == texts and len(asked[1]) > 2
+    assert own.of_lists(lists.slice(0, 0)).to_pylist() == own.of_numbers(numbers.slice(0, 0)).to_pylist() == []
