@@ -1,9 +1,9 @@
 """Byte-pair encoding with a given vocabulary of ranked byte strings.
 
-A text is cut into pieces by a pattern in the JVM; the different pieces of an Arrow batch are encoded once each, and token
-numbers are dealt back to the rows by arithmetic. Within a piece the neighbours that make the token of least rank are joined
-first, the leftmost of equals, until no neighbours make a token. A linked list and a heap do that in n log n steps, so a piece
-of a million letters is no trouble. Texts hold nothing special: the names of special tokens are ordinary characters.
+A text is cut into pieces by a pattern in the JVM; an Arrow batch is handled in parts of a bounded number of pieces, of which the
+different ones are encoded once each, and token numbers are dealt back to the rows by arithmetic. Within a piece the neighbours
+that make the token of least rank are joined first, the leftmost of equals, until no neighbours make a token. A linked list and
+a heap do that in n log n steps, so a piece of a million letters is no trouble. Texts hold nothing special: the names of special tokens are ordinary characters.
 
 A null text has null tokens, an empty text none. decode() gives back a text exactly; a part of its tokens may begin or end
 within a character, which then is U+FFFD.
@@ -12,6 +12,7 @@ within a character, which then is U+FFFD.
 from __future__ import annotations
 
 import base64
+from functools import cached_property
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -20,10 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .text import _c
 
 #: Fixed value: contractions, then words, numbers and signs with a space before, then white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Pieces that a worker encodes at once: fewer would have rare ones, which aren't remembered, encoded more often.
+PIECES = 1 << 20
 #: Pieces whose tokens a worker remembers.
 ROOM = 200_000
 
@@ -66,7 +70,6 @@ class RankedBPE:
         if any(bytes([i]) not in ranks for i in range(256)):
             raise ValueError("a vocabulary has to hold every single byte")
         self.ranks, self.pattern = ranks, pattern
-        self._words = {n: b for b, n in ranks.items()}
         self._kept: dict[str, list[int]] = {}
         self._table: pa.Array | None = None
 
@@ -78,6 +81,10 @@ class RankedBPE:
             raise ValueError(f"{path} has more than {most} tokens")
         return cls({base64.b64decode(a): int(n) for a, n in (r[0].split() for r in rows)}, pattern)
 
+    @cached_property
+    def _words(self) -> dict[int, bytes]:
+        return {n: b for b, n in self.ranks.items()}
+
     def pieces(self, text: Column | str) -> Column:
         """The parts of a text that are encoded by themselves; white space and classes as in Unicode."""
         return F.regexp_extract_all(_c(text), F.lit(f"(?U){self.pattern}"), F.lit(0))
@@ -92,6 +99,9 @@ class RankedBPE:
 
     def of_lists(self, lists: pa.Array) -> pa.Array:
         """Token numbers of each list of pieces, as a list."""
+        return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(self._of_part(lists.slice(a, b - a)) for a, b in parts(lists, PIECES))])
+
+    def _of_part(self, lists: pa.Array) -> pa.Array:
         each = lists.flatten().dictionary_encode()
         tokens = [self.of_piece(p) for p in each.dictionary.to_pylist()]
         sizes = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -102,7 +112,7 @@ class RankedBPE:
         total = np.concatenate(([0], np.cumsum(n)))
         places = np.repeat(starts[at] - total[:-1], n) + np.arange(total[-1])
         rows = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))
-        return pa.ListArray.from_arrays(pa.array(total[rows], pa.int32()), pa.array(every[places]), mask=lists.is_null())
+        return pa.ListArray.from_arrays(pa.array(total[rows], pa.int32()), pa.array(every[places], pa.int32()), mask=lists.is_null())
 
     def tokens(self, text: Column | str) -> Column:
         """array<int> of token numbers."""
@@ -120,7 +130,11 @@ class RankedBPE:
     def of_numbers(self, lists: pa.Array) -> pa.Array:
         """The text of each list of token numbers."""
         if self._table is None:
-            self._table = pa.array([self._words.get(i, b"") for i in range(max(self._words) + 1)], pa.binary())
+            words = {n: b for b, n in self.ranks.items()}
+            self._table = pa.array([words.get(i, b"") for i in range(max(words) + 1)], pa.binary())
+        return pa.concat_arrays([pa.array([], pa.string()), *(self._texts_of_part(lists.slice(a, b - a)) for a, b in parts(lists))])
+
+    def _texts_of_part(self, lists: pa.Array) -> pa.Array:
         taken = self._table.take(lists.flatten())
         ends = np.frombuffer(taken.buffers()[1], np.int32)
         rows = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))

@@ -530,7 +530,7 @@ def test_pieces_are_encoded_in_parts(monkeypatch):
     own, texts = RankedBPE(ranks), ["abcab", None, "", "xabc", "ab" * 9, "c"]
     lists = pa.array([None if t is None else [t[i : i + 4] for i in range(0, len(t), 4)] for t in texts], pa.list_(pa.string()))
     asked = []
-    monkeypatch.setattr(bpe, "parts", lambda x, plain=bpe.parts: asked.append(list(plain(x, 2))) or asked[-1])
+    monkeypatch.setattr(bpe, "parts", lambda x, _=0, plain=bpe.parts: asked.append(list(plain(x, 2))) or asked[-1])
     numbers = own.of_lists(lists)
     assert numbers.type == pa.list_(pa.int32()) and len(asked[0]) > 2
     assert numbers.to_pylist() == [None if t is None else [n for i in range(0, len(t), 4) for n in merged(t[i : i + 4].encode(), ranks)] for t in texts]
