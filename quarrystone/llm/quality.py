@@ -1,8 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, and language quantiles.
 
-Training. Trusted rows are labelled quality 1 and not toxic. At most `max_train` of them, those with the smallest seeded
-hashes among the half set aside for training, train the model (the bounded sample that a classifier may have; a documented
-parameter). The `max_words` most frequent tokens keep their own numbers; all others become one of a few classes by shape
+Training. Trusted rows are labelled quality 1 and not toxic. All of the half that a seeded hash sets aside for training train
+the model; `max_train` may bound them to those with the smallest hashes.
+The `max_words` most frequent tokens keep their own numbers; all others become one of a few classes by shape
 (case, final or inner punctuation), so that odd spellings and odd symbols differ; a token of a shape is as likely as one
 of the different tokens of that shape in training. A token equal to the one before is a class of its own and charged like
 one unseen token out of all: runs of a word would else be the most likely text of all. The order is 2: counts of word
@@ -16,8 +16,8 @@ point, so that their order doesn't matter) go back to the documents. perplexity
 
 Thresholds. For each language the `quantile` of the perplexities of trusted rows that the model has not seen; for languages with fewer than `least` such rows (and null) the quantile of all. Rows above are rejected.
 
-Toxic text has usual words but for a few, so its perplexity is usual. Rows labelled toxic and rows labelled not toxic (at
-most `max_train` of either, the half set aside for training) give each word a log ratio; a row's toxicity is the largest sum
+Toxic text has usual words but for a few, so its perplexity is usual. Rows labelled toxic and rows labelled not toxic (all of
+the half set aside for training, or at most `max_train` of either) give each word a log ratio; a row's toxicity is the largest sum
 of positive ratios in WORST consecutive tokens. Rows above the `worst` quantile of it, by language, are rejected as well.
 
 Texts without tokens (null, empty, blank) have perplexity null and are rejected; a label of an unknown row counts for
@@ -129,9 +129,9 @@ def discounts(times: dict[int, int]) -> list[float]:
 
 
 def train(docs: DataFrame, sample: DataFrame, max_words: int) -> Model:
-    """sample: doc_id of the training rows, few enough to broadcast by their bound."""
+    """sample: doc_id of the training rows, a checkpoint."""
     spark = docs.sparkSession
-    rows = keyed(docs.join(F.broadcast(sample), "doc_id", "left_semi"))
+    rows = keyed(docs.join(small_or_shuffled(sample, 16), "doc_id", "left_semi"))
     one = pa.schema([("w", pa.binary()), ("n", pa.int64())])
     two = pa.schema([("p", pa.int64()), ("n", pa.int64())])
 
@@ -306,10 +306,15 @@ def plain(w: bytes) -> str:
     return w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()")
 
 
-def toxic_words(docs: DataFrame, labels: DataFrame, max_train: int, max_words: int, seed: int) -> dict[str, float]:
+def bounded(rows: DataFrame, most: int | None) -> DataFrame:
+    """A checkpoint of rows (doc_id, h, ...): all, or at most so many of the smallest h."""
+    return cut((rows if most is None else rows.orderBy("h", "doc_id").limit(most)).drop("h"))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, max_train: int | None, max_words: int, seed: int) -> dict[str, float]:
     """Log ratios of the shares of toxic and of other labelled rows that have a word, where positive; at most max_words."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("t")).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).where("h % 2 = 0")
-    sides = [cut(marked.where(F.col("t") == t).orderBy("h", "doc_id").limit(max_train).select("doc_id", F.lit(t).alias("t"))) for t in (0, 1)]
+    sides = [bounded(marked.where(F.col("t") == t).select("doc_id", "h", F.lit(t).alias("t")), max_train) for t in (0, 1)]
     schema = pa.schema([("w", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
 
     def count(batches):
@@ -321,7 +326,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame, max_train: int, max_words: i
                         seen.setdefault(w, [0, 0])[x] += 1
                 yield table([(w, n[1], n[0]) for w, n in seen.items()], schema)
 
-    rows = docs.join(F.broadcast(sides[0].union(sides[1])), "doc_id").select("text", "t")
+    rows = docs.join(small_or_shuffled(sides[0].union(sides[1]), 16), "doc_id").select("text", "t")
     counts = cut(rows.mapInArrow(count, "w string, a long, b long").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     every = counts.where("w = ''").first()
     if every is None or not every["a"]:
@@ -349,12 +354,10 @@ def toxicity(docs: DataFrame, words: dict[str, float]) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("_qs_th"), "lang").mapInArrow(run, "doc_id long, _qs_th long, lang string, toxicity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_words: int = 20_000, quantile: float = 0.995, worst: float = 0.99, least: int = 30, seed: int = 11) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, max_train: int | None = None, max_words: int = 20_000, quantile: float = 0.995, worst: float = 0.99, least: int = 30, seed: int = 11) -> DataFrame:
     """(doc_id, _qs_th, lang, n_words, perplexity, threshold, keep), one row for each distinct (doc_id, text)."""
     known = cut(trusted(docs, labels, seed))
-    sample = known.where("h % 2 = 0").orderBy("h", "doc_id").limit(max_train).select("doc_id")
-    sample = cut(sample)
-    model = train(docs, sample, max_words)
+    model = train(docs, bounded(known.where("h % 2 = 0"), max_train), max_words)
     scored = score(docs, model)
     marked = toxicity(docs, toxic_words(docs, labels, max_train, max_words, seed))
     lang = marked.groupBy("doc_id", "_qs_th").agg(F.min("lang").alias("lang"), F.round(F.max("toxicity"), 6).alias("toxicity"))

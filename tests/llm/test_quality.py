@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 from collections import Counter, defaultdict
@@ -119,3 +120,17 @@ def test_toxic_texts_go(spark):
     kept = {r.doc_id for r in q.keep(docs, marks).collect()}
     assert not kept & set(range(0, 600, 5))
     assert len(kept) >= 0.95 * 480
+
+
+def test_all_rows_of_the_training_half_count(spark):
+    """More rows than the bound there was, the rarest word among them: words' ratios are those of a count over all."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain w"), F.col("id") % 4, F.when(F.col("id") % 2 == 1, " bad").otherwise("")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    h = labels.where(F.xxhash64("doc_id", F.lit(11)) % 2 == 0)
+    a, b = (h.where(f"toxic = {t}").count() for t in (1, 0))
+    assert min(a, b) > 8000
+    default = inspect.signature(q.classify).parameters["max_train"].default
+    got = q.toxic_words(docs, labels, default, 1000, 11)
+    assert abs(got["bad"] - (math.log((a + 0.5) / (a + 1)) - math.log(0.5 / (b + 1)))) < 1e-9
