@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession, again: int = 0) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more; Spark removes them when they are collected.
+
+    again: more rounds, after a pause each. The plan that ran last is still referred to until listeners have heard of its end.
+    """
+    for i in range(1 + again):
+        time.sleep(1 if i else 0)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df."""
     folder(df.sparkSession)

@@ -14,7 +14,6 @@ Conventions of every operator here
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -25,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import release
+
 #: Bytes of text that are handled at once in a Python worker.
 CHUNK_BYTES = 8 << 20
 #: A side of a join is broadcast up to this many bytes, after counting it; beyond, it is shuffled.
@@ -45,12 +46,6 @@ def checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more; Spark removes them when they are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of df. What earlier steps were made from is released first.
 

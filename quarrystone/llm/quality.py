@@ -195,6 +195,7 @@ PAIRS, ROWS, SUMS = range(3)
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, _qs_th, n_words, perplexity), one row for each distinct (doc_id, text)."""
     spark = docs.sparkSession
+    release(spark, again=2)  # what the model was made from would lie beside the packed pairs of all documents
     n = buckets_for(docs, 16 << 20, 2.0)
     vocabulary = spark.sparkContext.broadcast(model.vocabulary)
     arrays = spark.sparkContext.broadcast((model.back_off, model.unigram))
@@ -359,6 +360,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int | None = None, m
     known = cut(trusted(docs, labels, seed))
     model = train(docs, bounded(known.where("h % 2 = 0"), max_train), max_words)
     scored = score(docs, model)
+    del model
     marked = toxicity(docs, toxic_words(docs, labels, max_train, max_words, seed))
     lang = marked.groupBy("doc_id", "_qs_th").agg(F.min("lang").alias("lang"), F.round(F.max("toxicity"), 6).alias("toxicity"))
     scored = cut(scored.withColumnRenamed("doc_id", "_id").withColumnRenamed("_qs_th", "_th").join(lang, (F.col("_th") == F.col("_qs_th")) & F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "_qs_th", "lang", "n_words", "perplexity", "toxicity"))

@@ -1,6 +1,7 @@
 import inspect
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -134,3 +135,22 @@ def test_all_rows_of_the_training_half_count(spark):
     default = inspect.signature(q.classify).parameters["max_train"].default
     got = q.toxic_words(docs, labels, default, 1000, 11)
     assert abs(got["bad"] - (math.log((a + 0.5) / (a + 1)) - math.log(0.5 / (b + 1)))) < 1e-9
+
+
+def test_training_is_let_go_of_before_scoring(spark, corpus, monkeypatch):
+    """Shuffles that the model was made by are gone when the pairs of all documents are dealt out."""
+    docs, labels = corpus
+    held = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    q.release(spark)
+    time.sleep(2)
+    before, seen = held(), []
+
+    def counted(docs, keyed=q.keyed):
+        time.sleep(2)
+        seen.append(held())
+        return keyed(docs)
+
+    model = q.train(docs, cut(q.trusted(docs, labels, 11).where("h % 2 = 0")), 1000)
+    monkeypatch.setattr(q, "keyed", counted)
+    assert q.score(docs, model).count() and len(seen) == 1
+    assert seen[0] <= before
