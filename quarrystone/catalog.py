@@ -637,5 +637,5 @@ def canonical_names(spark, sf_dir):
 @query(f"SELECT canonical AS name, md5(string_agg(trim(said), ' | ' ORDER BY doc_id, pos)) AS description_md5, arg_max(source, (doc_id, pos)) AS source, max(doc_id) AS chunk_id FROM ({OPENINGS}) o JOIN ({CANONICAL}) c USING (name) GROUP BY 1")
 def extracted_entity_merge(spark, sf_dir):
     """Entities of canonical names, with their whole descriptions."""
-    e = graph.merge_entities(extract.resolved(_extracted(spark, sf_dir)).entities)
+    e = extract.merged(_extracted(spark, sf_dir))
     return e.select("name", F.md5("description").alias("description_md5"), "source", "chunk_id")

@@ -12,8 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import cut, stored
+from ..functions.checkpoints import cut, release, stored
 from ..functions.text import _c
+from .graph import merge_renamed
 from .providers import TextProvider, complete
 
 INSTRUCTION = 'List entities and relations of this text as JSON: {"entities": [{"name", "type", "description"}], "relations": [{"source", "target", "description", "strength"}]}.'
@@ -109,7 +110,9 @@ def candidates(names: DataFrame, percent: int = 80, q: int = 3, short: int = 32)
 
 def alike(names: DataFrame, percent: int = 80, q: int = 3) -> DataFrame:
     """(a, b), a < b: names (name) whose grams have a Jaccard similarity of percent or more; every such pair."""
-    pairs = cut(candidates(stored(names.select("name").where("name is not null").distinct()), percent, q))
+    known = stored(names.select("name").where("name is not null").distinct())
+    known = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # short rows, long work: not by their bytes
+    pairs = cut(candidates(known, percent, q))
     full = pairs.select("a", "b", grams("a", q).alias("_ga"), grams("b", q).alias("_gb"))
     shared = F.size(F.array_intersect("_ga", "_gb"))
     return full.where(100 * shared >= percent * (F.size("_ga") + F.size("_gb") - shared)).select("a", "b")
@@ -124,6 +127,16 @@ def canonical(mentions: DataFrame, percent: int = 80) -> DataFrame:
     return best.select(F.col("a").alias("name"), F.col("_best.b").alias("canonical"))
 
 
+def merged(found: Extracted, percent: int = 80) -> DataFrame:
+    """merge_entities of resolved(found).entities, in which descriptions are shuffled once; twice are those of names with a like one."""
+    names = cut(canonical(found.entities, percent))
+    other = names.where("name <> canonical")
+    own = names.where("name = canonical").join(other.select("canonical").distinct(), "canonical", "left_semi").select("name", "canonical")
+    names = cut(other.unionByName(own))
+    release(names.sparkSession, again=2)  # what names were compared by would lie beside all descriptions
+    return merge_renamed(found.entities, names)
+
+
 def resolved(found: Extracted, percent: int = 80) -> Extracted:
     """found with canonical names in entities and at both ends of relations (ends that no entity names stay as they are)."""
     names = cut(canonical(found.entities, percent))

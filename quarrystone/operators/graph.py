@@ -15,6 +15,23 @@ def merge_entities(found: DataFrame) -> DataFrame:
     return found.groupBy("name").agg(last("type"), ordered_concat("description", "seq", " | ").alias("description"), last("source"), last("chunk_id"))
 
 
+def merge_renamed(found: DataFrame, names: DataFrame) -> DataFrame:
+    """merge_entities of found with the names (name, canonical; each name once) replaced; names that aren't listed stay.
+
+    Descriptions move to their own names, and only those of listed names once more: as the list comes as rows of the same
+    grouping, there is no join that they would move for. A canonical name that has mentions of its own has to be listed too.
+    """
+    item = F.struct("seq", "description", "type", "source", "chunk_id")
+    rows = found.select("name", item.alias("_item"), F.lit(None).cast("string").alias("_to"))
+    rows = rows.unionByName(names.select("name", F.lit(None).cast(rows.schema["_item"].dataType).alias("_item"), F.col("canonical").alias("_to")))
+    each = rows.groupBy("name").agg(F.collect_list("_item").alias("_items"), F.max("_to").alias("_to")).where(F.size("_items") > 0)
+    listed = each.where("_to is not null").groupBy(F.col("_to").alias("name")).agg(F.flatten(F.collect_list("_items")).alias("_items"))
+    ordered = each.where("_to is null").select("name", "_items").unionByName(listed).select("name", F.array_sort("_items").alias("_items"))
+    last = lambda c: F.element_at("_items", -1)[c].alias(c)
+    description = F.array_join(F.transform("_items", lambda x: x["description"]), " | ").alias("description")
+    return ordered.select("name", last("type"), description, last("source"), last("chunk_id"))
+
+
 def merge_relations(found: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """(source, target, description, strength): by all but strength, of which the last stays, 5 by default.
 

@@ -536,3 +536,19 @@ def test_pieces_are_encoded_in_parts(monkeypatch):
     assert numbers.to_pylist() == [None if t is None else [n for i in range(0, len(t), 4) for n in merged(t[i : i + 4].encode(), ranks)] for t in texts]
     assert own.of_numbers(numbers).to_pylist() == texts and len(asked[1]) > 2
     assert own.of_lists(lists.slice(0, 0)).to_pylist() == own.of_numbers(numbers.slice(0, 0)).to_pylist() == []
+
+
+def test_descriptions_move_once(spark):
+    """Merged entities are those of resolved mentions, and only mentions of names with a like one are shuffled again."""
+    from quarrystone.operators import extract, graph
+
+    names = ["Clockmakersdaughters", "Clockmakersdaughter", "Clockmakersdaughterss", "Miller", "Weaver", "Potter", "Candlestickmakers", "Candlestickmaker"]
+    rows = [(names[i % 8], "t" if i % 3 else "u", None if i % 7 == 0 else f"said {i}", f"s{i % 5}", f"c{i // 4}", (i // 4, i % 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, type string, description string, source string, chunk_id string, seq struct<seq:int,pos:int>").checkpoint()
+    found = extract.Extracted(df, df.select(F.col("name").alias("source"), F.col("name").alias("target")), df.limit(0))
+    want = {tuple(r) for r in graph.merge_entities(extract.resolved(found).entities).collect()}
+    got = extract.merged(found)
+    assert {tuple(r) for r in got.collect()} == want and len(want) < 8
+    ran = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    made = [line for line in ran.splitlines() if " Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(made) == 2 and "ReusedExchange" in ran and "Join" not in ran
