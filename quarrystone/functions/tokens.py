@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .batches import parts
 from .stem import OWN, Stems
@@ -86,6 +86,30 @@ def stem_counts(rows: DataFrame, key: str, words: str, length: str, only: Sequen
     return rows.select(key, words, length).mapInArrow(run, schema)
 
 
+def stem_lists(rows: DataFrame, key: str, words: str, length: str) -> DataFrame:
+    """(key, length, tokens, tfs): what stem_counts counts, in one row for each row that has words; tokens in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in parts(whole.column(1))):
+            lists = b.column(1)
+            each = lists.flatten().dictionary_encode()
+            stems = [_STEMS[w] for w in each.dictionary.to_pylist()]
+            names = sorted(set(stems))
+            if not names:
+                continue
+            place = {s: i for i, s in enumerate(names)}
+            number = np.array([place[s] for s in stems])[each.indices.to_numpy()]
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            pair, tf = np.unique(row * len(names) + number, return_counts=True)
+            head = np.flatnonzero(np.diff(pair // len(names), prepend=-1))
+            ends, at = pa.array(np.append(head, len(pair)), pa.int32()), pa.array(pair[head] // len(names))
+            tokens = pc.take(pa.array(names), pa.array(pair % len(names)))
+            yield pa.RecordBatch.from_arrays([pc.take(b.column(0), at), pc.take(b.column(2), at), pa.ListArray.from_arrays(ends, tokens), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=[key, length, "tokens", "tfs"])
+
+    schema = StructType([rows.schema[key], StructField(length, IntegerType()), StructField("tokens", ArrayType(StringType())), StructField("tfs", ArrayType(IntegerType()))])
+    return rows.select(key, words, length).mapInArrow(run, schema)
+
+
 def encoded(tokenizer: Tokenizer):
     """text -> array of token numbers. A tokenizer that works on columns (tokens, texts) does so."""
     if hasattr(tokenizer, "tokens"):

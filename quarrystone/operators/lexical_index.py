@@ -15,66 +15,62 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.batches import parts
 from ..functions.checkpoints import cut, stored
-from ..functions.tokens import lexical_tokens, stem_counts
+from ..functions.tokens import lexical_tokens, stem_lists
 from .retrieval import query_terms, weight
 
 
 def blocks(docs: DataFrame, key: str = "id", text: str = "text", size: int = 8) -> DataFrame:
-    """(token, block, top, keys, weights) of docs, ordered by token. Cut or write it: a query reads it three times.
+    """(token, block, top, keys, weights) of docs; a task's rows are ordered by token, so that a reader skips most of a file.
 
-    One shuffle deals the terms of documents to ranges of length; a block is built within a task, from `size` documents.
+    Write it, or cut it: a query reads it three times. A document's terms stay one row until its block is built. One shuffle
+    deals these rows to ranges of length; a block is built within a task, from `size` documents, and moves no more.
     """
     words = docs.select(key, lexical_tokens(text).alias("_w"))
-    each = stem_counts(words.select(key, "_w", F.size("_w").alias("_n")), key, "_w", "_n")
-    each = each.select(key, "token", "_n", weight(F.col("tf").cast("double"), F.col("_n").cast("double")).alias("weight"))
+    each = stem_lists(words.select(key, "_w", F.size("_w").alias("_n")), key, "_w", "_n")
     each = stored(each)  # ranges are found by a pass over the rows, which shall not stem all texts again
-    each = cut(each.repartitionByRange("_n", key).sortWithinPartitions("_n", key))
+    each = each.repartitionByRange("_n", key).sortWithinPartitions("_n", key)
     kind = to_arrow_type(each.schema[key].dataType)
 
+    def made(rows: pa.Table, first: int) -> pa.RecordBatch:
+        """The blocks of rows, the first of which begins block `first`."""
+        tokens, tfs = (pa.concat_arrays([c.flatten() for c in rows.column(x).chunks]) for x in ("tokens", "tfs"))
+        tokens = tokens.dictionary_encode()
+        count = np.concatenate([pc.list_value_length(c).to_numpy() for c in rows.column("tokens").chunks])
+        n, tf = np.repeat(rows.column("_n").to_numpy(), count).astype(np.float64), tfs.to_numpy().astype(np.float64)
+        row = np.repeat(np.arange(rows.num_rows), count)
+        place = row // size * len(tokens.dictionary) + tokens.indices.to_numpy()  # of block and token
+        order = np.argsort(place, kind="stable")
+        place, weights = place[order], weight(tf, n)[order]
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        ends = pa.array(np.append(begin, len(order)), pa.int32())
+        block, token = np.divmod(place[begin], len(tokens.dictionary))
+        keys = rows.column(key).combine_chunks().take(pa.array(row[order]))
+        return pa.RecordBatch.from_arrays(
+            [tokens.dictionary.take(pa.array(token)), pa.array(first + block), pa.array(np.maximum.reduceat(weights, begin)), pa.ListArray.from_arrays(ends, keys.cast(kind)), pa.ListArray.from_arrays(ends, pa.array(weights))],
+            names=["token", "block", "top", "keys", "weights"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = TaskContext.get().partitionId() << 33, []
-        count, last = 0, None
-
-        def made(rows: pa.Table, block: int) -> pa.RecordBatch:
-            tokens = rows.column("token").combine_chunks().dictionary_encode()
-            number = tokens.indices.to_numpy()
-            order = np.argsort(number, kind="stable")
-            weights = rows.column("weight").to_numpy()[order]
-            begin = np.flatnonzero(np.concatenate(([True], np.diff(number[order]) > 0)))
-            ends = pa.array(np.append(begin, len(order)), pa.int32())
-            names = tokens.dictionary.take(pa.array(number[order][begin]))
-            keys = rows.column(key).combine_chunks().take(pa.array(order))
-            return pa.RecordBatch.from_arrays(
-                [names, pa.array(np.full(len(names), block)), pa.array(np.maximum.reduceat(weights, begin)), pa.ListArray.from_arrays(ends, keys.cast(kind)), pa.ListArray.from_arrays(ends, pa.array(weights))],
-                names=["token", "block", "top", "keys", "weights"],
-            )
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b.column(b.schema.get_field_index(key)).to_pylist()
-            new = np.array([k != before for k, before in zip(keys, [last, *keys], strict=False)])
-            last = keys[-1]
-            block = (count + np.cumsum(new) - 1) // size  # of each row
-            count += int(new.sum())
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(block) > 0)))
-            for s, e in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-                if held and held[0][0] != block[s]:
-                    yield made(pa.Table.from_batches([x for _, x in held]), first + held[0][0])
-                    held = []
-                held.append((int(block[s]), b.slice(s, e - s)))
-        if held:
-            yield made(pa.Table.from_batches([x for _, x in held]), first + held[0][0])
+        block, held = TaskContext.get().partitionId() << 33, None
+        for b in (whole.slice(at, end - at) for whole in batches for at, end in parts(whole.column(whole.schema.get_field_index("tokens")))):
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if full := held.num_rows // size:
+                yield made(held.slice(0, full * size), block)
+                block, held = block + full, held.slice(full * size)
+        if held is not None and held.num_rows:
+            yield made(held, block)
 
     schema = T.StructType().add("token", "string").add("block", "long").add("top", "double").add("keys", T.ArrayType(each.schema[key].dataType)).add("weights", T.ArrayType(T.DoubleType()))
-    return each.mapInArrow(run, schema).repartitionByRange("token", "block").sortWithinPartitions("token", "block")
+    return each.mapInArrow(run, schema).sortWithinPartitions("token", "block")
 
 
 def bounds(index: DataFrame, words: Sequence[str], weights: DataFrame) -> DataFrame:

@@ -552,3 +552,15 @@ def test_descriptions_move_once(spark):
     ran = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     made = [line for line in ran.splitlines() if " Exchange hashpartitioning" in line and "Reused" not in line]
     assert len(made) == 2 and "ReusedExchange" in ran and "Join" not in ran
+
+
+def test_lexical_blocks_move_documents_once(spark):
+    """Documents are dealt to ranges of length as one row each, and the blocks' rows stay where they are built."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * j % 17}" for j in range(1 + i % 9))) for i in range(60)], "doc_id long, text string")
+    index = lexical_index.blocks(docs, "doc_id", size=4)
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression [_n" in plan
+    rows = index.collect()
+    terms = {(r.doc_id, r.token): r.weight for r in retrieval.postings(docs, "doc_id").collect()}
+    assert {(k, r.token): w for r in rows for k, w in zip(r["keys"], r.weights, strict=True)} == terms
+    assert all(r.top == max(r.weights) and len(r["keys"]) <= 4 for r in rows)
