@@ -27,23 +27,26 @@ their bytes; an empty table gives an empty result; other columns are not read, s
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, buckets_for, by_bucket, cut, mix, pieces, slices, table, trim
-from .quality import POINT, SHAPES, Cached, shape
+from .common import _SPACE, CHUNK_BYTES, buckets_for, cut, mix, slices, table, trim
+from .quality import _ODD, POINT, SHAPES, shape
 
 WINDOW, WIDTH, GROUPS = 2, 16, 64
 SIZE = GROUPS * GROUPS
 MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 4096, 0.1
 #: Weights are averaged in so many blocks.
 BLOCKS = 64
+#: Tokens of one group that are scored at once, so that their logits stay in a core's cache, and tokens that are sorted by group.
+STEP, SORTED = 4096, 1 << 20
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
@@ -52,22 +55,14 @@ class Tokens:
 
     def __init__(self, words: list[bytes]):
         self.numbers = {w: 1 + SHAPES + i for i, w in enumerate(words[: SIZE - SHAPES - 1])}
+        self.words = pa.array(self.numbers, pa.binary())
 
-    def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers with WINDOW zeros around each text, the places of tokens in them, and the number of tokens of each text."""
-        number = Cached(self.numbers).__getitem__
-        gap = np.zeros(WINDOW, np.int32)
-        parts, counts = [gap], []
-        for t in texts:
-            n = 0
-            for p in pieces(t):
-                ws = p.split()
-                parts.append(np.fromiter(map(number, ws), dtype=np.int32, count=len(ws)))
-                n += len(ws)
-            parts.append(gap)
-            counts.append(n)
-        numbers = np.concatenate(parts)
-        return numbers, np.flatnonzero(numbers), np.array(counts, dtype=np.int64)
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words, and which of them lie beyond the vocabulary."""
+        found = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1))
+        beyond, numbers = found < 0, found + np.int32(1 + SHAPES)
+        numbers[beyond] = 1 + shapes(words.filter(pa.array(beyond)))
+        return numbers, beyond
 
 
 class Network:
@@ -103,99 +98,193 @@ class Network:
 
     def hidden(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         embed, bias = self.w[:2]
-        h = np.tile(bias, (len(at), 1))
+        x = np.tile(bias, (len(at), 1))
         for k, place in enumerate(PLACES):
-            h += embed[k][numbers[at + place]]
-        np.tanh(h, out=h)
-        return np.concatenate((h, np.ones((len(at), 1), np.float32)), axis=1)
-
-    def _exp(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits, their exponentials, and the sums of these; shifted by the largest logit where it could be too large."""
-        x = h @ w
-        if np.abs(w).sum(axis=0).max() > 60:  # else no logit is larger: hidden values are at most 1
-            x -= x.max(axis=1, keepdims=True)
-        e = np.exp(x)
-        return x, e, e @ np.ones(GROUPS, e.dtype)
-
-    def _log_of(self, h: np.ndarray, w: np.ndarray, which: np.ndarray) -> np.ndarray:
-        x, _, total = self._exp(h, w)
-        return x[np.arange(len(x)), which] - np.log(total)
-
-    def _off(self, h: np.ndarray, w: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Softmax minus the one that is right."""
-        _, e, total = self._exp(h, w)
-        e /= total[:, None]
-        e[np.arange(len(e)), which] -= 1
-        return e
+            x += embed[k].take(numbers[at + place], axis=0)
+        h = np.ones((len(at), WIDTH + 1), x.dtype)
+        h[:, :-1] = np.tanh(x, out=x)
+        return h
 
     def log_p(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log p of the numbers at `at`, each from both its sides."""
+        """log p of the numbers at `at`, each from both its sides. Those of one group are taken together: both their softmaxes are one product."""
         out = np.empty(len(at), dtype=np.float64)
-        for a in range(0, len(at), 1 << 15):
-            own = at[a : a + (1 << 15)]
+        both = [np.concatenate((self.w[2], w), axis=1) for w in self.w[3]]
+        large = [_large(w) for w in both]
+        room = np.empty((STEP, 2 * GROUPS), self.w[2].dtype)
+        one = np.ones(GROUPS, room.dtype)
+        for a in range(0, len(at), SORTED):
+            own = at[a : a + SORTED]
             group, inner = np.divmod(numbers[own], GROUPS)
-            h = self.hidden(numbers, own)
-            lp = self._log_of(h, self.w[2], group).astype(np.float64)
-            order = np.argsort(group, kind="stable")
-            bound = np.searchsorted(group[order], np.arange(GROUPS + 1))
+            order = np.argsort(group.astype(np.uint8), kind="stable")
+            bound = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
             for g in range(GROUPS):
-                i = order[bound[g] : bound[g + 1]]
-                if len(i):
-                    lp[i] += self._log_of(h[i], self.w[3][g], inner[i])
-            out[a : a + len(own)] = lp
+                for b in range(bound[g], bound[g + 1], STEP):
+                    i = order[b : min(b + STEP, bound[g + 1])]
+                    x = np.matmul(self.hidden(numbers, own[i]), both[g], out=room[: len(i)])
+                    if large[g]:
+                        for half in (x[:, :GROUPS], x[:, GROUPS:]):
+                            half -= half.max(axis=1, keepdims=True)
+                    lp = x[:, g].astype(np.float64), x[np.arange(len(i)), GROUPS + inner[i]]
+                    np.exp(x, out=x)
+                    out[a + i] = lp[0] - np.log(x[:, :GROUPS] @ one) + (lp[1] - np.log(x[:, GROUPS:] @ one))
         return out
 
     def gradients(self, numbers: np.ndarray, at: np.ndarray) -> list:
         """Of the mean negative log p; for the embeddings, of each place, the rows it touches and theirs."""
         n = len(at)
+        at = at[np.argsort((numbers[at] // GROUPS).astype(np.uint8), kind="stable")]
         group, inner = np.divmod(numbers[at], GROUPS)
+        bound = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        runs = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(bound, bound[1:])) if a < b]  # noqa: B905
         h = self.hidden(numbers, at)
-        g_inner, d_h = np.zeros_like(self.w[3]), np.zeros_like(h)
-        d = self._off(h, self.w[2], group)
+        g_inner, back = np.zeros_like(self.w[3]), np.ascontiguousarray(self.w[3].transpose(0, 2, 1))
+        d = _off(h @ self.w[2], group, _large(self.w[2]))
         g_group = h.T @ d / n
-        d_h += d @ self.w[2].T
-        order = np.argsort(group, kind="stable")
-        bound = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            i = order[bound[g] : bound[g + 1]]
-            if len(i):
-                d = self._off(h[i], self.w[3][g], inner[i])
-                g_inner[g] = h[i].T @ d / n
-                d_h[i] += d @ self.w[3][g].T
-        d_x = d_h[:, :-1] * (1 - h[:, :-1] ** 2) / n
+        d_h = d @ self.w[2].T
+        for g, i in runs:
+            np.dot(h[i], self.w[3][g], out=d[i])
+        d = _off(d, inner, _large(self.w[3]))
+        for g, i in runs:
+            np.dot(h[i].T, d[i], out=g_inner[g])
+            d_h[i] += np.dot(d[i], back[g])
+        g_inner /= n
+        d_h *= 1 - h * h
+        d_h /= n
+        d_x = np.ascontiguousarray(d_h[:, :-1])
         g_embed = []
         for place in PLACES:
-            x = numbers[at + place]
+            x = numbers[at + place].astype(np.uint16)  # a sort by two bytes is a radix sort
             by = np.argsort(x, kind="stable")
-            head = np.flatnonzero(np.concatenate(([True], np.diff(x[by]) > 0)))
-            g_embed.append((x[by][head], np.add.reduceat(d_x[by], head, axis=0)))
-        return [g_embed, d_x.sum(axis=0), g_group, g_inner]
+            x = x[by]
+            head = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            g_embed.append((x[head], np.add.reduceat(d_x.take(by, axis=0), head, axis=0)))
+        return [g_embed, np.ones(n, d_x.dtype) @ d_x, g_group, g_inner]
 
     def descend(self, numbers: np.ndarray, at: np.ndarray, squares: list[np.ndarray], rate: float = RATE) -> None:
         for a in range(0, len(at), BATCH):
             touched, *dense = self.gradients(numbers, at[a : a + BATCH])
             for w, s, (rows, g) in zip(self.w[0], squares[0], touched, strict=True):
-                s[rows] += g * g
-                w[rows] -= rate * g / (np.sqrt(s[rows]) + 1e-8)
+                own = s.take(rows, axis=0) + g * g
+                s[rows] = own
+                w[rows] = w.take(rows, axis=0) - rate * g / (np.sqrt(own) + 1e-8)
             for w, s, g in zip(self.w[1:], squares[1:], dense, strict=True):
                 s += g * g
                 w -= rate * g / (np.sqrt(s) + 1e-8)
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(w, n): how often each token occurs in all documents."""
-    schema = pa.schema([("w", pa.binary()), ("n", pa.int64())])
+def _large(w: np.ndarray) -> bool:
+    """Whether a logit could be too large for an exponential: hidden values are at most 1."""
+    return np.abs(w).sum(axis=-2).max() > 60
+
+
+def _off(x: np.ndarray, which: np.ndarray, large: bool) -> np.ndarray:
+    """Softmax of logits x minus the one that is right, in the place of x."""
+    if large:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(GROUPS, x.dtype))[:, None]
+    x[np.arange(len(x)), which] -= 1
+    return x
+
+
+def split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each token of all texts its place among the distinct tokens, the number of tokens of each text, and the distinct tokens."""
+    texts = pc.fill_null(column.cast(pa.binary()), b"")
+    bound = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bound[0] : bound[-1]]
+    bound -= bound[0]
+    a, words, starts = 0, [], []
+    while a < len(data) or not words:
+        b = a + CHUNK_BYTES
+        if b < len(data):  # a long text is cut at white space
+            m = _SPACE.search(data, b)
+            b = m.start() if m else len(data)
+        piece = data[a:b]
+        solid = (piece != 32) & (piece - np.uint8(9) > 4)
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        begin = bound[np.searchsorted(bound, a) : np.searchsorted(bound, a + len(piece))] - a
+        first[begin] = solid[begin]
+        body = piece[solid]
+        offsets = np.append(np.flatnonzero(first[solid]), len(body)).astype(np.int32)
+        words.append(pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(body)]))
+        starts.append(np.flatnonzero(first) + a)
+        a += len(piece)
+    sizes = np.diff(np.searchsorted(np.concatenate(starts), bound))
+    coded = pa.chunked_array(words).dictionary_encode().unify_dictionaries()
+    if not len(coded):
+        return np.empty(0, np.int32), sizes, pa.array([], pa.binary())
+    return np.concatenate([np.asarray(c.indices) for c in coded.chunks]), sizes, coded.chunk(0).dictionary
 
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch):
-                seen: Counter = Counter()
-                for t in as_bytes(part.column("text")):
-                    for p in pieces(t):
-                        seen.update(p.split())
-                yield table(seen.items(), schema)
 
-    return cut(docs.select("text").mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
+class Shapes(dict):
+    """Tokens and their shapes, kept as long as there is room."""
+
+    def __missing__(self, w: bytes) -> int:
+        s = shape(w)
+        if len(self) < 300_000:
+            self[w] = s
+        return s
+
+
+_KEPT = Shapes()
+
+
+#: What a byte is: 1 a small letter, 2 a capital, 4 beyond ASCII, 8 odd, 16 ends a sentence or part of it.
+_KIND = np.array([(97 <= b <= 122) + 2 * (65 <= b <= 90) + 4 * (b > 127) + 8 * bool(_ODD.match(bytes([b]))) + 16 * (b in b".,;:!?") for b in range(256)], np.uint8)
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """shape() of each word; what is beyond ASCII or ends in many signs is left to it."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    bound = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[bound[0] : bound[-1]]
+    bound -= bound[0]
+    kind, start, end = _KIND[data], bound[:-1], bound[1:].copy()
+    left = np.arange(len(end))
+    for _ in range(4):
+        left = left[end[left] > start[left]]
+        left = left[kind[end[left] - 1] & 16 > 0]
+        end[left] -= 1
+        kind[end[left]] = 0
+    every, off = np.bitwise_or.reduceat(kind, start), bound[1:] - end
+    capital = (kind[start] & 2) > 0
+    case = np.select([every & 3 == 1, (every & 3 == 2) & (end - start > 1), capital], [0, 2, 1], 3)
+    last = data[bound[1:] - 1]
+    ends = np.select([off == 0, off > 1, (last != 33) & (last != 63)], [0, 3, 1], 2)
+    out = ((case * 4 + ends) * 2 + (every & 8 > 0)).astype(np.int32)
+    by_hand = np.flatnonzero((every & 4 > 0) | (off == 4))
+    out[by_hand] = [_KEPT[w] for w in words.take(pa.array(by_hand)).to_pylist()]
+    return out
+
+
+#: Distinct tokens that a task holds before it hands them on.
+HELD = 1 << 20
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, n) of a task: each token once, as long as there are no more than HELD."""
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("w", use_threads=False).aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        for part in slices(batch):
+            codes, _, words = split(part.column("text"))
+            held.append(pa.table([words, pa.array(np.bincount(codes, minlength=len(words)))], names=["w", "n"]))
+            if sum(map(len, held)) > HELD:
+                held = [summed(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches(1 << 17)
+    if held:
+        yield from summed(held).to_batches(1 << 17)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each token occurs in all documents."""
+    return cut(docs.select("text").mapInArrow(tally, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")))
 
 
 def most_frequent(words: DataFrame, k: int) -> list:
@@ -217,17 +306,16 @@ def vocabulary(docs: DataFrame, words: DataFrame | None = None) -> tuple[Tokens,
     tokens = Tokens([w for w, _ in top])
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
 
-    def shapes(batches):
+    def by_shape(batches):
         for batch in batches:
+            numbers, beyond = shared.value.of(batch.column("w"))
             sums = np.zeros(1 + SHAPES, np.int64)
-            for w, n in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                if w not in shared.value.numbers:
-                    sums[1 + shape(w)] += n
+            np.add.at(sums, numbers[beyond], np.asarray(batch.column("n"))[beyond])
             yield table(enumerate(sums.tolist()), by_number)
 
     counts = np.zeros(SIZE, np.int64)
     counts[1 + SHAPES : 1 + SHAPES + len(top)] = [n for _, n in top]
-    for r in words.mapInArrow(shapes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInArrow(by_shape, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r["k"]] = r["n"]
     return tokens, counts
 
@@ -239,48 +327,6 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("rows", p
 _PACKED_DDL = "bucket int, chunks binary, rows binary, sizes binary, numbers binary"
 
 
-class Coded(dict):
-    """Token -> its number in the vocabulary, else SIZE and more, in the order of first occurrence."""
-
-    def __init__(self, numbers: dict[bytes, int]):
-        super().__init__(numbers)
-        self.words: list[bytes] = []
-
-    def __missing__(self, w: bytes) -> int:
-        n = self[w] = SIZE + len(self.words)
-        self.words.append(w)
-        return n
-
-
-class Shapes(dict):
-    """Tokens and their shapes, kept as long as there is room."""
-
-    def __missing__(self, w: bytes) -> int:
-        s = shape(w)
-        if len(self) < 300_000:
-            self[w] = s
-        return s
-
-
-_KEPT = Shapes()
-
-
-def coded(texts: list[bytes], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Codes of all tokens, their numbers, the number of tokens of each text, and the tokens beyond the vocabulary by code."""
-    codes = Coded(tokens.numbers)
-    parts, sizes = [np.empty(0, np.int32)], []
-    for t in texts:
-        n = 0
-        for p in pieces(t):
-            ws = p.split()
-            parts.append(np.fromiter(map(codes.__getitem__, ws), dtype=np.int32, count=len(ws)))
-            n += len(ws)
-        sizes.append(n)
-    out = np.concatenate(parts)
-    shapes = np.fromiter(map(_KEPT.__getitem__, codes.words), dtype=np.int32, count=len(codes.words))
-    return out, np.concatenate((np.arange(SIZE, dtype=np.int32), 1 + shapes))[out].astype("<u2"), np.array(sizes, dtype=np.int64), codes.words
-
-
 def packed(numbered: DataFrame) -> DataFrame:
     """One row for each bucket: its documents' places and numbers, in the order of keys. numbered: rows of _NUMBERS."""
 
@@ -309,8 +355,8 @@ def numbers_of(docs: DataFrame, tokens: Tokens, counts: np.ndarray) -> DataFrame
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                _, numbers, sizes, _ = coded(as_bytes(part.column("text")), shared.value)
-                yield table(_number_rows(part, numbers, sizes, chunk, n), _NUMBERS)
+                codes, sizes, words = split(part.column("text"))
+                yield table(_number_rows(part, shared.value.of(words)[0][codes].astype("<u2"), sizes, chunk, n), _NUMBERS)
                 chunk += 1
 
     return packed(_keyed(docs).mapInArrow(run, "bucket int, chunk long, row int, key long, numbers binary"))
@@ -378,7 +424,8 @@ def score(docs: DataFrame, tokens: Tokens, network: Network) -> DataFrame:
         own = Network.of_flat(flat)
         for batch in batches:
             for part in slices(batch):
-                numbers, at, counts = tokens.flat(as_bytes(part.column("text")))
+                codes, counts, words = split(part.column("text"))
+                numbers, at = spread(counts, tokens.of(words)[0][codes].astype("<u2").tobytes())
                 total = np.concatenate(([0.0], np.cumsum(own.log_p(numbers, at))))
                 end = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts), pa.array(total[end] - total[end - counts])], schema=schema)
@@ -401,18 +448,27 @@ def encoded(docs: DataFrame, tokens: Tokens, counts: np.ndarray, n: int) -> Data
         tokens, chunk = shared.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch):
-                codes, numbers, sizes, words = coded(as_bytes(part.column("text")), tokens)
+                codes, sizes, words = split(part.column("text"))
+                numbers, beyond = tokens.of(words)
                 ids = part.column("doc_id").cast(pa.int64())
-                out = [(NUMBERS, b, c, i, k, x, b"") for b, c, i, k, x in _number_rows(part, numbers, sizes, chunk, buckets)]
+                out = [(NUMBERS, b, c, i, k, x, b"") for b, c, i, k, x in _number_rows(part, numbers[codes].astype("<u2"), sizes, chunk, buckets)]
                 rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), sizes))
-                beyond = np.flatnonzero(codes >= SIZE)
-                key, times = np.unique((codes[beyond].astype(np.int64) - SIZE) * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)[beyond], return_counts=True)
-                word, row = np.divmod(key, len(sizes))
-                h = _hashes(words)
                 out.append((ROWS, chunk % n, chunk, 0, 0, rows.tobytes(), b""))
-                for b, pick in by_bucket((mix(h) % np.uint64(n)).astype(np.int64)[word], n):
-                    which, each = np.unique(word[pick], return_counts=True)
-                    out.append((RARE, b, chunk, 0, 0, np.stack((h[which], each.astype(np.uint64))).tobytes(), np.stack((row[pick], times[pick])).astype("<u4").tobytes()))
+                h = _hashes(words.filter(pa.array(beyond)).to_pylist())
+                shard = (mix(h) % np.uint64(n)).astype(np.int64)
+                by_shard = np.argsort(shard, kind="stable")
+                place = np.zeros(len(words), np.int64)  # of a word beyond, in the order of shards
+                place[np.flatnonzero(beyond)[by_shard]] = np.arange(len(h))
+                rare = beyond[codes]
+                key, times = np.unique(place[codes[rare]] * len(sizes) + np.repeat(np.arange(len(sizes)), sizes)[rare], return_counts=True)
+                word, row = np.divmod(key, max(1, len(sizes)))
+                h, each = h[by_shard], np.bincount(word, minlength=len(h)).astype(np.uint64)
+                row, times = row.astype("<u4"), times.astype("<u4")
+                which, first = np.unique(shard[by_shard], return_index=True)
+                cuts = [*first.tolist(), len(h)]
+                pairs = np.searchsorted(word, cuts).tolist()
+                for b, w, v, i, j in zip(which.tolist(), cuts, cuts[1:], pairs, pairs[1:], strict=False):
+                    out.append((RARE, b, chunk, 0, 0, h[w:v].tobytes() + each[w:v].tobytes(), row[i:j].tobytes() + times[i:j].tobytes()))
                 yield table(out, _PA_BLOCK)
                 chunk += 1
 
@@ -436,9 +492,9 @@ def whole_score(blocks: DataFrame, buckets: DataFrame, words: DataFrame, tokens:
     def shares(batches):
         tokens, classes = shared.value
         for batch in batches:
-            own = [(w, k) for w, k in zip(batch.column("w").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in tokens.numbers]
-            h = _hashes([w for w, _ in own])
-            value = np.log(np.array([k for _, k in own], float) / classes[[1 + shape(w) for w, _ in own]]) if own else np.empty(0)
+            numbers, beyond = tokens.of(batch.column("w"))
+            h = _hashes(batch.column("w").filter(pa.array(beyond)).to_pylist())
+            value = np.log(np.asarray(batch.column("n"))[beyond].astype(float) / classes[numbers[beyond]])
             yield pa.RecordBatch.from_arrays([pa.array((mix(h) % np.uint64(n)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.rint(value * POINT).astype(np.int64))], names=["shard", "h", "v"])
 
     def base(batches):
@@ -461,10 +517,9 @@ def whole_score(blocks: DataFrame, buckets: DataFrame, words: DataFrame, tokens:
         for chunk, keys, rows in zip(*(blocks.column(c).to_pylist() for c in ("chunk", "a", "b")), strict=True):
             own, each = np.frombuffer(keys, "<u8").reshape(2, -1)
             row, times = np.frombuffer(rows, "<u4").reshape(2, -1).astype(np.int64)
-            which, inverse = np.unique(row, return_inverse=True)
-            sums = np.zeros(len(which), np.int64)
-            np.add.at(sums, inverse, np.repeat(v[np.searchsorted(h, own)], each.astype(np.int64)) * times)
-            out.append((SUMS, 0, chunk, 0, 0, which.astype("<u4").tobytes(), sums.tobytes()))
+            which, sums = np.flatnonzero(np.bincount(row)), np.zeros(row.max() + 1, np.int64)
+            np.add.at(sums, row, np.repeat(v[np.searchsorted(h, own)], each.astype(np.int64)) * times)
+            out.append((SUMS, 0, chunk, 0, 0, which.astype("<u4").tobytes(), sums[which].tobytes()))
         return pa.Table.from_batches([table(out, _PA_BLOCK)])
 
     final = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])

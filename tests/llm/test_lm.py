@@ -1,7 +1,10 @@
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from quarrystone.llm import lm
 from quarrystone.llm.common import cut
@@ -130,3 +133,70 @@ def test_scores_do_not_depend_on_the_layout(spark, awkward, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET", 4000)
     got = [sorted(map(str, lm.report(df).collect())) for df in (awkward, cut(awkward.repartition(9)))]
     assert got[0] == got[1] and len(got[0]) == awkward.count()
+
+
+def _words(rng, n):
+    return ["".join(rng.choice("abzAZ019.,;:!?-+/_éßÉλΣªǅ·🙂\x00\x1c\x85  ") for _ in range(rng.randint(1, 7))) for _ in range(n)] + [*".,;:!?", "!!!!!", "a....", "AB?!.,;:", "Ab.", "x" * 300]
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 7])
+def test_split_and_shapes(monkeypatch, limit):
+    rng = random.Random(8)
+    words = _words(rng, 400)
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "\t", "\n\n", "\x0b \x0c\r"]) for _ in range(n))
+    texts = [None, "left out", "", "one", "one", " \t", *(rng.choice(["", " "]) + text(rng.randint(0, 60)).removesuffix(" ") for _ in range(80)), None, ""]
+    monkeypatch.setattr(lm, "CHUNK_BYTES", limit)
+    for column in (pa.array(texts)[2:], pa.array(texts)[:1], pa.array(texts, pa.string())[:0], pa.array(["", ""])):
+        codes, sizes, found = lm.split(column)
+        found, want = found.to_pylist(), [(t or "").encode().split() for t in column.to_pylist()]
+        assert [found[c] for c in codes] == [w for ws in want for w in ws]
+        assert sizes.tolist() == [len(ws) for ws in want] and len(set(found)) == len(found)
+    told = pa.array([w.encode() for w in words])
+    assert lm.shapes(told).tolist() == [lm.shape(w) for w in told.to_pylist()]
+    assert lm.shapes(told[5:90]).tolist() == [lm.shape(w) for w in told.to_pylist()[5:90]]
+
+
+def test_words_are_told_apart_without_a_step_of_python_each():
+    rng = random.Random(9)
+    words = [f"{rng.choice(['w', 'Very-', 'x.'])}{int(rng.paretovariate(0.4)) % 300_000}" for _ in range(400_000)]
+    column = pa.array([" ".join(words[i : i + 400]) for i in range(0, len(words), 400)])
+    tokens = lm.Tokens([w.encode() for w, _ in Counter(words).most_common(4000)])
+
+    def one_by_one():
+        numbers = dict(tokens.numbers)
+        return [numbers.setdefault(w, len(numbers)) for t in column.cast(pa.binary()).to_pylist() for w in t.split()]
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(lambda: lm.split(column)) < 0.8 * seconds(one_by_one)
+
+
+def test_a_task_hands_on_each_word_once(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 5003}" for i in range(1_000_000)) for k in (1, 3)]  # each is more than half a slice
+    batches = [pa.record_batch([pa.array(texts)], names=["text"])] * 2
+    handed = [r for b in lm.tally(iter(batches)) for r in b.to_pylist()]
+    assert {r["w"].decode(): r["n"] for r in handed} == {w: 2 * n for w, n in Counter(w for t in texts for w in t.split()).items()}
+    assert len(handed) == 5003 and list(lm.tally(iter([]))) == []
+    monkeypatch.setattr(lm, "HELD", 6000)  # more than half of it is handed on at once
+    assert sum(r["n"] for b in lm.tally(iter(batches)) for r in b.to_pylist()) == 4_000_000
+
+
+def test_large_logits():
+    net = lm.Network.start(np.arange(lm.SIZE), 1)
+    net.w = [w.astype(np.float64) for w in net.w]
+    net.w[2] *= 300
+    net.w[3][3] *= 300
+    numbers = np.array([0, 0, 5, 6, 64 * 3 + 7, 8, 64 * 9, 0, 0])
+    at = np.arange(2, 7)
+    for i, got in zip(at, net.log_p(numbers, at), strict=True):
+        h = net.hidden(numbers, np.array([i]))[0]
+        logits = h @ net.w[2], h @ net.w[3][numbers[i] // 64]
+        want = sum(x[j] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, j in zip(logits, divmod(int(numbers[i]), 64), strict=True))
+        assert got == pytest.approx(want, rel=1e-9)
+    assert all(np.isfinite(g).all() for g in net.gradients(numbers, at)[1:])
