@@ -46,7 +46,7 @@ MASKED, ROUNDS, BATCH, RATE = 0.15, 2, 4096, 0.1
 #: Weights are averaged in so many blocks.
 BLOCKS = 64
 #: Tokens of one group that are scored at once, so that their logits stay in a core's cache, and tokens that are sorted by group.
-STEP, SORTED = 4096, 1 << 20
+STEP, SORTED = 2048, 1 << 20
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
@@ -189,10 +189,7 @@ def _off(x: np.ndarray, which: np.ndarray, large: bool) -> np.ndarray:
 
 def split(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of each token of all texts its place among the distinct tokens, the number of tokens of each text, and the distinct tokens."""
-    texts = pc.fill_null(column.cast(pa.binary()), b"")
-    bound = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bound[0] : bound[-1]]
-    bound -= bound[0]
+    data, bound = _ends(pc.fill_null(column.cast(pa.binary()), b""))
     a, words, starts = 0, [], []
     while a < len(data) or not words:
         b = a + CHUNK_BYTES
@@ -230,6 +227,19 @@ class Shapes(dict):
 _KEPT = Shapes()
 
 
+def _ends(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, and where each begins and the last one ends."""
+    bound = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset) if len(words) else np.zeros(1, np.int32)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[bound[0] : bound[-1]], bound.astype(np.int64) - bound[0]
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """to_pylist(), which makes a scalar of each word on the way."""
+    data, bound = _ends(words)
+    data, bound = data.tobytes(), bound.tolist()
+    return [data[a:b] for a, b in zip(bound, bound[1:])]  # noqa: B905
+
+
 #: What a byte is: 1 a small letter, 2 a capital, 4 beyond ASCII, 8 odd, 16 ends a sentence or part of it.
 _KIND = np.array([(97 <= b <= 122) + 2 * (65 <= b <= 90) + 4 * (b > 127) + 8 * bool(_ODD.match(bytes([b]))) + 16 * (b in b".,;:!?") for b in range(256)], np.uint8)
 
@@ -238,9 +248,7 @@ def shapes(words: pa.Array) -> np.ndarray:
     """shape() of each word; what is beyond ASCII or ends in many signs is left to it."""
     if not len(words):
         return np.empty(0, np.int32)
-    bound = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[bound[0] : bound[-1]]
-    bound -= bound[0]
+    data, bound = _ends(words)
     kind, start, end = _KIND[data], bound[:-1], bound[1:].copy()
     left = np.arange(len(end))
     for _ in range(4):
@@ -255,12 +263,12 @@ def shapes(words: pa.Array) -> np.ndarray:
     ends = np.select([off == 0, off > 1, (last != 33) & (last != 63)], [0, 3, 1], 2)
     out = ((case * 4 + ends) * 2 + (every & 8 > 0)).astype(np.int32)
     by_hand = np.flatnonzero((every & 4 > 0) | (off == 4))
-    out[by_hand] = [_KEPT[w] for w in words.take(pa.array(by_hand)).to_pylist()]
+    out[by_hand] = [_KEPT[w] for w in _listed(words.take(pa.array(by_hand)))]
     return out
 
 
 #: Distinct tokens that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +462,7 @@ def encoded(docs: DataFrame, tokens: Tokens, counts: np.ndarray, n: int) -> Data
                 out = [(NUMBERS, b, c, i, k, x, b"") for b, c, i, k, x in _number_rows(part, numbers[codes].astype("<u2"), sizes, chunk, buckets)]
                 rows = np.stack((np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int64), sizes))
                 out.append((ROWS, chunk % n, chunk, 0, 0, rows.tobytes(), b""))
-                h = _hashes(words.filter(pa.array(beyond)).to_pylist())
+                h = _hashes(_listed(words.filter(pa.array(beyond))))
                 shard = (mix(h) % np.uint64(n)).astype(np.int64)
                 by_shard = np.argsort(shard, kind="stable")
                 place = np.zeros(len(words), np.int64)  # of a word beyond, in the order of shards
@@ -493,7 +501,7 @@ def whole_score(blocks: DataFrame, buckets: DataFrame, words: DataFrame, tokens:
         tokens, classes = shared.value
         for batch in batches:
             numbers, beyond = tokens.of(batch.column("w"))
-            h = _hashes(batch.column("w").filter(pa.array(beyond)).to_pylist())
+            h = _hashes(_listed(batch.column("w").filter(pa.array(beyond))))
             value = np.log(np.asarray(batch.column("n"))[beyond].astype(float) / classes[numbers[beyond]])
             yield pa.RecordBatch.from_arrays([pa.array((mix(h) % np.uint64(n)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.rint(value * POINT).astype(np.int64))], names=["shard", "h", "v"])
 
